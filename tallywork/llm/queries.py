@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
 from .licenses import scan_licenses
+from .linededup import dedup_lines
 from .packing import pack_documents
 from .quality import judge_documents
 from .sharding import shard_documents
@@ -37,6 +38,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), "text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_documents(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,7 +71,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op4_quality_rules, op5_url_filters, op6_packing, op8_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op8_token_counts, op9_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
