@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
+from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .packing import pack_documents
@@ -70,8 +71,12 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op8_token_counts, op9_license_scans)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op8_token_counts, op9_license_scans, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
