@@ -108,8 +108,31 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for c in by:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}"))
     joined = measured.withColumns({f"rate_{k}": v for k, v in rates().items()}).alias("m").join(bounded(limits), same, "left")
+    base, kept = verdict()
+    return joined.select("m.doc_id", *[F.col(f"m.{c}") for c in by], *[F.col(f"m.{c.split()[0]}") for c in FEATURES.split(", ")], base.alias("base_failed"), kept.alias("kept"))
+
+
+def verdict() -> tuple[F.Column, F.Column]:
+    """(base_failed, kept) over measured rows m joined to cutoffs t."""
     base = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
     over = F.lit(False)
     for k in FLOORS:
         over = over | F.coalesce(F.col(f"m.rate_{k}") > F.col(f"t.max_{k}"), F.lit(False))
-    return joined.select("m.doc_id", *[F.col(f"m.{c}") for c in by], *[F.col(f"m.{c.split()[0]}") for c in FEATURES.split(", ")], base.alias("base_failed"), (~base & ~over).alias("kept"))
+    return base, ~base & ~over
+
+
+def filter_documents(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of docs that judge_documents keeps, with docs' columns; judged by the same cutoffs, from docs itself.
+
+    Texts are measured twice, for the cutoffs and for the verdict, so that no text is shuffled.
+    """
+    limits = cut(thresholds(cut(measure_documents(docs, text_col=text_col, by=by), "quality-features"), by), "quality-limits").alias("t")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever docs' columns are named
+    plain, at = docs.toDF(*names), docs.columns.index(text_col)
+    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    measured = map_rows(plain, f"{kinds}, {FEATURES}", lambda *c: [*c, *(zip(*map(measure, c[at]), strict=True) if c[at] else [[]] * 6)])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"m.{names[docs.columns.index(c)]}").eqNullSafe(F.col(f"t.{c}"))
+    joined = measured.withColumns({f"rate_{k}": v for k, v in rates().items()}).alias("m").join(bounded(limits), same, "left")
+    return joined.where(verdict()[1]).select(*[F.col(f"m.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -80,8 +80,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
