@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def promote_header(records: DataFrame, first: str) -> DataFrame:
     """(file, pos, header, cells): records after the first whose first cell is `first`; files without one are left out. records: (file, pos, cells array<string>)."""
-    at = records.where(F.trim(F.col("cells")[0]) == first).groupBy("file").agg(F.min_by("cells", "pos").alias("header"), F.min("pos").alias("at"))
+    at = records.where(F.trim(F.get("cells", F.lit(0))) == first).groupBy("file").agg(F.min_by("cells", "pos").alias("header"), F.min("pos").alias("at"))
     return records.join(at, "file").where(F.col("pos") > F.col("at")).select("file", "pos", F.transform("header", F.trim).alias("header"), "cells")
 
 
@@ -21,7 +21,7 @@ def named_cells(promoted: DataFrame) -> DataFrame:
 def footer(records: DataFrame, label: str = "Total", last: str = "Percentage of total") -> DataFrame:
     """records with is_footer: the terminal `label` row, or the pair of it and `last`; a contact of that name elsewhere is no footer."""
     w = Window.partitionBy("file").orderBy(F.col("pos").desc())
-    name = F.col("cells")[0]
+    name = F.get("cells", F.lit(0))
     r = records.withColumns({"back": F.row_number().over(w), "end": F.first(name).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     flag = F.when(F.col("end") == last, ((F.col("back") == 1) | (F.col("back") == 2) & (name == label))).otherwise((F.col("back") == 1) & (name == label))
     return r.withColumn("is_footer", F.coalesce(flag, F.lit(False))).drop("back", "end")
