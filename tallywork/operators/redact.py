@@ -46,7 +46,8 @@ def valid(kind: Column, value: Column) -> Column:
 
 def identifier_values(documents: DataFrame) -> DataFrame:
     """(doc_id, kind, value): every match of every pattern whose check holds, found in Catalyst; overlaps are not decided here."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, (p, _) in PATTERNS.items()]))
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), named(k)) for k, (p, _) in PATTERNS.items()]))
     return documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.kind", "x.value").where(valid(F.col("kind"), F.col("value")))
 
 
