@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT, TOTAL, abn_valid, financial_year, listed, percent
+from .checks import check_thresholds
 
 FIELDS = {
     "control": "string", "status": "string", "tenant": "string", "report_date": "date", "account_id": "string", "account_code": "string", "account_name": "string", "review_group": "string", "current_value": TOTAL,
@@ -60,6 +61,7 @@ def period_comparison(pairs: DataFrame) -> DataFrame:
 
 def period_variance(pairs: DataFrame, absolute: float | str, fraction: str) -> DataFrame:
     """Year-to-date changes at or over both thresholds; the fraction is compared by multiplication, so it is exact. A prior of zero has no percentage."""
+    check_thresholds(str(absolute), fraction)
     two = _sides(pairs.where("cur is not null and pri is not null"))
     c, p, limit = F.col("cur.ytd_net"), F.col("pri.ytd_net"), F.lit(str(absolute)).cast(AMOUNT)
     change = (c - p).cast(TOTAL)
