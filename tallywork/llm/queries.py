@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .bpe import decode_documents, encode_documents
 from .embeddings import link_embeddings
 from .jaccard import jaccard_components
@@ -91,4 +92,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return {"op4_quality_rules": sql.QUALITY, "op5_url_filters": sql.URLS.replace("{rules}", rules), "op7_embedding_neardup": sql.EMBEDDINGS, "op10_ngram_jaccard": sql.JACCARD}

@@ -117,3 +117,17 @@ def test_pipeline_odd_rows(spark):
 def test_query_runs(spark, name):
     df = queries.queries()[name](spark, SF)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    out = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in out.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted(map(tuple, out.fetchall()), key=str)
