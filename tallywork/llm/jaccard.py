@@ -18,7 +18,7 @@ MEMO = 500_000
 #: An order ranks the tokens whose two low bits are its number first, by how many documents hold them, then all others by their value.
 ORDERS = (0, 1)
 #: Documents of one block of a candidate group; two blocks meet in one task.
-BLOCK = 128
+BLOCK = 256
 #: A token found in one of this many sampled documents (a SAMPLE-th of all) is ranked last, uncounted.
 OFTEN, SAMPLE = 1000, 64
 #: Tokens by which two blocks are multiplied at a time.
@@ -69,26 +69,25 @@ def prefix_pool(tokens: np.ndarray, order: int, percent: int) -> tuple[np.ndarra
 
 
 def order_groups(pools: DataFrame, order: int, name: str) -> DataFrame:
-    """(id, key, grp): documents that share prefix tokens, directly or through others, under one order; those that share none are left out.
+    """(key, grp): sets that share prefix tokens, directly or through others, under one order; those that share none are left out.
 
-    pools: (id long, key long, short int, tokens array<long>) as from prefix_pool, rows with one key alike. Rare tokens come first, by
+    pools: (key long, short int, tokens array<long>) as from prefix_pool; rows with one key are alike and count as one set in the end. Rare tokens come first, by
     the number of rows. Tokens found often in a sample of documents, which decides nothing but the order, come last and are not counted.
     """
     docs = pools.count()
     often = pools.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count()
     often = cut(often.where(F.col("count") >= max(64, docs // SAMPLE // OFTEN)).select("token"), f"{name}-often")  # at most OFTEN x tokens of a document
-    rows = pools.select("id", "key", F.explode("tokens").alias("token"))
+    rows = pools.select("key", F.explode("tokens").alias("token"))
     w = Window.partitionBy("token")
-    rare = rows.join(F.broadcast(often), "token", "left_anti").select("id", "key", "token", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
+    rare = rows.join(F.broadcast(often), "token", "left_anti").select("key", "token", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
     shared = rare.where("shared").drop("shared").unionByName(rows.join(F.broadcast(often), "token", "left_semi").withColumn("df", F.lit(1 << 40)))
     own = F.when(F.col("token").bitwiseAND(3) == order, F.struct(F.lit(0).alias("tail"), "df", "token")).otherwise(F.struct(F.lit(1).alias("tail"), F.lit(0).cast("long").alias("df"), "token"))
-    lists = shared.groupBy("id", "key").agg(F.sort_array(F.collect_list(own)).alias("seen")).join(pools.select("id", "key", "short"), ["id", "key"])
+    lists = shared.groupBy("key").agg(F.sort_array(F.collect_set(own)).alias("seen")).join(pools.select("key", "short").distinct(), "key")
     take = F.col("short") + F.size("seen")
-    prefix = cut(lists.where(take > 0).select("id", "key", F.explode(F.slice("seen", F.lit(1), take)).alias("t")).select("id", "key", F.col("t.token").alias("token")), f"{name}-prefixes")
+    prefix = cut(lists.where(take > 0).select("key", F.explode(F.slice("seen", F.lit(1), take)).alias("t")).select("key", F.col("t.token").alias("token")), f"{name}-prefixes")
     hubs = cut(prefix.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub != other").select("token", "hub"), f"{name}-hubs")
     edges = prefix.join(hubs, "token").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
-    found = cut(components(edges, f"{name}-components"), f"{name}-groups")
-    return prefix.select("id", "key").distinct().join(found.select(F.col("id").alias("key"), F.col("component").alias("grp")), "key")
+    return cut(components(edges, f"{name}-components").select(F.col("id").alias("key"), F.col("component").alias("grp")), f"{name}-groups")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -162,8 +161,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     sets = cut(rows.mapInArrow(scan, kind), "shingle-pools")
     classes = cut(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "shingle-classes")
     key = F.xxhash64("digest").alias("key")
-    groups = order_groups(sets.where("tokens is not null").select(F.col("doc_id").alias("id"), key, "short", "tokens"), ORDERS[0], "order0")
-    left = cut(groups.select("key", "grp").distinct().join(classes.select("id", "digest", key), "key").select("id", "digest", "key", "grp"), "shingle-candidates")
+    groups = order_groups(sets.where("tokens is not null").select(key, "short", "tokens"), ORDERS[0], "order0")
+    left = cut(groups.join(classes.select("id", "digest", key), "key").select("id", "digest", "key", "grp"), "shingle-candidates")
 
     def whole(ids, texts):
         got = [shingles(x, size) for x in texts]
@@ -173,8 +172,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     texts = rows.join(bounded(left.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     full = map_rows(texts, "id long, digest binary, set array<long>, short int, tokens array<long>", whole)
     full = cut(full.join(bounded(left), ["id", "digest"]).dropDuplicates(["id", "digest"]), "shingle-sets")
-    second = order_groups(full.select("id", "key", "short", "tokens"), ORDERS[1], "order1")
-    both = cut(second.select("id", "key", F.col("grp").alias("grp1")).join(full.select("id", "key", F.col("grp").alias("grp0")), ["id", "key"]), "shingle-groups")
+    second = order_groups(full.select("key", "short", "tokens"), ORDERS[1], "order1")
+    both = cut(second.select("key", F.col("grp").alias("grp1")).join(full.select("id", "key", F.col("grp").alias("grp0")), "key"), "shingle-groups")
     edges = cut(verify(both, full.select("id", "key", "set"), percent), "shingle-links")
     found = cut(components(edges, "shingle-components"), "shingle-found").select("id", "component")
     named = classes.join(found, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
