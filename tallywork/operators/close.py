@@ -126,7 +126,7 @@ def gst_sums(tb: DataFrame, classes: DataFrame, settlements: DataFrame) -> DataF
     """Per tenant and period: movements by class (credit positive for sales and tax), settlements, and the difference times ten, for exactness."""
     cls = net(tb).join(F.broadcast(classes), "account_id")  # a policy table
     by = lambda *names: F.sum(F.when(F.col("gst_class").isin(*names), F.col("current_net")).otherwise(0))
-    s = cls.groupBy("tenant", "report_date").agg((-by("sales")).alias("sales"), by("purchases").alias("purchases"), (-by("gst", "gst_collected", "gst_paid")).alias("recorded"), (-by("gst", "gst_collected")).alias("collected"), by("gst_paid").alias("paid"))
+    s = cls.groupBy("tenant", "report_date").agg((-by("taxable_sales")).alias("sales"), by("creditable_purchases").alias("purchases"), (-by("gst", "gst_collected", "gst_paid")).alias("recorded"), (-by("gst", "gst_collected")).alias("collected"), by("gst_paid").alias("paid"))
     paid = settlements.groupBy("tenant", "report_date").agg(F.sum("amount").alias("settled"))
     return s.join(paid, ["tenant", "report_date"], "left").withColumn("settled", F.coalesce("settled", F.lit(0))).withColumn("tenfold", 10 * (F.col("recorded") + F.col("settled")) - F.col("sales") + F.col("purchases"))
 

@@ -29,12 +29,15 @@ def missing_artefacts(packs: DataFrame, slots: DataFrame, sources: DataFrame) ->
     return findings(bad, F.when(F.col("size").isNull(), "MISSING_ARTEFACT").otherwise("EMPTY_ARTEFACT"), F.col("slot"), F.concat_ws(" ", "slot", F.when(F.col("size").isNull(), "is missing").otherwise("is empty")), "BLOCKED")
 
 
-def activity_statement(statements: DataFrame, postings: DataFrame, whole_dollars: bool = True) -> DataFrame:
-    """Tax payable (1A - 1B) against the control account's movement, credit positive; whole dollars may hide up to 99 cents per label. statements: (pack, label, amount)."""
-    s = statements.groupBy("pack").agg(*[F.coalesce(F.max(F.when(F.col("label") == x, F.col("amount"))), F.lit(0)).alias(n) for x, n in (("1A", "a"), ("1B", "b"))])
+def activity_statement(statements: DataFrame, postings: DataFrame, tolerance: str = "0") -> DataFrame:
+    """Tax payable (1A - 1B) against the control account's movement, credit positive; whole-dollar labels may hide up to 99 cents; a missing label is a break. statements: (pack, label, amount)."""
+    s = statements.groupBy("pack").agg(*[F.max(F.when(F.col("label") == x, F.col("amount"))).alias(n) for x, n in (("1A", "a"), ("1B", "b"))])
     m = postings.groupBy("pack").agg(F.sum(F.col("credit") - F.col("debit")).alias("m"))
     d = s.join(m, "pack", "left").fillna(0, ["m"]).withColumn("d", F.col("a") - F.col("b") - F.col("m"))
-    return findings(d.where(F.abs("d") > F.lit("0.99" if whole_dollars else "0").cast(CENT)), "GST_TIE_OUT", "activity_statement", F.concat(F.lit("differs by "), F.col("d").cast(CENT).cast("string")))
+    whole = (F.col("a") == F.floor("a")) & (F.col("b") == F.floor("b"))
+    over = (F.abs("d") > F.lit(tolerance).cast(CENT)) & ~(whole & (F.abs("d") < 1))
+    reason = F.when(F.col("d").isNull(), "label 1A or 1B is missing").otherwise(F.concat(F.lit("differs by "), F.col("d").cast(CENT).cast("string")))
+    return findings(d.where(F.col("d").isNull() | over), "TIEOUT_BREAK", F.when(F.col("d").isNull(), "activity_statement").otherwise("gst_control_gl"), reason)
 
 
 def control_accounts_missing(postings: DataFrame, tb: DataFrame) -> DataFrame:
@@ -73,8 +76,9 @@ def bank_reconciliation(banks: DataFrame, tb: DataFrame, tolerance: str = "0") -
 
 
 def tie_out(matrix: DataFrame) -> DataFrame:
-    """Tie-out rows that are not tied, and tied ones without a workpaper."""
-    code = F.when(F.col("status") != "TIED", "TIE_OUT_OPEN").when(F.coalesce("workpaper_ref", F.lit("")) == "", "TIE_OUT_NO_WORKPAPER")
+    """Tie-out rows that are unsupported or excepted, and tied ones that name no workpaper or source."""
+    bare = (F.coalesce("workpaper_ref", F.lit("")) == "") | (F.coalesce("source_file", F.lit("")) == "")
+    code = F.when((F.col("status") == "UNSUPPORTED") | (F.col("status") == "TIED") & bare, "TIEOUT_UNSUPPORTED").when(F.col("status") == "EXCEPTION", "TIEOUT_BREAK")
     return findings(matrix.withColumn("code", code).where("code is not null"), F.col("code"), "tie_out_matrix", F.col("statement_line"))
 
 
@@ -96,12 +100,11 @@ def unmapped_accounts(mapping: DataFrame, tb: DataFrame) -> DataFrame:
     return tb.where("net <> 0").join(mapping.select("pack", "account_id"), ["pack", "account_id"], "left_anti")
 
 
-def open_items(items: DataFrame, period_end: Column) -> DataFrame:
-    """Open items (pack, item_id, severity, owner, due_date, status, resolution): open and blocking, overdue, without an owner, closed without a resolution."""
-    open_ = F.col("status") == "OPEN"
-    codes = [("BLOCKING_ITEM", open_ & (F.col("severity") == "BLOCKING")), ("OVERDUE_ITEM", open_ & (F.col("due_date") < period_end)), ("NO_OWNER", open_ & (F.coalesce("owner", F.lit("")) == "")), ("NO_RESOLUTION", ~open_ & (F.coalesce("resolution", F.lit("")) == ""))]
-    rows = items.withColumn("code", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in codes]), lambda x: x.isNotNull())))
-    return findings(rows, F.col("code"), "open_items", F.col("item_id"), F.when(F.col("code") == "BLOCKING_ITEM", "BLOCKED").otherwise("NOT_READY"))
+def open_items(items: DataFrame) -> DataFrame:
+    """Open items (pack, item_id, severity, status, resolution) that block and have no resolution, and cleared ones without one."""
+    bare = F.coalesce("resolution", F.lit("")) == ""
+    code = F.when((F.col("status") == "OPEN") & (F.col("severity") == "BLOCKING") & bare, "OPEN_ITEM_BLOCKING").when((F.col("status") == "CLEARED") & bare, "OPEN_ITEM_INCOMPLETE")
+    return findings(items.withColumn("code", code).where("code is not null"), F.col("code"), "open_items", F.col("item_id"))
 
 
 def self_review(reviews: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds of contribution (fixed values of the pivot).
-KINDS = ("cash", "in_kind", "volunteer")
+KINDS = ("interest", "cash_contribution", "in_kind")
 
 
 def allocation_issues(allocations: DataFrame, ledger: DataFrame, agreements: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .derive import tb as trial_balance
 MAPPED = [("110", "Working capital"), ("600-A", "Income"), ("600-N", "Income"), ("820", "Tax")]
 PERMITTED = [("Assets", "Working capital"), ("Revenue", "Income"), ("Liabilities", "Payables")]
 EXPECTED = [("110", "debit", True), ("600-A", "credit", True), ("820", "credit", False), ("900", "nil", False), ("910", "any", True)]
-CLASSES = [("600-A", "sales"), ("600-N", "sales"), ("600-R", "sales"), ("820", "gst_collected")]
+CLASSES = [("600-A", "taxable_sales"), ("600-N", "taxable_sales"), ("600-R", "taxable_sales"), ("820", "gst_collected")]
 Q, S = {}, {}
 
 

@@ -62,12 +62,13 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 POST_SQL = "post AS (SELECT tenant || ':' || strftime(posting_date, '%Y-%m') AS pack, journal_id AS posting_id, posting_date AS date, account_id, debit, credit, debit - credit AS net, l_suppkey FROM ledger WHERE account_id = '820')"
 
 
-@query(f"""WITH {PACK_SQL}, {POST_SQL}, d AS (SELECT pack, count(*) AS n, sum(credit - debit) AS m FROM post GROUP BY pack), s AS (SELECT pack, m // 100 * 100 + CASE WHEN n % 5 = 0 THEN 300 ELSE 0 END - m AS d FROM d) SELECT pack, 'GST_TIE_OUT' AS code, 'differs by ' || CAST(CAST(d / 100 AS DECIMAL(18,2)) AS VARCHAR) AS reason FROM s WHERE abs(d) > 99""")
+@query(f"""WITH {PACK_SQL}, {POST_SQL}, d AS (SELECT pack, count(*) AS n, sum(credit - debit) AS m FROM post GROUP BY pack), s AS (SELECT pack, m // 100 * 100 + CASE WHEN n % 5 = 0 THEN 300 ELSE 0 END - m AS d FROM d) SELECT pack, 'TIEOUT_BREAK' AS code, 'differs by ' || CAST(CAST(d / 100 AS DECIMAL(18,2)) AS VARCHAR) AS reason FROM s WHERE abs(d) > 99""")
 def activity_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-dollar statements; every fifth is 3.00 out."""
     p = _postings(spark, sf_dir)
     d = p.groupBy("pack").agg(F.count("*").alias("n"), F.floor(F.sum(F.col("credit") - F.col("debit"))).alias("m"))
     s = d.select("pack", F.lit("1A").alias("label"), (F.col("m") + F.when(F.col("n") % 5 == 0, 3).otherwise(0)).cast(AMOUNT).alias("amount"))
+    s = s.unionByName(d.select("pack", F.lit("1B").alias("label"), F.lit(0).cast(AMOUNT).alias("amount")))
     return gate.activity_statement(s, p).select("pack", "code", "reason")
 
 
@@ -113,17 +114,17 @@ def bank_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = [("Receivables", "110", "debit"), ("Sales", "600-A", "credit"), ("Sales", "600-N", "credit"), ("Other", "777", "debit")]
-AMOUNTS = [("Receivables", "TIED", "W1"), ("Sales", "TIED", ""), ("Other", "OPEN", "W2"), ("Reserve", "TIED", "W3")]
+AMOUNTS = [("Receivables", "TIED", "W1"), ("Sales", "TIED", ""), ("Other", "EXCEPTION", "W2"), ("Reserve", "TIED", "W3")]
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = packs(spark, sf_dir).where("profile = 'year_end'").select("pack")
     t = pack_tb(spark, sf_dir).where("account_id = '110'").select("pack", "net")
-    m = p.crossJoin(F.broadcast(policy(spark, AMOUNTS, "statement_line string, status string, workpaper_ref string"))).join(t, "pack").withColumn("statement_amount", F.col("net"))
+    m = p.crossJoin(F.broadcast(policy(spark, AMOUNTS, "statement_line string, status string, workpaper_ref string"))).join(t, "pack").withColumns({"statement_amount": F.col("net"), "source_file": F.lit("tb.csv")})
     return m, p.crossJoin(F.broadcast(policy(spark, LINES, "statement_line string, account_id string, normal_balance string")))
 
 
-@query(f"WITH {PACK_SQL} SELECT pack, code, reason FROM packs CROSS JOIN (VALUES ('TIE_OUT_NO_WORKPAPER', 'Sales'), ('TIE_OUT_OPEN', 'Other')) t(code, reason) WHERE profile = 'year_end'")
+@query(f"WITH {PACK_SQL} SELECT pack, code, reason FROM packs CROSS JOIN (VALUES ('TIEOUT_UNSUPPORTED', 'Sales'), ('TIEOUT_BREAK', 'Other')) t(code, reason) WHERE profile = 'year_end'")
 def tie_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     return gate.tie_out(_matrix(spark, sf_dir)[0]).select("pack", "code", "reason")
@@ -145,15 +146,12 @@ def unmapped_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.unmapped_accounts(lines, t).select("pack", "account_id")
 
 
-OPEN_SQL = """i AS (SELECT o_orderpriority AS pack, CAST(o_orderkey AS VARCHAR) AS item_id, o_orderkey AS n, CAST(o_orderdate AS DATE) AS due, o_orderstatus = 'O' AS open FROM orders)"""
-
-
-@query(f"""WITH {OPEN_SQL} SELECT pack, 'BLOCKING_ITEM' AS code, item_id AS reason FROM i WHERE open AND n % 9 = 0 UNION ALL SELECT pack, 'OVERDUE_ITEM', item_id FROM i WHERE open AND due < DATE '1998-01-01' UNION ALL SELECT pack, 'NO_OWNER', item_id FROM i WHERE open AND n % 4 = 0 UNION ALL SELECT pack, 'NO_RESOLUTION', item_id FROM i WHERE NOT open AND n % 3 = 0""")
+@query("""SELECT o_orderpriority AS pack, CASE WHEN o_orderstatus = 'O' THEN 'OPEN_ITEM_BLOCKING' ELSE 'OPEN_ITEM_INCOMPLETE' END AS code, CAST(o_orderkey AS VARCHAR) AS reason FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 9 = 0 OR o_orderstatus <> 'O' AND o_orderkey % 3 = 0""")
 def open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are items, their priority the pack."""
-    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    i = o.select(F.col("o_orderpriority").alias("pack"), n.cast("string").alias("item_id"), F.when(n % 9 == 0, "BLOCKING").otherwise("MINOR").alias("severity"), F.when(n % 4 == 0, "").otherwise("x").alias("owner"), F.to_date("o_orderdate").alias("due_date"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED").alias("status"), F.when(n % 3 == 0, "").otherwise("done").alias("resolution"))
-    return gate.open_items(i, F.lit("1998-01-01").cast("date")).select("pack", "code", "reason")
+    n = F.col("o_orderkey")
+    i = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("pack"), n.cast("string").alias("item_id"), F.when(n % 9 == 0, "BLOCKING").otherwise("TRIVIAL").alias("severity"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLEARED").alias("status"), F.when(n % 3 == 0, "").otherwise("done").alias("resolution"))
+    return gate.open_items(i).select("pack", "code", "reason")
 
 
 @query("""WITH c AS (SELECT 'P' || c_custkey AS pack, c_custkey AS n FROM customer) SELECT pack, 'SELF_REVIEW_INCOMPLETE' AS code, CASE WHEN n % 6 = 0 THEN 'evidence, totals' WHEN n % 2 = 0 THEN 'totals' ELSE 'evidence' END AS reason FROM c WHERE n % 2 = 0 OR n % 3 = 0

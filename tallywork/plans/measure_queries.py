@@ -234,15 +234,15 @@ def grant_funding_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grants.funding_movement(g, r, grants.budget_lines(a, l, g, b)).select("grant_id", in_cents("opening").cast("int").alias("opening"), *[in_cents(c).alias(c) for c in ("received", "spent", "shortfall")])
 
 
-@query("""WITH c AS (SELECT 'G' || (s_suppkey % 5) AS grant_id, CASE s_suppkey % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'in_kind' ELSE 'volunteer' END AS kind, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS a FROM supplier) SELECT grant_id, CAST(sum(CASE WHEN kind = 'cash' THEN a ELSE 0 END) AS BIGINT) AS cash, CAST(sum(CASE WHEN kind = 'in_kind' THEN a ELSE 0 END) AS BIGINT) AS in_kind, CAST(sum(CASE WHEN kind = 'volunteer' THEN a ELSE 0 END) AS BIGINT) AS volunteer FROM c GROUP BY grant_id""")
+@query("""WITH c AS (SELECT 'G' || (s_suppkey % 5) AS grant_id, CASE s_suppkey % 3 WHEN 0 THEN 'interest' WHEN 1 THEN 'cash_contribution' ELSE 'in_kind' END AS kind, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS a FROM supplier) SELECT grant_id, CAST(sum(CASE WHEN kind = 'interest' THEN a ELSE 0 END) AS BIGINT) AS interest, CAST(sum(CASE WHEN kind = 'cash_contribution' THEN a ELSE 0 END) AS BIGINT) AS cash_contribution, CAST(sum(CASE WHEN kind = 'in_kind' THEN a ELSE 0 END) AS BIGINT) AS in_kind FROM c GROUP BY grant_id""")
 def grant_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A27."""
     n = F.col("s_suppkey")
-    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), n % 5).alias("grant_id"), F.when(n % 3 == 0, "cash").when(n % 3 == 1, "in_kind").otherwise("volunteer").alias("kind"), money(F.round(F.abs("s_acctbal") * 100).cast("long")).alias("amount"))
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), n % 5).alias("grant_id"), F.when(n % 3 == 0, "interest").when(n % 3 == 1, "cash_contribution").otherwise("in_kind").alias("kind"), money(F.round(F.abs("s_acctbal") * 100).cast("long")).alias("amount"))
     return grants.contributions(c).select("grant_id", *[in_cents(k).alias(k) for k in grants.KINDS])
 
 
-@query(f"""WITH {GRANT_SQL}, b AS (SELECT gid, line FROM g CROSS JOIN (SELECT DISTINCT line FROM l WHERE line <> '5-LOW')) SELECT CAST(sum(allocated) AS BIGINT) AS allocated, CAST(sum(acceptable) AS BIGINT) AS acceptable, CAST(sum(cash) AS BIGINT) AS cash, count(*) FILTER (b.gid IS NULL OR acceptable > 5000000000) AS flagged, 'REVIEW' AS status FROM bl FULL JOIN b ON bl.gid = b.gid AND bl.line = b.line""")
+@query(f"""WITH {GRANT_SQL}, b AS (SELECT gid, line FROM g CROSS JOIN (SELECT DISTINCT line FROM l WHERE line <> '5-LOW')) SELECT CAST(sum(allocated) AS BIGINT) AS allocated, CAST(sum(acceptable) AS BIGINT) AS acceptable, CAST(sum(cash) AS BIGINT) AS interest, count(*) FILTER (b.gid IS NULL OR acceptable > 5000000000) AS flagged, 'REVIEW' AS status FROM bl FULL JOIN b ON bl.gid = b.gid AND bl.line = b.line""")
 def grant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A28."""
     return grants.grant_totals(grants.budget_lines(*_grants(spark, sf_dir))).select(*[in_cents(c).alias(c) for c in ("allocated", "acceptable", "cash")], "flagged", "status")

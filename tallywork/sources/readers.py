@@ -49,7 +49,18 @@ def _c(**columns) -> dict[str, tuple]:
     return {k: v if isinstance(v, tuple) else (k, v, False) for k, v in columns.items()}
 
 
-GST = ("sales", "purchases", "export_sales", "input_taxed_sales", "capital_purchases", "gst", "gst_collected", "gst_paid", "none", "mixed")
+def heading(name: str) -> str:
+    """`gl_balance` as GLBalance."""
+    return "".join(x.upper() if x in ("id", "gst", "gl", "abn", "ytd") else x.capitalize() for x in name.split("_"))
+
+
+def _h(**columns) -> dict[str, tuple]:
+    """Columns whose headings are written together with capitals."""
+    return {heading(k): v if isinstance(v, tuple) else (k, v, False) for k, v in columns.items()}
+
+
+#: Classes of tax (fixed values).
+GST = ("taxable_sales", "creditable_purchases", "non_creditable", "gst_free", "input_taxed", "bas_excluded", "mixed", "gst", "gst_collected", "gst_paid")
 TB = Contract(
     {"ReportDate": ("report_date", iso_date, False), "Tenant": ("tenant", text, False), "Section": ("section", text, False), "AccountID": ("account_id", text, False), "AccountName": ("account_name", text, False), "AccountCode": ("account_code", optional(text), True),
      "Debit": ("debit", amount, False), "Credit": ("credit", amount, False), "YTDDebit": ("ytd_debit", amount, False), "YTDCredit": ("ytd_credit", amount, False)},
@@ -62,23 +73,23 @@ currency: Guard = lambda c: F.when(c.rlike("^[A-Z]{3}$"), c)
 #: Contracts by source name.
 CONTRACTS = {
     "trial_balance": TB,
-    "account_mapping": Contract(_c(account_id=text, review_group=text), key=("account_id",)),
-    "mapping_policy": Contract(_c(section=text, review_group=text), key=("section", "review_group")),
-    "balance_policy": Contract(_c(account_id=text, expected_balance=one_of("debit", "credit", "nil", "any"), expect_movement=yes_no), key=("account_id",)),
-    "gst_mapping": Contract(_c(account_id=text, gst_class=one_of(*GST)), key=("account_id",)),
-    "gst_settlements": Contract(_c(reference=text, amount=amount), key=("reference",)),
-    "gst_settlements_by_side": Contract(_c(reference=text, amount=amount, side=one_of("collected", "paid")), key=("reference",)),
-    "subledger": Contract(_c(tenant=text, account_id=text, subledger_balance=amount), key=("tenant", "account_id")),
-    "contacts": Contract(_c(contact_id=text, name=text, abn=("abn", optional(text), True)), key=("contact_id",)),
-    "transactions": Contract(_c(tenant=text, account_id=text, currency=currency, transaction_id=identity, date=iso_date, reference=("reference", optional(text), True), description=("description", optional(text), True), debit=money, credit=money), key=("tenant", "account_id", "transaction_id"), single=("currency",), also=(one_positive,)),
-    "decisions": Contract(_c(group=text, transaction_id=identity, decision=("decision", optional(one_of("accept", "reject")), True), note=("note", optional(text), True)), key=("transaction_id",)),
-    "open_items": Contract(_c(item_id=text, severity=one_of("BLOCKING", "MAJOR", "MINOR"), owner=("owner", optional(text), True), due_date=iso_date, status=one_of("OPEN", "CLOSED"), description=text, resolution=("resolution", optional(text), True)), key=("item_id",)),
-    "activity_statement": Contract(_c(label=one_of("1A", "1B", "GST_OPENING"), amount=amount), key=("label",)),
-    "gst_control_gl": Contract(_c(date=iso_date, account_id=text, account_name=text, debit=amount, credit=amount, description=("description", optional(text), True))),
-    "bank_rec": Contract(_c(account_id=text, statement_balance=amount, gl_balance=amount), key=("account_id",)),
-    "tie_out_matrix": Contract(_c(statement_line=text, statement_amount=amount, workpaper_ref=("workpaper_ref", optional(text), True), source_file=("source_file", optional(text), True), status=text), key=("statement_line",)),
-    "fs_mapping": Contract(_c(statement_line=text, account_id=text, normal_balance=one_of("debit", "credit")), key=("account_id",)),
-    "prior_findings": Contract(_c(finding_code=text, slot=text, status=one_of("OPEN", "CLOSED")), key=("finding_code", "slot")),
+    "account_mapping": Contract(_h(account_id=text, review_group=text), key=("account_id",)),
+    "mapping_policy": Contract(_h(section=text, review_group=text), key=("section", "review_group")),
+    "balance_policy": Contract(_h(account_id=text, expected_balance=one_of("debit", "credit", "nil", "any"), expect_movement=yes_no), key=("account_id",)),
+    "gst_mapping": Contract(_h(account_id=text, gst_class=one_of(*GST)), key=("account_id",)),
+    "gst_settlements": Contract(_h(reference=text, amount=amount), key=("reference",)),
+    "gst_settlements_by_side": Contract(_h(reference=text, amount=amount, side=one_of("collected", "paid")), key=("reference",)),
+    "subledger": Contract(_h(tenant=text, account_id=text, subledger_balance=amount), key=("tenant", "account_id")),
+    "contacts": Contract(_h(contact_id=text, name=text, abn=("abn", optional(text), True)), key=("contact_id",)),
+    "transactions": Contract(_h(tenant=text, account_id=text, currency=currency, transaction_id=identity, date=iso_date, reference=("reference", optional(text), True), description=("description", optional(text), True), debit=money, credit=money), key=("tenant", "account_id", "transaction_id"), single=("currency",), also=(one_positive,)),
+    "decisions": Contract(_h(group=text, transaction_id=identity, decision=("decision", optional(one_of("accept", "reject")), True), note=("note", optional(text), True)), key=("transaction_id",)),
+    "open_items": Contract(_h(item_id=text, severity=one_of("BLOCKING", "EXPLAIN", "TRIVIAL"), owner=("owner", optional(text), True), due_date=iso_date, status=one_of("OPEN", "CLEARED"), description=text, resolution=("resolution", optional(text), True)), key=("item_id",)),
+    "activity_statement": Contract(_h(label=one_of("1A", "1B", "GST_OPENING"), amount=amount), key=("label",)),
+    "gst_control_gl": Contract(_h(date=iso_date, account_id=text, account_name=text, debit=amount, credit=amount, description=("description", optional(text), True))),
+    "bank_rec": Contract(_h(account_id=text, statement_balance=amount, gl_balance=amount), key=("account_id",)),
+    "tie_out_matrix": Contract(_h(statement_line=text, statement_amount=amount, workpaper_ref=("workpaper_ref", optional(text), True), source_file=("source_file", optional(text), True), status=one_of("TIED", "EXCEPTION", "UNSUPPORTED")), key=("statement_line",)),
+    "fs_mapping": Contract(_h(statement_line=text, account_id=text, normal_balance=one_of("debit", "credit")), key=("account_id",)),
+    "prior_findings": Contract(_h(finding_code=text, slot=text, status=one_of("OPEN", "CLOSED")), key=("finding_code", "slot")),
     "dim_account": Contract(_c(account_code=text, account_name=text, **{"class": text}, sub_class=text, report_section=text, normal_balance=one_of("debit", "credit"), sort_order=lambda c: c.try_cast("long")), key=("account_code",)),
     "dim_entity": Contract(_c(entity_id=text, legal_name=text, abn=text, anzsic_code=text, currency=one_of("AUD"), consolidation_weight=lambda c: F.when(c.try_cast("decimal(9,4)") == 1, c.try_cast("decimal(9,4)"))), key=("entity_id",)),
     "fact_gl": Contract(_c(journal_id=text, line_number=lambda c: c.try_cast("long"), posting_date=iso_date, entity_id=text, account_code=text, debit=amount, credit=amount, amount=amount), key=("journal_id", "line_number"), also=(("AMOUNT", lambda: F.col("amount") == F.col("debit") - F.col("credit")),)),
@@ -87,7 +98,7 @@ CONTRACTS = {
     "grant_ledger": Contract(_c(ledger_id=text, date=iso_date, description=text, amount=money, cash_paid=money, evidence=("evidence", optional(text), True)), key=("ledger_id",), ordered=True),
     "grant_allocations": Contract(_c(allocation_id=text, ledger_id=text, grant_id=text, budget_line=text, amount=money, cash_allocated=money, approved=yes_no, evidence=("evidence", optional(text), True)), key=("allocation_id",), ordered=True),
     "grant_receipts": Contract(_c(receipt_id=text, grant_id=text, date=iso_date, amount=money, evidence=("evidence", optional(text), True)), key=("receipt_id",), ordered=True),
-    "grant_contributions": Contract(_c(contribution_id=text, grant_id=text, date=iso_date, kind=one_of("cash", "in_kind", "volunteer"), amount=money, evidence=("evidence", optional(text), True)), key=("contribution_id",), ordered=True),
+    "grant_contributions": Contract(_c(contribution_id=text, grant_id=text, date=iso_date, kind=one_of("interest", "cash_contribution", "in_kind"), amount=money, evidence=("evidence", optional(text), True)), key=("contribution_id",), ordered=True),
 }
 
 #: JSON documents by source name.

@@ -48,7 +48,7 @@ def test_every_contract_refuses_another_header(spark, tmp_path, name):
 
 
 def test_transactions_have_one_side(spark, tmp_path):
-    head = "tenant,account_id,currency,transaction_id,date,reference,description,debit,credit\n"
+    head = "Tenant,AccountID,Currency,TransactionID,Date,Reference,Description,Debit,Credit\n"
     path = files(tmp_path, good=head + "T,1,AUD,a.1,2026-06-30,,,1.50,0\n", both=head + "T,1,AUD,a1,2026-06-30,,,1,1\n", id=head + "T,1,AUD,-a,2026-06-30,,,1,0\n", places=head + "T,1,AUD,a,2026-06-30,,,1.001,0\n")
     accepted, refusals = readers.read_csv(spark, path, readers.CONTRACTS["transactions"])
     assert [r["debit"] for r in accepted.collect()] == [Decimal("1.50")]
