@@ -12,13 +12,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows
 
 #: Characters of text, bytes of one piece and ids that are handled without a further halving.
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 24, 65_536
-#: Pieces remembered by a Python worker, each of at most this many bytes; a full memory is emptied.
-MEMO, MEMO_BYTES = 500_000, 64
+#: Pieces remembered by a Python worker, each of at most this many characters; a full memory is emptied.
+MEMO, MEMO_CHARS = 500_000, 64
 #: Above every rank.
 NONE = 1 << 40
 
@@ -30,6 +32,9 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {b: a for a, b in self.ranks.items()}
+        self.byte = [self.ranks[bytes([x])] for x in range(256)]
+        r = self.ranks
+        self.pairs = {r[a] << 32 | r[b]: n for t, n in r.items() for i in range(1, len(t)) if (a := t[:i]) in r and (b := t[i:]) in r}
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
 
@@ -69,17 +74,17 @@ class ByteBPE:
         """Lowest rank first, leftmost among equals."""
         ranks, n = self.ranks, len(piece)
         if n <= LEAF_BYTES:
-            parts = [piece[i : i + 1] for i in range(n)]
-            pairs = [ranks.get(piece[i : i + 2], NONE) for i in range(n - 1)]
+            get, ids = self.pairs.get, [self.byte[x] for x in piece]
+            pairs = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
             while pairs and (low := min(pairs)) != NONE:
                 i = pairs.index(low)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                ids[i : i + 2] = (low,)
                 del pairs[i]
                 if i < len(pairs):
-                    pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+                    pairs[i] = get(low << 32 | ids[i + 1], NONE)
                 if i:
-                    pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
-            return [ranks[x] for x in parts]
+                    pairs[i - 1] = get(ids[i - 1] << 32 | low, NONE)
+            return ids
         right, left, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -122,30 +127,25 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self._tree(piece)
 
-    def packed(self, piece: str) -> bytes:
-        """Ids of a piece as native 32-bit integers, remembered if short."""
-        if (got := self.memo.get(piece)) is None:
-            raw = piece.encode()
-            got = array("i", self.encode_piece(raw)).tobytes()
-            if len(raw) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = got
-        return got
-
     # -- whole texts -----------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> np.ndarray:
         memo, pieces = self.memo, self.pieces(text)
-        try:
-            return np.frombuffer(b"".join([memo[x] for x in pieces]), np.int32)
-        except KeyError:
-            return np.frombuffer(b"".join(map(self.packed, pieces)), np.int32)
+        new = set(pieces).difference(memo)
+        for x in new:
+            memo[x] = array("i", self.encode_piece(x.encode())).tobytes()
+        ids = np.frombuffer(b"".join([memo[x] for x in pieces]), np.int32)
+        for x in new:
+            if len(x) > MEMO_CHARS:
+                del memo[x]
+        if len(memo) > MEMO:
+            memo.clear()
+        return ids
 
     def decode(self, ids) -> bytes:
         """Bytes of ids, concatenated up the tree; an id without a token raises KeyError."""
         if len(ids) <= LEAF_IDS:
-            return b"".join([self.tokens[x] for x in ids])
+            return b"".join(map(self.tokens.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -181,9 +181,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """encoded (doc_id, ids) with decoded binary; null ids: empty."""
 
-    def run(keys, ids):
-        bpe = codec(path, pattern)
-        return [keys, lists([np.asarray(x or [], np.int32) for x in ids]), [bpe.decode(x or []) for x in ids]]
-
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_rows(encoded.select("doc_id", "ids"), f"doc_id {kind}, ids array<int>, decoded binary", run)
+    out = T._parse_datatype_string(f"doc_id {kind}, ids array<int>, decoded binary")
+
+    def run(batches):
+        schema, bpe = to_arrow_schema(out), codec(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = [bpe.decode(x or []) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], schema=schema)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, out)
