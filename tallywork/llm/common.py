@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A table of at most this many rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Folder of a local application without a checkpoint folder.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tallywork-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tallywork-"))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
