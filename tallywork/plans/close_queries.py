@@ -225,7 +225,7 @@ def contact_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAIRS_SQL}, e AS (SELECT tenant, report_date, account_id, -pri AS opening, CASE WHEN month(report_date) = 7 THEN 0 ELSE -cur_net END AS movement, -cur AS closing FROM pairs WHERE section = 'Liabilities')
   SELECT tenant, report_date, account_id, CAST(opening AS BIGINT) AS opening, CAST(movement AS BIGINT) AS movement, CAST(closing AS BIGINT) AS closing, CAST(opening + movement - closing AS BIGINT) AS difference FROM e
-  UNION ALL SELECT tenant, report_date, NULL, sum(opening), sum(movement), sum(closing), sum(opening + movement - closing) FROM e GROUP BY tenant, report_date""")
+  UNION ALL SELECT tenant, report_date, NULL, CAST(sum(opening) AS BIGINT), CAST(sum(movement) AS BIGINT), CAST(sum(closing) AS BIGINT), CAST(sum(opening + movement - closing) AS BIGINT) FROM e GROUP BY tenant, report_date""")
 def equity_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the tax account; July's movements are missing from the schedule."""
     t = trial_balance(spark, sf_dir).where("section = 'Liabilities'")

@@ -37,7 +37,7 @@ MONTH_SQL = "CAST(date_trunc('month', posting_date) AS DATE)"
 PROFIT_SQL = f"{STAR_SQL}, g AS (SELECT entity_id, year(posting_date) AS year, sum(debit) AS d, sum(credit) AS c, sum(amount) AS n, -sum(CASE WHEN report_section = 'Revenue' THEN amount ELSE 0 END) AS r, sum(CASE WHEN report_section = 'Cost of Sales' THEN amount ELSE 0 END) AS s, sum(CASE WHEN report_section = 'Operating Expenses' THEN amount ELSE 0 END) AS o FROM star GROUP BY ALL)"
 
 
-@query(f"WITH {PROFIT_SQL} SELECT entity_id, year, CAST(d AS BIGINT) AS total_debits, CAST(c AS BIGINT) AS total_credits, CAST(n AS BIGINT) AS net_movement, CAST(r AS BIGINT) AS revenue, CAST(s AS BIGINT) AS cogs, CAST(r - s AS BIGINT) AS gross_profit, CAST(o AS BIGINT) AS operating_expenses, CAST(r - s - o AS BIGINT) AS ebitda, CAST(r - s - o AS BIGINT) AS net_profit FROM g")
+@query(f"WITH {PROFIT_SQL} SELECT entity_id, CAST(year AS INTEGER) AS year, CAST(d AS BIGINT) AS total_debits, CAST(c AS BIGINT) AS total_credits, CAST(n AS BIGINT) AS net_movement, CAST(r AS BIGINT) AS revenue, CAST(s AS BIGINT) AS cogs, CAST(r - s AS BIGINT) AS gross_profit, CAST(o AS BIGINT) AS operating_expenses, CAST(r - s - o AS BIGINT) AS ebitda, CAST(r - s - o AS BIGINT) AS net_profit FROM g")
 def profit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By entity and year."""
     m = measures.profit_measures(star(spark, sf_dir).withColumn("year", F.year("posting_date")), ["entity_id", "year"])
@@ -90,7 +90,7 @@ BANDS = [(lo, hi, name) for lo, hi, name in ((0, 2000000, "small"), (2000000, 40
 
 
 @query(f"""WITH {STAR_SQL}, t AS (SELECT entity_id, industry, year(posting_date) AS year, -sum(CASE WHEN report_section = 'Revenue' THEN amount ELSE 0 END) AS t, -sum(CASE WHEN report_section = 'Cost of Sales' THEN amount ELSE 0 END) AS x FROM star GROUP BY ALL)
-  SELECT entity_id, year, CAST(t AS BIGINT) AS turnover, CASE WHEN t > 400000000 THEN 'large' WHEN t > 200000000 THEN 'medium' WHEN t > 0 THEN 'small' END AS band, CASE WHEN t <= 0 THEN 'no benchmark' WHEN 100 * x < 95 * t THEN 'below range' WHEN 100 * x > 105 * t THEN 'above range' ELSE 'in range' END AS risk FROM t""")
+  SELECT entity_id, CAST(year AS INTEGER) AS year, CAST(t AS BIGINT) AS turnover, CASE WHEN t > 400000000 THEN 'large' WHEN t > 200000000 THEN 'medium' WHEN t > 0 THEN 'small' END AS band, CASE WHEN t <= 0 THEN 'no benchmark' WHEN 100 * x < 95 * t THEN 'below range' WHEN 100 * x > 105 * t THEN 'above range' ELSE 'in range' END AS risk FROM t""")
 def benchmark_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turnover bands and a ratio against the band's range."""
     s = star(spark, sf_dir)
@@ -103,7 +103,7 @@ def benchmark_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("entity_id", "year", in_cents("turnover").alias("turnover"), "band", measures.risk_label(ratio, F.when(F.col("band").isNotNull(), F.lit("0.95").cast("decimal(4,2)")), F.lit("1.05").cast("decimal(4,2)")).alias("risk"))
 
 
-@query(f"""WITH {STAR_SQL}, k AS (SELECT n_name FROM nation WHERE n_nationkey < 3) SELECT account_code, year(posting_date) AS year, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(sum(amount) AS BIGINT) END AS gross, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(-sum(CASE WHEN is_intercompany THEN amount ELSE 0 END) AS BIGINT) END AS eliminations
+@query(f"""WITH {STAR_SQL}, k AS (SELECT n_name FROM nation WHERE n_nationkey < 3) SELECT account_code, CAST(year(posting_date) AS INTEGER) AS year, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(sum(amount) AS BIGINT) END AS gross, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(-sum(CASE WHEN is_intercompany THEN amount ELSE 0 END) AS BIGINT) END AS eliminations
   FROM star WHERE entity_id IN (FROM k) AND NOT (account_code = '820' AND entity_id = (SELECT max(n_name) FROM k)) GROUP BY ALL""")
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group of three; one entity's tax account is left out, so that account has no group figure."""
@@ -172,7 +172,7 @@ def contribution_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAY_SQL = "p AS (SELECT o_orderpriority AS entity, year(o_orderdate) AS year, CAST(round(o_totalprice * 10) AS BIGINT) AS c, o_orderkey % 3 = 0 AS late, o_orderkey % 997 = 5 AS review FROM orders)"
 
 
-@query(f"WITH {PAY_SQL}, g AS (SELECT entity, year, sum(c * 8) AS w, sum(c) AS l, sum(CASE WHEN NOT late THEN c ELSE 0 END) AS t, sum(CASE WHEN late THEN c ELSE 0 END) AS x, count(*) AS events, count(*) FILTER (review) AS reviews FROM p GROUP BY ALL) SELECT entity, year, CAST(w AS BIGINT) AS wages, CASE WHEN reviews = 0 THEN CAST(l AS BIGINT) END AS liability, CASE WHEN reviews = 0 THEN CAST(t AS BIGINT) END AS on_time, CASE WHEN reviews = 0 THEN CAST(x AS BIGINT) END AS late, events, reviews FROM g")
+@query(f"WITH {PAY_SQL}, g AS (SELECT entity, year, sum(c * 8) AS w, sum(c) AS l, sum(CASE WHEN NOT late THEN c ELSE 0 END) AS t, sum(CASE WHEN late THEN c ELSE 0 END) AS x, count(*) AS events, count(*) FILTER (review) AS reviews FROM p GROUP BY ALL) SELECT entity, CAST(year AS INTEGER) AS year, CAST(w AS BIGINT) AS wages, CASE WHEN reviews = 0 THEN CAST(l AS BIGINT) END AS liability, CASE WHEN reviews = 0 THEN CAST(t AS BIGINT) END AS on_time, CASE WHEN reviews = 0 THEN CAST(x AS BIGINT) END AS late, events, reviews FROM g")
 def payroll_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A39, V16."""
     o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -242,7 +242,7 @@ def grant_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grants.contributions(c).select("grant_id", *[in_cents(k).alias(k) for k in grants.KINDS])
 
 
-@query(f"""WITH {GRANT_SQL}, b AS (SELECT gid, line FROM g CROSS JOIN (SELECT DISTINCT line FROM l WHERE line <> '5-LOW')) SELECT CAST(sum(allocated) AS BIGINT) AS allocated, CAST(sum(acceptable) AS BIGINT) AS acceptable, CAST(sum(cash) AS BIGINT) AS interest, count(*) FILTER (b.gid IS NULL OR acceptable > 5000000000) AS flagged, 'REVIEW' AS status FROM bl FULL JOIN b ON bl.gid = b.gid AND bl.line = b.line""")
+@query(f"""WITH {GRANT_SQL}, b AS (SELECT gid, line FROM g CROSS JOIN (SELECT DISTINCT line FROM l WHERE line <> '5-LOW')) SELECT CAST(sum(allocated) AS BIGINT) AS allocated, CAST(sum(acceptable) AS BIGINT) AS acceptable, CAST(sum(cash) AS BIGINT) AS cash, count(*) FILTER (b.gid IS NULL OR acceptable > 5000000000) AS flagged, 'REVIEW' AS status FROM bl FULL JOIN b ON bl.gid = b.gid AND bl.line = b.line""")
 def grant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A28."""
     return grants.grant_totals(grants.budget_lines(*_grants(spark, sf_dir))).select(*[in_cents(c).alias(c) for c in ("allocated", "acceptable", "cash")], "flagged", "status")
