@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.removed"))
     text = F.when(F.col("g.removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    joined = kept.alias("d").join(gone.alias("g"), (F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.__key") == F.col("g.text_key")), "left")
+    # merged at any size: the plan, and with it the text that is shuffled, doesn't change with the number of deletions
+    joined = kept.alias("d").join(gone.hint("merge").alias("g"), (F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.__key") == F.col("g.text_key")), "left")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"d.{c}").alias(c) for c in kept.columns if c != "__key"],
         F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
