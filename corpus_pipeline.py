@@ -33,8 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows that share a doc_id are one document."""
-    gone = cut(jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
+    """Of each group of near duplicates (four fifths of their five-word shingles in common, or more) the document with the smallest doc_id;
+    rows that share a doc_id are one document."""
+    gone = cut(jaccard_components(docs, percent=80, size=5).where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
 
 

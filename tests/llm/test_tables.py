@@ -1,5 +1,7 @@
 """Embeddings, pages, the pipeline and the registered queries."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,23 @@ def test_pipeline_odd_rows(spark):
         assert {r["doc_id"] for r in df.collect()} == want
 
 
+def test_pipeline_drops_near_copies_at_five_words(spark):
+    rnd, rows = random.Random(4), []
+    for i in range(80):
+        words = [f"b{i % 8}w{j}" for j in range(100 + i % 8)]
+        for at in rnd.sample(range(len(words)), rnd.randint(0, 3)):
+            words[at] = f"r{i}x{at}"
+        rows.append((i, " ".join(words), "en", "a", 9))
+    rows += [(100, " ".join(f"e{j}" for j in range(100)), "en", "a", 9), (101, " ".join(f"e{j}" if j not in (30, 60) else "changed" for j in range(100)), "en", "a", 9)]  # 86 of 106 shingles of 5 words, 92 of 104 of 3
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((r[0], r[1].split()) for r in rows)}
+    top = {i: i for i in sets}
+    for _ in sets:
+        top = {i: min(top[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).collect()}
+    assert kept == {i for i in sets if top[i] == i} and 101 not in kept
+
+
 @pytest.mark.parametrize("name", [x for x in queries.queries() if x != "pipeline"])
 def test_query_runs(spark, name):
     df = queries.queries()[name](spark, SF)
