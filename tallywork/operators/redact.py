@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import abn_valid, medicare_valid, tfn_valid
+from ..functions.columns import abn_valid, acn_valid, medicare_valid, tfn_valid
 
 #: kind -> (pattern, priority); Java, RE2 and Python read them alike.
 PATTERNS = {
@@ -24,24 +24,32 @@ PATTERNS = {
     "BSB": (r"\b\d{3}-\d{3}\b", 5),
     "PHONE": (r"\b0[23478] ?\d{4} ?\d{4}\b", 6),
 }
+#: What spans are found by: identifier_values keeps to PATTERNS, which its SQL states.
+SPANS = PATTERNS | {
+    "ACN": (r"\b\d{3} ?\d{3} ?\d{3}\b", 7),
+    "PHONE": (r"(?<!\d)(?:\(0\d\) ?\d{4} ?\d{4}|04\d{2} ?\d{3} ?\d{3}|\+61 ?(?:\(0?\d\)|\d)(?: ?\d){8}|1[38]00 ?\d{3} ?\d{3}|13 ?\d{2} ?\d{2}|0[23478] ?\d{4} ?\d{4})(?!\w)", 6),
+}
 #: What is left is a candidate if it looks like one of these.
 RESIDUAL = {
     "LONG_NUMBER": r"\b\d(?:[ -]?\d){6,}\b",
     "ACCOUNT_NUMBER": r"(?i)\baccount(?: number| no\.?)?:? \d{4,}",
-    "DATE": r"\b\d{1,2}/\d{1,2}/\d{4}\b",
-    "ADDRESS": r"\b\d{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane|Drive)\b",
+    "DATE": r"\b\d{1,2}/\d{1,2}/\d{4}\b|\b(?:0?[1-9]|[12]\d|3[01])(?:\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+|-(?:0?[1-9]|1[0-2])-)(?:19|20)\d{2}\b",
+    "ADDRESS": r"\b\d{1,4}[A-Za-z]?(?:\s+[A-ZÀ-ÖØ-Þ][-'’A-Za-zÀ-ÖØ-öø-ÿ]+){1,2}\s+(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Court|Ct|Place|Pl|Lane|Ln|Parade|Pde|Crescent|Cres|Highway|Hwy|Terrace|Tce|Close|Way|Circuit|Boulevard|Esplanade|Grove)\b",
     "PERSON": r"\b(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?\b",
     "SPLIT_NUMBER": r"\b\d{2,4}(?:[*_ ]*\n[*_ ]*\d{2,4}){1,3}\b",
-    "PLACEHOLDER": r"\b(?:CLIENT|EMAIL|ABN|TFN|MEDICARE|BSB|PHONE)_\d{2,}\b",
+    "PLACEHOLDER": r"\b(?:CLIENT|EMAIL|ABN|ACN|TFN|MEDICARE|BSB|PHONE)_\d{2,}\b",
 }
-#: Terms that follow a title but name no person (fixed values).
-STATUTORY = ("Act", "Commissioner", "Minister")
+#: Two or three capitalised words, and one of them.
+_WORD = r"[A-ZÀ-ÖØ-Þ][-'’A-Za-zÀ-ÖØ-öø-ÿ]{1,20}"
+NAME = rf"(?<![^\W_])(?<![^\W_]_){_WORD},?\s+{_WORD}(?:\s+{_WORD})?(?![^\W_])(?!_[^\W_])"
+#: Capitalised words with one of these name no person (fixed values).
+STATUTORY = "Act Regulation Schedule Division Subdivision Part Chapter Section Commissioner Minister Treasurer Commonwealth Australian Australia Board Tax Taxation Income Superannuation Court Tribunal Appeals Determination Notice Instrument Amendment".split()
 
 
 def valid(kind: Column, value: Column) -> Column:
     """Whether a value's check digits hold; kinds without any pass."""
     digits = F.translate(value, " -", "")
-    return F.when(kind == "ABN", abn_valid(digits)).when(kind == "TFN", tfn_valid(digits)).when(kind == "MEDICARE", medicare_valid(digits)).otherwise(F.lit(True))
+    return F.when(kind == "ABN", abn_valid(digits)).when(kind == "ACN", acn_valid(digits)).when(kind == "TFN", tfn_valid(digits)).when(kind == "MEDICARE", medicare_valid(digits)).otherwise(F.lit(True))
 
 
 def identifier_values(documents: DataFrame) -> DataFrame:
@@ -60,6 +68,45 @@ def normalise(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", F.pandas_udf(nfc, "string")("text"))
 
 
+def statutory(value: str) -> bool:
+    """Whether a term of STATUTORY stands in value; in any case if one of its words is in capitals."""
+    terms = rf"\b(?:{'|'.join(STATUTORY)})\b"
+    return bool(re.search(terms, value)) or any(len(w) > 1 and w.isupper() for w in re.split(r"[\s,]+", value)) and bool(re.search(terms, value, re.IGNORECASE))
+
+
+def person_names(text: str) -> list[tuple[int, int]]:
+    """Places of two or three capitalised words without a statutory term; of three with one, the pairs without. A refused window goes on at its second word."""
+    found, at, name, word = [], 0, re.compile(NAME), re.compile(_WORD)
+    while m := name.search(text, at):
+        if not statutory(m[0]):
+            found.append(m.span())
+            at = m.end()
+            continue
+        words = [w.span() for w in word.finditer(text, m.start(), m.end())]
+        pairs = [(a, d) for (a, _), (_, d) in zip(words, words[1:], strict=False) if len(words) == 3 and not statutory(text[a:d])]
+        found += pairs
+        at = m.end() if pairs else words[1][0]
+    return found
+
+
+def find_names(documents: DataFrame) -> DataFrame:
+    """Spans as of find_spans, of kind PERSON: names, and titles with one word that no name holds."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        titled = re.compile(RESIDUAL["PERSON"])
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                names = person_names(text) if text else []
+                inside = {i for a, e in names for i in range(a, e)}
+                more = [m.span() for m in titled.finditer(text or "") if not inside & set(range(*m.span())) and not statutory(m[0])]
+                rows += [(doc, "PERSON", a, e, text[a:e], text.count("\n", 0, a) + 1) for a, e in names + more]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line"])
+
+    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int")
+
+
 def find_spans(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(doc_id, kind, start, end, value, line): all matches, in characters; lines count from 1. Null texts give none."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -75,8 +122,8 @@ def find_spans(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 def structured_spans(documents: DataFrame) -> DataFrame:
     """Spans of identifiers whose checks hold, after arbitration."""
-    spans = find_spans(documents, {k: p for k, (p, _) in PATTERNS.items()}).where(valid(F.col("kind"), F.col("value")))
-    rank = F.create_map(*[F.lit(x) for k, (_, n) in PATTERNS.items() for x in (k, n)])
+    spans = find_spans(documents, {k: p for k, (p, _) in SPANS.items()}).where(valid(F.col("kind"), F.col("value")))
+    rank = F.create_map(*[F.lit(x) for k, (_, n) in SPANS.items() for x in (k, n)])
     return arbitrate(spans.withColumn("priority", rank[F.col("kind")]))
 
 
@@ -150,9 +197,8 @@ def entity_spans(documents: DataFrame, entities: list[tuple[str, str, str]]) ->
 
 def residual(documents: DataFrame) -> DataFrame:
     """Candidates that no rule replaced: long or split numbers, account numbers, dates, addresses, names; statutory terms are none. One per value and line."""
-    c = find_spans(documents, {k: p for k, p in RESIDUAL.items() if k != "PLACEHOLDER"})
-    statutory = F.col("value").rlike(rf"\b({'|'.join(STATUTORY)})$")
-    return once_a_line(c.where(~((F.col("kind") == "PERSON") & statutory)))
+    c = find_spans(documents, {k: p for k, p in RESIDUAL.items() if k not in ("PLACEHOLDER", "PERSON")})
+    return once_a_line(c.unionByName(find_names(documents)))
 
 
 def carried_placeholders(documents: DataFrame) -> DataFrame:

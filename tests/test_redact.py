@@ -61,3 +61,14 @@ def test_entity_map(spark):
 def test_normalise(spark):
     row = redact.normalise(spark.createDataFrame([(1, "é\r\nx\ry"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["text"] for r in row] == ["é\nx\ny", None]
+
+
+def test_forms_of_the_reference(spark):
+    rows = [(1, "Jane Citizen came"), (2, "born 3 June 1980"), (3, "lives at 12 Smith Court"), (4, "on 3-6-1980"), (5, "the Income Tax Assessment Act"), (6, "INCOME Tax ruling"), (7, "Act Jane Citizen"), (8, "at 7b St Kilda Rd"), (9, "ask Mr. Smith"), (10, "no name here")]
+    found = redact.residual(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["kind"], r["value"]) for r in found.where("doc_id <> 8 or kind = 'ADDRESS'").collect()} == {
+        (1, "PERSON", "Jane Citizen"), (2, "DATE", "3 June 1980"), (3, "ADDRESS", "12 Smith Court"), (4, "DATE", "3-6-1980"), (7, "PERSON", "Jane Citizen"), (8, "ADDRESS", "7b St Kilda Rd"), (9, "PERSON", "Mr. Smith"),
+    }
+    rows = [(1, "call (02) 1234 5678"), (2, "0412 345 678"), (3, "+61 2 1234 5678"), (4, "1300 123 456"), (5, "13 12 34"), (6, "ACN 004 085 616")]
+    spans = redact.structured_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["kind"], r["value"]) for r in spans.collect()} == {(1, "PHONE", "(02) 1234 5678"), (2, "PHONE", "0412 345 678"), (3, "PHONE", "+61 2 1234 5678"), (4, "PHONE", "1300 123 456"), (5, "PHONE", "13 12 34"), (6, "ACN", "004 085 616")}
