@@ -61,6 +61,12 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query()
+def replacement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements of all kinds, those of the entity map too."""
+    return redact.redact(documents(spark, sf_dir), ENTITIES)[2]
+
+
 @query()
 def residual_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What halts a document after replacement."""

@@ -1,5 +1,7 @@
 """Pseudonymisation on planted identifiers."""
 
+import re
+
 import pytest
 
 from tallywork.operators import redact
@@ -72,3 +74,25 @@ def test_forms_of_the_reference(spark):
     rows = [(1, "call (02) 1234 5678"), (2, "0412 345 678"), (3, "+61 2 1234 5678"), (4, "1300 123 456"), (5, "13 12 34"), (6, "ACN 004 085 616")]
     spans = redact.structured_spans(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r["doc_id"], r["kind"], r["value"]) for r in spans.collect()} == {(1, "PHONE", "(02) 1234 5678"), (2, "PHONE", "0412 345 678"), (3, "PHONE", "+61 2 1234 5678"), (4, "PHONE", "1300 123 456"), (5, "PHONE", "13 12 34"), (6, "ACN", "004 085 616")}
+
+
+def test_counts_of_all_kinds(spark):
+    from collections import Counter
+
+    from tallywork.plans import queries, text_queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in text_queries.documents(spark, sf).collect()}
+    spans, want = {}, Counter()
+    for r in redact.placeholders(redact.structured_spans(text_queries.documents(spark, sf))).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["placeholder"]))
+        want[(r["doc_id"], r["kind"])] += 1
+    names = sorted((v for v, _, _ in text_queries.ENTITIES), key=lambda v: (-len(v), v))
+    entity = re.compile("|".join(rf"(?<!\w){'(?:[*_`]|\\s)+'.join(v.split())}(?!\w)" for v in names), re.IGNORECASE)
+    for doc, text in texts.items():
+        for a, e, p in sorted(spans.get(doc, []), reverse=True):
+            text = text[:a] + p + text[e:]
+        if n := len(entity.findall(text)):
+            want[(doc, "CLIENT")] += n
+    got = queries()["replacement_counts"](spark, sf).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["kind"]): r["n"] for r in got} == want and {"CLIENT", "EMAIL"} <= {k for _, k in want}
