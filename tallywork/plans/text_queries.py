@@ -107,11 +107,21 @@ def verify_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(left, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_left"))
 
 
-@query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, greatest(ytd, 0) AS ytd_debit, greatest(-ytd, 0) AS ytd_credit FROM tb WHERE month(month) = 6")
-def trial_balance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """June's trial balances written as canonical CSV, a folder each, and read again under guards."""
+def _round_trip(spark: SparkSession, balances: DataFrame) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywork-")
     path = f"{base}/tb-{uuid.uuid4().hex}"
-    writers.export_trial_balance(tb(spark, sf_dir).where("month(report_date) = 6"), path)
+    writers.export_trial_balance(balances, path)
     accepted, _ = readers.read_csv(spark, f"{path}/*", readers.TB)
     return accepted.select("tenant", "report_date", "account_id", in_cents("ytd_debit").alias("ytd_debit"), in_cents("ytd_credit").alias("ytd_credit"))
+
+
+@query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, greatest(ytd, 0) AS ytd_debit, greatest(-ytd, 0) AS ytd_credit FROM tb WHERE month(month) = 6")
+def trial_balance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """June's trial balances written as canonical CSV, a folder each, and read again under guards."""
+    return _round_trip(spark, tb(spark, sf_dir).where("month(report_date) = 6"))
+
+
+@query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, greatest(ytd, 0) AS ytd_debit, greatest(-ytd, 0) AS ytd_credit FROM tb")
+def all_trial_balance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every tenant and date."""
+    return _round_trip(spark, tb(spark, sf_dir))

@@ -32,14 +32,15 @@ HEADINGS = {"report_date": "ReportDate", "tenant": "Tenant", "section": "Section
 
 
 def export_trial_balance(tb: DataFrame, path: str) -> None:
-    """One folder per tenant and date of canonical CSV; totals are proved first, and a difference stops the export."""
+    """One folder per tenant and date of canonical CSV, with a byte order mark and CRLF; totals are proved first, and a difference stops the export."""
     bad = integrity(tb).limit(1).count()
     if bad:
         raise ValueError("debits and credits differ; nothing was exported")
     t = tb.select(*[F.col(c).alias(h) for c, h in HEADINGS.items()], F.concat_ws("_", "tenant", F.date_format("report_date", "yyyyMMdd")).alias("batch"))
     text = [(money_text(h) if h in ("Debit", "Credit", "YTDDebit", "YTDCredit") else formula_safe(h) if h != "ReportDate" else F.date_format(h, "yyyy-MM-dd")).alias(h) for h in HEADINGS.values()]
+    text[0] = text[0].alias("\ufeff" + next(iter(HEADINGS.values())))  # each file's header comes first, so its first heading carries the mark
     # a batch's rows meet in one task, so that a batch is one file: a trial balance has an account per row
-    t.select(*text, "batch").repartition("batch").sortWithinPartitions("batch", "AccountID").write.mode("overwrite").partitionBy("batch").option("header", True).option("emptyValue", "").csv(path)
+    t.select(*text, "batch").repartition("batch").sortWithinPartitions("batch", "AccountID").write.mode("overwrite").partitionBy("batch").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
 def publish(tb: DataFrame, found: DataFrame, refusals: DataFrame, queries: DataFrame, path: str) -> None:

@@ -111,3 +111,14 @@ def test_export_and_read_again(spark, tmp_path):
         writers.export_trial_balance(tb.where("account_id = '100'"), f"{tmp_path}/bad")
     writers.write_pack({"exceptions": tb}, f"{tmp_path}/pack")
     assert spark.read.parquet(f"{tmp_path}/pack/exceptions").count() == 2
+
+
+def test_trial_balance_files_have_mark_and_crlf(spark, tmp_path):
+    row = (date(2026, 6, 30), "T1", "Assets", "100", "Bank", "090", "0", "0", "0", "0")
+    tb = spark.createDataFrame([row], "report_date date, tenant string, section string, account_id string, account_name string, account_code string, debit string, credit string, ytd_debit string, ytd_credit string")
+    writers.export_trial_balance(tb.withColumns({c: F.col(c).cast("decimal(28,10)") for c in ("debit", "credit", "ytd_debit", "ytd_credit")}), f"{tmp_path}/out")
+    (file,) = (tmp_path / "out").glob("*/*.csv")
+    raw = file.read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfReportDate,Tenant,") and raw.count(b"\r\n") == raw.count(b"\n") == 2
+    accepted, refusals = readers.read_csv(spark, f"{tmp_path}/out/*", readers.TB)
+    assert accepted.count() == 1 and refusals.count() == 0
