@@ -18,8 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_rows
 
 #: Characters of text, bytes of one piece and ids that are handled without a further halving.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 24, 65_536
-#: Pieces remembered by a Python worker, each of at most this many characters; a full memory is emptied.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 1024, 65_536
+#: Bytes of a piece up to which pairs are searched from one end to the other; a longer one keeps them in a heap.
+SHORT = 24
+#: Chunks remembered by a Python worker, each of at most this many characters; a full memory is emptied.
 MEMO, MEMO_CHARS = 500_000, 64
 #: Above every rank.
 NONE = 1 << 40
@@ -35,13 +37,29 @@ class ByteBPE:
         self.byte = [self.ranks[bytes([x])] for x in range(256)]
         r = self.ranks
         self.pairs = {r[a] << 32 | r[b]: n for t, n in r.items() for i in range(1, len(t)) if (a := t[:i]) in r and (b := t[i:]) in r}
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_keys, self.pair_ranks = keys, np.array([self.pairs[x] for x in keys.tolist()], np.int64)
         self.find = regex.compile(pattern).findall
+        self.space, self.apart = {"", *regex.findall(r"\s", "".join(map(chr, range(0x3001))))}, regex.compile(r"(?= \S)").split  # no white space is above U+3000
         self.memo: dict[str, bytes] = {}
+        sizes = [len(self.tokens.get(n, b"")) for n in range(max(self.tokens) + 1)]
+        self.known = np.array([n in self.tokens for n in range(len(sizes))])
+        self.lengths, self.starts = np.array(sizes, np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(n, b"") for n in range(len(sizes))), np.uint8)
 
-    # -- pieces of a text ------------------------------------------------------------------------------------------
+    # -- chunks of a text, pieces of a chunk -----------------------------------------------------------------------
+
+    def chunks(self, text: str) -> list[str]:
+        """text cut before every space that another character than white space follows. The pattern ends a match there whatever stands on
+        either side, so the joined encodings of neighbouring chunks are the encoding of both: their seam needs no window."""
+        return self.apart(text)
+
+    def _unsafe(self, chunks: set[str]) -> set[str]:
+        """Those of chunks, got by cutting before every space, that may lie inside a longer one."""
+        return {x for x in chunks if x[:1] == " " and x[1:2] in self.space}
 
     def pieces(self, text: str) -> list[str]:
-        """The matches of the pattern in text, from its halves."""
+        """The matches of the pattern in a chunk (or any text), from its halves."""
         if len(text) <= LEAF_CHARS:
             return self.find(text)
         half = len(text) // 2
@@ -73,7 +91,7 @@ class ByteBPE:
     def _merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals."""
         ranks, n = self.ranks, len(piece)
-        if n <= LEAF_BYTES:
+        if n <= SHORT:
             get, ids = self.pairs.get, [self.byte[x] for x in piece]
             pairs = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
             while pairs and (low := min(pairs)) != NONE:
@@ -113,7 +131,7 @@ class ByteBPE:
         return self._join(self._tree(piece[:half]), self._tree(piece[half:]))
 
     def _join(self, a: list[int], b: list[int]) -> list[int]:
-        """Re-encode k ids on either side, doubling k until the outermost ones come out unchanged: ids are then neighbours that were
+        """Re-encode k ids on either side, k four times as many until the outermost ones come out unchanged: ids are then neighbours that were
         encoded side by side before, and a sequence whose neighbours all encode to themselves is the encoding of its bytes."""
         k = 2
         while True:
@@ -121,33 +139,99 @@ class ByteBPE:
             window = self._merge(b"".join(self.tokens[x] for x in a[i:] + b[:j]))
             if (i == 0 or window[0] == a[i]) and (j == len(b) or window[-1] == b[j - 1]):
                 return a[:i] + window + b[j:]
-            k *= 2
+            k *= 4
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self._tree(piece)
 
+    def _merge_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids, as bytes, of pieces of at most SHORT bytes: as _merge, one merge in every piece at a time."""
+        found: dict[bytes, bytes] = {}
+        by_size = sorted(pieces, key=len)
+        for low in range(0, len(by_size), 8192):
+            part = by_size[low : low + 8192]
+            n, width = len(part), max(len(part[-1]), 2)
+            raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in part), np.uint8).reshape(n, width)
+            sizes = np.array([len(x) for x in part])
+            ids = np.where(np.arange(width) < sizes[:, None], np.array(self.byte, np.int64)[raw], -1)
+            ids = np.concatenate([ids, np.full((n, 1), -1)], axis=1)
+            ranks = self._rank_pairs(ids[:, :-1], ids[:, 1:])
+            rows, cols = np.arange(n), np.arange(width)
+            out_ids, out_sizes = np.full((n, width), -1, np.int64), sizes.copy()
+            while len(rows):
+                at = np.argmin(ranks, axis=1)
+                lowest = ranks[np.arange(len(rows)), at]
+                on = lowest < NONE
+                if not on.all():
+                    out_ids[rows[~on]] = ids[~on, :width]
+                    rows, ids, ranks, at, lowest = rows[on], ids[on], ranks[on], at[on], lowest[on]
+                    if not len(rows):
+                        break
+                k = np.arange(len(rows))
+                ids[k, at] = lowest
+                ids[:, :width] = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
+                ranks[:, :-1] = np.take_along_axis(ranks, cols[:-1] + (cols[:-1] >= at[:, None]), axis=1)
+                ranks[:, -1] = NONE
+                ranks[k, at] = self._rank_pairs(lowest, ids[k, at + 1])
+                left = at > 0
+                ranks[k[left], at[left] - 1] = self._rank_pairs(ids[k[left], at[left] - 1], lowest[left])
+                out_sizes[rows] -= 1
+            flat, ends = out_ids[np.arange(width) < out_sizes[:, None]].astype(np.int32).tobytes(), np.cumsum(out_sizes) * 4
+            for x, start, end in zip(part, (ends - 4 * out_sizes).tolist(), ends.tolist(), strict=True):
+                found[x] = flat[start:end]
+        return found
+
+    def _rank_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where(b < 0, -1, a << 32 | b)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
     # -- whole texts -----------------------------------------------------------------------------------------------
 
-    def encode(self, text: str) -> np.ndarray:
-        memo, pieces = self.memo, self.pieces(text)
-        new = set(pieces).difference(memo)
-        for x in new:
-            memo[x] = array("i", self.encode_piece(x.encode())).tobytes()
-        ids = np.frombuffer(b"".join([memo[x] for x in pieces]), np.int32)
-        for x in new:
-            if len(x) > MEMO_CHARS:
-                del memo[x]
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text: its chunks' ids, in order. A new chunk's pieces are encoded once for all texts."""
+        memo = self.memo
+        split = [self.chunks(x) if "\0" in x else x.replace(" ", "\0 ").split("\0") for x in texts]
+        new = set().union(*split).difference(memo)
+        doubtful = self._unsafe(new)
+        if doubtful:
+            for n, chunks in enumerate(split):
+                if not doubtful.isdisjoint(chunks):
+                    split[n] = self.chunks(texts[n])
+            new = set().union(*split).difference(memo)
+        pieces = {x: [p.encode() for p in self.pieces(x)] for x in new}
+        ids = {p: b"" for ps in pieces.values() for p in ps}
+        short = [p for p in ids if len(p) <= SHORT and p not in self.ranks]
+        ids |= self._merge_many(short) if len(short) > 64 else {p: array("i", self._merge(p)).tobytes() for p in short}
+        for p, x in ids.items():
+            if not x:
+                ids[p] = array("i", self.encode_piece(p)).tobytes()
+        for x, ps in pieces.items():
+            memo[x] = b"".join([ids[p] for p in ps])
+        out = [np.frombuffer(b"".join([memo[x] for x in chunks]), np.int32) for chunks in split]
+        for x in {x for x in new if len(x) > MEMO_CHARS} | self._unsafe(new):  # what is remembered is taken for a whole chunk
+            del memo[x]
         if len(memo) > MEMO:
             memo.clear()
-        return ids
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> bytes:
         """Bytes of ids, concatenated up the tree; an id without a token raises KeyError."""
-        if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        ids = np.asarray(ids, np.int64)
+        if len(ids) > LEAF_IDS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.known) and self.known[ids].all()):
+            raise KeyError(f"ids without a token among {len(ids)}")
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.bytes[at].tobytes()
 
 
 @lru_cache(2)
@@ -163,19 +247,21 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): each whole text's ids, each match of the pattern by itself, without special tokens.
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) and, if asked for, decoded binary, the ids' bytes: each whole text's ids, each match of the pattern by
+    itself, without special tokens.
 
-    Null or empty text: no ids. A repeated row gives a repeated row; other columns are ignored, whatever their names.
-    A map without a shuffle: a task holds one slice of texts at a time.
+    Null or empty text: no ids. A repeated row gives a repeated row; other columns are ignored, whatever their names; an empty table gives
+    no rows. A map without a shuffle: a task holds one slice of texts at a time, and a very long text whole.
     """
 
     def run(keys, texts):
         bpe = codec(path, pattern)
-        return [keys, lists([bpe.encode(x or "") for x in texts])]
+        ids = bpe.encode_many([x or "" for x in texts])
+        return [keys, lists(ids), *([pa.array([bpe.decode(x) for x in ids], pa.binary())] if decoded else [])]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, ids array<int>", run)
+    return map_rows(docs.select(F.col(id_col), F.col(text_col)), f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded, run)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -189,7 +275,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [bpe.decode(x or []) for x in part.column(1).to_pylist()]
+                ids, valid = part.column(1), part.column(1).is_valid().to_pylist()
+                texts = [bpe.decode(ids[n].values.to_numpy() if ok else []) for n, ok in enumerate(valid)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, out)

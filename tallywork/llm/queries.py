@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .bpe import decode_documents, encode_documents
+from .bpe import encode_documents
 from .embeddings import link_embeddings
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = encode_documents(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
