@@ -11,15 +11,19 @@ from .common import bounded, cut, map_rows
 
 #: White space that ends a word, and the symbols that count.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Rates in thousandths of a word or line that are sketched, with the least upper cutoff: below it no document fails, however even its
-#: group is. chars is the mean word's length in thousandths of a character.
-FLOORS = {"symbols": 250, "repeats": 400, "dup_lines": 400, "chars": 12_000}
+#: Rates in thousandths of a word or line, each with the percentage of documents whose quantile shows the group's spread, and how many
+#: times that spread (upper quantile less median) a document may lie above the median. A quartile isn't moved by junk in up to a quarter of
+#: the documents; rates that are 0 in almost all clean documents show their spread only near the end. chars: the mean word's length in
+#: thousandths of a character.
+RULES = {"symbols": (75, 8), "repeats": (98, 4), "dup_lines": (98, 4), "chars": (75, 8)}
+#: The least spread, in thousandths: a group in which all are even.
+LEAST_SPREAD = 5
+#: A group's quantiles are averaged with its language's, which count as so many documents, and a language's with the corpus's.
+SHRINK = 50
+#: A cutoff is at most so many times the language's, and a language's so many times the corpus's: a source of junk doesn't excuse itself.
+BOUND = 2
 #: Significant bits of a sketch's buckets: a quantile is low by one part in 2 ** (BITS - 1) at most.
 BITS = 7
-#: A cutoff is the median plus SPREAD times the distance from the median to the upper quartile.
-SPREAD = 8
-#: Groups below this size take the cutoffs of their language.
-LEAST_GROUP = 50
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -68,38 +72,59 @@ def bucket(x: F.Column) -> F.Column:
     return F.expr("1").cast("long") * x - F.pmod(x, F.pow(F.lit(2.0), shift).cast("long"))
 
 
+def base_failed(alias: str = "") -> F.Column:
+    n_words, n_repeats = F.col(f"{alias}n_words"), F.col(f"{alias}n_repeat_words")
+    return (n_words < 50) | (100 * n_repeats > 50 * n_words)
+
+
+def per_rate(part: int) -> F.Column:
+    """RULES' figure number `part` of the column rate."""
+    return F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[part])])[F.col("rate")]
+
+
 def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Upper cutoffs per group of `by`, a column for each rate, from sketches: counts per bucket, which merge by addition in any order.
+    """Upper cutoffs per group of `by`, a column max_* for each rate, and docs, the group's documents, from sketches: counts per bucket,
+    which merge by addition in any order.
 
-    The sketch is built once per group and added up for the group's language (the first of `by`), whose cutoffs serve small groups.
-    Documents under 50 words aren't sketched; a group without longer ones is not in the result.
+    The sketch is built once per group and added up for the language (the first of `by`) and for the corpus. A cutoff is the median plus
+    RULES' multiple of the spread, both from the group's quantiles shrunk towards its language's (and the language's towards the corpus's)
+    by their numbers of documents, so that there is no size at which a group changes sides; BOUND holds it from above.
+    Documents that fail the base rules aren't sketched; a group without others is not in the result.
     """
     r = rates()
-    long = measured.where("n_words >= 50").select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("x")) for k, v in r.items()])).alias("s"))
-    sketch = cut(long.groupBy(*by, F.col("s.rate").alias("rate"), bucket(F.col("s.x")).alias("b")).agg(F.count("*").alias("n")), "quality-sketch")
+    sound = measured.where(~base_failed()).select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("x")) for k, v in r.items()])).alias("s"))
+    sketch = cut(sound.groupBy(*by, F.col("s.rate").alias("rate"), bucket(F.col("s.x")).alias("b")).agg(F.count("*").alias("n")), "quality-sketch")
 
-    def cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    def quantiles(keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys, "rate")
-        ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-        q = ranked.groupBy(*keys, "rate").agg(
-            F.min(F.when(F.expr("2 * upto >= `all`"), F.col("b"))).alias("mid"), F.min(F.when(F.expr("4 * upto >= 3 * `all`"), F.col("b"))).alias("high"), F.max("all").alias("docs")
-        )
-        floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
-        q = q.withColumn("cutoff", F.greatest(F.col("mid") + SPREAD * (F.col("high") - F.col("mid")), floor[F.col("rate")].cast("long")))
-        return q.groupBy(*keys).agg(*[F.max(F.when(F.col("rate") == k, F.col("cutoff"))).alias(f"max_{k}") for k in r], F.max("docs").alias("docs"))
+        counts = sketch.groupBy(*keys, "rate", "b").agg(F.sum("n").alias("n"))
+        ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("docs", F.sum("n").over(w))
+        reached = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("docs"), F.col("b")))
+        return ranked.groupBy(*keys, "rate").agg(reached(F.lit(50)).alias("mid"), reached(per_rate(0)).alias("high"), F.max("docs").alias("docs"))
+
+    def shrunk(part: str, own: str, wide: str) -> F.Column:
+        return F.expr(f"({own}.docs * {own}.{part} + {SHRINK} * {wide}.{part}) div ({own}.docs + {SHRINK})").alias(part)
+
+    def cutoff() -> F.Column:
+        return F.col("mid") + per_rate(1) * F.greatest(F.col("high") - F.col("mid"), F.lit(LEAST_SPREAD))
 
-    own = cutoffs(sketch, list(by)).alias("o")
-    lang = cutoffs(sketch.groupBy(by[0], "rate", "b").agg(F.sum("n").alias("n")), [by[0]]).alias("l")
-    both = own.join(lang, F.col(f"o.{by[0]}").eqNullSafe(F.col(f"l.{by[0]}")), "left")
-    return both.select(*[F.col(f"o.{c}").alias(c) for c in by], *[F.when(F.col("o.docs") >= LEAST_GROUP, F.col(f"o.max_{k}")).otherwise(F.col(f"l.max_{k}")).alias(f"max_{k}") for k in r])
+    corpus = quantiles([]).withColumn("cutoff", cutoff()).alias("c")
+    lang = quantiles([by[0]]).alias("l").join(F.broadcast(corpus), F.col("l.rate") == F.col("c.rate"))  # the corpus has a row for each rate
+    lang = lang.select(F.col(f"l.{by[0]}").alias("__lang"), "l.rate", shrunk("mid", "l", "c"), shrunk("high", "l", "c"), (BOUND * F.col("c.cutoff")).alias("most"))
+    lang = lang.withColumn("cutoff", F.least(cutoff(), "most")).alias("l")
+    own = quantiles(list(by)).alias("o").join(lang, F.col(f"o.{by[0]}").eqNullSafe(F.col("l.__lang")) & (F.col("o.rate") == F.col("l.rate")))
+    own = own.select(*[F.col(f"o.{c}").alias(c) for c in by], "o.rate", "o.docs", shrunk("mid", "o", "l"), shrunk("high", "o", "l"), (BOUND * F.col("l.cutoff")).alias("most"))
+    own = own.withColumn("cutoff", F.least(cutoff(), "most"))
+    return own.groupBy(*by).agg(*[F.max(F.when(F.col("rate") == k, F.col("cutoff"))).alias(f"max_{k}") for k in r], F.max("docs").alias("docs"))
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(doc_id, *by, FEATURES, base_failed, kept): whole texts judged by the base rules, then by their group's cutoffs.
 
     base_failed: under 50 words, or over half of the words stand in 3-word windows that the text repeats. kept: false if base_failed, or if
-    a rate exceeds the cutoff of its language and source (small groups: of its language). Null and empty texts fail the base. Null
-    languages and sources are groups of their own. Every row is returned once, repeated rows too; an empty table gives none.
+    a rate exceeds the cutoff of its language and source. Null and empty texts fail the base. Null languages and sources are groups of
+    their own. Every row is returned once, repeated rows too; an empty table gives none. Other columns are ignored, whatever their names.
+    A very long text is measured whole by one task, in time and memory in proportion to it.
     Features are written once and read for both passes; the cutoffs join by broadcast if they are few, else by a shuffle.
     """
     measured = cut(measure_documents(docs, id_col, text_col, by), "quality-features")
@@ -114,9 +139,9 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def verdict() -> tuple[F.Column, F.Column]:
     """(base_failed, kept) over measured rows m joined to cutoffs t."""
-    base = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    base = base_failed("m.")
     over = F.lit(False)
-    for k in FLOORS:
+    for k in RULES:
         over = over | F.coalesce(F.col(f"m.rate_{k}") > F.col(f"t.max_{k}"), F.lit(False))
     return base, ~base & ~over
 

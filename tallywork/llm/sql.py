@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BITS, FLOORS, LEAST_GROUP, SPREAD
+from .quality import BITS, BOUND, LEAST_SPREAD, RULES, SHRINK
 from .urls import LOWER, UPPER
 
 WORDS = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -30,8 +30,20 @@ t AS (SELECT id, min(top) AS top FROM c GROUP BY id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, top AS component_id FROM w JOIN t ON t.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
 _BUCKET = f"x - x % CAST(pow(2, greatest(length(bin(x)) - {BITS}, 0)) AS BIGINT)"
-_FLOOR = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items()) + " END"
-_CUT = f"greatest(min(b) FILTER (2 * upto >= al) + {SPREAD} * (min(b) FILTER (4 * upto >= 3 * al) - min(b) FILTER (2 * upto >= al)), max({_FLOOR}))"
+_PERCENT, _TIMES = ("CASE rate " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in RULES.items()) + " END" for i in (0, 1))
+
+
+def _quantiles(keys: str) -> str:
+    """mid, high and docs of each rate by keys (a list of columns that ends with a comma, or nothing)."""
+    ranked = f"SELECT {keys} rate, b, sum(sum(n)) OVER (PARTITION BY {keys} rate ORDER BY b) AS upto, sum(sum(n)) OVER (PARTITION BY {keys} rate) AS al FROM b GROUP BY {keys} rate, b"
+    return f"SELECT {keys} rate, min(b) FILTER (100 * upto >= 50 * al) AS mid, min(b) FILTER (100 * upto >= {_PERCENT} * al) AS high, max(al) AS docs FROM ({ranked}) GROUP BY {keys} rate"
+
+
+def _shrunk(part: str, own: str, wide: str) -> str:
+    return f"({own}.docs * {own}.{part} + {SHRINK} * {wide}.{part}) // ({own}.docs + {SHRINK}) AS {part}"
+
+
+_CUT = f"mid + ({_TIMES}) * greatest(high - mid, {LEAST_SPREAD})"
 
 QUALITY = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
 ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
@@ -39,9 +51,10 @@ g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(r
 d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), rp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM d) GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(rp.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rp USING (doc_id)),
 r AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * word_chars // greatest(n_words, 1) AS chars FROM m),
-x AS (SELECT doc_id, lang, source, 'symbols' AS rate, symbols AS x, n_words FROM r UNION ALL SELECT doc_id, lang, source, 'repeats', repeats, n_words FROM r UNION ALL SELECT doc_id, lang, source, 'dup_lines', dup_lines, n_words FROM r UNION ALL SELECT doc_id, lang, source, 'chars', chars, n_words FROM r),
-b AS (SELECT lang, source, rate, {_BUCKET} AS b, count(*) AS n FROM x WHERE n_words >= 50 GROUP BY ALL),
-o AS (SELECT lang, source, rate, {_CUT} AS cut, max(al) AS al FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, rate) AS al FROM b) GROUP BY lang, source, rate),
-l AS (SELECT lang, rate, {_CUT} AS cut FROM (SELECT lang, rate, b, sum(sum(n)) OVER (PARTITION BY lang, rate ORDER BY b) AS upto, sum(sum(n)) OVER (PARTITION BY lang, rate) AS al FROM b GROUP BY lang, rate, b) GROUP BY lang, rate),
-k AS (SELECT doc_id, bool_or(x > CASE WHEN o.al >= {LEAST_GROUP} THEN o.cut ELSE l.cut END) AS bad FROM x LEFT JOIN o ON o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source AND o.rate = x.rate LEFT JOIN l ON l.lang IS NOT DISTINCT FROM x.lang AND l.rate = x.rate GROUP BY doc_id)
+x AS (SELECT doc_id, lang, source, 'symbols' AS rate, symbols AS x, n_words, n_repeat_words FROM r UNION ALL SELECT doc_id, lang, source, 'repeats', repeats, n_words, n_repeat_words FROM r UNION ALL SELECT doc_id, lang, source, 'dup_lines', dup_lines, n_words, n_repeat_words FROM r UNION ALL SELECT doc_id, lang, source, 'chars', chars, n_words, n_repeat_words FROM r),
+b AS (SELECT lang, source, rate, {_BUCKET} AS b, count(*) AS n FROM x WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
+c AS (SELECT *, {_CUT} AS cut FROM ({_quantiles("")})),
+l0 AS ({_quantiles("lang,")}), l AS (SELECT *, least({_CUT}, most) AS cut FROM (SELECT l0.lang, l0.rate, {_shrunk("mid", "l0", "c")}, {_shrunk("high", "l0", "c")}, {BOUND} * c.cut AS most FROM l0 JOIN c ON c.rate = l0.rate)),
+o0 AS ({_quantiles("lang, source,")}), o AS (SELECT *, least({_CUT}, most) AS cut FROM (SELECT o0.lang, o0.source, o0.rate, {_shrunk("mid", "o0", "l")}, {_shrunk("high", "o0", "l")}, {BOUND} * l.cut AS most FROM o0 JOIN l ON l.lang IS NOT DISTINCT FROM o0.lang AND l.rate = o0.rate)),
+k AS (SELECT doc_id, bool_or(x > o.cut) AS bad FROM x LEFT JOIN o ON o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source AND o.rate = x.rate GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(bad, false) AS kept FROM m LEFT JOIN k USING (doc_id)"""
