@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Windows that are open at once at most; beyond it all are poured together and cut anew, which leaves one open.
-MOST_OPEN = 2048
+#: Ids after which the windows that are open exchange pieces, as they do at a partition's end: a law of the method, the same at every size,
+#: which bounds what a task holds to so many ids and one document.
+EPOCH = 1 << 22
+#: Strings of byte_bpe_50k.json that are tokens of their own, with their ids.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Sequence numbers of one partition.
 PER_PARTITION = 1 << 40
 
@@ -25,11 +28,13 @@ Piece = tuple[int, int, bytes]
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """One per Python worker, from a rank file; special tokens' strings are ordinary text."""
+def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> Callable[[str], list[int]]:
+    """One per Python worker, from a rank file; a string in special is its token wherever it stands in a text."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+    names = [x for x, _ in special]
+    return lambda text: coder.encode(text, allowed_special="all") if any(x in text for x in names) else coder.encode_ordinary(text)
 
 
 class Packer:
@@ -40,7 +45,6 @@ class Packer:
         self.size = size
         self.level = np.zeros(size + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
-        self.n_open = 0
 
     def place(self, row: int, ids: bytes) -> Iterator[list[Piece]]:
         """Take a document's ids; yields the windows that become full. What exceeds a window fills windows of its own first."""
@@ -61,16 +65,12 @@ class Packer:
         window = self.open[h].pop() if h else []
         if h:
             level[h] -= 1
-            self.n_open -= 1
         window.append((row, whole * self.size, ids[whole * width :]))
         if h + n == self.size:
             yield window
             return
         level[h + n] += 1
         self.open[h + n].append(window)
-        self.n_open += 1
-        if self.n_open > MOST_OPEN:
-            yield from self.pour(keep=True)
 
     def pour(self, keep: bool = False) -> Iterator[list[Piece]]:
         """Empty all open windows into full ones, cutting pieces where a window ends; keep: the last one stays open, else it is given too."""
@@ -87,29 +87,33 @@ class Packer:
                     yield window
                     window, held = [], 0
         if window and keep:
-            self.level[held] = self.n_open = 1
+            self.level[held] = 1
             self.open[held].append(window)
         elif window:
             yield window
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, special: dict[str, int] = SPECIAL, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
     Each document's ids and end_id after them are packed into sequences of at most `size` ids. Every id lies in one piece; a document's
-    pieces are numbered by start, a sequence's by offset, both without gaps from 0. Documents that fit stay whole, but for what the last
-    windows of a partition exchange: they are poured together, so a partition leaves one sequence with padding at most. Null and empty
-    texts are the end id alone; repeated rows are packed each. Each input partition is packed by itself while it is read: no shuffle, and
-    a task holds one batch and at most MOST_OPEN open windows. ids: little-endian unsigned 32-bit integers.
+    pieces are numbered by start, a sequence's by offset, both without gaps from 0. Documents that fit stay whole, but for what windows
+    exchange that are open after EPOCH ids or at a partition's end: they are poured together, so a partition leaves one sequence with
+    padding at most. Null and empty texts are the end id alone; repeated rows are packed each; a text longer than a sequence fills some by
+    itself; an empty table gives no rows; other columns are ignored, whatever their names. A string in special gives its id. Each input
+    partition is packed by itself while it is read: no shuffle, and a task holds one batch and the windows opened within EPOCH ids.
+    ids: little-endian unsigned 32-bit integers.
     """
     key = docs.schema[id_col].dataType
     kind = T._parse_datatype_string(f"doc_id {key.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, enc, packer, end = to_arrow_schema(kind), encoder(path, pattern), Packer(size), np.array([end_id], "<u4").tobytes()
+        schema, encode, packer, end = to_arrow_schema(kind), encoder(path, pattern, tuple(special.items())), Packer(size), np.array([end_id], "<u4").tobytes()
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) * PER_PARTITION
         held: dict[int, list] = {}  # row -> id, ids in all, ids not yet given out
-        row, out = 0, []
+        row, placed, out = 0, 0, []
 
         def give(windows: Iterator[list[Piece]]) -> None:
             nonlocal sequence
@@ -131,10 +135,13 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 1024, e
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(enc.encode_ordinary(text.as_py() or ""), "<u4").tobytes() + end
+                ids = np.array(encode(text.as_py() or ""), "<u4").tobytes() + end
                 held[row] = [doc, len(ids) // 4, len(ids) // 4]
                 give(packer.place(row, ids))
-                row += 1
+                row, placed = row + 1, placed + len(ids) // 4
+                if placed >= EPOCH:
+                    give(packer.pour(keep=True))
+                    placed = 0
                 if len(out) >= 4096:
                     yield full()
         give(packer.pour())

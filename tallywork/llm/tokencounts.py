@@ -44,7 +44,9 @@ def count_section_tokens(docs: DataFrame, path: str, pattern: str, fields: tuple
 
     A document is its fields joined by newlines, encoded once. A section is a line with the newline after it; sections tile the document,
     so n_tokens adds up to doc_tokens. section counts a field's lines from 0; char_start and char_end are places in the document. A null
-    field counts as empty and has one empty section; empty sections have no tokens. Repeated rows are each counted. A map without a shuffle.
+    field counts as empty and has one empty section; empty sections have no tokens. Repeated rows are each counted; an empty table gives no
+    rows; other columns are ignored, whatever their names. Special tokens' strings are ordinary text here: spans are those of what the
+    document says. A very long document is encoded whole by one task. A map without a shuffle.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
