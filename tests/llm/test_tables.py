@@ -40,6 +40,15 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(rows, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_of_many_path_lengths(spark):
+    """More lengths than any list should have, and two rules of one host whose paths begin alike."""
+    rules = [("h.example", "/" + "a" * n, "block" if n % 2 else "allow") for n in range(600)] + [("other.example", "/", "block"), (None, "/", "block")]
+    rows = spark.createDataFrame([(n, f"http://www.h.example/{'a' * n}b") for n in range(0, 620, 31)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(rows, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    longest = {n: min(n, 599) for n in range(0, 620, 31)}
+    assert got == {n: ("h.example/" + "a" * k, "block" if k % 2 else "allow") for n, k in longest.items()}
+
+
 def test_urls_plan_is_native(spark):
     plan = queries.op5_url_filters(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
