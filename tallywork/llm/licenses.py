@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .common import map_rows
+from .license_texts import TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -17,21 +18,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label -> markup: <<optional>> ... <</optional>> may be left out, <<any:n>> stands for up to n words. All other words are mandatory.
-TEMPLATES = {
-    "gpl-3": "licensed under <<optional>> the terms of <</optional>> the gnu general public license <<optional>> as published by the free software foundation <<optional>> either <</optional>> <</optional>> version 3",
-    "cc-by-nc-4.0": "licensed under <<optional>> a <</optional>> <<optional>> the <</optional>> <<optional>> creative commons <<any:3>> <</optional>> cc by nc 4 0",
-    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
-        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject
-        to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph
-        <</optional>> shall be included in all copies or substantial portions of the software <<any:20>> the software is provided as is
-        without warranty of any kind""",
-    "isc-text": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided
-        that the above copyright notice and this permission notice appear in all copies""",
-    "apache-2-notice": """licensed under the apache license version 2 0 the license you may not use this <<any:3>> except in compliance with
-        the license you may obtain a copy of the license at""",
-}
+#: Leading mandatory words of a template that are looked for in a text; the automaton runs from there.
+ANCHOR = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,46 +37,57 @@ class Automaton:
     start: frozenset
     end: int
 
-    def accepts(self, words: list[str], at: int) -> bool:
-        """Whether the mandatory wording stands in words from `at` on."""
-        now = self.start
-        for word in words[at:] if at else words:
+    def reach(self, words: list[str], at: int) -> int:
+        """The farthest state that words from `at` on lead to: `end` if all mandatory wording stands there."""
+        now, far = self.start, 0
+        for k in range(at, len(words)):
+            word = words[k]
             now = frozenset(t for s in now for t in (*self.arcs[s].get(word, ()), *self.free[s]))
-            if self.end in now:
-                return True
             if not now:
-                return False
-        return False
+                break
+            far = max(far, *now)
+            if far == self.end:
+                break
+        return far
+
+
+def parts_of(label: str, markup: str) -> list[str]:
+    """Words and marks of a template, less the regions that may be left out at either end: they don't change which texts hold the wording."""
+    parts: list[str] = []
+    for part in re.findall(r"<<[^<>]*>>|[^<>\s]+", markup):
+        parts += [part] if part.startswith("<<") else words_of(part)
+    depth, edges = 0, [0, len(parts)]
+    for k, part in enumerate(parts):
+        depth += (part == "<<optional>>") - (part == "<</optional>>")
+        if depth < 0 or (part.startswith("<<") and not re.fullmatch(r"<</?optional>>|<<any:[0-9]+>>", part)):
+            raise ValueError(f"{label}: misplaced or unknown markup {part}")
+        if not depth and not part.startswith("<<"):
+            edges = [k, k + 1] if edges == [0, len(parts)] else [edges[0], k + 1]
+    if depth or edges == [0, len(parts)] and (not parts or parts[0].startswith("<<")):
+        raise ValueError(f"{label}: an optional region is open, or no word is mandatory")
+    return parts[edges[0] : edges[1]]
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    """The automaton of a template, which must begin with a mandatory word."""
+    """The automaton of a template; a place of it is that of its first mandatory word."""
     steps: list[tuple] = []  # (state, word or None for any word, next)
     skips: list[tuple[int, int]] = []
-    n, opened = 0, []
-    anchor, anchored = [], True
-    for part in re.findall(r"<<[^<>]*>>|[^<>\s]+", markup):
+    n, opened, parts = 0, [], parts_of(label, markup)
+    anchor = parts[: next((k for k, x in enumerate(parts) if x.startswith("<<")), len(parts))][:ANCHOR]
+    for part in parts:
         if part == "<<optional>>":
             opened.append(n)
-            anchored = False
         elif part == "<</optional>>":
             skips.append((opened.pop(), n))
-        elif part.startswith("<<any:"):
-            anchored, last = False, n + int(part[6:-2])
+        elif part.startswith("<<"):
+            last = n + int(part[6:-2])
             for s in range(n, last):
                 steps.append((s, None, s + 1))
                 skips.append((s, last))
             n = last
-        elif part.startswith("<<"):
-            raise ValueError(f"{label}: unknown markup {part}")
         else:
-            for word in words_of(part):
-                steps.append((n, word, n + 1))
-                n += 1
-                if anchored:
-                    anchor.append(word)
-    if opened or not anchor:
-        raise ValueError(f"{label}: an optional region is open, or no mandatory word comes first")
+            steps.append((n, part, n + 1))
+            n += 1
     reach = [{s} for s in range(n + 1)]
     for a, b in sorted(skips, reverse=True):
         reach[a] |= reach[b]
@@ -111,25 +110,29 @@ def automata(rules: tuple[tuple[str, str], ...]) -> tuple[Automaton, ...]:
     return tuple(compile_template(label, markup) for markup, label in rules)
 
 
-def places(automaton: Automaton, words: list[str], line: str) -> list[int]:
-    """Words at which the template is accepted; line: the words with a space around each."""
-    found, at, n, counted = [], line.find(automaton.anchor), 0, 0
+def places(automaton: Automaton, words: list[str], line: str) -> tuple[list[int], float]:
+    """Words at which the template is accepted, and the greatest share of it that stands anywhere; line: the words with a space around each."""
+    found, at, n, counted, far = [], line.find(automaton.anchor), 0, 0, 0
     while at >= 0:
         n += line.count(" ", counted, at)
         counted = at
-        if automaton.accepts(words, n):
+        reached = automaton.reach(words, n)
+        if reached == automaton.end:
             found.append(n)
+        far = max(far, reached)
         at = line.find(automaton.anchor, at + 1)
-    return found
+    return found, far / automaton.end
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, base_spans array<int>, spans array<struct<label,word>>, base_labels, labels, score) per row.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters of the whole text. base_spans: all places of the phrases.
-    spans: places at which a template's automaton accepts. labels joins both kinds, distinct and sorted. score: 1 if a template is accepted,
-    0.5 if only phrases stand there, else 0. Null and empty texts have no words, empty labels and score 0. Repeated rows are each
-    returned. A map without a shuffle; phrases and templates are compiled once per Python worker.
+    spans: places at which a template's automaton accepts. labels joins both kinds, distinct and sorted. score: the greatest share of a
+    template's wording that stands in order at a place, 1 where one is accepted; at least 0.5 where a phrase stands, and 0 without either.
+    Null and empty texts have no words, empty labels and score 0. Repeated rows are each returned; an empty table gives no rows; other
+    columns are ignored, whatever their names. A very long text is scanned whole by one task, in time in proportion to it for each place at
+    which a template may start. A map without a shuffle; phrases and templates are compiled once per Python worker.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base, own = tuple(sorted(phrases.items())), tuple(sorted((m, k) for k, m in templates.items()))
@@ -137,12 +140,17 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     def scan(text):
         words = words_of(text)
         line = f" {' '.join(words)} "
-        hits = [(n, a.label) for a in automata(base) for n in places(a, words, line)]
-        more = [(n, a.label) for a in automata(own) for n in places(a, words, line)]
+        hits, more, score = [], [], 0.0
+        for a in automata(base):
+            hits += [(n, a.label) for n in places(a, words, line)[0]]
+        for a in automata(own):
+            found, share = places(a, words, line)
+            more += [(n, a.label) for n in found]
+            score = max(score, share)
         first = sorted({label for _, label in hits})
         return (
             len(words), sorted(n for n, _ in hits), [{"label": label, "word": n} for n, label in sorted(more)],
-            ",".join(first), ",".join(sorted({*first, *(label for _, label in more)})), 1.0 if more else 0.5 if hits else 0.0,
+            ",".join(first), ",".join(sorted({*first, *(label for _, label in more)})), max(score, 0.5) if hits else score,
         )
 
     def run(keys, texts):
