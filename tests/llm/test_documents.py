@@ -369,15 +369,82 @@ def test_license_templates():
     a = licenses.compile_template("t", "one two <<optional>> three <<any:2>> <</optional>> four <<any:2>> five")
     ok = ["one two four five", "one two three four five", "one two three x y four five", "one two four x y five", "z one two four x five z"]
     no = ["one two", "one two three x y z four five", "one two four x y z five", "one four five", "one two x four five"]
-    line = lambda t: f" {t} "
-    assert all(licenses.places(a, t.split(), line(t)) for t in ok) and not any(licenses.places(a, t.split(), line(t)) for t in no)
-    with pytest.raises(ValueError):
-        licenses.compile_template("t", "<<optional>> a <</optional>> b")
+    found = lambda a, t: licenses.places(a, t.split(), f" {t} ")[0]
+    assert all(found(a, t) for t in ok) and not any(found(a, t) for t in no)
+    b = licenses.compile_template("t", "<<optional>> <<any:3>> by <<optional>> all <</optional>> <</optional>> <<any:2>> a b <<any:9>> <<optional>> c <</optional>>")
+    assert found(b, "x a b y") == [1] and found(b, "by all a b c") == [2]
+    for markup in ("<<optional>> a <</optional>>", "<<optional>> a", "a <</optional>> b", "a <<some>> b", ""):
+        with pytest.raises(ValueError):
+            licenses.compile_template("t", markup)
 
 
 def test_license_overlapping_places():
     a = licenses.compile_template("t", "a a")
-    assert licenses.places(a, ["a"] * 4, " a a a a ") == [0, 1, 2]
+    assert licenses.places(a, ["a"] * 4, " a a a a ") == ([0, 1, 2], 1.0)
+
+
+def regions(markup):
+    """A template as nested lists: a word, an int for up to so many words, a list for an optional region."""
+    stack = [[]]
+    for part in markup.replace("<<", " <<").replace(">>", ">> ").split():
+        if part == "<<optional>>":
+            stack.append([])
+        elif part == "<</optional>>":
+            done = stack.pop()
+            stack[-1].append(done)
+        elif part.startswith("<<any:"):
+            stack[-1].append(int(part[6:-2]))
+        else:
+            stack[-1] += licenses.words_of(part)
+    return stack[0]
+
+
+def as_pattern(parts):
+    return "".join(f"(?:{as_pattern(x)})?" if isinstance(x, list) else f"(?:[^ ]+ ){{0,{x}}}" if isinstance(x, int) else f"{re.escape(x)} " for x in parts)
+
+
+def spelled(parts, rnd):
+    """A text that a template accepts."""
+    out = []
+    for x in parts:
+        if isinstance(x, list):
+            out += spelled(x, rnd) if rnd.random() < 0.5 else []
+        else:
+            out += [f"n{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, x))] if isinstance(x, int) else [x]
+    return out
+
+
+def test_license_labels_and_scores_of_the_registered_templates(spark):
+    """Against regular expressions made from the markup by themselves: labels, and score where a template is accepted or nothing stands."""
+    rnd, rows, want = random.Random(12), [], {}
+    patterns = {k: re.compile("(?:^| )" + as_pattern(regions(m))) for k, m in licenses.TEMPLATES.items()}
+    assert len(patterns) >= 20
+    for label, markup in licenses.TEMPLATES.items():
+        for kind in range(8):
+            words = spelled(regions(markup), rnd)
+            if kind % 4 == 1:
+                words[rnd.randrange(len(words))] = "changed"
+            if kind % 4 == 2:
+                words = words[: max(1, len(words) - 3)]
+            if kind % 4 == 3:
+                words = [*[f"p{k}" for k in range(rnd.randint(0, 40))], *words, "the", "end", *(["under", "the", "mit", "license"] if kind == 7 else [])]
+            rows.append((len(rows), "".join((w.upper() if rnd.random() < 0.2 else w) + rnd.choice([" ", ", ", "\n", ". "]) for w in words)))
+    rows += [(len(rows), None), (len(rows) + 1, "nothing of the kind")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in rows:
+        line = " ".join(licenses.words_of(text)) + " "
+        want = {k for k, p in patterns.items() if p.search(line)}
+        base = {v for k, v in licenses.PHRASES.items() if f" {k} " in f" {line}"}
+        assert set(filter(None, got[i]["labels"].split(","))) == want | base and set(filter(None, got[i]["base_labels"].split(","))) == base
+        assert (got[i]["score"] == 1) == bool(want) and (not base or got[i]["score"] >= 0.5)
+    assert got[len(rows) - 1]["score"] == got[len(rows) - 2]["score"] == 0
+    assert all(f"{k}" in " ".join(r["labels"] for r in got.values()) for k in licenses.TEMPLATES)
+
+
+def test_license_score_is_the_share_that_stands(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f x h"), (3, "a b c d"), (4, "a b c"), (5, "h g"), (6, "x a b c d e a b c d e f g")]
+    got = {r["doc_id"]: r["score"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates={"t": "a b c d e f g h"}).collect()}
+    assert got == {1: 1.0, 2: 0.75, 3: 0.5, 4: 0.0, 5: 0.0, 6: 0.875}
 
 
 # -- 10: n-gram Jaccard join -------------------------------------------------------------------------------------------
