@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from hashlib import blake2b
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows
 
 #: A run of lines counts as repeated from this many words on.
 MIN_WORDS = 50
+#: Bits of the bitmap of documents that lose lines at most (64 MB); beyond it all documents are shuffled.
+MOST_BITS = 1 << 29
 
 
 def _hash(data: bytes) -> bytes:
@@ -43,22 +45,19 @@ def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int
     return [(a, b, hashes[a] if a == b else _hash(b"".join(hashes[a : b + 1])), min(hashes[a : b + 1])) for a, b in sorted(spans)]
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text less later repeats, and n_lines, n_removed, removed array<int> (line numbers from 0).
-
-    Documents are ordered by doc_id, then by a digest of the text. A line goes if it lies in a run of consecutive lines with at least
-    min_words words in all that stands, line for line, at an earlier place: in an earlier document, or earlier in the same one. First
-    occurrences stay. Words are runs without ASCII white space; lines end at \\n only. Rows equal in doc_id and text count as one document and all
-    come out alike. Null texts stay null with no line; a text whose lines all go becomes empty. Clashing columns n_lines, n_removed and
-    removed are replaced.
+def line_matches(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, first_line, last_line, source_id, source_key, source_line): runs of lines with at least min_words words that stand,
+    line for line, at an earlier place of the table, which begins at source_line of the source; written. text_key: the text's MD5.
 
-    Winnowing: each window of just min_words words selects its least line hash, so a repeated run has a fingerprint in every window. Positions
-    of a fingerprint meet by grouped minima, never in pairs: a fingerprint that stands once drops its windows; the others' windows, which
-    extend from it forwards and backwards, are held against the first place of the same lines. Both joins are of written tables, so AQE
-    splits a hot line. The text is shuffled once, by document.
+    Winnowing: each window of just min_words words selects its least line hash, so a repeated run has a fingerprint in each of its windows.
+    Fingerprints that stand once drop their windows. Positions of the others are joined to the first position with the same window around the
+    fingerprint, never in pairs of all: one row per window, however often a passage stands. A match is extended both ways over the
+    matches that touch it and have the same source at the same distance. Extending it line by line against one earlier position would lose
+    runs whose windows first stand in different documents; against all of them it would meet every pair.
+    Joins are of written tables, so AQE splits a hot line.
     """
-    key, kind = F.md5(F.col(text_col)).alias("text_key"), docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
     def run(keys, digests, texts):
         out = [[] for _ in range(6)]
@@ -69,23 +68,69 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         return out
 
     at = F.struct("doc_id", "text_key", "first_line")
-    seen = cut(map_rows(rows.where("text is not null").select("doc_id", "text_key", "text"), f"doc_id {kind}, text_key string, first_line int, last_line int, lines binary, fingerprint binary", run), "line-windows")
+    seen = cut(map_rows(rows.where("text is not null"), f"doc_id {kind}, text_key string, first_line int, last_line int, lines binary, fingerprint binary", run), "line-windows")
     places = cut(seen.groupBy("fingerprint").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("fingerprint"), "line-fingerprints")
     near = cut(seen.join(places, "fingerprint", "left_semi").drop("fingerprint"), "line-candidates")
     firsts = cut(near.groupBy("lines").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("lines", "first"), "line-firsts")
-    later = cut(near.join(firsts, "lines").where(at > F.col("first")).select("doc_id", "text_key", "first_line", "last_line"), "line-repeats")
-    gone = cut(later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_line", "last_line")).alias("spans")), "line-deletions")
+    met = near.join(firsts, "lines").where(at > F.col("first"))
+    met = cut(met.select("doc_id", "text_key", "first_line", "last_line", "first", (F.col("first_line") - F.col("first.first_line")).alias("shift")).distinct(), "line-repeats")
+    ways = ["doc_id", "text_key", F.col("first.doc_id"), F.col("first.text_key"), "shift"]  # one document's windows with one source
+    w = Window.partitionBy(*ways).orderBy("first_line", "last_line")
+    fresh = F.coalesce(F.col("first_line") > F.max("last_line").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    run_no = F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = met.withColumn("run", run_no).groupBy(*ways[:2], F.col("first.doc_id").alias("source_id"), F.col("first.text_key").alias("source_key"), "shift", "run")
+    runs = runs.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+    return cut(runs.select("doc_id", "text_key", "first_line", "last_line", "source_id", "source_key", (F.col("first_line") - F.col("shift")).alias("source_line")), "line-matches")
+
+
+def among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame | None:
+    """rows with a column __in, true for all whose id is in ids (a written table with a column doc_id) and for about one in 16 of the others: a
+    bitmap of hashed ids, 16 to 32 bits each, joined by broadcast. None if it would have more than MOST_BITS."""
+    n = ids.count()
+    bits = 1 << max(15, (16 * n - 1).bit_length())
+    if bits > MOST_BITS:
+        return None
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = ids.select(place(F.col("doc_id")).alias("h")).groupBy(F.expr(f"h div {1 << 15}").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {1 << 15}")).alias("__bits"))
+    held = rows.withColumn("__h", place(F.col(id_col))).withColumn("__bucket", F.expr(f"__h div {1 << 15}"))
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__h % {1 << 15} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = held.join(F.broadcast(cut(maps, "line-bitmap")), "__bucket", "left")  # MOST_BITS / 8 bytes at most
+    return found.withColumn("__in", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h % 8 as int))")) != 0, F.lit(False))).drop("__h", "__bucket", "__bits")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its text less later repeats, and n_lines, n_removed, removed array<int> (line numbers from 0).
+
+    Documents are ordered by doc_id, then by a digest of the text. A line goes if it lies in a run of consecutive lines with at least
+    min_words words in all that stands, line for line, at an earlier place: in an earlier document, or earlier in the same one. First
+    occurrences stay. Words are runs without ASCII white space; lines end at \\n only. Rows equal in doc_id and text count as one document and all
+    come out alike. Null texts stay null with no line; a text whose lines all go becomes empty; an empty table stays empty. A very long text
+    is hashed whole by one task. Clashing columns n_lines, n_removed and removed are replaced.
+
+    The runs are those of line_matches. Only documents that may lose lines are shuffled to meet them, told apart by a bitmap of their ids.
+    """
+    matches = line_matches(docs, min_words, id_col, text_col)
+    gone = matches.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_line", "last_line")).alias("spans"))
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first_line"], s["last_line"])))))
-    gone = gone.select("doc_id", "text_key", removed.alias("removed"))
-    kept = docs.drop("n_lines", "n_removed", "removed").withColumn("__key", key)
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.removed"))
-    text = F.when(F.col("g.removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    # merged at any size: the plan, and with it the text that is shuffled, doesn't change with the number of deletions
-    joined = kept.alias("d").join(gone.hint("merge").alias("g"), (F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.__key") == F.col("g.text_key")), "left")
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"d.{c}").alias(c) for c in kept.columns if c != "__key"],
-        F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("g.removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("g.removed", F.array().cast("array<int>")).alias("removed"),
-    )
+    gone = cut(gone.select("doc_id", "text_key", removed.alias("removed")), "line-deletions")
+    kept = docs.drop("n_lines", "n_removed", "removed")
+    names, text = kept.columns, F.col(text_col)
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines")
+    none = F.array().cast("array<int>")
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        d = rows.select(F.struct(*names).alias("d"), F.md5(text).alias("key"))
+        # merged at any size: the plan doesn't change with the number of deletions
+        joined = d.join(gone.hint("merge").alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")) & (F.col("key") == F.col("g.text_key")), "left").select("d.*", "g.removed")
+        lines = F.split(text, "\n", -1)
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        less = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+        return joined.select(
+            *[less.alias(c) if c == text_col else c for c in names], n_lines, F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed")
+        )
+
+    told = among(kept, id_col, gone)
+    if told is None:
+        return cleaned(kept)
+    same = told.where("not __in").select(*names, n_lines, F.lit(0).cast("long").alias("n_removed"), none.alias("removed"))
+    return cleaned(told.where("__in").select(*names)).unionByName(same)
