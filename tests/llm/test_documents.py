@@ -177,6 +177,29 @@ def test_line_dedup(spark, both):
     assert any(r["n_removed"] for r in got) and linededup.dedup_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 0])
+def test_line_dedup_with_and_without_the_bitmap(both, bits, monkeypatch):
+    monkeypatch.setattr(linededup, "MOST_BITS", bits)
+    want = repeated_lines(texts(both))
+    got = {(r["doc_id"], tuple(r["removed"])) for r in linededup.dedup_lines(both).collect() if r["n_removed"]}
+    assert got == {(i, tuple(lines)) for (i, _), lines in want.items() if lines}
+
+
+def test_line_matches_extend_along_their_source(both):
+    """Runs equal their sources line for line, are long enough and earlier, and none continues another; together they are the lines to delete."""
+    of = {(i, hashlib.md5(t.encode()).hexdigest()): t.split("\n") for i, t in texts(both) if t is not None}
+    gone, runs = defaultdict(set), linededup.line_matches(both).collect()
+    for r in runs:
+        n = r["last_line"] - r["first_line"] + 1
+        run = of[r["doc_id"], r["text_key"]][r["first_line"] : r["last_line"] + 1]
+        assert run == of[r["source_id"], r["source_key"]][r["source_line"] : r["source_line"] + n] and sum(len(x.split()) for x in run) >= 50
+        assert (r["source_id"], r["source_key"], r["source_line"]) < (r["doc_id"], r["text_key"], r["first_line"])
+        gone[r["doc_id"], "\n".join(of[r["doc_id"], r["text_key"]])] |= set(range(r["first_line"], r["last_line"] + 1))
+    ends = {(r["doc_id"], r["text_key"], r["source_id"], r["source_key"], r["last_line"], r["source_line"] - r["first_line"]) for r in runs}
+    assert not any((r["doc_id"], r["text_key"], r["source_id"], r["source_key"], r["first_line"] - 1, r["source_line"] - r["first_line"]) in ends for r in runs)
+    assert {k: sorted(v) for k, v in gone.items()} == {k: v for k, v in repeated_lines(texts(both)).items() if v}
+
+
 def test_line_dedup_columns(odd):
     clash = odd.withColumns({"n_lines": F.lit("x"), "removed": F.lit(1)})
     assert linededup.dedup_lines(clash).columns == [*odd.columns, "n_lines", "n_removed", "removed"]
