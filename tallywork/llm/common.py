@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A table of at most this many rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bits of a bitmap of ids at most (64 MB).
+MOST_BITS = 1 << 29
 #: Folder of a local application without a checkpoint folder.
 _LOCAL: dict[str, str] = {}
 
@@ -44,6 +46,42 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
+    """rows with a column __in, true for all whose id is in ids (a written table with a column doc_id) and for about one in 16 of the others: a
+    bitmap of hashed ids, 16 to 32 bits each, joined by broadcast. None if it would have more than MOST_BITS."""
+    n = ids.count()
+    bits = 1 << max(15, (16 * n - 1).bit_length())
+    if bits > MOST_BITS:
+        return None
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = ids.select(place(F.col("doc_id")).alias("h")).groupBy(F.expr(f"h div {1 << 15}").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {1 << 15}")).alias("__bits"))
+    held = rows.withColumn("__h", place(F.col(id_col))).withColumn("__bucket", F.expr(f"__h div {1 << 15}"))
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__h % {1 << 15} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = held.join(F.broadcast(cut(maps, "bitmap")), "__bucket", "left")  # MOST_BITS / 8 bytes at most
+    return found.withColumn("__in", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h % 8 as int))")) != 0, F.lit(False))).drop("__h", "__bucket", "__bits")
+
+
+def matching(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """rows that have (how: left_semi) or lack (left_anti) their id in ids, a written table with a column doc_id. Rows that a bitmap of ids
+    tells apart aren't shuffled."""
+    told, names = among(rows, ids, id_col), rows.columns
+
+    def joined(part: DataFrame) -> DataFrame:
+        return part.alias("r").join(ids.select(F.col("doc_id").alias("__id")), F.col(f"r.{id_col}") == F.col("__id"), how).select(*[F.col(f"r.{c}") for c in names])
+
+    if told is None:
+        return joined(rows)
+    hit = joined(told.where("__in").drop("__in"))
+    return hit if how == "left_semi" else hit.unionByName(told.where("not __in").drop("__in"))
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1024, texts: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows and about `texts` bytes."""
+    step = max(1, min(rows, int(batch.num_rows * texts / max(batch.nbytes, 1)) or 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[..., list], rows: int = 1024, texts: int = 16 << 20) -> DataFrame:
     """Apply fn to lists of df's columns, a slice of at most `rows` rows and about `texts` bytes at a time; fn returns one list or Arrow array per column."""
     kind = T._parse_datatype_string(schema)
@@ -51,9 +89,8 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[..., list], rows: int = 10
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
         for batch in batches:
-            step = max(1, min(rows, int(batch.num_rows * texts / max(batch.nbytes, 1)) or 1))
-            for at in range(0, batch.num_rows, step):
-                cols = fn(*[c.to_pylist() for c in batch.slice(at, step).columns])
+            for part in slices(batch, rows, texts):
+                cols = fn(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)

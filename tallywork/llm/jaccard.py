@@ -11,16 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, map_rows
+from .common import bounded, components, cut, map_rows, matching, slices
 
 #: Words hashed once and remembered by a Python worker; a full memory is emptied.
 MEMO = 500_000
 #: An order ranks the tokens whose two low bits are its number first, by how many documents hold them, then all others by their value.
-ORDERS = (0, 1)
-#: Documents of one block of a candidate group; two blocks meet in one task.
+ORDERS = (0, 1, 2, 3)
+#: Documents of one block of a candidate group; two blocks meet in one task. Larger groups go through all ORDERS and the hubs.
 BLOCK = 256
-#: A token found in one of this many sampled documents (a SAMPLE-th of all) is ranked last, uncounted.
-OFTEN, SAMPLE = 1000, 64
+#: A token found in OFTEN documents of a sample, a SAMPLE-th of all, is ranked last, uncounted; so about OFTEN x SAMPLE documents at most are
+#: counted for a token, at any size of the table.
+OFTEN, SAMPLE = 64, 64
+#: Sets of a group of more than BLOCK to which all others are compared first.
+HUBS = 8
 #: Tokens by which two blocks are multiplied at a time.
 WIDE = 4096
 
@@ -74,13 +77,12 @@ def order_groups(pools: DataFrame, order: int, name: str) -> DataFrame:
     pools: (key long, short int, tokens array<long>) as from prefix_pool; rows with one key are alike and count as one set in the end. Rare tokens come first, by
     the number of rows. Tokens found often in a sample of documents, which decides nothing but the order, come last and are not counted.
     """
-    docs = pools.count()
     often = pools.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    often = cut(often.where(F.col("count") >= max(64, docs // SAMPLE // OFTEN)).select("token"), f"{name}-often")  # at most OFTEN x tokens of a document
+    often = bounded(cut(often.where(F.col("count") >= OFTEN).select("token"), f"{name}-often"))
     rows = pools.select("key", F.explode("tokens").alias("token"))
     w = Window.partitionBy("token")
-    rare = rows.join(F.broadcast(often), "token", "left_anti").select("key", "token", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
-    shared = rare.where("shared").drop("shared").unionByName(rows.join(F.broadcast(often), "token", "left_semi").withColumn("df", F.lit(1 << 40)))
+    rare = rows.join(often, "token", "left_anti").select("key", "token", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
+    shared = rare.where("shared").drop("shared").unionByName(rows.join(often, "token", "left_semi").withColumn("df", F.lit(1 << 40)))
     own = F.when(F.col("token").bitwiseAND(3) == order, F.struct(F.lit(0).alias("tail"), "df", "token")).otherwise(F.struct(F.lit(1).alias("tail"), F.lit(0).cast("long").alias("df"), "token"))
     lists = shared.groupBy("key").agg(F.sort_array(F.collect_set(own)).alias("seen")).join(pools.select("key", "short").distinct(), "key")
     take = F.col("short") + F.size("seen")
@@ -128,16 +130,18 @@ def spanning_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pe
     return out
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: documents whose sets of `size`-word shingles have a Jaccard similarity of percent / 100 or
     more are linked; component_id is the smallest doc_id reachable by links, itself included.
 
     A text with fewer words is one shingle; without words (or null) the set is empty and links with nothing. doc_id must be a whole number;
     rows with equal doc_id are one node. Repeated rows are each returned.
 
-    Equal sets are one class, so copies never meet. Of the classes, candidates share prefix tokens under each order of ORDERS in turn
-    (the second sees what the first leaves); only classes in one group under all orders are compared, block by block, with their whole
-    sets; a task returns links that span what it joins. The result is exact: a prefix filter loses no pair, under any order.
+    Equal sets are one class, so copies never meet. Of the classes, candidates share prefix tokens, directly or through others, under the
+    first order and under the second (which sees what the first leaves); groups of more than BLOCK are split by the further orders as well.
+    Only classes in one group under all orders are compared, with their whole sets, a task returning links that span what it joins. The
+    result is exact: a prefix filter loses no pair, under any order. Other columns are ignored, whatever their names; an empty table gives
+    no rows; a very long text is hashed whole by one task.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
@@ -147,10 +151,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     def scan(batches):
         seen: set[bytes] = set()  # a class gives its tokens once a partition
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             out = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), size)
+            for doc, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                s = shingles(text, size)
                 digest = blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 pool, short = (None, 0) if digest is None or digest in seen else prefix_pool(s, ORDERS[0], percent)
                 seen.add(digest)
@@ -169,12 +173,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
         pools = [prefix_pool(x, ORDERS[1], percent) for x in got]
         return [ids, [blake2b(x.tobytes(), digest_size=16).digest() for x in got], [x.tolist() for x in got], [x[1] for x in pools], [x[0].tolist() for x in pools]]
 
-    texts = rows.join(bounded(left.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = matching(rows, cut(left.select(F.col("id").alias("doc_id")).distinct(), "shingle-ids"), "left_semi")
     full = map_rows(texts, "id long, digest binary, set array<long>, short int, tokens array<long>", whole)
     full = cut(full.join(bounded(left), ["id", "digest"]).dropDuplicates(["id", "digest"]), "shingle-sets")
     second = order_groups(full.select("key", "short", "tokens"), ORDERS[1], "order1")
-    both = cut(second.select("key", F.col("grp").alias("grp1")).join(full.select("id", "key", F.col("grp").alias("grp0")), "key"), "shingle-groups")
-    edges = cut(verify(both, full.select("id", "key", "set"), percent), "shingle-links")
+    both = second.select("key", F.col("grp").alias("grp1")).join(full.select("id", "key", F.col("grp").alias("grp0")), "key")
+    groups = cut(both.select("id", "key", F.xxhash64("grp0", "grp1").alias("grp")), "shingle-groups")
+    sets_of = full.select("id", "key", "set")
+    edges = cut(verify(refine(groups, sets_of, percent), sets_of, percent), "shingle-links")
     found = cut(components(edges, "shingle-components"), "shingle-found").select("id", "component")
     named = classes.join(found, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
     named = cut(named, "shingle-named")
@@ -182,24 +188,72 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
 
 
-def verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): spanning links within each (grp0, grp1), groups split into blocks of about BLOCK documents of which each two meet once."""
-    sizes = cut(groups.groupBy("grp0", "grp1").agg(F.count("*").alias("n")).where("n > 1"), "shingle-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = groups.join(sizes, ["grp0", "grp1"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("id", "key", "grp0", "grp1", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "blocks")
-    small = F.pmod(F.xxhash64("grp0", "grp1"), F.lit(max(1, total // (2 * BLOCK))))  # small groups share a task
-    met = met.withColumn("task", F.when(F.col("blocks") == 1, small).otherwise(F.xxhash64("grp0", "grp1", "lo", "hi")))
+def refine(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """groups (id, key, grp), those of more than BLOCK split by the orders that are left: members of a group part unless they share prefix tokens,
+    directly or through others, under each of them too. A group that stays whole may be one of copies, or chained by chance."""
+    for order in ORDERS[2:]:
+        large = groups.groupBy("grp").count().where(F.col("count") > BLOCK).select("grp")
+        wide = cut(groups.join(large, "grp", "left_semi"), f"order{order}-wide")
+        if not wide.limit(1).count():
+            break
+
+        def pool(keys, found, order=order):
+            got = [prefix_pool(np.asarray(x, np.int64), order, percent) for x in found]
+            return [keys, [x[1] for x in got], [x[0].tolist() for x in got]]
+
+        pools = cut(map_rows(wide.join(sets, ["id", "key"]).select("key", "set"), "key long, short int, tokens array<long>", pool), f"order{order}-pools")
+        part = order_groups(pools, order, f"order{order}").withColumnRenamed("grp", "part")
+        split = wide.join(part, "key").select("id", "key", F.xxhash64("grp", "part").alias("grp"))
+        groups = cut(groups.join(large, "grp", "left_anti").select("id", "key", "grp").unionByName(split), f"order{order}-split")
+    return groups
+
+
+def compare_blocks(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): spanning links within each (grp, lo, hi) of met (id, key, grp, own, lo, hi, task): between rows with own lo and own hi, or
+    among all if lo and hi are equal."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (*_, lo, hi), g in pdf.groupby(["grp0", "grp1", "lo", "hi"], sort=False):
+        for (_, lo, hi), g in pdf.groupby(["grp", "lo", "hi"], sort=False):
             if len(g) > 1:
                 side = np.full(len(g), 2) if lo == hi else (g["own"].to_numpy() == hi).astype(int)
                 out += spanning_links(g["id"].to_numpy(), side, [np.asarray(x) for x in g["set"]], percent)
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
-    rows = met.join(sets, ["id", "key"]).select("grp0", "grp1", "own", "lo", "hi", "task", "id", "set")
+    rows = met.join(sets, ["id", "key"]).select("grp", "own", "lo", "hi", "task", "id", "set")
     return rows.groupBy("task").applyInPandas(compare, "src long, dst long")
+
+
+def verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): links that join, directly or through others, all linked members of each group of groups (id, key, grp).
+
+    A group of up to BLOCK is compared whole. In a larger one all are compared to HUBS members first. What these join needs no further
+    comparison among itself; the members outside the largest part are compared to all, block by block, each two blocks once.
+    """
+    sizes = cut(groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "shingle-sizes")
+    total = sizes.where(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0
+    small = groups.join(sizes.where(f"n <= {BLOCK}").select("grp"), "grp", "left_semi")
+    task = F.pmod(F.xxhash64("grp"), F.lit(max(1, total // (2 * BLOCK))))  # small groups share a task
+    zero = F.lit(0)
+    edges = compare_blocks(small.select("id", "key", "grp", zero.alias("own"), zero.alias("lo"), zero.alias("hi"), task.alias("task")), sets, percent)
+    large = cut(groups.join(sizes.where(f"n > {BLOCK}"), "grp"), "shingle-large")
+    if not large.limit(1).count():
+        return edges
+    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("n") / BLOCK)).cast("int")
+    members = large.select("id", "key", "grp", F.lit(1).alias("own"), chunk.alias("chunk"))
+    hubs = large.groupBy("grp", "n", F.pmod("key", F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "id")).alias("hub"))
+    hubs = hubs.select("hub.id", "hub.key", "grp", F.lit(0).alias("own"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)")).alias("chunk"))
+    met = members.unionByName(hubs).select("id", "key", "grp", "own", zero.alias("lo"), F.lit(1).alias("hi"), F.xxhash64("grp", "chunk").alias("task"))
+    first = cut(compare_blocks(met, sets, percent), "shingle-hub-links")
+    parts = large.join(cut(components(first, "hub-components"), "hub-found"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    parts = cut(parts.select("id", "key", "grp", "part"), "shingle-parts")
+    top = parts.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
+    placed = parts.join(top, "grp").withColumn("out", F.col("part") != F.col("top"))
+    counts = placed.groupBy("grp").agg(F.count_if("out").alias("u"), F.count_if(~F.col("out")).alias("j")).where("u > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    member = placed.join(counts, "grp").withColumns({"ub": blocks("u"), "jb": blocks("j")})
+    member = member.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("key"), F.col("ub"))).otherwise(F.col("ub") + F.pmod(F.xxhash64("key"), F.col("jb"))).cast("int"))
+    member = member.withColumn("other", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("ub") + F.col("jb") - 1)).otherwise(F.sequence(F.lit(0), F.col("ub") - 1))))
+    rest = member.select("id", "key", "grp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rest = compare_blocks(rest.withColumn("task", F.xxhash64("grp", "lo", "hi")), sets, percent)
+    return edges.unionByName(first).unionByName(rest)

@@ -7,12 +7,10 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import among, cut, map_rows
 
 #: A run of lines counts as repeated from this many words on.
 MIN_WORDS = 50
-#: Bits of the bitmap of documents that lose lines at most (64 MB); beyond it all documents are shuffled.
-MOST_BITS = 1 << 29
 
 
 def _hash(data: bytes) -> bytes:
@@ -83,21 +81,6 @@ def line_matches(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     return cut(runs.select("doc_id", "text_key", "first_line", "last_line", "source_id", "source_key", (F.col("first_line") - F.col("shift")).alias("source_line")), "line-matches")
 
 
-def among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame | None:
-    """rows with a column __in, true for all whose id is in ids (a written table with a column doc_id) and for about one in 16 of the others: a
-    bitmap of hashed ids, 16 to 32 bits each, joined by broadcast. None if it would have more than MOST_BITS."""
-    n = ids.count()
-    bits = 1 << max(15, (16 * n - 1).bit_length())
-    if bits > MOST_BITS:
-        return None
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = ids.select(place(F.col("doc_id")).alias("h")).groupBy(F.expr(f"h div {1 << 15}").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr(f"h % {1 << 15}")).alias("__bits"))
-    held = rows.withColumn("__h", place(F.col(id_col))).withColumn("__bucket", F.expr(f"__h div {1 << 15}"))
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__h % {1 << 15} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = held.join(F.broadcast(cut(maps, "line-bitmap")), "__bucket", "left")  # MOST_BITS / 8 bytes at most
-    return found.withColumn("__in", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h % 8 as int))")) != 0, F.lit(False))).drop("__h", "__bucket", "__bits")
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text less later repeats, and n_lines, n_removed, removed array<int> (line numbers from 0).
 
@@ -129,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             *[less.alias(c) if c == text_col else c for c in names], n_lines, F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed")
         )
 
-    told = among(kept, id_col, gone)
+    told = among(kept, gone, id_col)
     if told is None:
         return cleaned(kept)
     same = told.where("not __in").select(*names, n_lines, F.lit(0).cast("long").alias("n_removed"), none.alias("removed"))

@@ -78,7 +78,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
