@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import tallywork.llm.bpe as bpe
 import tallywork.llm.jaccard as jaccard
 import tallywork.llm.packing as packing
-from tallywork.llm import licenses, linededup, quality, sharding, tokencounts
+from tallywork.llm import common, licenses, linededup, quality, sharding, tokencounts
 from tallywork.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -179,7 +179,7 @@ def test_line_dedup(spark, both):
 
 @pytest.mark.parametrize("bits", [1 << 29, 0])
 def test_line_dedup_with_and_without_the_bitmap(both, bits, monkeypatch):
-    monkeypatch.setattr(linededup, "MOST_BITS", bits)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     want = repeated_lines(texts(both))
     got = {(r["doc_id"], tuple(r["removed"])) for r in linededup.dedup_lines(both).collect() if r["n_removed"]}
     assert got == {(i, tuple(lines)) for (i, _), lines in want.items() if lines}
@@ -512,18 +512,45 @@ def test_jaccard_components(spark, both, block, monkeypatch):
     extra = spark.createDataFrame(near_copies(), "doc_id long, text string")
     rows = both.select("doc_id", "text").unionByName(extra).repartition(5)
     want = exact_components(texts(rows))
-    got = jaccard.jaccard_components(rows).collect()
+    got = jaccard.jaccard_components(rows, 90, 3).collect()
     assert len(got) == rows.count() and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_jaccard_hot_tokens_are_ranked_last_without_loss(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
-    monkeypatch.setattr(jaccard, "max", lambda *x: 3, raising=False)
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
     rows = spark.createDataFrame(near_copies(80, 40), "doc_id long, text string")
-    got = jaccard.jaccard_components(rows).collect()
+    got = jaccard.jaccard_components(rows, 90, 3).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == exact_components(texts(rows))
 
 
+@pytest.mark.parametrize("hubs", [1, 8])
+def test_jaccard_large_group_of_chains(spark, hubs, monkeypatch):
+    """One candidate group of many: a text drifts word by word, so that hubs join neighbours only, and some members link with nothing."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
+    words, rows = [f"w{j}" for j in range(90)], []
+    for i in range(70):
+        words = [*words]
+        for at in random.Random(i).sample(range(90), 1 if i % 23 else 30):
+            words[at] = f"c{i}x{at}"
+        rows.append((500 - i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = exact_components(texts(df))
+    assert 1 < len({c for _, c in want.values()}) < 30
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, 90, 3).collect()} == want
+
+
+def test_matching(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 700, i) for i in range(1000)] + [(None, 1)], "doc_id long, x int")
+    ids = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"))
+    for bits in (1 << 29, 0):
+        monkeypatch.setattr(common, "MOST_BITS", bits)
+        for how in ("left_semi", "left_anti"):
+            got = sorted(map(tuple, common.matching(rows, ids, how).collect()), key=str)
+            assert got == sorted(map(tuple, rows.join(ids, "doc_id", how).collect()), key=str) and len(got) > 100
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
