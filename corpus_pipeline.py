@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import bounded, cut
+from tallywork.llm.common import cut, matching
 from tallywork.llm.jaccard import jaccard_components
 from tallywork.llm.linededup import dedup_lines
 from tallywork.llm.packing import pack_documents
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (four fifths of their five-word shingles in common, or more) the document with the smallest doc_id;
     rows that share a doc_id are one document."""
-    gone = cut(jaccard_components(docs, percent=80, size=5).where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
+    return matching(docs, gone, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
