@@ -99,6 +99,18 @@ def test_embeddings(spark, aim, block, monkeypatch):
     assert embeddings.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_spanning_links():
+    rnd = np.random.default_rng(5)
+    for n in (1, 2, 30, 600):
+        near = rnd.random((n, n)) < 1.2 / n
+        near = (near | near.T) & ~np.eye(n, dtype=bool)
+        ids, label = rnd.permutation(n) + 100, None
+        label = ids.copy()
+        for _ in range(n):
+            label = np.minimum(label, np.where(near, label[None, :], 10**9).min(axis=1))
+        assert dict(embeddings.spanning(near, ids)) == {int(i): int(c) for i, c in zip(ids, label, strict=True) if c < i}
+
+
 # -- pipeline and queries ----------------------------------------------------------------------------------------------
 
 
