@@ -34,6 +34,19 @@ def exact_money(raw: Column | str, places: int = 2, whole: int = 16) -> Column:
     return F.when(raw.rlike(rf"^\d{{1,{whole}}}(\.\d{{1,{places}}})?$"), raw.try_cast(f"decimal({whole + places},{places})"))
 
 
+def turnover_bounds(raw: Column | str) -> tuple[Column, Column]:
+    """(lower, upper) of a range like `$500k-$1m`, each an amount with a k or m after it; null if the spelling doesn't fit."""
+    raw = F.lower(col(raw))
+    ok = raw.rlike(r"^\$?\d{1,9}(\.\d{1,4})?[km]-\$?\d{1,9}(\.\d{1,4})?[km]$")
+
+    def bound(i: int) -> Column:
+        part = F.translate(F.split(raw, "-", 2)[i], "$", "")
+        size = F.regexp_extract(part, r"^[0-9.]+", 0).try_cast("decimal(14,4)")
+        return F.when(ok, (size * F.when(part.endswith("k"), 1000).otherwise(1000000)).cast("decimal(20,0)"))
+
+    return bound(0), bound(1)
+
+
 def iso_date(raw: Column | str) -> Column:
     raw = col(raw)
     return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import AMOUNT, MONEY, accounting_number, clean_text, exact_money, iso_date, yes_no
+from ..functions.columns import AMOUNT, MONEY, abn_valid, accounting_number, clean_text, exact_money, iso_date, turnover_bounds, yes_no
 
 Guard = Callable[[Column], Column]
 
@@ -21,13 +21,31 @@ def text(c: Column) -> Column:
     return clean_text(c)
 
 
-def optional(guard: Guard) -> Guard:
+@dataclass(frozen=True)
+class optional:  # noqa: N801
     """Empty text passes as null."""
-    return lambda c: F.when(F.coalesce(c, F.lit("")) != "", guard(c))
 
+    guard: Guard
+
+    def __call__(self, c: Column) -> Column:
+        return F.when(F.coalesce(c, F.lit("")) != "", self.guard(c))
+
+
+class one_of:  # noqa: N801
+    def __init__(self, *values: str):
+        self.values = values
+
+    def __call__(self, c: Column) -> Column:
+        return F.when(c.isin(*self.values), c)
+
+
+def whole(c: Column) -> Column:
+    return c.try_cast("long")
 
-def one_of(*values: str) -> Guard:
-    return lambda c: F.when(c.isin(*values), c)
+
+def full_weight(c: Column) -> Column:
+    """A consolidation weight, which must be one."""
+    return F.when(c.try_cast("decimal(9,4)") == 1, c.try_cast("decimal(9,4)"))
 
 
 amount: Guard = lambda c: accounting_number(c, AMOUNT)
@@ -45,20 +63,6 @@ class Contract:
     also: tuple[tuple[str, Callable[[], Column]], ...] = field(default=())
 
 
-def _c(**columns) -> dict[str, tuple]:
-    return {k: v if isinstance(v, tuple) else (k, v, False) for k, v in columns.items()}
-
-
-def heading(name: str) -> str:
-    """`gl_balance` as GLBalance."""
-    return "".join(x.upper() if x in ("id", "gst", "gl", "abn", "ytd") else x.capitalize() for x in name.split("_"))
-
-
-def _h(**columns) -> dict[str, tuple]:
-    """Columns whose headings are written together with capitals."""
-    return {heading(k): v if isinstance(v, tuple) else (k, v, False) for k, v in columns.items()}
-
-
 #: Classes of tax (fixed values).
 GST = ("taxable_sales", "creditable_purchases", "non_creditable", "gst_free", "input_taxed", "bas_excluded", "mixed", "gst", "gst_collected", "gst_paid")
 TB = Contract(
@@ -70,35 +74,83 @@ one_positive = ("ONE_SIDE", lambda: ((F.col("debit") > 0) != (F.col("credit") >
 identity: Guard = lambda c: F.when(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,79}$"), c)
 currency: Guard = lambda c: F.when(c.rlike("^[A-Z]{3}$"), c)
 
-#: Contracts by source name.
+digest: Guard = lambda c: F.when(c.rlike("^[0-9a-f]{64}$"), c)
+turnover: Guard = lambda c: F.when(turnover_bounds(c)[0] < turnover_bounds(c)[1], c)
+valid_abn: Guard = lambda c: F.when(abn_valid(c), c)
+logical: Guard = lambda c: F.when(F.lower(c).isin("true", "false"), F.lower(c) == "true")
+
+#: Sub-classes of accounts by class (fixed values).
+BY_CLASS = {
+    "Asset": ("Current Assets", "Non-Current Assets"), "Liability": ("Current Liabilities", "Non-Current Liabilities"), "Equity": ("Equity",), "Revenue": ("Operating Revenue", "Intercompany Revenue"),
+    "Expense": ("Cost of Sales", "Operating Expenses"),
+}
+SUB_CLASSES = tuple(x for v in BY_CLASS.values() for x in v)
+
+
+def classified() -> Column:
+    """The sub-class is one of the class's, and the report section the class's."""
+    fits = F.lit(False)
+    for k, v in BY_CLASS.items():
+        fits = fits | (F.col("class") == k) & F.col("sub_class").isin(*v)
+    return fits & ((F.col("report_section") == "Profit and Loss") == F.col("class").isin("Revenue", "Expense"))
+
+
+def counterparty() -> Column:
+    """An intercompany line names another entity, other lines none need."""
+    other = F.col("intercompany_entity_id")
+    return ~F.col("is_intercompany") | (other.isNotNull() & (other != F.col("entity_id")))
+
+
+def dated() -> Column:
+    return (F.col("statutory_due_date") >= F.col("pay_date")) & (F.col("fund_receipt_date") >= F.col("remittance_date")) & (F.col("remittance_date") >= F.col("pay_date"))
+
+
+def on_time() -> Column:
+    return (F.col("compliance_status") == "LATE_BREACH") == (F.col("fund_receipt_date") > F.col("statutory_due_date"))
+
+
+def estimated() -> Column:
+    """No charge or interest before payday super began on 1 July 2026, nor on receipts in time."""
+    free = (F.col("pay_date") < F.lit("2026-07-01").cast("date")) | (F.col("compliance_status") == "ON_TIME")
+    return ~free | (F.col("sgc_shortfall") == 0) & (F.col("gic_nominal_interest") == 0)
+
+
+#: Contracts by source name: heading -> (column, guard, may be empty). Headings and allowed values are fixed values of the file formats.
 CONTRACTS = {
     "trial_balance": TB,
-    "account_mapping": Contract(_h(account_id=text, review_group=text), key=("account_id",)),
-    "mapping_policy": Contract(_h(section=text, review_group=text), key=("section", "review_group")),
-    "balance_policy": Contract(_h(account_id=text, expected_balance=one_of("debit", "credit", "nil", "any"), expect_movement=yes_no), key=("account_id",)),
-    "gst_mapping": Contract(_h(account_id=text, gst_class=one_of(*GST)), key=("account_id",)),
-    "gst_settlements": Contract(_h(reference=text, amount=amount), key=("reference",)),
-    "gst_settlements_by_side": Contract(_h(reference=text, amount=amount, side=one_of("collected", "paid")), key=("reference",)),
-    "subledger": Contract(_h(tenant=text, account_id=text, subledger_balance=amount), key=("tenant", "account_id")),
-    "contacts": Contract(_h(contact_id=text, name=text, abn=("abn", optional(text), True)), key=("contact_id",)),
-    "transactions": Contract(_h(tenant=text, account_id=text, currency=currency, transaction_id=identity, date=iso_date, reference=("reference", optional(text), True), description=("description", optional(text), True), debit=money, credit=money), key=("tenant", "account_id", "transaction_id"), single=("currency",), also=(one_positive,)),
-    "decisions": Contract(_h(group=text, transaction_id=identity, decision=("decision", optional(one_of("accept", "reject")), True), note=("note", optional(text), True)), key=("transaction_id",)),
-    "open_items": Contract(_h(item_id=text, severity=one_of("BLOCKING", "EXPLAIN", "TRIVIAL"), owner=("owner", optional(text), True), due_date=iso_date, status=one_of("OPEN", "CLEARED"), description=text, resolution=("resolution", optional(text), True)), key=("item_id",)),
-    "activity_statement": Contract(_h(label=one_of("1A", "1B", "GST_OPENING"), amount=amount), key=("label",)),
-    "gst_control_gl": Contract(_h(date=iso_date, account_id=text, account_name=text, debit=amount, credit=amount, description=("description", optional(text), True))),
-    "bank_rec": Contract(_h(account_id=text, statement_balance=amount, gl_balance=amount), key=("account_id",)),
-    "tie_out_matrix": Contract(_h(statement_line=text, statement_amount=amount, workpaper_ref=("workpaper_ref", optional(text), True), source_file=("source_file", optional(text), True), status=one_of("TIED", "EXCEPTION", "UNSUPPORTED")), key=("statement_line",)),
-    "fs_mapping": Contract(_h(statement_line=text, account_id=text, normal_balance=one_of("debit", "credit")), key=("account_id",)),
-    "prior_findings": Contract(_h(finding_code=text, slot=text, status=one_of("OPEN", "CLOSED")), key=("finding_code", "slot")),
-    "dim_account": Contract(_c(account_code=text, account_name=text, **{"class": text}, sub_class=text, report_section=text, normal_balance=one_of("debit", "credit"), sort_order=lambda c: c.try_cast("long")), key=("account_code",)),
-    "dim_entity": Contract(_c(entity_id=text, legal_name=text, abn=text, anzsic_code=text, currency=one_of("AUD"), consolidation_weight=lambda c: F.when(c.try_cast("decimal(9,4)") == 1, c.try_cast("decimal(9,4)"))), key=("entity_id",)),
-    "fact_gl": Contract(_c(journal_id=text, line_number=lambda c: c.try_cast("long"), posting_date=iso_date, entity_id=text, account_code=text, debit=amount, credit=amount, amount=amount), key=("journal_id", "line_number"), also=(("AMOUNT", lambda: F.col("amount") == F.col("debit") - F.col("credit")),)),
-    "fact_budget": Contract(_c(period_date=iso_date, entity_id=text, account_code=text, budget_amount=amount), key=("period_date", "entity_id", "account_code"), also=(("MONTH_START", lambda: F.trunc("period_date", "month") == F.col("period_date")),)),
-    "fact_payroll": Contract(_c(event_id=text, employee_id=text, entity_id=text, pay_date=iso_date, gross_earnings=amount, super_liability=amount, fund_receipt_date=("fund_receipt_date", optional(iso_date), True)), key=("event_id",)),
-    "grant_ledger": Contract(_c(ledger_id=text, date=iso_date, description=text, amount=money, cash_paid=money, evidence=("evidence", optional(text), True)), key=("ledger_id",), ordered=True),
-    "grant_allocations": Contract(_c(allocation_id=text, ledger_id=text, grant_id=text, budget_line=text, amount=money, cash_allocated=money, approved=yes_no, evidence=("evidence", optional(text), True)), key=("allocation_id",), ordered=True),
-    "grant_receipts": Contract(_c(receipt_id=text, grant_id=text, date=iso_date, amount=money, evidence=("evidence", optional(text), True)), key=("receipt_id",), ordered=True),
-    "grant_contributions": Contract(_c(contribution_id=text, grant_id=text, date=iso_date, kind=one_of("interest", "cash_contribution", "in_kind"), amount=money, evidence=("evidence", optional(text), True)), key=("contribution_id",), ordered=True),
+    "account_mapping": Contract({"AccountID": ("account_id", text, False), "ReviewGroup": ("review_group", text, False)}, key=("account_id",)),
+    "mapping_policy": Contract({"Section": ("section", text, False), "ReviewGroup": ("review_group", text, False)}, key=("section", "review_group")),
+    "balance_policy": Contract({"AccountID": ("account_id", text, False), "ExpectedBalance": ("expected_balance", one_of("debit", "credit", "nil", "any"), False), "ExpectMovement": ("expect_movement", yes_no, False)}, key=("account_id",)),
+    "gst_mapping": Contract({"AccountID": ("account_id", text, False), "GSTClass": ("gst_class", one_of(*GST), False)}, key=("account_id",)),
+    "gst_settlements": Contract({"Reference": ("reference", text, False), "Amount": ("amount", amount, False)}, key=("reference",)),
+    "gst_settlements_by_side": Contract({"Reference": ("reference", text, False), "Amount": ("amount", amount, False), "Side": ("side", one_of("collected", "paid"), False)}, key=("reference",)),
+    "subledger": Contract({"Tenant": ("tenant", text, False), "AccountID": ("account_id", text, False), "SubledgerBalance": ("subledger_balance", amount, False)}, key=("tenant", "account_id")),
+    "contacts": Contract({"ContactID": ("contact_id", text, False), "Name": ("name", text, False), "ABN": ("abn", optional(text), True)}, key=("contact_id",)),
+    "transactions": Contract({"Tenant": ("tenant", text, False), "AccountID": ("account_id", text, False), "Currency": ("currency", currency, False), "TransactionID": ("transaction_id", identity, False), "Date": ("date", iso_date, False), "Reference": ("reference", optional(text), True), "Description": ("description", optional(text), True), "Debit": ("debit", money, False), "Credit": ("credit", money, False)}, key=("tenant", "account_id", "transaction_id"), single=("currency",), also=(one_positive,)),
+    "decisions": Contract({"Group": ("group", text, False), "TransactionID": ("transaction_id", identity, False), "Decision": ("decision", optional(one_of("accept", "reject")), True), "Note": ("note", optional(text), True)}, key=("transaction_id",)),
+    "open_items": Contract({"ItemID": ("item_id", text, False), "Severity": ("severity", one_of("BLOCKING", "EXPLAIN", "TRIVIAL"), False), "Owner": ("owner", optional(text), True), "DueDate": ("due_date", iso_date, False), "Status": ("status", one_of("OPEN", "CLEARED"), False), "Description": ("description", text, False), "Resolution": ("resolution", optional(text), True)}, key=("item_id",)),
+    "activity_statement": Contract({"Label": ("label", one_of("1A", "1B", "GST_OPENING"), False), "Amount": ("amount", amount, False)}, key=("label",)),
+    "gst_control_gl": Contract({"Date": ("date", iso_date, False), "AccountID": ("account_id", text, False), "AccountName": ("account_name", text, False), "Debit": ("debit", amount, False), "Credit": ("credit", amount, False), "Description": ("description", optional(text), True)}),
+    "bank_rec": Contract({"AccountID": ("account_id", text, False), "StatementBalance": ("statement_balance", amount, False), "GLBalance": ("gl_balance", amount, False)}, key=("account_id",)),
+    "tie_out_matrix": Contract({"StatementLine": ("statement_line", text, False), "StatementAmount": ("statement_amount", amount, False), "WorkpaperRef": ("workpaper_ref", optional(text), True), "SourceFile": ("source_file", optional(text), True), "Status": ("status", one_of("TIED", "EXCEPTION", "UNSUPPORTED"), False)}, key=("statement_line",)),
+    "fs_mapping": Contract({"StatementLine": ("statement_line", text, False), "AccountID": ("account_id", text, False), "NormalBalance": ("normal_balance", one_of("debit", "credit"), False)}, key=("account_id",)),
+    "prior_findings": Contract({"FindingCode": ("finding_code", text, False), "Slot": ("slot", text, False), "Status": ("status", one_of("OPEN", "CLOSED"), False)}, key=("finding_code", "slot")),
+    "dim_account": Contract({"AccountCode": ("account_code", text, False), "AccountName": ("account_name", text, False), "Class": ("class", one_of("Asset", "Liability", "Equity", "Revenue", "Expense"), False), "SubClass": ("sub_class", one_of(*SUB_CLASSES), False), "ReportSection": ("report_section", one_of("Profit and Loss", "Balance Sheet"), False), "BalanceSheetGroup": ("balance_sheet_group", optional(text), True), "CashFlowCategory": ("cash_flow_category", optional(text), True), "NormalBalance": ("normal_balance", one_of("Debit", "Credit"), False), "SortOrder": ("sort_order", whole, False)}, key=("account_code",), ordered=True, also=(("CLASSIFICATION", classified),)),
+    "dim_entity": Contract({"EntityID": ("entity_id", text, False), "LegalName": ("legal_name", text, False), "TradingName": ("trading_name", text, False), "ABN": ("abn", optional(valid_abn), True), "ACN": ("acn", optional(text), True), "TaxStructure": ("tax_structure", optional(text), True), "EntityRole": ("entity_role", optional(text), True), "ANZSIC_Code": ("anzsic_code", text, False), "Currency": ("currency", one_of("AUD"), False), "ConsolidationWeight": ("consolidation_weight", full_weight, False)}, key=("entity_id",), ordered=True),
+    "dim_benchmark": Contract({"ANZSIC_Code": ("anzsic_code", text, False), "TurnoverRange": ("turnover_range", turnover, False), "GrossProfitPct_Low": ("gross_profit_low", money, False), "GrossProfitPct_Avg": ("gross_profit_avg", money, False), "GrossProfitPct_High": ("gross_profit_high", money, False), "TotalExpensesPct_Avg": ("total_expenses_avg", money, False), "RentPct_Avg": ("rent_avg", money, False), "MotorVehiclePct_Avg": ("motor_vehicle_avg", money, False), "LabourPct_Avg": ("labour_avg", money, False)},
+        key=("anzsic_code", "turnover_range"), ordered=True, also=(("BOUNDS", lambda: (F.col("gross_profit_low") <= F.col("gross_profit_avg")) & (F.col("gross_profit_avg") <= F.col("gross_profit_high")) & (F.col("gross_profit_high") <= 100)),)),
+    "fact_gl": Contract({"JournalID": ("journal_id", text, False), "LineNumber": ("line_number", whole, False), "PostingDate": ("posting_date", iso_date, False), "EntityID": ("entity_id", text, False), "AccountCode": ("account_code", text, False), "Debit": ("debit", money, False), "Credit": ("credit", money, False), "Amount": ("amount", amount, False), "Description": ("description", optional(text), True), "IntercompanyEntityID": ("intercompany_entity_id", optional(text), True), "IsIntercompany": ("is_intercompany", logical, False)},
+        key=("journal_id", "line_number"), ordered=True, also=(("AMOUNT", lambda: F.col("amount") == F.col("debit") - F.col("credit")), ("INTERCOMPANY", counterparty))),
+    "fact_budget": Contract({"PeriodDate": ("period_date", iso_date, False), "EntityID": ("entity_id", text, False), "AccountCode": ("account_code", text, False), "BudgetAmount": ("budget_amount", amount, False)}, key=("period_date", "entity_id", "account_code"), ordered=True, also=(("MONTH_START", lambda: F.trunc("period_date", "month") == F.col("period_date")),)),
+    "fact_payroll": Contract({"EventID": ("event_id", text, False), "EmployeeID": ("employee_id", text, False), "EntityID": ("entity_id", text, False), "EmployeeName": ("employee_name", text, False), "PayDate": ("pay_date", iso_date, False), "GrossEarnings": ("gross_earnings", money, False), "QualifyingEarnings_CodeQ": ("qualifying_earnings", money, False), "SuperLiability_CodeL": ("super_liability", money, False), "SuperFundUSI": ("super_fund_usi", text, False), "SuperFundName": ("super_fund_name", text, False), "RemittanceDate": ("remittance_date", iso_date, False), "FundReceiptDate": ("fund_receipt_date", iso_date, False), "StatutoryDueDate": ("statutory_due_date", iso_date, False), "ComplianceStatus": ("compliance_status", one_of("ON_TIME", "LATE_BREACH"), False), "SGC_Shortfall": ("sgc_shortfall", money, False), "GIC_NominalInterest": ("gic_nominal_interest", money, False)},
+        key=("event_id",), ordered=True, also=(("DATES", dated), ("STATUS", on_time), ("ESTIMATE", estimated))),
+    "review_run": Contract({"RunID": ("run_id", digest, False), "Entity": ("entity", text, False), "Tenant": ("tenant", text, False), "Period": ("period", iso_date, False), "Basis": ("basis", text, False), "Currency": ("currency", currency, False), "CloseStatus": ("close_status", optional(text), True), "ReadinessStatus": ("readiness_status", optional(text), True), "PriorPeriod": ("prior_period", optional(iso_date), True), "AbsoluteThreshold": ("absolute_threshold", optional(amount), True), "PercentageThreshold": ("percentage_threshold", optional(text), True), "ControlsNotRun": ("controls_not_run", optional(text), True), "ReadinessControlsNotRun": ("readiness_controls_not_run", optional(text), True), "Acknowledgement": ("acknowledgement", optional(text), True), "UnmappedExceptions": ("unmapped_exceptions", optional(text), True), "SourceTBHash": ("source_tb_hash", optional(text), True), "SourceGLHash": ("source_gl_hash", optional(text), True), "Verification": ("verification", optional(text), True), "Boundary": ("boundary", optional(text), True)}, key=("run_id",), ordered=True),
+    "review_exception": Contract({"RunID": ("run_id", digest, False), "Entity": ("entity", text, False), "Tenant": ("tenant", text, False), "Period": ("period", iso_date, False), "Basis": ("basis", text, False), "Currency": ("currency", currency, False), "ExceptionKey": ("exception_key", text, False), "Control": ("control", text, False), "Status": ("status", text, False), "AccountID": ("account_id", optional(text), True), "Account": ("account", optional(text), True), "Current": ("current", optional(amount), True), "Prior": ("prior", optional(amount), True), "Difference": ("difference", optional(amount), True), "Threshold": ("threshold", optional(amount), True), "Reason": ("reason", optional(text), True), "Action": ("action", optional(text), True), "Question": ("question", optional(text), True), "EvidenceRequested": ("evidence_requested", optional(text), True), "EvidenceState": ("evidence_state", optional(text), True)}, key=("run_id", "exception_key"), ordered=True),
+    "review_evidence": Contract({"RunID": ("run_id", digest, False), "Entity": ("entity", text, False), "Tenant": ("tenant", text, False), "Period": ("period", iso_date, False), "Basis": ("basis", text, False), "Currency": ("currency", currency, False), "ExceptionKey": ("exception_key", text, False), "AccountID": ("account_id", text, False), "TransactionID": ("transaction_id", text, False), "Date": ("date", iso_date, False), "Reference": ("reference", optional(text), True), "Description": ("description", optional(text), True), "Amount": ("amount", amount, False)}, key=("run_id", "exception_key", "transaction_id"), ordered=True),
+    "grant_ledger": Contract({"ledger_id": ("ledger_id", text, False), "date": ("date", iso_date, False), "description": ("description", text, False), "amount": ("amount", money, False), "cash_paid": ("cash_paid", money, False), "evidence": ("evidence", optional(text), True)}, key=("ledger_id",), ordered=True),
+    "grant_allocations": Contract({"allocation_id": ("allocation_id", text, False), "ledger_id": ("ledger_id", text, False), "grant_id": ("grant_id", text, False), "budget_line": ("budget_line", text, False), "amount": ("amount", money, False), "cash_allocated": ("cash_allocated", money, False), "approved": ("approved", yes_no, False), "evidence": ("evidence", optional(text), True)}, key=("allocation_id",), ordered=True),
+    "grant_receipts": Contract({"receipt_id": ("receipt_id", text, False), "grant_id": ("grant_id", text, False), "date": ("date", iso_date, False), "amount": ("amount", money, False), "evidence": ("evidence", optional(text), True)}, key=("receipt_id",), ordered=True),
+    "grant_contributions": Contract({"contribution_id": ("contribution_id", text, False), "grant_id": ("grant_id", text, False), "date": ("date", iso_date, False), "kind": ("kind", one_of("interest", "cash_contribution", "in_kind"), False), "amount": ("amount", money, False), "evidence": ("evidence", optional(text), True)}, key=("contribution_id",), ordered=True),
 }
 
 #: JSON documents by source name.
@@ -212,6 +264,9 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, cells): records of report-shaped CSVs in file order. A report is one file of some pages, split by line within its task."""
+    """(file, pos, cells): records of report-shaped CSVs in file order, with as many cells as each has. A report is one file of some pages, split by
+    line within its task; a cell doesn't hold a line break. A quote that isn't closed leaves the rest of its line as one cell."""
     f = capture(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("pos", "line"))
-    return f.select("file", "pos", F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(20)))).alias("c"), (F.size(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1))).alias("n")).select("file", "pos", F.slice(F.array(*[F.coalesce(f"c.c{i}", F.lit("")) for i in range(20)]), F.lit(1), F.col("n")).alias("cells"))
+    # a cell is quoted, with quotes doubled, or runs to the next comma; every match takes the comma before it, so an empty first cell isn't lost
+    raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), 1)
+    return f.select("file", "pos", F.transform(raw, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)).alias("cells"))
