@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,6 +173,19 @@ def money_display(amount: Column | str) -> Column:
     return F.when(col(amount) < 0, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
 
 
+def fraction_units(fraction: str) -> int:
+    """A fraction of at most one in units of 10^-8; more places are refused, so that products with amounts stay exact."""
+    units = Decimal(fraction).scaleb(8)
+    if units != int(units):
+        raise ValueError(f"a fraction has at most eight places: {fraction}")
+    return int(units)
+
+
+def times(amount: Column, units: int) -> Column:
+    """amount x units, exactly: an amount of up to 17 digits before its ten places, and units of up to nine digits."""
+    return amount.cast("decimal(27,10)") * F.lit(units).cast("decimal(9,0)")
+
+
 def percent(current: Column, prior: Column, places: int = 4) -> Column:
     """(current - prior) / |prior| in per cent, half up; null where prior is zero or missing."""
     return F.when(prior != 0, F.round((current - prior) * 100 / F.abs(prior), places))

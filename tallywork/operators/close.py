@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import AMOUNT, TOTAL, abn_valid, financial_year, listed, percent
+from ..functions.columns import AMOUNT, TOTAL, abn_valid, financial_year, fraction_units, listed, times
 from .checks import check_thresholds
 
 FIELDS = {
@@ -60,14 +61,15 @@ def period_comparison(pairs: DataFrame) -> DataFrame:
 
 
 def period_variance(pairs: DataFrame, absolute: float | str, fraction: str) -> DataFrame:
-    """Year-to-date changes at or over both thresholds; the fraction is compared by multiplication, so it is exact. A prior of zero has no percentage."""
+    """Year-to-date changes at or over both thresholds; the fraction is compared by multiplication in whole units, so it is exact. A prior of zero has
+    no percentage; percentage_change is the change over the prior, without sign."""
     check_thresholds(str(absolute), fraction)
     two = _sides(pairs.where("cur is not null and pri is not null"))
     c, p, limit = F.col("cur.ytd_net"), F.col("pri.ytd_net"), F.lit(str(absolute)).cast(AMOUNT)
     change = (c - p).cast(TOTAL)
-    over = (F.abs(change) >= limit) & (F.abs(change) >= (F.abs(p).cast("decimal(28,2)") * F.lit(fraction).cast("decimal(6,4)"))) & (change != 0)
+    over = (F.abs(change) >= limit) & (times(F.abs(change), 10**8) >= times(F.abs(p), fraction_units(fraction))) & (change != 0)
     sign = F.when((c > 0) & (p < 0) | (c < 0) & (p > 0), "balance changed sign").when(p == 0, "balance from nil").otherwise("movement over both thresholds")
-    return exceptions(two.where(over), "period_variance", sign, "Explain the movement", current_value=c, prior_value=p, difference=change, threshold=limit, percentage_change=percent(c.cast("decimal(28,4)"), p.cast("decimal(28,4)")))
+    return exceptions(two.where(over), "period_variance", sign, "Explain the movement", current_value=c, prior_value=p, difference=change, threshold=limit, percentage_change=F.try_divide(F.abs(change).cast("decimal(27,10)"), F.abs(p).cast("decimal(27,10)")))
 
 
 def account_metadata(pairs: DataFrame) -> DataFrame:
@@ -132,10 +134,13 @@ def gst_sums(tb: DataFrame, classes: DataFrame, settlements: DataFrame) -> DataF
 
 
 def gst_reasonableness(tb: DataFrame, classes: DataFrame, settlements: DataFrame, absolute: str, fraction: str) -> DataFrame:
-    """Recorded tax and settlements against a tenth of sales less purchases, beyond absolute + fraction x (|collected| + |paid|)."""
-    s = gst_sums(tb, classes, settlements)
-    room = F.lit(absolute).cast(AMOUNT) + (F.abs("collected") + F.abs("paid")).cast("decimal(28,2)") * F.lit(fraction).cast("decimal(6,4)")
-    over = s.where(F.abs("tenfold") > 10 * room)
+    """Recorded tax and settlements against a tenth of sales less purchases, beyond absolute + fraction x (|collected| + |paid|), exactly."""
+    check_thresholds(absolute, fraction)
+    s, base = gst_sums(tb, classes, settlements), F.abs("collected") + F.abs("paid")
+    whole = lambda c: c.cast("decimal(37,10)")
+    # 10^8 x |tenfold| against 10^9 x room, the base tenfold before it is multiplied
+    over = s.where(times(F.abs("tenfold"), 10**8) > whole(F.lit(Decimal(absolute) * 10**9)) + whole(times(10 * base, fraction_units(fraction))))
+    room = (whole(F.lit(Decimal(absolute) * 10**8)) + whole(times(base, fraction_units(fraction)))) / F.lit(10**8).cast("decimal(9,0)")
     return exceptions(over, "gst_reasonableness", "recorded tax differs from a tenth of the taxable amounts", "Review the tax coding", current_value=F.col("recorded"), difference=F.col("tenfold") / 10, threshold=room)
 
 
@@ -178,6 +183,24 @@ def equity_reconciliation(pairs: DataFrame, movements: DataFrame) -> DataFrame:
     return total.withColumn("difference", F.col("opening") + F.col("movement") - F.col("closing"))
 
 
+def contact_exceptions(contacts: DataFrame, periods: DataFrame) -> DataFrame:
+    """contact_register's issues as exceptions of the tenant's last period (tenant, report_date): the register is the state then."""
+    last = periods.groupBy("tenant").agg(F.max("report_date").alias("report_date"))
+    return exceptions(contact_register(contacts).join(last, "tenant"), "contact_register", F.concat("issue", F.lit(" "), "contact_id"), "Correct the register")
+
+
+def equity_exceptions(reconciled: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """Accounts of equity_reconciliation whose opening plus movements differ from the closing by more than the tolerance; totals are left out."""
+    bad = reconciled.where(F.col("account_id").isNotNull() & (F.abs("difference") > F.lit(tolerance).cast(AMOUNT)))
+    return exceptions(bad, "equity_reconciliation", "opening plus movements differ from the closing", "Complete the movement schedule", current_value=F.col("closing"), prior_value=F.col("opening"), threshold=F.lit(tolerance))
+
+
+def evidence_exceptions(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """evidence_issues as exceptions of the evidence's tenant and period."""
+    who = evidence.select("evidence_id", "tenant", "report_date", "label")
+    return exceptions(evidence_issues(evidence, sources).join(who, "evidence_id"), "calculation_evidence", F.concat("label", F.lit(": "), "issue"), "Repeat the calculation")
+
+
 def enrich(found: DataFrame, mapped: DataFrame) -> DataFrame:
     """Exceptions with the review group of their account."""
     return found.drop("review_group").join(mapped, "account_id", "left").select(*FIELDS)

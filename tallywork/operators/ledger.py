@@ -17,7 +17,7 @@ def journal_issues(lines: DataFrame) -> DataFrame:
 
 def line_issues(lines: DataFrame, accounts: DataFrame, entities: DataFrame) -> DataFrame:
     """lines that break a rule, with `issue`: amount = debit - credit, one side only, known account and entity, counterparty only on intercompany lines."""
-    known = lines.join(F.broadcast(accounts.select("account_id", F.lit(True).alias("has_account"))), "account_id", "left").join(F.broadcast(entities.select(F.col("entity_id").alias("tenant"), F.lit(True).alias("has_entity"))), "tenant", "left")
+    known = lines.join(accounts.select("account_id", F.lit(True).alias("has_account")), "account_id", "left").join(entities.select(F.col("entity_id").alias("tenant"), F.lit(True).alias("has_entity")), "tenant", "left")
     issue = (
         F.when(F.col("amount") != F.col("debit") - F.col("credit"), "AMOUNT")
         .when((F.col("debit") < 0) | (F.col("credit") < 0) | ((F.col("debit") > 0) & (F.col("credit") > 0)), "SIGN")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT
 from ..operators import close, ledger
+from ..sources.staging import staged
 from .derive import LEDGER_SQL, PAIRS_SQL, TB_SQL, _values, chart, in_cents, money, policy, table
 from .derive import ledger as ledger_lines
 from .derive import tb as trial_balance
@@ -113,6 +114,13 @@ def period_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(close.period_variance(close.pair_periods(trial_balance(spark, sf_dir)), "100000", "0.10"))
 
 
+@query(f"""WITH {PAIRS_SQL} SELECT tenant, report_date, account_id, cur AS current_value, pri AS prior_value FROM pairs WHERE cur <> pri AND abs(cur - pri) >= 1 AND 100000000 * CAST(abs(cur - pri) AS HUGEINT) >= 4321 * CAST(abs(pri) AS HUGEINT)""")
+def exact_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W06 at 0.01 and 0.00004321: a fraction of eight places is compared without rounding."""
+    got = close.period_variance(close.pair_periods(trial_balance(spark, sf_dir)), "0.01", "0.00004321")
+    return got.select("tenant", "report_date", "account_id", *[in_cents(c).alias(c) for c in ("current_value", "prior_value")])
+
+
 @query(f"""WITH {PAIRS_SQL} SELECT 'account_metadata' AS control, 'REVIEW' AS status, tenant, report_date, account_id, cur AS current_value, pri AS prior_value, CAST(NULL AS BIGINT) AS difference,
   CASE WHEN account_id = '820' THEN 'account name and section changed' ELSE 'account code changed' END AS reason FROM pairs WHERE account_id = '110' AND (month(report_date) = 3) <> (month(prior_date) = 3) OR account_id = '820' AND (year(report_date) >= 1998) <> (year(prior_date) >= 1998)""")
 def account_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +158,13 @@ def balance_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subledger_of(spark, sf_dir, trial_balance(spark, sf_dir))
+
+
+def _subledger_of(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
     """Receivables per tenant, a cent more where the nation's key divides by five; and one account that no ledger has."""
     keys = table(spark, sf_dir, "nation").select(F.col("n_name").alias("tenant"), (F.col("n_nationkey") % 5 == 0).alias("bend"))
-    rows = close.net(trial_balance(spark, sf_dir)).where("account_id = '110'").join(keys, "tenant")
+    rows = close.net(t).where("account_id = '110'").join(keys, "tenant")
     own = rows.select("tenant", "report_date", "account_id", (F.col("ytd_net") + F.when(F.col("bend"), F.lit(1)).otherwise(0)).cast(AMOUNT).alias("subledger_balance"))
     return own.unionByName(rows.where("bend").select("tenant", "report_date", F.lit("115").alias("account_id"), F.lit(5).cast(AMOUNT).alias("subledger_balance")))
 
@@ -179,7 +191,11 @@ GST_SQL = f"""{TB_SQL}, g AS (SELECT tenant, report_date, -sum(CASE WHEN section
 
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trial_balance(spark, sf_dir).where("account_id = '820' and day(report_date) = 31").select("tenant", "report_date", F.lit("collected").alias("side"), F.lit(100).cast(AMOUNT).alias("amount"))
+    return _settled_of(trial_balance(spark, sf_dir))
+
+
+def _settled_of(t: DataFrame) -> DataFrame:
+    return t.where("account_id = '820' and day(report_date) = 31").select("tenant", "report_date", F.lit("collected").alias("side"), F.lit(100).cast(AMOUNT).alias("amount"))
 
 
 @query(f"WITH {GST_SQL} SELECT tenant, report_date, CAST(tax AS BIGINT) AS recorded, CAST(10 * (tax + settled) - sales AS BIGINT) AS tenfold FROM g WHERE abs(10 * (tax + settled) - sales) * 2 > 10 * (20000 + abs(tax))")
@@ -234,8 +250,8 @@ def equity_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: all period controls, enriched."""
-    t = trial_balance(spark, sf_dir)
+    """The controls over trial balances of two periods, enriched; the trial balances are written once and read by each."""
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
     pairs, mapped = close.pair_periods(t), policy(spark, MAPPED, "account_id string, review_group string")
     parts = [close.integrity(t), close.period_comparison(pairs), close.period_variance(pairs, "100000", "0.10"), close.account_metadata(pairs), close.financial_year_reset(pairs), close.mapping(t, mapped)]
     return close.enrich(close.union(parts), mapped)
@@ -247,11 +263,77 @@ FOUND_SQL = f"""{PAIRS_SQL}, found AS (SELECT 'period_variance' AS control, tena
   UNION ALL SELECT 'account_mapping', tenant, report_date, account_id, account_name, 'account has no review group' FROM tb WHERE account_id = '600-R')"""
 
 
-@query(f"""WITH {FOUND_SQL} SELECT f.control, tenant, report_date, f.account_id, m.g AS review_group, reason, CAST(row_number() OVER (PARTITION BY tenant, report_date ORDER BY f.control, coalesce(f.account_id, ''), reason) AS INTEGER) AS ordinal
-  FROM found f LEFT JOIN {_values(MAPPED)} m(account_id, g) ON f.account_id = m.account_id""")
+CLASSED = [*CLASSES, ("110", "bas_excluded")]
+REQUIRED = [("subledger",), ("integrity",), ("gst",)]
+
+
+def _evidence(periods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A calculation of each tenant's tax per period, and the digests that are known: some failed, of another period, or of an unknown source."""
+    month = F.month("report_date")
+    sha = F.sha2(F.concat_ws("|", "tenant", F.date_format("report_date", "yyyy-MM-dd")), 256)
+    rows = periods.select(
+        sha.alias("evidence_id"), "tenant", "report_date", F.concat(F.lit("gst-"), F.lower(F.translate("tenant", " ", "-"))).alias("label"), F.when(month % 4 == 0, "failed").otherwise("computed").alias("status"),
+        F.when(month == 5, F.date_add("report_date", 1)).otherwise(F.col("report_date")).alias("period_end"), F.when(month == 7, 0).otherwise(1).alias("rate_tables"), sha.alias("sha256"), (month != 9).alias("accepted"),
+    )
+    return rows, rows.where("month(report_date) <> 11").select("sha256")
+
+
+def all_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the exceptions of every control, of all tenants and periods, enriched. The trial balances are written once and read by each."""
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    periods = t.select("tenant", "report_date").distinct()
+    pairs, mapped = close.pair_periods(t), policy(spark, MAPPED, "account_id string, review_group string")
+    classes = policy(spark, CLASSED, "account_id string, gst_class string")
+    covered = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("tenant"), F.lit("820").alias("account_id"))
+    tax = t.where("section = 'Liabilities'")
+    movements = tax.where("month(report_date) <> 7").select("tenant", "report_date", "account_id", "debit", "credit")
+    runs = _runs_of(periods).unionByName(periods.select("*", F.lit("gst").alias("control"), F.lit("RAN").alias("state")))
+    parts = [
+        close.integrity(t), close.period_comparison(pairs), close.period_variance(pairs, "100000", "0.10"), close.account_metadata(pairs), close.financial_year_reset(pairs), close.mapping(t, mapped),
+        close.mapping_compatibility(t, mapped, policy(spark, PERMITTED, "section string, review_group string")),
+        close.balance_policy(t, policy(spark, EXPECTED, "account_id string, expected_balance string, expect_movement boolean")),
+        close.subledger(t, _subledger_of(spark, sf_dir, t)), close.reconciliation_coverage(t, _subledger_of(spark, sf_dir, t), covered),
+        close.gst_reasonableness(t, classes, _settled_of(t), "100", "0.5"), close.gst_not_run(t, classes), close.contact_exceptions(contacts(spark, sf_dir), periods),
+        close.equity_exceptions(close.equity_reconciliation(close.pair_periods(tax), movements)), close.evidence_exceptions(*_evidence(periods)),
+        close.required_controls(runs, policy(spark, REQUIRED, "control string")),
+    ]
+    return close.enrich(close.union(parts), mapped)
+
+
+def _control(control: str, select: str, account: str = "NULL", name: str = "NULL", status: str = "REVIEW") -> str:
+    """SQL of one control's rows; select: from tenant and report_date on, with reason first."""
+    return f"SELECT '{control}' AS control, '{status}' AS status, tenant, report_date, {account} AS account_id, {name} AS account_name, {select}"
+
+
+ALL_FOUND_SQL = f"""{FOUND_SQL}, {GST_SQL[GST_SQL.index("g AS ("):]}, k AS (SELECT n_name AS tenant, n_nationkey % 5 = 0 AS bend FROM nation), {CONTACTS_SQL}, d AS (SELECT DISTINCT tenant, report_date FROM tb),
+  pol AS (SELECT * FROM {_values(EXPECTED)} t(account_id, e, m)), pf AS (SELECT d.tenant, d.report_date, pol.account_id, account_name, e, m, coalesce(ytd, 0) AS n, coalesce(net, 0) AS v FROM d CROSS JOIN pol LEFT JOIN tb USING (tenant, report_date, account_id)),
+  reg AS (SELECT tenant, contact_id, 'INVALID_ABN' AS issue FROM v WHERE NOT valid UNION ALL SELECT tenant, contact_id, 'SHARED_ABN' FROM v WHERE valid QUALIFY count(*) OVER (PARTITION BY tenant, a) > 1 UNION ALL SELECT tenant, contact_id, 'SHARED_NAME' FROM v QUALIFY count(*) OVER (PARTITION BY tenant, lower(replace(name, ' ', ''))) > 1),
+  ev AS (SELECT *, month(report_date) AS mo, 'gst-' || lower(replace(tenant, ' ', '-')) AS label FROM d),
+  every AS (SELECT control, 'REVIEW' AS status, tenant, report_date, account_id, account_name, reason FROM found
+  UNION ALL {_control("mapping_compatibility", "'section permits: Payables' FROM tb WHERE account_id = '820'", "account_id", "account_name")}
+  UNION ALL {_control("balance_policy", "'balance is not ' || e FROM pf WHERE e = 'debit' AND n < 0 OR e = 'credit' AND n > 0 OR e = 'nil' AND n <> 0", "account_id", "account_name")}
+  UNION ALL {_control("balance_policy", "'no movement where one is expected' FROM pf WHERE m AND v = 0", "account_id", "account_name")}
+  UNION ALL {_control("subledger_reconciliation", "'subledger and ledger differ' FROM tb JOIN k USING (tenant) WHERE account_id = '110' AND bend", "account_id", "account_name")}
+  UNION ALL {_control("subledger_reconciliation", "'subledger account is not in the trial balance' FROM tb JOIN k USING (tenant) WHERE account_id = '110' AND bend", "'115'")}
+  UNION ALL {_control("reconciliation_coverage", "'nothing reconciles this balance' FROM tb JOIN k USING (tenant) WHERE account_id = '820' AND NOT bend AND ytd <> 0", "account_id", "account_name")}
+  UNION ALL {_control("gst_reasonableness", "'recorded tax differs from a tenth of the taxable amounts' FROM g WHERE abs(10 * (tax + settled) - sales) * 2 > 10 * (20000 + abs(tax))")}
+  UNION ALL {_control("contact_register", "issue || ' ' || contact_id FROM reg JOIN (SELECT tenant, max(report_date) AS report_date FROM d GROUP BY tenant) USING (tenant)")}
+  UNION ALL {_control("equity_reconciliation", "'opening plus movements differ from the closing' FROM pairs WHERE section = 'Liabilities' AND abs(-pri + (CASE WHEN month(report_date) = 7 THEN 0 ELSE -cur_net END) + cur) > 1", "account_id")}
+  UNION ALL {_control("calculation_evidence", "label || ': ' || i FROM (SELECT *, unnest(['NOT_COMPUTED', 'WRONG_PERIOD', 'NO_RATE_TABLE', 'NOT_ACCEPTED', 'UNKNOWN_DIGEST']) AS i, unnest([mo % 4 = 0, mo = 5, mo = 7, mo = 9, mo = 11]) AS hit FROM ev) WHERE hit")}
+  UNION ALL {_control("required_controls", "'subledger failed' FROM d WHERE month(report_date) % 3 <> 0", status="BLOCKED")})"""
+
+
+@query(f"""WITH {ALL_FOUND_SQL} SELECT f.control, f.status, tenant, report_date, f.account_id, m.g AS review_group, reason, CAST(row_number() OVER (PARTITION BY tenant, report_date ORDER BY f.status <> 'BLOCKED', f.control, coalesce(f.account_id, ''), reason) AS INTEGER) AS ordinal
+  FROM every f LEFT JOIN {_values(MAPPED)} m(account_id, g) ON f.account_id = m.account_id""")
 def close_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every exception of every tenant and period in its order."""
-    return close.ordered(found(spark, sf_dir)).select("control", "tenant", "report_date", "account_id", "review_group", "reason", "ordinal")
+    """Every exception of every control, tenant and period in its order."""
+    return close.ordered(all_found(spark, sf_dir)).select("control", "status", "tenant", "report_date", "account_id", "review_group", "reason", "ordinal")
+
+
+@query(f"""WITH {ALL_FOUND_SQL}, s AS (SELECT tenant, report_date, max(CASE status WHEN 'BLOCKED' THEN 2 ELSE 1 END) AS n FROM every GROUP BY ALL) SELECT d.tenant, d.report_date, CASE n WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW' ELSE 'PASS' END AS status FROM d LEFT JOIN s USING (tenant, report_date)""")
+def close_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 over every control: failed required controls block."""
+    return close.overall_status(trial_balance(spark, sf_dir), all_found(spark, sf_dir))
 
 
 @query(f"""WITH {FOUND_SQL} SELECT 'Q-' || substr(sha256(concat_ws('|', length(control) || ':' || control, length(tenant) || ':' || tenant, '10:' || CAST(report_date AS VARCHAR), length(account_id) || ':' || account_id, length(reason) || ':' || reason)), 1, 12) AS query_id,
@@ -268,7 +350,10 @@ def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trial_balance(spark, sf_dir).select("tenant", "report_date").distinct()
+    return _runs_of(trial_balance(spark, sf_dir).select("tenant", "report_date").distinct())
+
+
+def _runs_of(t: DataFrame) -> DataFrame:
     state = F.explode(F.array(F.struct(F.lit("subledger").alias("control"), F.when(F.month("report_date") % 3 == 0, "RAN").otherwise("FAILED").alias("state")), F.struct(F.lit("integrity").alias("control"), F.lit("RAN").alias("state"))))
     return t.withColumn("x", state).select("tenant", "report_date", "x.control", "x.state")
 
