@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import financial_year
 
-#: Classes whose amounts are shown credit positive.
-CREDIT = ("Revenue", "Liabilities", "Equity")
+#: Accounts of the source's chart that measures name (fixed values): depreciation and finance interest, which EBITDA adds back, and those of ratios.
+ADD_BACK = ("890", "895")
+RATIOS = {"rent": ("820",), "motor_vehicle": ("810",), "labour": ("800", "805")}
 
 
 def star(facts: DataFrame, accounts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -16,32 +17,52 @@ def star(facts: DataFrame, accounts: DataFrame, entities: DataFrame) -> DataFram
     return facts.join(accounts, "account_code").join(entities, "entity_id")
 
 
-def _sum(*classes: str, sign: int = 1) -> Column:
-    return F.sum(F.when(F.col("report_section").isin(*classes), F.col("amount") * sign).otherwise(0))
+def _sum(column: str, *values: str, sign: int = 1) -> Column:
+    return F.sum(F.when(F.col(column).isin(*values), F.col("amount") * sign).otherwise(0))
 
 
-def profit_measures(rows: DataFrame, grain: list[str]) -> DataFrame:
-    """Debits, credits, net movement, revenue, cost of sales, gross profit and margin, operating expenses, EBITDA, profit and margin, in one aggregate."""
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole as a double, null where whole is zero."""
+    return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def profit_measures(rows: DataFrame, grain: list[str], add_back: tuple[str, ...] = ADD_BACK) -> DataFrame:
+    """Debits, credits, net movement, revenue, cost of sales, gross profit and margin, operating expenses, EBITDA, profit before tax and margin, in one
+    aggregate. Revenue goes by class, costs by sub-class; add_back are accounts among the operating expenses that EBITDA leaves out."""
     g = rows.groupBy(*grain).agg(
-        F.sum("debit").alias("total_debits"), F.sum("credit").alias("total_credits"), F.sum("amount").alias("net_movement"), _sum("Revenue", sign=-1).alias("revenue"), _sum("Cost of Sales").alias("cogs"),
-        _sum("Operating Expenses").alias("operating_expenses"), _sum("Depreciation", "Finance").alias("below_ebitda"),
+        F.sum("debit").alias("total_debits"), F.sum("credit").alias("total_credits"), F.sum("amount").alias("net_movement"), _sum("class", "Revenue", sign=-1).alias("revenue"), _sum("sub_class", "Cost of Sales").alias("cogs"),
+        _sum("sub_class", "Operating Expenses").alias("operating_expenses"), _sum("account_code", *add_back).alias("added"),
     )
-    gross, ebitda = F.col("revenue") - F.col("cogs"), F.col("revenue") - F.col("cogs") - F.col("operating_expenses")
-    profit = ebitda - F.col("below_ebitda")
-    ratio = lambda x: F.try_divide(x.cast("decimal(18,2)"), F.col("revenue").cast("decimal(18,2)")).cast("decimal(18,6)")
-    return g.select(*grain, "total_debits", "total_credits", "net_movement", "revenue", "cogs", gross.alias("gross_profit"), ratio(gross).alias("gross_margin"), "operating_expenses", ebitda.alias("ebitda"), profit.alias("net_profit"), ratio(profit).alias("net_margin"))
+    gross = F.col("revenue") - F.col("cogs")
+    profit = gross - F.col("operating_expenses")
+    return g.select(*grain, "total_debits", "total_credits", "net_movement", "revenue", "cogs", gross.alias("gross_profit"), ratio(gross, F.col("revenue")).alias("gross_margin"), "operating_expenses", (profit + F.col("added")).alias("ebitda"), profit.alias("net_profit"), ratio(profit, F.col("revenue")).alias("net_margin"))
 
 
 def position_measures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Assets, liabilities, net assets, equity, check and working capital at each month's end: movements summed per month, then accumulated over all months up to it."""
+    """Assets, liabilities, net assets, equity, check and working capital at each month's end: movements summed per month, then accumulated over all
+    months up to it. Equity is the class's alone; the check takes earnings to date from assets too, as they are never closed to equity."""
     month = F.trunc("posting_date", "month").alias("month")
+    profit = _sum("class", "Revenue", sign=-1) - _sum("sub_class", "Cost of Sales", "Operating Expenses")
     g = rows.groupBy(*keys, month).agg(
-        F.sum(F.when(F.col("class") == "Assets", F.col("amount")).otherwise(0)).alias("a"), F.sum(F.when(F.col("class") == "Liabilities", -F.col("amount")).otherwise(0)).alias("l"),
-        F.sum(F.when(~F.col("class").isin("Assets", "Liabilities"), -F.col("amount")).otherwise(0)).alias("e"), F.sum(F.when(F.col("sub_class") == "Current", F.col("amount")).otherwise(0)).alias("w"),
+        _sum("class", "Asset").alias("assets"), _sum("class", "Liability", sign=-1).alias("liabilities"), _sum("class", "Equity", sign=-1).alias("equity"), profit.alias("earnings"),
+        _sum("sub_class", "Current Assets", "Current Liabilities").alias("working_capital"),
     )
     upto = Window.partitionBy(*keys).orderBy("month")
-    cum = {n: F.sum(c).over(upto) for n, c in (("assets", "a"), ("liabilities", "l"), ("equity", "e"), ("working_capital", "w"))}
-    return g.select(*keys, "month", *[c.alias(n) for n, c in cum.items()]).withColumns({"net_assets": F.col("assets") - F.col("liabilities"), "balance_check": F.col("assets") - F.col("liabilities") - F.col("equity")})
+    parts = ("assets", "liabilities", "equity", "earnings", "working_capital")
+    cum = g.select(*keys, "month", *[F.sum(c).over(upto).alias(c) for c in parts])
+    return cum.withColumns({"net_assets": F.col("assets") - F.col("liabilities"), "balance_check": F.col("assets") - F.col("liabilities") - F.col("equity") - F.col("earnings")})
+
+
+def balance_sheet_amounts(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, month, class, balance): natural balances of position_measures by class; there is none across classes."""
+    return positions.selectExpr(*keys, "month", "stack(3, 'Asset', assets, 'Liability', liabilities, 'Equity', equity) as (class, balance)")
+
+
+def ratio_measures(rows: DataFrame, grain: list[str], ratios: dict[str, tuple[str, ...]] = RATIOS) -> DataFrame:
+    """(grain, turnover, gross_margin, expense_ratio, and <name>_ratio of each of ratios): costs over revenue, null without revenue."""
+    g = rows.groupBy(*grain).agg(_sum("class", "Revenue", sign=-1).alias("turnover"), _sum("sub_class", "Cost of Sales").alias("cogs"), _sum("sub_class", "Operating Expenses").alias("opex"), *[_sum("account_code", *v).alias(k) for k, v in ratios.items()])
+    t = F.col("turnover")
+    return g.select(*grain, "turnover", ratio(t - F.col("cogs"), t).alias("gross_margin"), ratio(F.col("cogs") + F.col("opex"), t).alias("expense_ratio"), *[ratio(F.col(k), t).alias(f"{k}_ratio") for k in ratios])
 
 
 def time_views(monthly: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -67,31 +88,41 @@ def missing_budgets(entities: DataFrame, months: DataFrame, budget: DataFrame) -
     return entities.select("entity_id").distinct().crossJoin(F.broadcast(months.select("month").distinct())).join(budget.select("entity_id", "month"), ["entity_id", "month"], "left_anti")
 
 
-def benchmark_bands(turnover: DataFrame, bands: DataFrame) -> DataFrame:
-    """Each (industry, turnover) row with its band's columns: lower bound exclusive, upper inclusive; none or several bands: null band.
+def benchmark_bands(turnover: DataFrame, bands: DataFrame, keep: list[str]) -> DataFrame:
+    """Each (industry, turnover) row with its band's columns `keep`: lower bound exclusive, upper inclusive; none or several bands: null.
 
-    bands: (industry, band, lower, upper), a declared table, joined by industry with the range as a condition.
+    bands: (industry, lower, upper, keep), a declared table, joined by industry with the range as a condition.
     """
     t = turnover.withColumn("__row", F.monotonically_increasing_id())
-    hit = t.select("__row", "industry", "turnover").join(F.broadcast(bands), "industry").where((F.col("turnover") > F.col("lower")) & (F.col("upper").isNull() | (F.col("turnover") <= F.col("upper"))))
-    one = hit.groupBy("__row").agg(F.count("*").alias("n"), F.first("band").alias("band")).where("n = 1").select("__row", "band")
+    hit = t.select("__row", "industry", "turnover").join(bands, "industry").where((F.col("turnover") > F.col("lower")) & (F.col("upper").isNull() | (F.col("turnover") <= F.col("upper"))))
+    one = hit.groupBy("__row").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in keep]).where("n = 1").select("__row", *keep)
     return t.join(one, "__row", "left").drop("__row")
 
 
-def risk_label(ratio: Column, low: Column, high: Column) -> Column:
-    return F.when(ratio.isNull() | low.isNull(), "no benchmark").when(ratio < low, "below range").when(ratio > high, "above range").otherwise("in range")
+def outside(value: Column, low: Column, high: Column) -> Column:
+    """How far value lies outside the inclusive range, with its sign; zero within."""
+    return F.when(value.isNotNull() & low.isNotNull() & high.isNotNull(), F.when(value < low, value - low).when(value > high, value - high).otherwise(0.0))
+
+
+def risk_label(turnover: Column, band: Column, variance: Column) -> Column:
+    return F.when(F.coalesce(turnover, F.lit(0)) <= 0, "no turnover").when(band.isNull(), "no benchmark").when(variance.isNull(), "no margin").when(variance < 0, "below range").when(variance > 0, "above range").otherwise("within range")
 
 
 def payroll_measures(events: DataFrame, grain: list[str]) -> DataFrame:
-    """Wages, liability, on-time and late amounts, compliance, event counts; totals are withheld (null) while events wait for a calendar review. events: (…, gross, liability, due_date, received, state)."""
-    late = F.col("received").isNull() | (F.col("received") > F.col("due_date"))
+    """Wages, qualifying earnings, liability, on-time and late amounts, compliance, event counts, charge and interest under the payday regime, and a note.
+
+    Charge and interest are withheld (null) while events wait for a calendar review. compliance is null without a liability. events: (…, gross,
+    qualifying, liability, status ON_TIME or LATE_BREACH, charge, interest, payday boolean, state).
+    """
+    late, liability = F.col("status") == "LATE_BREACH", F.col("liability")
     g = events.groupBy(*grain).agg(
-        F.sum("gross").alias("wages"), F.sum("liability").alias("liability"), F.sum(F.when(~late, F.col("liability")).otherwise(0)).alias("on_time"), F.sum(F.when(late, F.col("liability")).otherwise(0)).alias("late"),
-        F.count("*").alias("events"), F.count_if(F.col("state") == "CALENDAR_REVIEW").alias("reviews"),
+        F.sum("gross").alias("wages"), F.sum("qualifying").alias("qualifying"), F.sum("liability").alias("liability"), F.sum(F.when(~late, liability).otherwise(0)).alias("on_time"), F.sum(F.when(late, liability).otherwise(0)).alias("late"),
+        F.count("*").alias("events"), F.count_if(late).alias("late_events"), F.count_if(F.col("state") == "CALENDAR_REVIEW").alias("reviews"), F.sum(F.when(F.col("payday"), F.col("charge"))).alias("charge"), F.sum(F.when(F.col("payday"), F.col("interest"))).alias("interest"),
+        F.bool_or("payday").alias("payday"),
     )
     hide = lambda c: F.when(F.col("reviews") == 0, F.col(c)).alias(c)
-    share = F.when((F.col("reviews") == 0) & (F.col("liability") != 0), F.round(F.col("on_time") * 100 / F.col("liability"), 2))
-    return g.select(*grain, "wages", hide("liability"), hide("on_time"), hide("late"), share.alias("compliance"), "events", "reviews")
+    note = F.when(F.col("reviews") > 0, F.concat(F.col("reviews").cast("string"), F.lit(" events need a calendar review; charge and interest are withheld"))).when(~F.col("payday"), "quarterly receipts; payday charges don't apply").otherwise("recorded receipts; charge and interest are estimates")
+    return g.select(*grain, "wages", "qualifying", "liability", "on_time", "late", ratio(F.col("on_time"), liability).alias("compliance"), "events", "late_events", "reviews", hide("charge"), hide("interest"), note.alias("note"))
 
 
 def consolidation(rows: DataFrame, grain: list[str], group: list[str]) -> DataFrame:

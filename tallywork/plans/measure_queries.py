@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import account_parts, accounting_number, formula_safe, iso_date, money_display, money_text
+from ..functions.columns import account_parts, accounting_number, financial_year, formula_safe, iso_date, money_display, money_text, turnover_bounds
 from ..operators import calendar, grants, measures, reports
 from .derive import ITEMS_SQL, LEDGER_SQL, _values, in_cents, items, ledger, money, policy, table
 
@@ -23,36 +23,55 @@ def query(sql: str | None = None):
 
 
 #: account_code, report_section, class, sub_class, sort_order
-ACCOUNTS = [("110", "Assets", "Assets", "Current", 3), ("600-A", "Revenue", "Revenue", "Sales", 2), ("600-N", "Cost of Sales", "Revenue", "Sales", 1), ("600-R", "Operating Expenses", "Revenue", "Returns", 5), ("820", "Liabilities", "Liabilities", "Current", 4)]
+ACCOUNTS = [
+    ("110", "Balance Sheet", "Asset", "Current Assets", 3), ("210", "Balance Sheet", "Liability", "Current Liabilities", 4), ("510", "Balance Sheet", "Equity", "Equity", 6), ("610", "Profit and Loss", "Revenue", "Operating Revenue", 2),
+    ("700", "Profit and Loss", "Expense", "Cost of Sales", 1), *[(c, "Profit and Loss", "Expense", "Operating Expenses", 10 + i) for i, c in enumerate(("800", "805", "810", "820", "890", "895"))],
+]
+#: The star's account of a ledger line: half of the tax is taken for equity, returns are spread over the operating expenses. Valid in both engines.
+CODE_SQL = """CASE account_id WHEN '110' THEN '110' WHEN '600-A' THEN '610' WHEN '600-N' THEN '700' WHEN '820' THEN CASE WHEN l_suppkey % 2 = 0 THEN '510' ELSE '210' END
+  ELSE CASE l_suppkey % 6 WHEN 0 THEN '800' WHEN 1 THEN '805' WHEN 2 THEN '810' WHEN 3 THEN '820' WHEN 4 THEN '890' ELSE '895' END END"""
 
 
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = ledger(spark, sf_dir).select(F.col("tenant").alias("entity_id"), F.col("account_id").alias("account_code"), "posting_date", "debit", "credit", "amount", "l_suppkey", (F.col("l_suppkey") % 10 == 0).alias("is_intercompany"))
+    l = ledger(spark, sf_dir).select(F.col("tenant").alias("entity_id"), F.expr(CODE_SQL).alias("account_code"), "posting_date", "debit", "credit", "amount", "l_suppkey", (F.col("l_suppkey") % 10 == 0).alias("is_intercompany"))
     e = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity_id"), F.col("r_name").alias("industry"))
     return measures.star(l, policy(spark, ACCOUNTS, "account_code string, report_section string, class string, sub_class string, sort_order int"), e)
 
 
-STAR_SQL = f"{LEDGER_SQL}, star AS (SELECT tenant AS entity_id, account_id AS account_code, posting_date, debit, credit, debit - credit AS amount, l_suppkey, l_suppkey % 10 = 0 AS is_intercompany, a.*, r_name AS industry FROM ledger JOIN {_values(ACCOUNTS)} a(code, report_section, class, sub_class, sort_order) ON account_id = code JOIN nation n ON tenant = n.n_name JOIN region ON n.n_regionkey = r_regionkey)"
+STAR_SQL = f"{LEDGER_SQL}, coded AS (SELECT *, {CODE_SQL} AS account_code FROM ledger), star AS (SELECT tenant AS entity_id, account_code, posting_date, debit, credit, debit - credit AS amount, l_suppkey, l_suppkey % 10 = 0 AS is_intercompany, a.*, r_name AS industry FROM coded JOIN {_values(ACCOUNTS)} a(code, report_section, class, sub_class, sort_order) ON account_code = code JOIN nation n ON tenant = n.n_name JOIN region ON n.n_regionkey = r_regionkey)"
 MONTH_SQL = "CAST(date_trunc('month', posting_date) AS DATE)"
-PROFIT_SQL = f"{STAR_SQL}, g AS (SELECT entity_id, year(posting_date) AS year, sum(debit) AS d, sum(credit) AS c, sum(amount) AS n, -sum(CASE WHEN report_section = 'Revenue' THEN amount ELSE 0 END) AS r, sum(CASE WHEN report_section = 'Cost of Sales' THEN amount ELSE 0 END) AS s, sum(CASE WHEN report_section = 'Operating Expenses' THEN amount ELSE 0 END) AS o FROM star GROUP BY ALL)"
+SUMS_SQL = """-sum(CASE WHEN class = 'Revenue' THEN amount ELSE 0 END) AS r, sum(CASE WHEN sub_class = 'Cost of Sales' THEN amount ELSE 0 END) AS s, sum(CASE WHEN sub_class = 'Operating Expenses' THEN amount ELSE 0 END) AS o"""
+PROFIT_SQL = f"{STAR_SQL}, g AS (SELECT entity_id, year(posting_date) AS year, sum(debit) AS d, sum(credit) AS c, sum(amount) AS n, {SUMS_SQL}, sum(CASE WHEN account_code IN ('890', '895') THEN amount ELSE 0 END) AS b FROM star GROUP BY ALL)"
 
 
-@query(f"WITH {PROFIT_SQL} SELECT entity_id, CAST(year AS INTEGER) AS year, CAST(d AS BIGINT) AS total_debits, CAST(c AS BIGINT) AS total_credits, CAST(n AS BIGINT) AS net_movement, CAST(r AS BIGINT) AS revenue, CAST(s AS BIGINT) AS cogs, CAST(r - s AS BIGINT) AS gross_profit, CAST(o AS BIGINT) AS operating_expenses, CAST(r - s - o AS BIGINT) AS ebitda, CAST(r - s - o AS BIGINT) AS net_profit FROM g")
+def _in(sql: str) -> str:
+    """A ratio to six places."""
+    return f"round({sql}, 6)"
+
+
+@query(f"WITH {PROFIT_SQL} SELECT entity_id, CAST(year AS INTEGER) AS year, CAST(d AS BIGINT) AS total_debits, CAST(c AS BIGINT) AS total_credits, CAST(n AS BIGINT) AS net_movement, CAST(r AS BIGINT) AS revenue, CAST(s AS BIGINT) AS cogs, CAST(r - s AS BIGINT) AS gross_profit, CAST(o AS BIGINT) AS operating_expenses, CAST(r - s - o + b AS BIGINT) AS ebitda, CAST(r - s - o AS BIGINT) AS net_profit, CASE WHEN r <> 0 THEN {_in('CAST(r - s AS DOUBLE) / r')} END AS gross_margin, CASE WHEN r <> 0 THEN {_in('CAST(r - s - o AS DOUBLE) / r')} END AS net_margin FROM g")
 def profit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By entity and year."""
     m = measures.profit_measures(star(spark, sf_dir).withColumn("year", F.year("posting_date")), ["entity_id", "year"])
-    return m.select("entity_id", "year", *[in_cents(c).alias(c) for c in ("total_debits", "total_credits", "net_movement", "revenue", "cogs", "gross_profit", "operating_expenses", "ebitda", "net_profit")])
+    return m.select("entity_id", "year", *[in_cents(c).alias(c) for c in ("total_debits", "total_credits", "net_movement", "revenue", "cogs", "gross_profit", "operating_expenses", "ebitda", "net_profit")], *[F.round(c, 6).alias(c) for c in ("gross_margin", "net_margin")])
 
 
-POS_SQL = f"""{STAR_SQL}, g AS (SELECT entity_id, {MONTH_SQL} AS month, sum(CASE WHEN class = 'Assets' THEN amount ELSE 0 END) AS a, sum(CASE WHEN class = 'Liabilities' THEN -amount ELSE 0 END) AS l, sum(CASE WHEN class = 'Revenue' THEN -amount ELSE 0 END) AS e, sum(CASE WHEN sub_class = 'Current' THEN amount ELSE 0 END) AS w FROM star GROUP BY ALL),
-  p AS (SELECT entity_id, month, CAST(sum(a) OVER x AS BIGINT) AS assets, CAST(sum(l) OVER x AS BIGINT) AS liabilities, CAST(sum(e) OVER x AS BIGINT) AS equity, CAST(sum(w) OVER x AS BIGINT) AS working_capital FROM g WINDOW x AS (PARTITION BY entity_id ORDER BY month))"""
+POS_SQL = f"""{STAR_SQL}, g AS (SELECT entity_id, {MONTH_SQL} AS month, {SUMS_SQL}, sum(CASE WHEN class = 'Asset' THEN amount ELSE 0 END) AS a, sum(CASE WHEN class = 'Liability' THEN -amount ELSE 0 END) AS l, sum(CASE WHEN class = 'Equity' THEN -amount ELSE 0 END) AS e, sum(CASE WHEN sub_class IN ('Current Assets', 'Current Liabilities') THEN amount ELSE 0 END) AS w FROM star GROUP BY ALL),
+  p AS (SELECT entity_id, month, CAST(sum(a) OVER x AS BIGINT) AS assets, CAST(sum(l) OVER x AS BIGINT) AS liabilities, CAST(sum(e) OVER x AS BIGINT) AS equity, CAST(sum(r - s - o) OVER x AS BIGINT) AS earnings, CAST(sum(w) OVER x AS BIGINT) AS working_capital FROM g WINDOW x AS (PARTITION BY entity_id ORDER BY month))"""
 
 
-@query(f"WITH {POS_SQL} SELECT *, assets - liabilities AS net_assets, assets - liabilities - equity AS balance_check FROM p")
+@query(f"WITH {POS_SQL} SELECT *, assets - liabilities AS net_assets, assets - liabilities - equity - earnings AS balance_check FROM p")
 def position_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balances accumulated to each month's end."""
+    """Balances accumulated to each month's end; the check is zero throughout."""
     m = measures.position_measures(star(spark, sf_dir), ["entity_id"])
-    return m.select("entity_id", "month", *[in_cents(c).alias(c) for c in ("assets", "liabilities", "equity", "working_capital", "net_assets", "balance_check")])
+    return m.select("entity_id", "month", *[in_cents(c).alias(c) for c in ("assets", "liabilities", "equity", "earnings", "working_capital", "net_assets", "balance_check")])
+
+
+@query(f"WITH {POS_SQL} SELECT entity_id, month, 'Asset' AS class, assets AS balance FROM p UNION ALL SELECT entity_id, month, 'Liability', liabilities FROM p UNION ALL SELECT entity_id, month, 'Equity', equity FROM p")
+def balance_sheet_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural balances by class."""
+    m = measures.balance_sheet_amounts(measures.position_measures(star(spark, sf_dir), ["entity_id"]), ["entity_id"])
+    return m.select("entity_id", "month", "class", in_cents("balance").alias("balance"))
 
 
 @query(f"""WITH {STAR_SQL}, m AS (SELECT entity_id, {MONTH_SQL} AS month, CAST(-sum(CASE WHEN class = 'Revenue' THEN amount ELSE 0 END) AS BIGINT) AS v FROM star GROUP BY ALL)
@@ -86,29 +105,35 @@ def missing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.missing_budgets(table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity_id")), a, b)
 
 
-BANDS = [(lo, hi, name) for lo, hi, name in ((0, 2000000, "small"), (2000000, 4000000, "medium"), (4000000, None, "large"))]
+#: Turnover range, and the gross profit's range in per cent of turnover.
+BANDS = [("$0k-$100k", 20, 30), ("$100k-$1m", 10, 40), ("$1m-$4m", 12.5, 25), ("$3m-$50m", 15, 60), ("$50m-$900m", 45, 55)]
+BAND_SQL = _values([(name, *[int(float(x[1:-1]) * (1000 if x[-1] == "k" else 1000000)) for x in name.split("-")], lo, hi) for name, lo, hi in BANDS]) + " bands(band, lower, upper, low, high)"
+_REV = "CAST(t AS DOUBLE)"
 
 
-@query(f"""WITH {STAR_SQL}, t AS (SELECT entity_id, industry, year(posting_date) AS year, -sum(CASE WHEN report_section = 'Revenue' THEN amount ELSE 0 END) AS t, -sum(CASE WHEN report_section = 'Cost of Sales' THEN amount ELSE 0 END) AS x FROM star GROUP BY ALL)
-  SELECT entity_id, CAST(year AS INTEGER) AS year, CAST(t AS BIGINT) AS turnover, CASE WHEN t > 400000000 THEN 'large' WHEN t > 200000000 THEN 'medium' WHEN t > 0 THEN 'small' END AS band, CASE WHEN t <= 0 THEN 'no benchmark' WHEN 100 * x < 95 * t THEN 'below range' WHEN 100 * x > 105 * t THEN 'above range' ELSE 'in range' END AS risk FROM t""")
+@query(f"""WITH {STAR_SQL}, g AS (SELECT entity_id, year(posting_date) + (month(posting_date) >= 7)::INT AS fy, {SUMS_SQL.replace(" AS r,", " AS t,")}, sum(CASE WHEN account_code = '820' THEN amount ELSE 0 END) AS rent, sum(CASE WHEN account_code = '810' THEN amount ELSE 0 END) AS car, sum(CASE WHEN account_code IN ('800', '805') THEN amount ELSE 0 END) AS labour FROM star GROUP BY ALL),
+  m AS (SELECT entity_id, fy, count(*) AS n, min(band) AS band, min(low) / 100 AS low, min(high) / 100 AS high FROM g JOIN {BAND_SQL} ON t > CAST(100 AS BIGINT) * lower AND t <= CAST(100 AS BIGINT) * upper GROUP BY ALL HAVING count(*) = 1),
+  v AS (SELECT g.*, band, CASE WHEN t <> 0 THEN (t - s) / {_REV} END AS margin, low, high FROM g LEFT JOIN m USING (entity_id, fy)), w AS (SELECT *, CASE WHEN margin IS NOT NULL AND low IS NOT NULL THEN CASE WHEN margin < low THEN margin - low WHEN margin > high THEN margin - high ELSE 0 END END AS variance FROM v)
+  SELECT entity_id, CAST(fy AS INTEGER) AS fy, CAST(t AS BIGINT) AS turnover, band, round(margin, 6) AS gross_margin, round(variance, 6) AS variance, CASE WHEN t <> 0 THEN round((s + o) / {_REV}, 6) END AS expense_ratio, CASE WHEN t <> 0 THEN round(rent / {_REV}, 6) END AS rent_ratio, CASE WHEN t <> 0 THEN round(car / {_REV}, 6) END AS motor_vehicle_ratio, CASE WHEN t <> 0 THEN round(labour / {_REV}, 6) END AS labour_ratio,
+    CASE WHEN t <= 0 THEN 'no turnover' WHEN band IS NULL THEN 'no benchmark' WHEN variance IS NULL THEN 'no margin' WHEN variance < 0 THEN 'below range' WHEN variance > 0 THEN 'above range' ELSE 'within range' END AS risk FROM w""")
 def benchmark_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turnover bands and a ratio against the band's range."""
-    s = star(spark, sf_dir)
-    part = lambda x: -F.sum(F.when(F.col("report_section") == x, F.col("amount")).otherwise(0))
-    t = s.groupBy("entity_id", "industry", F.year("posting_date").alias("year")).agg(part("Revenue").alias("turnover"), part("Cost of Sales").alias("cost"))
-    industries = table(spark, sf_dir, "region").select(F.col("r_name").alias("industry"))
-    bands = industries.crossJoin(F.broadcast(policy(spark, BANDS, "lower long, upper long, band string")))
-    b = measures.benchmark_bands(t, bands)
-    ratio = F.when(F.col("band").isNotNull(), F.col("cost").cast("decimal(18,2)") / F.col("turnover").cast("decimal(18,2)"))
-    return b.select("entity_id", "year", in_cents("turnover").alias("turnover"), "band", measures.risk_label(ratio, F.when(F.col("band").isNotNull(), F.lit("0.95").cast("decimal(4,2)")), F.lit("1.05").cast("decimal(4,2)")).alias("risk"))
+    """By entity and financial year; bounds are read from the bands' names, of which two overlap."""
+    s = star(spark, sf_dir).withColumn("fy", financial_year("posting_date"))
+    r = measures.ratio_measures(s, ["entity_id", "industry", "fy"])
+    bands = policy(spark, [(n, float(lo), float(hi)) for n, lo, hi in BANDS], "band string, low double, high double")
+    lower, upper = turnover_bounds("band")
+    bands = table(spark, sf_dir, "region").select(F.col("r_name").alias("industry")).crossJoin(bands.select("band", lower.alias("lower"), upper.alias("upper"), (F.col("low") / 100).alias("low"), (F.col("high") / 100).alias("high")))
+    b = measures.benchmark_bands(r, bands, ["band", "low", "high"]).withColumn("variance", measures.outside(F.col("gross_margin"), F.col("low"), F.col("high")))
+    ratios = [F.round(c, 6).alias(c) for c in ("gross_margin", "variance", "expense_ratio", "rent_ratio", "motor_vehicle_ratio", "labour_ratio")]
+    return b.select("entity_id", "fy", in_cents("turnover").alias("turnover"), "band", *ratios, measures.risk_label(F.col("turnover"), F.col("band"), F.col("variance")).alias("risk"))
 
 
 @query(f"""WITH {STAR_SQL}, k AS (SELECT n_name FROM nation WHERE n_nationkey < 3) SELECT account_code, CAST(year(posting_date) AS INTEGER) AS year, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(sum(amount) AS BIGINT) END AS gross, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(-sum(CASE WHEN is_intercompany THEN amount ELSE 0 END) AS BIGINT) END AS eliminations
-  FROM star WHERE entity_id IN (FROM k) AND NOT (account_code = '820' AND entity_id = (SELECT max(n_name) FROM k)) GROUP BY ALL""")
+  FROM star WHERE entity_id IN (FROM k) AND NOT (account_code = '210' AND entity_id = (SELECT max(n_name) FROM k)) GROUP BY ALL""")
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group of three; one entity's tax account is left out, so that account has no group figure."""
     group = [r[0] for r in table(spark, sf_dir, "nation").where("n_nationkey < 3").select("n_name").collect()]
-    rows = star(spark, sf_dir).where(F.col("entity_id").isin(*group) & ~((F.col("account_code") == "820") & (F.col("entity_id") == max(group))))
+    rows = star(spark, sf_dir).where(F.col("entity_id").isin(*group) & ~((F.col("account_code") == "210") & (F.col("entity_id") == max(group))))
     c = measures.consolidation(rows.withColumn("year", F.year("posting_date")), ["account_code", "year"], group)
     return c.select("account_code", "year", in_cents("gross").alias("gross"), in_cents("eliminations").alias("eliminations"))
 
@@ -119,12 +144,11 @@ def report_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.report_context(star(spark, sf_dir), ["account_code", "industry"], 25)
 
 
-@query(f"WITH a AS (SELECT * FROM {_values(ACCOUNTS)} a(account_code, report_section, class, sub_class, sort_order)) SELECT a.account_code, CAST(min(a.sort_order) OVER (PARTITION BY sub_class) AS INTEGER) AS sub_class_sort FROM a WHERE account_code IN (SELECT CASE l_returnflag WHEN 'A' THEN '600-A' WHEN 'N' THEN '600-N' ELSE '600-R' END FROM lineitem) OR account_code IN ('110', '820')")
+@query(f"WITH {STAR_SQL}, a AS (SELECT DISTINCT account_code, sub_class, sort_order FROM star) SELECT account_code, CAST(min(sort_order) OVER (PARTITION BY sub_class) AS INTEGER) AS sub_class_sort FROM a")
 def sub_class_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W04, over the accounts that the ledger uses."""
-    used = ledger(spark, sf_dir).select(F.col("account_id").alias("account_code")).distinct()
-    a = policy(spark, ACCOUNTS, "account_code string, report_section string, class string, sub_class string, sort_order int").join(used, "account_code", "left_semi")
-    return measures.group_sort_key(a, "sub_class", "sort_order").select("account_code", "sub_class_sort")
+    used = star(spark, sf_dir).select("account_code", "sub_class", "sort_order").distinct()
+    return measures.group_sort_key(used, "sub_class", "sort_order").select("account_code", "sub_class_sort")
 
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, CAST(max_by(round(value * 100), (ts, event_id)) AS BIGINT) AS value FROM events GROUP BY user_id")
@@ -169,16 +193,23 @@ def contribution_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.settle(e, _calendar(spark), rates).select("o_orderkey", "due", "state", *[in_cents(c).alias(c) for c in ("earnings", "uplift", "charge")])
 
 
-PAY_SQL = "p AS (SELECT o_orderpriority AS entity, year(o_orderdate) AS year, CAST(round(o_totalprice * 10) AS BIGINT) AS c, o_orderkey % 3 = 0 AS late, o_orderkey % 997 = 5 AS review FROM orders)"
+PAY_SQL = "p AS (SELECT o_orderpriority AS entity, year(o_orderdate) AS year, CAST(round(o_totalprice * 10) AS BIGINT) AS c, o_orderkey % 3 = 0 AS late, o_orderkey % 997 = 5 AS review, year(o_orderdate) >= 1995 AS payday FROM orders)"
 
 
-@query(f"WITH {PAY_SQL}, g AS (SELECT entity, year, sum(c * 8) AS w, sum(c) AS l, sum(CASE WHEN NOT late THEN c ELSE 0 END) AS t, sum(CASE WHEN late THEN c ELSE 0 END) AS x, count(*) AS events, count(*) FILTER (review) AS reviews FROM p GROUP BY ALL) SELECT entity, CAST(year AS INTEGER) AS year, CAST(w AS BIGINT) AS wages, CASE WHEN reviews = 0 THEN CAST(l AS BIGINT) END AS liability, CASE WHEN reviews = 0 THEN CAST(t AS BIGINT) END AS on_time, CASE WHEN reviews = 0 THEN CAST(x AS BIGINT) END AS late, events, reviews FROM g")
+@query(f"""WITH {PAY_SQL}, g AS (SELECT entity, year, sum(c * 8) AS w, sum(c) AS l, sum(CASE WHEN NOT late THEN c ELSE 0 END) AS t, sum(CASE WHEN late THEN c ELSE 0 END) AS x, sum(CASE WHEN late AND payday THEN c // 10 END) AS sgc, sum(CASE WHEN late AND payday THEN c // 100 END) AS gic, bool_or(payday) AS payday, count(*) AS events, count(*) FILTER (late) AS late_events, count(*) FILTER (review) AS reviews FROM p GROUP BY ALL)
+  SELECT entity, CAST(year AS INTEGER) AS year, CAST(w AS BIGINT) AS wages, CAST(w - l AS BIGINT) AS qualifying, CAST(l AS BIGINT) AS liability, CAST(t AS BIGINT) AS on_time, CAST(x AS BIGINT) AS late, CASE WHEN l <> 0 THEN round(CAST(t AS DOUBLE) / l, 6) END AS compliance, events, late_events, reviews, CASE WHEN reviews = 0 AND payday THEN CAST(coalesce(sgc, 0) AS BIGINT) END AS charge, CASE WHEN reviews = 0 AND payday THEN CAST(coalesce(gic, 0) AS BIGINT) END AS interest,
+  CASE WHEN reviews > 0 THEN reviews || ' events need a calendar review; charge and interest are withheld' WHEN NOT payday THEN 'quarterly receipts; payday charges don''t apply' ELSE 'recorded receipts; charge and interest are estimates' END AS note FROM g""")
 def payroll_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A39, V16."""
     o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     c = F.round(F.col("o_totalprice") * 10).cast("long")
-    e = o.select(F.col("o_orderpriority").alias("entity"), F.year("o_orderdate").alias("year"), money(c * 8).alias("gross"), money(c).alias("liability"), F.lit("2000-01-02").cast("date").alias("due_date"), F.when(n % 3 == 0, F.lit("2000-01-03")).otherwise("2000-01-01").cast("date").alias("received"), F.when(n % 997 == 5, "CALENDAR_REVIEW").otherwise("OK").alias("state"))
-    return measures.payroll_measures(e, ["entity", "year"]).select("entity", "year", *[in_cents(x).alias(x) for x in ("wages", "liability", "on_time", "late")], "events", "reviews")
+    late, year = n % 3 == 0, F.year("o_orderdate")
+    e = o.withColumn("c", c).select(
+        F.col("o_orderpriority").alias("entity"), year.alias("year"), money(F.col("c") * 8).alias("gross"), money(F.col("c") * 7).alias("qualifying"), money("c").alias("liability"), F.when(late, "LATE_BREACH").otherwise("ON_TIME").alias("status"),
+        money(F.when(late, F.expr("c div 10")).otherwise(0)).alias("charge"), money(F.when(late, F.expr("c div 100")).otherwise(0)).alias("interest"), (year >= 1995).alias("payday"), F.when(n % 997 == 5, "CALENDAR_REVIEW").otherwise("OK").alias("state"),
+    )
+    m = measures.payroll_measures(e, ["entity", "year"])
+    return m.select("entity", "year", *[in_cents(x).alias(x) for x in ("wages", "qualifying", "liability", "on_time", "late")], F.round("compliance", 6).alias("compliance"), "events", "late_events", "reviews", in_cents("charge").alias("charge"), in_cents("interest").alias("interest"), "note")
 
 
 # -- grants ------------------------------------------------------------------------------------------------------------
