@@ -159,8 +159,28 @@ def csv_query(name: str) -> None:
 # -- JSON documents ----------------------------------------------------------------------------------------------------
 
 
-def leaves(kind: T.StructType) -> list[str]:
-    return [f.name for f in kind if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+#: Text and truth (?) members of each kind's rows: of the elements of its first array of structures, or of the document.
+MEMBERS = {
+    "equity_schedule": "movement_id date account_id debit credit description evidence_reference",
+    "opening_items": "transaction_id date reference debit credit",
+    "expenses": "invoice_id supplier reference amount evidence",
+    "migration": "mapping_id source_account target_account weight",
+    "interentity": "row_id entity counterparty account reference date amount disputed? evidence",
+    "calculation_evidence": "schema calculation_sha256",
+    "coding_assertions": "original_account_id transaction_id current_account_id expected_account_id purpose evidence_reference",
+    "responses": "query_id response responder date",
+    "reviewer_note": "reviewer reviewed_on note",
+    "self_review": "preparer_initials prepared_on engagement_type period_start period_end",
+    "review_context": "entity_ref basis currency as_at csv_sha256 generated_at",
+    "review_policy": "policy_id minimum_absolute_delta minimum_percent_delta",
+    "review_request": "request_id section policy_id",
+    "agreements": "grant_id start end opening_cash opening_unspent_funding agreement_evidence",
+    "entity_map": "value placeholder kind added",
+}
+
+
+#: Kinds with such an array.
+ARRAYS = ("equity_schedule", "opening_items", "expenses", "migration", "interentity", "coding_assertions", "responses", "agreements", "entity_map")
 
 
 def json_of(kind: T.DataType, name: str, n: str) -> str:
@@ -180,17 +200,18 @@ def json_of(kind: T.DataType, name: str, n: str) -> str:
     return f"concat('\"{name} ', CAST({n} AS STRING), '\"')"
 
 
-def leaf(f: T.StructField, n: str) -> str:
-    return f"CASE WHEN {n} % 2 = 0 THEN 'true' ELSE 'false' END" if isinstance(f.dataType, T.BooleanType) else f"concat('{f.name} ', CAST({n} AS STRING))"
+def leaf(member: str, n: str) -> str:
+    return f"CASE WHEN {n} % 2 = 0 THEN 'true' ELSE 'false' END" if member.endswith("?") else f"concat('{member} ', CAST({n} AS STRING))"
 
 
 def json_query(name: str) -> None:
     """A document per nation, whose first array of structures has an element per customer; a document without one is a customer's."""
-    kind = T._parse_datatype_string(readers.SCHEMAS[name])
-    array = next((f for f in kind if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)), None)
-    of = array.dataType.elementType if array else kind
+    members = MEMBERS[name].split()
 
     def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kind = T._parse_datatype_string(readers.SCHEMAS[name])
+        array = next((f for f in kind if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)), None)
+        of = array.dataType.elementType if array else kind
         rows = base(spark, sf_dir, BASE_SQL)
 
         def text(members: T.StructType) -> str:
@@ -210,13 +231,13 @@ def json_query(name: str) -> None:
         path = new_path(spark, f"files-{name}")
         write_files(docs.selectExpr("k AS file", "0 AS seq", f"{value} AS value"), path)
         accepted, refusals = readers.read_json(spark, f"{path}/*/*.txt", name)
-        shape = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in leaves(of)]
+        shape = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [m.rstrip("?") for m in members]]
         rows = readers.items(accepted, array.name) if array else accepted.select("file", "doc.*")
         ok = rows.select(file_no(F.col("file")).alias("file"), F.concat_ws("|", *shape).alias("line"), F.lit(None).cast("string").alias("code"))
         return ok.unionByName(refusals.select(file_no(F.col("file")).alias("file"), F.lit(None).cast("string").alias("line"), "code"))
 
-    values = ", ".join(leaf(f, "n") for f in of if f.name in leaves(of))
-    rows = "" if array else " AND r = 1"
+    values = ", ".join(leaf(m, "n") for m in members)
+    rows = "" if name in ARRAYS else " AND r = 1"
     load.__name__ = f"load_{name}"
     load.__doc__ = f"{SOURCES[name]}: documents of all nations with exactly the kind's members, refused where a fault is planted."
     Q[load.__name__] = load
