@@ -20,6 +20,13 @@ def check_thresholds(absolute: str, fraction: str) -> None:
         raise ValueError("thresholds must be finite and not negative, the fraction at most 1")
 
 
+def threshold_issue(absolute: Column, fraction: Column) -> Column:
+    """THRESHOLD or FRACTION where texts of thresholds break the rule of check_thresholds, else null."""
+    finite = lambda c: c.rlike(r"^[+-]?\d+(\.\d+)?$")
+    a, f = absolute.try_cast("decimal(28,10)"), fraction.try_cast("decimal(28,10)")
+    return F.when(~F.coalesce(finite(absolute) & (a >= 0), F.lit(False)), "THRESHOLD").when(~F.coalesce(finite(fraction) & (f >= 0) & (f <= 1), F.lit(False)), "FRACTION")
+
+
 def issues(df: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
     """(keys, issue) for each rule whose condition holds."""
     return df.select(*keys, F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias("issue"))

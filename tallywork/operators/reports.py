@@ -45,12 +45,20 @@ def choose_pair(rows: DataFrame, ytd: bool) -> DataFrame:
     return rows.withColumns({"debit": F.col("ytd_debit" if ytd else "period_debit"), "credit": F.col("ytd_credit" if ytd else "period_credit")})
 
 
+def tenants_chosen(tenants: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (wanted, ask) with the id of the tenant (id, name) that has it as its id, else of the only one whose name contains it; several or none: null.
+
+    Tenants are compared with each ask, as names are searched for a part: both are short lists of one organisation.
+    """
+    by_id, by_name = F.lower("id") == F.lower("ask"), F.lower("name").contains(F.lower(F.col("ask")))
+    c = asked.join(tenants, by_id | by_name).groupBy("wanted", "ask").agg(F.max(F.when(by_id, F.col("id"))).alias("own"), F.count("*").alias("n"), F.max("id").alias("one"))
+    return asked.join(c.select("wanted", F.coalesce("own", F.when(F.col("n") == 1, F.col("one"))).alias("id")), "wanted", "left")
+
+
 def tenant_selection(tenants: DataFrame, wanted: str) -> DataFrame:
     """The tenant (id, name) of that id, else the only one whose name contains it; several or none: no row."""
-    by_id = F.lower("id") == wanted.lower()
-    c = tenants.where(by_id | F.lower("name").contains(wanted.lower())).withColumns({"exact": by_id, "n": F.count("*").over(Window.partitionBy(by_id))})
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("exact"))  # candidates of one name
-    return c.withColumn("r", F.row_number().over(w)).where("r = 1 and (exact or n = 1)").select("id", "name")
+    asked = tenants.sparkSession.createDataFrame([("x", wanted)], "wanted string, ask string")
+    return tenants.join(tenants_chosen(tenants, asked).select("id"), "id", "left_semi").select("id", "name")
 
 
 def clean_key(key: Column) -> Column:
@@ -93,3 +101,65 @@ def aged_ties(rows: DataFrame, buckets: list[str], control: DataFrame) -> DataFr
     column = sums.selectExpr("file", f"stack({len(cols)}, {stack}) as (tie, difference)")
     ledger = sums.join(control, "file").select("file", F.lit("control").alias("tie"), (F.col("f_total") - F.col("balance")).alias("difference"))
     return own.unionByName(column).unionByName(ledger).where(F.abs("difference") >= F.lit("0.005").cast("decimal(19,4)"))
+
+
+#: Headings of report-shaped exports (fixed values).
+AGED_BUCKETS = ("< 1 Month", "1 Month", "2 Months", "3 Months", "Older", "Total")
+PAYDAY = (
+    "row", "employee_id", "qe_day", "pathway", "due_date", "verdict", "days_late", "lateness_measured_to", "sg_amount", "final_shortfall", "notional_earnings", "uplift_best_case", "uplift_worst_case",
+    "sgc_estimate_low", "sgc_estimate_high", "caveats", "notes", "unassessable_between",
+)
+ACCOUNT_TRANSACTIONS = ("Date", "Source", "Description", "Reference", "Debit", "Credit", "Running Balance", "Gross", "GST")
+
+
+def aged_report(records: DataFrame, first: str = "Contact") -> tuple[DataFrame, DataFrame]:
+    """(rows, refusals) of aged summaries: (file, pos, label, row map<string,string>, is_footer) after the header; (file, code) of files without a header,
+    without a bucket, or with a record of another width."""
+    found = promote_header(records, first).where(F.exists("cells", lambda c: F.trim(c) != ""))
+    flat = footer(found)
+    rows = flat.select("file", "pos", F.get("cells", F.lit(0)).alias("label"), "is_footer", F.when(F.size("header") == F.size("cells"), F.map_from_arrays("header", "cells")).alias("row"), "header")
+    lacking = ~F.forall(F.array(*[F.lit(b) for b in AGED_BUCKETS]), lambda b: F.array_contains(F.col("header"), b))
+    bad = rows.select("file", F.when(lacking, "HEADER").when(F.col("row").isNull(), "WIDTH").alias("code")).where("code is not null")
+    bad = bad.unionByName(records.select("file").distinct().join(found.select("file"), "file", "left_anti").select("file", F.lit("NO_HEADER").alias("code"))).distinct()
+    return rows.drop("header").join(bad, "file", "left_anti"), bad
+
+
+def payday_report(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, refusals) of payday reports: (file, pos, row, note) with the provenance that the terminal NOTE record gives; (file, code) of files with other
+    headings, a record of another width, or a NOTE record that is missing, empty, repeated or not the last."""
+    full = records.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    c = lambda n: F.get("cells", F.lit(PAYDAY.index(n)))
+    is_note = F.coalesce(c("employee_id") == "NOTE", F.lit(False)) & (F.size("cells") == len(PAYDAY))
+    by = full.groupBy("file").agg(
+        F.min_by("cells", "pos").alias("head"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max(F.when(is_note, F.col("pos"))).alias("at"), F.count_if(is_note).alias("notes"), F.max(F.when(is_note, c("notes"))).alias("note"),
+        F.count_if(F.size("cells") != len(PAYDAY)).alias("odd"),
+    )
+    code = F.when(F.col("head") != F.array(*[F.lit(h) for h in PAYDAY]), "HEADER").when(F.col("odd") > 0, "WIDTH").when(F.coalesce(F.trim("note"), F.lit("")) == "", "NOTE_MISSING").when((F.col("notes") > 1) | (F.col("at") != F.col("last")), "NOTE_NOT_LAST")
+    by = by.withColumn("code", code)
+    rows = full.join(by.where("code is null").select("file", "first", "last", "note"), "file").where("pos > first and pos < last")
+    return rows.select("file", "pos", F.map_from_arrays(F.array(*[F.lit(h) for h in PAYDAY]), "cells").alias("row"), "note"), by.where("code is not null").select("file", "code")
+
+
+def account_transactions(records: DataFrame, account: str) -> tuple[DataFrame, DataFrame]:
+    """(detail, refusals): (file, pos, row) of the section of one account, and (file, code) of files whose header stands other than once, whose section isn't
+    there once and complete, with another width, or whose subtotal differs from the detail's sums of debit and credit (in text of two places)."""
+    n, label = len(ACCOUNT_TRANSACTIONS), F.get("cells", F.lit(0))
+    cell = lambda h: F.get("cells", F.lit(ACCOUNT_TRANSACTIONS.index(h)))
+    filled = records.where(F.exists("cells", lambda c: c != ""))
+    heads = filled.groupBy("file").agg(F.count_if(F.col("cells") == F.array(*[F.lit(h) for h in ACCOUNT_TRANSACTIONS])).alias("heads"), F.max(F.when(F.col("cells") == F.array(*[F.lit(h) for h in ACCOUNT_TRANSACTIONS]), F.col("pos"))).alias("header"))
+    body = filled.join(heads, "file").where("pos > header")
+    opens = (label == account) & ~F.exists(F.slice("cells", 2, n), lambda c: c != "")
+    closes = label == f"Total {account}"
+    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumns({"opened": F.sum(opens.cast("int")).over(w), "closed": F.sum(closes.cast("int")).over(w), "is_open": opens, "is_close": closes})
+    inside = body.where("opened > closed and not is_open")
+    detail = inside.where(label != "Opening Balance")
+    number = lambda h: F.coalesce(cell(h).try_cast("decimal(28,2)"), F.lit(0).cast("decimal(28,2)"))
+    sums = detail.groupBy("file").agg(F.sum(number("Debit")).alias("d"), F.sum(number("Credit")).alias("c"))
+    total = body.where("is_close").groupBy("file").agg(F.max(number("Debit")).alias("td"), F.max(number("Credit")).alias("tc"))
+    state = heads.join(body.groupBy("file").agg(F.max("opened").alias("o"), F.max("closed").alias("x"), F.count_if(F.size("cells") != n).alias("odd")), "file", "left").join(sums, "file", "left").join(total, "file", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(28,2)"))
+    code = F.when(F.col("heads") != 1, "HEADER").when(F.coalesce("odd", F.lit(0)) > 0, "WIDTH").when((F.coalesce("o", F.lit(0)) != 1) | (F.coalesce("x", F.lit(0)) != 1), "SECTION").when((zero("d") != zero("td")) | (zero("c") != zero("tc")), "SUBTOTAL")
+    state = state.withColumn("code", code)
+    rows = detail.join(state.where("code is null").select("file"), "file", "left_semi").select("file", "pos", F.map_from_arrays(F.array(*[F.lit(h) for h in ACCOUNT_TRANSACTIONS]), "cells").alias("row"))
+    return rows, state.where("code is not null").select("file", "code")

@@ -266,7 +266,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, cells): records of report-shaped CSVs in file order, with as many cells as each has. A report is one file of some pages, split by
     line within its task; a cell doesn't hold a line break. A quote that isn't closed leaves the rest of its line as one cell."""
-    f = capture(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("pos", "line"))
+    f = capture(spark, path).select("file", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n$", ""), "\n", -1)).alias("pos", "line"))  # a final line break ends a record
     # a cell is quoted, with quotes doubled, or runs to the next comma; every match takes the comma before it, so an empty first cell isn't lost
     raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), 1)
     return f.select("file", "pos", F.transform(raw, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)).alias("cells"))
