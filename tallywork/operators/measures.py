@@ -125,11 +125,14 @@ def payroll_measures(events: DataFrame, grain: list[str]) -> DataFrame:
     return g.select(*grain, "wages", "qualifying", "liability", "on_time", "late", ratio(F.col("on_time"), liability).alias("compliance"), "events", "late_events", "reviews", hide("charge"), hide("interest"), note.alias("note"))
 
 
-def consolidation(rows: DataFrame, grain: list[str], group: list[str]) -> DataFrame:
-    """(grain, gross, eliminations, net): eliminations are the intercompany amounts; null unless the grain holds every entity of the group."""
-    g = rows.groupBy(*grain).agg(F.sum("amount").alias("gross"), F.sum(F.when(F.col("is_intercompany"), -F.col("amount")).otherwise(0)).alias("x"), F.size(F.array_intersect(F.collect_set("entity_id"), F.array(*[F.lit(e) for e in group]))).alias("n"))
-    whole = F.col("n") == len(group)
-    return g.select(*grain, F.when(whole, F.col("gross")).alias("gross"), F.when(whole, F.col("x")).alias("eliminations"), F.when(whole, F.col("gross") + F.col("x")).alias("net"))
+def consolidation(rows: DataFrame, grain: list[str], members: DataFrame) -> DataFrame:
+    """(group_id, grain, gross, eliminations, net) of every group of members (group_id, entity_id): eliminations are the intercompany amounts; null unless the
+    grain holds every entity of the group."""
+    sizes = members.groupBy("group_id").agg(F.count_distinct("entity_id").alias("size"))
+    per = rows.groupBy("entity_id", *grain).agg(F.sum("amount").alias("gross"), F.sum(F.when(F.col("is_intercompany"), -F.col("amount")).otherwise(0)).alias("x"))
+    g = per.join(members.distinct(), "entity_id").groupBy("group_id", *grain).agg(F.sum("gross").alias("gross"), F.sum("x").alias("x"), F.count("*").alias("n")).join(sizes, "group_id")
+    whole = F.col("n") == F.col("size")
+    return g.select("group_id", *grain, F.when(whole, F.col("gross")).alias("gross"), F.when(whole, F.col("x")).alias("eliminations"), F.when(whole, F.col("gross") + F.col("x")).alias("net"))
 
 
 def report_context(rows: DataFrame, grain: list[str], all_entities: int) -> DataFrame:

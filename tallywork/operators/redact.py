@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +24,19 @@ PATTERNS = {
     "TFN": (r"\b\d{3} ?\d{3} ?\d{3}\b", 4),
     "BSB": (r"\b\d{3}-\d{3}\b", 5),
     "PHONE": (r"\b0[23478] ?\d{4} ?\d{4}\b", 6),
+    "ACN": (r"\b\d{3} ?\d{3} ?\d{3}\b", 7),
+}
+_AFTER = r"(?: card)?(?: number| no\.?)?:? ?"
+#: kind -> pattern of a number behind its name, which is taken whether its check holds or not: the first group. Java, RE2 and Python read them alike.
+LABELLED = {
+    "ABN": rf"(?i)\b(?:ABN|A\.B\.N\.|Australian Business Number(?: \(ABN\))?){_AFTER}(\d{{2}}(?:[ -]?\d{{3}}){{3}})\b",
+    "MEDICARE": rf"(?i)\bMedicare{_AFTER}(\d{{4}}[ -]?\d{{5}}[ -]?\d(?:[ /-]?\d)?)\b",
+    "TFN": rf"(?i)\b(?:TFN|Tax File Number(?: \(TFN\))?){_AFTER}(\d{{3}}[ -]?\d{{3}}[ -]?\d{{2,3}})\b",
+    "ACN": rf"(?i)\b(?:ACN|A\.C\.N\.|Australian Company Number(?: \(ACN\))?){_AFTER}(\d{{3}}(?:[ -]?\d{{3}}){{2}})\b",
+    "BSB": rf"(?i)\bBSB{_AFTER}(\d{{3}}[ -]?\d{{3}})\b",
 }
 #: What spans are found by: identifier_values keeps to PATTERNS, which its SQL states.
 SPANS = PATTERNS | {
-    "ACN": (r"\b\d{3} ?\d{3} ?\d{3}\b", 7),
     "PHONE": (r"(?<!\d)(?:\(0\d\) ?\d{4} ?\d{4}|04\d{2} ?\d{3} ?\d{3}|\+61 ?(?:\(0?\d\)|\d)(?: ?\d){8}|1[38]00 ?\d{3} ?\d{3}|13 ?\d{2} ?\d{2}|0[23478] ?\d{4} ?\d{4})(?!\w)", 6),
 }
 #: What is left is a candidate if it looks like one of these.
@@ -53,10 +63,13 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def identifier_values(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, value): every match of every pattern whose check holds, found in Catalyst; overlaps are not decided here."""
+    """(doc_id, kind, value): every match of every pattern whose check holds, and every number behind its name, found in Catalyst; overlaps are not
+    decided here."""
     named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), named(k)) for k, (p, _) in PATTERNS.items()]))
-    return documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.kind", "x.value").where(valid(F.col("kind"), F.col("value")))
+    bare = documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.kind", "x.value").where(valid(F.col("kind"), F.col("value")))
+    behind = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), named(k)) for k, p in LABELLED.items()]))
+    return bare.unionByName(documents.select("doc_id", F.explode(behind).alias("x")).select("doc_id", "x.kind", "x.value"))
 
 
 def normalise(documents: DataFrame) -> DataFrame:
@@ -89,6 +102,12 @@ def person_names(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def line_of(text: str) -> Callable[[int], int]:
+    """The line, from 1, on which a character of text stands; line breaks are looked up once."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_left(breaks, at) + 1
+
+
 def find_names(documents: DataFrame) -> DataFrame:
     """Spans as of find_spans, of kind PERSON: names, and titles with one word that no name holds."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -101,36 +120,48 @@ def find_names(documents: DataFrame) -> DataFrame:
                 names = person_names(text) if text else []
                 inside = {i for a, e in names for i in range(a, e)}
                 more = [m.span() for m in titled.finditer(text or "") if not inside & set(range(*m.span())) and not statutory(m[0])]
-                rows += [(doc, "PERSON", a, e, text[a:e], text.count("\n", 0, a) + 1) for a, e in names + more]
+                line = line_of(text or "")
+                rows += [(doc, "PERSON", a, e, text[a:e], line(a)) for a, e in names + more]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line"])
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int")
 
 
 def find_spans(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(doc_id, kind, start, end, value, line): all matches, in characters; lines count from 1. Null texts give none."""
+    """(doc_id, kind, start, end, value, line): all matches, in characters, or their first groups if a pattern has one; lines count from 1. Null texts
+    give none."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(k, re.compile(p)) for k, p in patterns.items()]
         for b in batches:
-            rows = [(doc, k, m.start(), m.end(), m[0], text.count("\n", 0, m.start()) + 1) for doc, text in zip(b["doc_id"], b["text"], strict=True) if text for k, p in compiled for m in p.finditer(text)]
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                line = line_of(text or "")
+                for k, p in compiled:
+                    g = min(p.groups, 1)
+                    rows += [(doc, k, m.start(g), m.end(g), m[g], line(m.start(g))) for m in p.finditer(text or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line"])
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int")
 
 
 def structured_spans(documents: DataFrame) -> DataFrame:
-    """Spans of identifiers whose checks hold, after arbitration."""
+    """Spans of identifiers whose checks hold and of numbers behind their names, which come first, after arbitration."""
     spans = find_spans(documents, {k: p for k, (p, _) in SPANS.items()}).where(valid(F.col("kind"), F.col("value")))
     rank = F.create_map(*[F.lit(x) for k, (_, n) in SPANS.items() for x in (k, n)])
-    return arbitrate(spans.withColumn("priority", rank[F.col("kind")]))
+    named = find_spans(documents, LABELLED).withColumn("priority", F.lit(0))
+    return arbitrate(spans.withColumn("priority", rank[F.col("kind")]).unionByName(named))
 
 
 def arbitrate(spans: DataFrame) -> DataFrame:
-    """Non-overlapping spans of each document: the earliest start wins, then the longest, then the priority. A fold over the document's sorted spans."""
+    """Non-overlapping spans of each document: the earliest start wins, then the longest, then the priority. A fold over each run of overlapping spans, which
+    is short however many spans a document has."""
+    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(w))
     s = F.struct("start", (-F.col("end")).alias("back"), "priority", "end", "kind", "value", "line")
-    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("s"))
+    per = spans.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(s)).alias("s"))
     none = F.filter("s", lambda x: F.lit(False))
     kept = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= x["start"]), F.concat(acc, F.array(x))).otherwise(acc))
     return per.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.kind", "x.start", "x.end", "x.value", "x.line")
@@ -157,13 +188,26 @@ def placeholders(spans: DataFrame) -> DataFrame:
 
 
 def replace_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """documents with each span's text replaced by its placeholder; spans don't overlap."""
+    """documents with each span's text replaced by its placeholder; spans don't overlap. Texts are rebuilt in one pass each."""
     per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("s"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda acc, x: F.struct(F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), x["placeholder"]).alias("text"), x["end"].alias("at"))
-    built = F.aggregate("s", start, step)
-    j = documents.join(per, "doc_id", "left").withColumn("b", F.when(F.col("s").isNotNull(), built))
-    return j.withColumn("text", F.when(F.col("b").isNull(), F.col("text")).otherwise(F.concat("b.text", F.substring(F.col("text"), F.col("b.at") + 1, F.length("text"))))).drop("s", "b")
+    per = per.select("doc_id", *[F.col(f"s.{c}").alias(f"__{c}") for c in ("start", "end", "placeholder")])
+
+    def rebuild(texts: pd.Series, starts: pd.Series, ends: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for text, a, e, n in zip(texts, starts, ends, names, strict=True):
+            if text is None or a is None:
+                out.append(text)
+                continue
+            parts, at = [], 0
+            for start, end, name in zip(a, e, n, strict=True):
+                parts += [text[at:start], name]
+                at = end
+            out.append("".join([*parts, text[at:]]))
+        return pd.Series(out, dtype=object)
+
+    built = F.pandas_udf(rebuild, "string")("text", "__start", "__end", "__placeholder")
+    j = documents.join(per, "doc_id", "left")
+    return j.withColumn("text", F.when(F.col("__start").isNull(), F.col("text")).otherwise(built)).drop("__start", "__end", "__placeholder")
 
 
 def fold(value: Column) -> Column:
@@ -189,7 +233,7 @@ def entity_spans(documents: DataFrame, entities: list[tuple[str, str, str]]) ->
         joined = "|".join(f"(?P<e{i}>(?<!\\w){gap.join(map(re.escape, v.split()))}(?!\\w))" for i, (v, _, _) in enumerate(by))
         p = re.compile(joined or r"(?!)", re.IGNORECASE)
         for b in batches:
-            rows = [(doc, by[int(m.lastgroup[1:])][2], m.start(), m.end(), m[0], text.count("\n", 0, m.start()) + 1, by[int(m.lastgroup[1:])][1]) for doc, text in zip(b["doc_id"], b["text"], strict=True) if text for m in p.finditer(text)]
+            rows = [(doc, by[int(m.lastgroup[1:])][2], m.start(), m.end(), m[0], line(m.start()), by[int(m.lastgroup[1:])][1]) for doc, text in zip(b["doc_id"], b["text"], strict=True) if text for line in [line_of(text)] for m in p.finditer(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line", "placeholder"])
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int, placeholder string")

@@ -128,14 +128,17 @@ def benchmark_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("entity_id", "fy", in_cents("turnover").alias("turnover"), "band", *ratios, measures.risk_label(F.col("turnover"), F.col("band"), F.col("variance")).alias("risk"))
 
 
-@query(f"""WITH {STAR_SQL}, k AS (SELECT n_name FROM nation WHERE n_nationkey < 3) SELECT account_code, CAST(year(posting_date) AS INTEGER) AS year, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(sum(amount) AS BIGINT) END AS gross, CASE WHEN count(DISTINCT entity_id) FILTER (entity_id IN (FROM k)) = 3 THEN CAST(-sum(CASE WHEN is_intercompany THEN amount ELSE 0 END) AS BIGINT) END AS eliminations
-  FROM star WHERE entity_id IN (FROM k) AND NOT (account_code = '210' AND entity_id = (SELECT max(n_name) FROM k)) GROUP BY ALL""")
+@query(f"""WITH {STAR_SQL}, m AS (SELECT n_name, r_name AS grp, count(*) OVER (PARTITION BY r_name) AS size, n_name = max(n_name) OVER (PARTITION BY r_name) AND r_name < 'B' AS last FROM nation JOIN region ON n_regionkey = r_regionkey),
+  g AS (SELECT grp AS group_id, account_code, CAST(year(posting_date) AS INTEGER) AS year, count(DISTINCT entity_id) = max(size) AS whole, sum(amount) AS s, -sum(CASE WHEN is_intercompany THEN amount ELSE 0 END) AS x FROM star JOIN m ON entity_id = m.n_name WHERE NOT (account_code = '210' AND last) GROUP BY ALL)
+  SELECT group_id, account_code, year, CASE WHEN whole THEN CAST(s AS BIGINT) END AS gross, CASE WHEN whole THEN CAST(x AS BIGINT) END AS eliminations, CASE WHEN whole THEN CAST(s + x AS BIGINT) END AS net FROM g""")
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group of three; one entity's tax account is left out, so that account has no group figure."""
-    group = [r[0] for r in table(spark, sf_dir, "nation").where("n_nationkey < 3").select("n_name").collect()]
-    rows = star(spark, sf_dir).where(F.col("entity_id").isin(*group) & ~((F.col("account_code") == "210") & (F.col("entity_id") == max(group))))
-    c = measures.consolidation(rows.withColumn("year", F.year("posting_date")), ["account_code", "year"], group)
-    return c.select("account_code", "year", in_cents("gross").alias("gross"), in_cents("eliminations").alias("eliminations"))
+    """Each region is a group; in some, one entity's tax account is left out, so that account has no group figure."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    members = n.select(F.col("r_name").alias("group_id"), F.col("n_name").alias("entity_id"))
+    last = members.where("group_id < 'B'").groupBy("group_id").agg(F.max("entity_id").alias("entity_id")).select("entity_id", F.lit("210").alias("account_code"))
+    rows = star(spark, sf_dir).join(last, ["entity_id", "account_code"], "left_anti")
+    c = measures.consolidation(rows.withColumn("year", F.year("posting_date")), ["account_code", "year"], members)
+    return c.select("group_id", "account_code", "year", *[in_cents(x).alias(x) for x in ("gross", "eliminations", "net")])
 
 
 @query(f"""WITH {STAR_SQL} SELECT account_code, industry, CASE WHEN count(DISTINCT entity_id) = 25 THEN 'whole group' WHEN count(DISTINCT entity_id) = 1 THEN min(entity_id) ELSE count(DISTINCT entity_id) || ' entities' END AS scope, strftime(min(posting_date), '%Y-%m') || ' to ' || strftime(max(posting_date), '%Y-%m') AS selection FROM star GROUP BY account_code, industry""")
@@ -161,11 +164,11 @@ def latest_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- calendar ----------------------------------------------------------------------------------------------------------
 
 HOLIDAYS = ["1998-01-01", "1998-01-26", "1998-04-10", "1998-04-13", "1998-04-25", "1998-12-25", "1998-12-28"]
-DAYS_SQL = f"""days AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2003-12-31', INTERVAL 1 DAY)) AS DATE) AS date), cal AS (SELECT date, isodow(date) < 6 AND date NOT IN ({', '.join(f"DATE '{d}'" for d in HOLIDAYS)}) AS is_bd FROM days), bd AS (SELECT date, is_bd, sum(is_bd::INT) OVER (ORDER BY date) AS n FROM cal)"""
+DAYS_SQL = f"""days AS (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2005-12-31', INTERVAL 1 DAY)) AS DATE) AS date), cal AS (SELECT date, isodow(date) < 6 AND date NOT IN ({', '.join(f"DATE '{d}'" for d in HOLIDAYS)}) AS is_bd FROM days), bd AS (SELECT date, is_bd, sum(is_bd::INT) OVER (ORDER BY date) AS n FROM cal)"""
 
 
 def _calendar(spark: SparkSession) -> DataFrame:
-    days = calendar.date_dimension(spark, "1995-01-01", "2003-12-31")
+    days = calendar.date_dimension(spark, "1990-01-01", "2005-12-31")
     return calendar.business_days(days, policy(spark, [(d,) for d in HOLIDAYS], "d string").select(F.col("d").cast("date").alias("date")))
 
 
@@ -176,10 +179,10 @@ def date_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(calendar.date_dimension(spark, "1990-01-01", "2003-12-31"), "date").select("date", "orders", "fy", "fy_label", "fy_start", "fy_end", "fy_quarter", "fy_month", "month_name", "is_weekend")
 
 
-@query(f"WITH {DAYS_SQL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '2003-01-01') SELECT o_orderkey, e.date AS due FROM o JOIN bd s USING (date) JOIN bd e ON e.is_bd AND e.n = s.n + 7")
+@query(f"WITH {DAYS_SQL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) SELECT o_orderkey, e.date AS due FROM o JOIN bd s USING (date) JOIN bd e ON e.is_bd AND e.n = s.n + 7")
 def business_day_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W18."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("pay")).where("pay >= '1995-01-01' and pay < '2003-01-01'")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("pay"))
     return calendar.add_business_days(o, "pay", 7, _calendar(spark), "due").select("o_orderkey", "due")
 
 
@@ -187,9 +190,9 @@ def business_day_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contribution_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a pay event, received some days later; 28-digit compounding has no SQL."""
     o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    e = o.select("o_orderkey", F.to_date("o_orderdate").alias("pay_date"), money(F.round(F.col("o_totalprice") * 10).cast("long")).cast("decimal(18,2)").alias("amount")).where("pay_date >= '1995-01-01' and pay_date < '2003-01-01'")
+    e = o.select("o_orderkey", F.to_date("o_orderdate").alias("pay_date"), money(F.round(F.col("o_totalprice") * 10).cast("long")).cast("decimal(18,2)").alias("amount"))
     e = e.withColumn("received", F.when(n % 50 != 0, F.date_add("pay_date", F.pmod(n, F.lit(90)).cast("int"))))
-    rates = {(y, q): f"{8 + (y + q) % 4}.{q}5" for y in range(1995, 2005) for q in (1, 2, 3, 4)}
+    rates = {(y, q): f"{8 + (y + q) % 4}.{q}5" for y in range(1990, 2008) for q in (1, 2, 3, 4)}
     return calendar.settle(e, _calendar(spark), rates).select("o_orderkey", "due", "state", *[in_cents(c).alias(c) for c in ("earnings", "uplift", "charge")])
 
 

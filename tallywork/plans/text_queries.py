@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ABN_WEIGHTS, MEDICARE_WEIGHTS, TFN_WEIGHTS
+from ..functions.columns import ABN_WEIGHTS, ACN_WEIGHTS, MEDICARE_WEIGHTS, TFN_WEIGHTS
 from ..operators import redact
 from ..sources import readers, writers
+from ..sources.staging import new_path
 from .derive import TB_SQL, in_cents, table, tb
 
 Q, S = {}, {}
@@ -34,15 +32,15 @@ def _sum(weights: tuple[int, ...], less: int = 0) -> str:
     return "(" + " + ".join(f"(CAST(substr(d, {i + 1}, 1) AS INT) - {less if i == 0 else 0}) * {w}" for i, w in enumerate(weights)) + ")"
 
 
-VALUES_SQL = "x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, (p, _) in redact.PATTERNS.items()) + "), v AS (SELECT *, replace(replace(value, ' ', ''), '-', '') AS d FROM x)"
-VALID_SQL = f"CASE kind WHEN 'ABN' THEN {_sum(ABN_WEIGHTS, 1)} % 89 = 0 WHEN 'TFN' THEN {_sum(TFN_WEIGHTS)} % 11 = 0 WHEN 'MEDICARE' THEN {_sum(MEDICARE_WEIGHTS)} % 10 = CAST(substr(d, 9, 1) AS INT) ELSE true END"
+VALUES_SQL = "x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, (p, _) in redact.PATTERNS.items()) + "), named AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS value FROM documents" for k, p in redact.LABELLED.items()) + "), v AS (SELECT *, replace(replace(value, ' ', ''), '-', '') AS d FROM x)"
+VALID_SQL = f"CASE kind WHEN 'ABN' THEN {_sum(ABN_WEIGHTS, 1)} % 89 = 0 WHEN 'TFN' THEN {_sum(TFN_WEIGHTS)} % 11 = 0 WHEN 'ACN' THEN (10 - {_sum(ACN_WEIGHTS)} % 10) % 10 = CAST(substr(d, 9, 1) AS INT) WHEN 'MEDICARE' THEN {_sum(MEDICARE_WEIGHTS)} % 10 = CAST(substr(d, 9, 1) AS INT) ELSE true END"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(f"WITH {VALUES_SQL} SELECT doc_id, kind, value FROM v WHERE {VALID_SQL}")
+@query(f"WITH {VALUES_SQL} SELECT doc_id, kind, value FROM v WHERE {VALID_SQL} UNION ALL SELECT doc_id, kind, value FROM named")
 def identifier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E01 as values, V20, V21: in Catalyst only."""
     return redact.identifier_values(documents(spark, sf_dir))
@@ -108,8 +106,7 @@ def verify_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, balances: DataFrame) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywork-")
-    path = f"{base}/tb-{uuid.uuid4().hex}"
+    path = new_path(spark, "trial-balance-files")
     writers.export_trial_balance(balances, path)
     accepted, _ = readers.read_csv(spark, f"{path}/*", readers.TB)
     return accepted.select("tenant", "report_date", "account_id", in_cents("ytd_debit").alias("ytd_debit"), in_cents("ytd_credit").alias("ytd_credit"))
