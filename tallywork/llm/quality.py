@@ -16,8 +16,8 @@ SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: the documents; rates that are 0 in almost all clean documents show their spread only near the end. chars: the mean word's length in
 #: thousandths of a character.
 RULES = {"symbols": (75, 8), "repeats": (98, 4), "dup_lines": (98, 4), "chars": (75, 8)}
-#: The least spread, in thousandths: a group in which all are even.
-LEAST_SPREAD = 5
+#: The least spread of a group in which all are even: so many thousandths, and one part in EVEN of the median.
+LEAST_SPREAD, EVEN = 5, 20
 #: A group's quantiles are averaged with its language's, which count as so many documents, and a language's with the corpus's.
 SHRINK = 50
 #: A cutoff is at most so many times the language's, and a language's so many times the corpus's: a source of junk doesn't excuse itself.
@@ -106,7 +106,7 @@ def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) ->
         return F.expr(f"({own}.docs * {own}.{part} + {SHRINK} * {wide}.{part}) div ({own}.docs + {SHRINK})").alias(part)
 
     def cutoff() -> F.Column:
-        return F.col("mid") + per_rate(1) * F.greatest(F.col("high") - F.col("mid"), F.lit(LEAST_SPREAD))
+        return F.col("mid") + per_rate(1) * F.greatest(F.col("high") - F.col("mid"), F.lit(LEAST_SPREAD), F.expr(f"mid div {EVEN}"))
 
     corpus = quantiles([]).withColumn("cutoff", cutoff()).alias("c")
     lang = quantiles([by[0]]).alias("l").join(F.broadcast(corpus), F.col("l.rate") == F.col("c.rate"))  # the corpus has a row for each rate

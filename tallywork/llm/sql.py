@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BITS, BOUND, LEAST_SPREAD, RULES, SHRINK
+from .quality import BITS, BOUND, EVEN, LEAST_SPREAD, RULES, SHRINK
 from .urls import LOWER, UPPER
 
 WORDS = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -43,7 +43,7 @@ def _shrunk(part: str, own: str, wide: str) -> str:
     return f"({own}.docs * {own}.{part} + {SHRINK} * {wide}.{part}) // ({own}.docs + {SHRINK}) AS {part}"
 
 
-_CUT = f"mid + ({_TIMES}) * greatest(high - mid, {LEAST_SPREAD})"
+_CUT = f"mid + ({_TIMES}) * greatest(high - mid, {LEAST_SPREAD}, mid // {EVEN})"
 
 QUALITY = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
 ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
