@@ -128,12 +128,23 @@ def test_pipeline(spark):
 
 
 def test_pipeline_odd_rows(spark):
-    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " ".join(f"w{i}" for i in range(80)), None, "a", 9), (4, " ".join(f"w{i}" for i in range(80)), "en", "a", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for df, want in ((docs, {3}), (docs.limit(0), set())):
-        for _, stage in corpus_pipeline.STAGES:
+    """Nulls in any column, empty and very long texts, repeated rows and columns named like those of the operators; and no rows."""
+    rnd = random.Random(5)
+    fine, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    long = "\n".join(" ".join(f"y{rnd.randrange(900)}" for _ in range(12)) for _ in range(9000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, fine, None, "a", 9), (4, fine, "en", "a", 9), (5, other, "en", None, None), (5, other, "en", None, None), (6, long, "en", "a", 9), (7, "one two", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    clash = docs.withColumns({c: F.lit("own") for c in ("n_lines", "n_removed", "removed", "n_words", "kept", "component_id", "key", "c0", "ids")})
+    for df, want in ((docs, {3: 1, 5: 2, 6: 1}), (clash, {3: 1, 5: 2, 6: 1}), (clash.limit(0), {})):
+        columns, kinds = df.columns, df.dtypes
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             df = stage(spark, df, SF)
-        assert {r["doc_id"] for r in df.collect()} == want
+            assert df.columns == columns and df.dtypes == kinds
+        found = df.collect()
+        assert {i: sum(r["doc_id"] == i for r in found) for i in {r["doc_id"] for r in found}} == want
+        assert all(r["n_chars"] == len(r["text"]) for r in found) and all(r[c] == "own" for r in found for c in columns if c in ("n_removed", "removed", "kept", "c0"))
+        pieces = corpus_pipeline.STAGES[-1][1](spark, df, SF).collect()
+        assert {r["doc_id"] for r in pieces} == set(want)
 
 
 def test_pipeline_drops_near_copies_at_five_words(spark):
