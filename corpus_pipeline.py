@@ -21,26 +21,31 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts fail; null languages and sources are groups of their own; each of repeated rows is judged
+    alike; an empty table stays empty. Other columns stay as they are, whatever their names."""
     return filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that repeat earlier runs; a document that loses all its words so goes. n_chars follows the text."""
-    cleaned = dedup_lines(docs)
-    words = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    return words.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents less the lines that repeat earlier runs; a document that loses all its words so goes. n_chars follows the text. Null and empty texts lose
+    nothing and stay; rows equal in doc_id and text come out alike; other columns stay as they are, whatever their names."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # dedup_lines replaces columns named like its own
+    cleaned = dedup_lines(docs.toDF(*own.values()), id_col=own["doc_id"], text_col=own["text"])
+    text = F.col(own["text"])
+    words = cleaned.where((F.col("n_removed") == 0) | text.rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    words = words.withColumn(own["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return words.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (four fifths of their five-word shingles in common, or more) the document with the smallest doc_id;
-    rows that share a doc_id are one document."""
+    rows that share a doc_id are one document. Null, empty and wordless texts are no duplicates of anything and stay; other columns stay as they are."""
     gone = cut(jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
     return matching(docs, gone, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence of at most 1024 tokens."""
+    """One row per piece of a document in a sequence of at most 1024 tokens. Null and empty texts are the end id alone; each of repeated rows is packed."""
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
