@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money_text
+from ..functions.columns import money_text, times
 from .close import pair_periods
 
 
@@ -16,7 +16,8 @@ def variance_findings(tb: DataFrame, policy: DataFrame) -> DataFrame:
     """
     p = pair_periods(tb).withColumns({"section": F.coalesce("cur.section", "pri.section"), "current": F.coalesce("cur.ytd_net", F.lit(0)), "prior": F.coalesce("pri.ytd_net", F.lit(0))})
     j = p.join(F.broadcast(policy), "section").withColumn("delta", F.col("current") - F.col("prior"))  # a row per section
-    over = (F.abs("delta") >= F.col("minimum_absolute")) & ((F.col("prior") == 0) | (100 * F.abs("delta") >= F.abs("prior").cast("decimal(28,2)") * F.col("minimum_percent"))) & (F.col("delta") != 0)
+    millionths = (F.col("minimum_percent").cast("decimal(9,6)") * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(9,0)")  # a product in which nothing is rounded
+    over = (F.abs("delta") >= F.col("minimum_absolute")) & ((F.col("prior") == 0) | (times(F.abs("delta"), 10**8) >= F.abs("prior").cast("decimal(27,10)") * millionths)) & (F.col("delta") != 0)
     return j.where(over).select("tenant", "report_date", "section", "account_id", "current", "prior", "delta")
 
 
@@ -33,11 +34,24 @@ def truncate(found: DataFrame, most: int) -> DataFrame:
     return found.withColumns({"n": F.row_number().over(k.orderBy("section", "account_id")), "total": F.count("*").over(k)}).where(F.col("n") <= most).withColumn("truncated", F.col("total") > most)
 
 
-def references(found: DataFrame, salt: str) -> DataFrame:
-    """Findings with account_ref and finding_id in place of identities: SHA-256 over exact strings."""
-    account = F.sha2(F.concat_ws("|", F.lit(salt), "tenant", "account_id"), 256)
-    finding = F.sha2(F.concat_ws("|", F.lit(salt), "tenant", F.col("report_date").cast("string"), "account_id", money_text("current"), money_text("prior")), 256)
-    return found.withColumns({"account_ref": F.substring(account, 1, 16), "finding_id": F.substring(finding, 1, 16)})
+def references(found: DataFrame) -> DataFrame:
+    """Findings with account_ref, finding_id and evidence_ref in place of identities: a word and 24 hex digits of the SHA-256 over exact strings, each over
+    the one before (fixed forms)."""
+    ref = lambda word, *parts: F.concat(F.lit(f"{word}:"), F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 24))
+    account = found.withColumn("account_ref", ref("acct", "tenant", "account_id"))
+    finding = account.withColumn("finding_id", ref("finding", "account_ref", money_text("delta"), F.col("report_date").cast("string")))
+    return finding.withColumn("evidence_ref", ref("evidence", "finding_id", F.lit("reviewer-evidence")))
+
+
+#: The digests that identify a run (fixed values).
+RUN_DIGESTS = ("context_sha256", "current_csv_sha256", "current_manifest_sha256", "policy_sha256", "prior_csv_sha256", "prior_manifest_sha256", "request_sha256")
+
+
+def run_id() -> Column:
+    """The identity of a run over its seven digests, columns of these names: the SHA-256 of a compact JSON object with its members in order; null without one."""
+    members = [F.concat(F.lit(f'"{d}":"'), F.col(d), F.lit('"')) for d in RUN_DIGESTS]
+    whole = F.when(F.forall(F.array(*[F.col(d).isNotNull() for d in RUN_DIGESTS]), lambda x: x), F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    return F.concat(F.lit("sha256:"), F.sha2(whole, 256))
 
 
 def decision_issues(found: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -255,31 +255,40 @@ def section_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variance.section_drift(tb(spark, sf_dir).withColumn("section", F.when(move, "Equity").otherwise(F.col("section"))), "Equity")
 
 
-REF_SQL = f"{VF_SQL}, m AS (SELECT *, CASE WHEN cur < 0 THEN '-' ELSE '' END || (abs(cur) // 100) || '.' || lpad(CAST(abs(cur) % 100 AS VARCHAR), 2, '0') AS ct, CASE WHEN pri < 0 THEN '-' ELSE '' END || (abs(pri) // 100) || '.' || lpad(CAST(abs(pri) % 100 AS VARCHAR), 2, '0') AS pt FROM vf), r AS (SELECT tenant, report_date, account_id, substr(sha256(concat_ws('|', 'salt', tenant, account_id)), 1, 16) AS account_ref, substr(sha256(concat_ws('|', 'salt', tenant, CAST(report_date AS VARCHAR), account_id, ct, pt)), 1, 16) AS finding_id FROM m)"
+REF_SQL = f"{VF_SQL}, m AS (SELECT *, CASE WHEN cur < 0 THEN '-' ELSE '' END || (abs(cur) // 100) || '.' || lpad(CAST(abs(cur) % 100 AS VARCHAR), 2, '0') AS ct, CASE WHEN pri < 0 THEN '-' ELSE '' END || (abs(pri) // 100) || '.' || lpad(CAST(abs(pri) % 100 AS VARCHAR), 2, '0') AS pt FROM vf), q AS (SELECT *, CASE WHEN cur < pri THEN '-' ELSE '' END || (abs(cur - pri) // 100) || '.' || lpad(CAST(abs(cur - pri) % 100 AS VARCHAR), 2, '0') AS dt, 'acct:' || substr(sha256(tenant || ':' || account_id), 1, 24) AS account_ref FROM m), r AS (SELECT tenant, report_date, account_id, account_ref, 'finding:' || substr(sha256(account_ref || ':' || dt || ':' || CAST(report_date AS VARCHAR)), 1, 24) AS finding_id FROM q)"
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variance.references(variance.variance_findings(tb(spark, sf_dir), _policy(spark)), "salt")
+    return variance.references(variance.variance_findings(tb(spark, sf_dir), _policy(spark)))
 
 
-@query(f"WITH {REF_SQL} SELECT account_ref, finding_id FROM r")
+@query(f"WITH {REF_SQL} SELECT account_ref, finding_id, 'evidence:' || substr(sha256(finding_id || ':reviewer-evidence'), 1, 24) AS evidence_ref FROM r")
 def hashed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R06, V23."""
-    return _refs(spark, sf_dir).select("account_ref", "finding_id")
+    return _refs(spark, sf_dir).select("account_ref", "finding_id", "evidence_ref")
 
 
-@query(f"WITH {REF_SQL} SELECT tenant, report_date, count(*) AS total, count(*) FILTER (finding_id < '8') AS decided, count(*) FILTER (finding_id >= '8') AS undecided FROM r GROUP BY ALL")
+@query(f"""WITH {TB_SQL}, t AS (SELECT tenant, report_date, CAST(CAST(sum(greatest(ytd, 0)) AS BIGINT) AS VARCHAR) AS total FROM tb GROUP BY ALL)
+  SELECT tenant, report_date, 'sha256:' || sha256('{{' || {" || ',' || ".join(f"""'"{d}":"' || sha256('{d}:' || tenant || ':' || CAST(report_date AS VARCHAR) || ':' || total) || '"'""" for d in variance.RUN_DIGESTS)} || '}}') AS run_id FROM t""")
+def run_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per tenant and period, over seven digests that its balances decide."""
+    t = tb(spark, sf_dir).groupBy("tenant", "report_date").agg(in_cents(F.sum("ytd_debit")).cast("string").alias("total"))
+    t = t.select("tenant", "report_date", *[F.sha2(F.concat_ws(":", F.lit(d), "tenant", F.col("report_date").cast("string"), "total"), 256).alias(d) for d in variance.RUN_DIGESTS])
+    return t.select("tenant", "report_date", variance.run_id().alias("run_id"))
+
+
+@query(f"WITH {REF_SQL} SELECT tenant, report_date, count(*) AS total, count(*) FILTER (finding_id < 'finding:8') AS decided, count(*) FILTER (finding_id >= 'finding:8') AS undecided FROM r GROUP BY ALL")
 def decision_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the findings are decided."""
     r = _refs(spark, sf_dir)
-    return variance.decision_coverage(r, r.where("finding_id < '8'").select("finding_id"))
+    return variance.decision_coverage(r, r.where("finding_id < 'finding:8'").select("finding_id"))
 
 
-@query(f"WITH {REF_SQL} SELECT finding_id, 'DECIDED_TWICE' AS issue FROM r WHERE finding_id < '2' UNION ALL SELECT 'x' || finding_id, 'UNKNOWN_FINDING' FROM r WHERE finding_id > 'e'")
+@query(f"WITH {REF_SQL} SELECT finding_id, 'DECIDED_TWICE' AS issue FROM r WHERE finding_id < 'finding:2' UNION ALL SELECT 'x' || finding_id, 'UNKNOWN_FINDING' FROM r WHERE finding_id > 'finding:e'")
 def decision_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J31."""
     r = _refs(spark, sf_dir).select("finding_id")
-    return variance.decision_issues(r, r.unionByName(r.where("finding_id < '2'")).unionByName(r.where("finding_id > 'e'").select(F.concat(F.lit("x"), "finding_id").alias("finding_id"))))
+    return variance.decision_issues(r, r.unionByName(r.where("finding_id < 'finding:2'")).unionByName(r.where("finding_id > 'finding:e'").select(F.concat(F.lit("x"), "finding_id").alias("finding_id"))))
 
 
 @query(f"WITH {REF_SQL} SELECT DISTINCT 'label' AS column, account_id AS value FROM r WHERE account_id = '110'")
