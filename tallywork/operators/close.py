@@ -183,6 +183,18 @@ def equity_reconciliation(pairs: DataFrame, movements: DataFrame) -> DataFrame:
     return total.withColumn("difference", F.col("opening") + F.col("movement") - F.col("closing"))
 
 
+def equity_result_issues(reconciled: DataFrame, stored: DataFrame) -> DataFrame:
+    """(tenant, report_date, account_id, issue): results of equity_reconciliation against stored ones (the same columns); account_id null is the total.
+    NOT_STORED and UNKNOWN rows, and OPENING, MOVEMENT, CLOSING or DIFFERENCE where the figure isn't the recomputed one."""
+    keys, figures = ["tenant", "report_date"], ["opening", "movement", "closing", "difference"]
+    a, b = reconciled.withColumn("here", F.lit(True)).alias("a"), stored.withColumn("here", F.lit(True)).alias("b")
+    both = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.account_id").eqNullSafe(F.col("b.account_id"))], "full_outer")
+    one = F.when(F.col("b.here").isNull(), F.array(F.lit("NOT_STORED"))).when(F.col("a.here").isNull(), F.array(F.lit("UNKNOWN")))
+    unlike = F.filter(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c.upper())) for c in figures]), lambda x: x.isNotNull())
+    named = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in (*keys, "account_id")]
+    return both.select(*named, F.explode(F.coalesce(one, unlike)).alias("issue"))
+
+
 def contact_exceptions(contacts: DataFrame, periods: DataFrame) -> DataFrame:
     """contact_register's issues as exceptions of the tenant's last period (tenant, report_date): the register is the state then."""
     last = periods.groupBy("tenant").agg(F.max("report_date").alias("report_date"))

@@ -249,6 +249,18 @@ def equity_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tenant", "report_date", "account_id", *[in_cents(c).alias(c) for c in ("opening", "movement", "closing", "difference")])
 
 
+@query(f"""WITH {PAIRS_SQL}, e AS (SELECT tenant, report_date, account_id FROM pairs WHERE section = 'Liabilities' UNION ALL SELECT DISTINCT tenant, report_date, NULL FROM pairs WHERE section = 'Liabilities'), m AS (SELECT *, month(report_date) AS mo FROM e)
+  SELECT tenant, report_date, account_id, 'NOT_STORED' AS issue FROM m WHERE mo = 1 AND account_id IS NULL UNION ALL SELECT tenant, report_date, 'extra', 'UNKNOWN' FROM m WHERE mo = 2 AND account_id IS NOT NULL UNION ALL SELECT tenant, report_date, account_id, 'CLOSING' FROM m WHERE mo = 3 UNION ALL SELECT tenant, report_date, account_id, unnest(['OPENING', 'DIFFERENCE']) FROM m WHERE mo = 4""")
+def equity_result_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results of which some lack the total, know another account, or have other figures."""
+    t = trial_balance(spark, sf_dir).where("section = 'Liabilities'")
+    done = staged(close.equity_reconciliation(close.pair_periods(t), t.select("tenant", "report_date", "account_id", "debit", "credit")), "equity")
+    month, cent = F.month("report_date"), F.lit("0.01").cast(AMOUNT)
+    stored = done.where(~((month == 1) & F.col("account_id").isNull())).withColumns({"closing": F.when(month == 3, F.col("closing") + cent).otherwise(F.col("closing")), "opening": F.when(month == 4, F.col("opening") + cent).otherwise(F.col("opening")), "difference": F.when(month == 4, F.col("difference") + cent).otherwise(F.col("difference"))})
+    more = done.where((month == 2) & F.col("account_id").isNotNull()).withColumn("account_id", F.lit("extra"))
+    return close.equity_result_issues(done, stored.unionByName(more)).select("tenant", "report_date", "account_id", "issue")
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The controls over trial balances of two periods, enriched; the trial balances are written once and read by each."""
     t = staged(trial_balance(spark, sf_dir), "trial-balances")
