@@ -131,7 +131,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     Groups are ordered (heavy ones first, then by the SHA-256 of the text) and cut into contiguous runs with the smallest possible largest
     run, found by binary search over capacities that are checked greedily; a group larger than an even share has a shard to itself. So
     law is `bytes`, and grown_shard is null. size: UTF-8 bytes plus 1. Null texts form one group, apart from the empty text's, with size 1
-    and CRC 0. slot numbers a shard's rows from 0 without gaps. An empty table gives no rows; repeated rows have slots of their own.
+    and CRC 0. slot numbers a shard's rows from 0 without gaps. An empty table gives no rows; repeated rows have slots of their own. Other
+    columns are ignored, whatever their names; a very long text is a group like any other, and is hashed whole by one task.
     Rows of one hot group are numbered in PARTS parts; no task holds a shard.
     """
     text = F.col(text_col)
