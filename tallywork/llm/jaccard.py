@@ -17,13 +17,14 @@ from .common import bounded, components, cut, map_rows, matching, slices
 MEMO = 500_000
 #: An order ranks the tokens whose two low bits are its number first, by how many documents hold them, then all others by their value.
 ORDERS = (0, 1, 2, 3)
-#: Documents of one block of a candidate group; two blocks meet in one task. Larger groups go through all ORDERS and the hubs.
+#: Documents of one block of a candidate group; two blocks meet in one task. Members of larger groups meet hubs first.
 BLOCK = 256
 #: A token found in OFTEN documents of a sample, a SAMPLE-th of all, is ranked last, uncounted; so about OFTEN x SAMPLE documents at most are
 #: counted for a token, at any size of the table.
-OFTEN, SAMPLE = 64, 64
-#: Sets of a group of more than BLOCK to which all others are compared first.
-HUBS = 8
+OFTEN, SAMPLE = 16, 64
+#: Sets of a group of more than BLOCK to which all others are compared first, and the size from which the further orders split a group before that:
+#: splitting ships whole sets once more for each order, which smaller groups don't repay.
+HUBS, WIDE_GROUP = 8, 4096
 #: Tokens by which two blocks are multiplied at a time.
 WIDE = 4096
 
@@ -138,7 +139,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     rows with equal doc_id are one node. Repeated rows are each returned.
 
     Equal sets are one class, so copies never meet. Of the classes, candidates share prefix tokens, directly or through others, under the
-    first order and under the second (which sees what the first leaves); groups of more than BLOCK are split by the further orders as well.
+    first order and under the second (which sees what the first leaves); groups of more than WIDE_GROUP are split by the further orders as well.
     Only classes in one group under all orders are compared, with their whole sets, a task returning links that span what it joins. The
     result is exact: a prefix filter loses no pair, under any order. Other columns are ignored, whatever their names; an empty table gives
     no rows; a very long text is hashed whole by one task.
@@ -189,10 +190,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
 
 
 def refine(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """groups (id, key, grp), those of more than BLOCK split by the orders that are left: members of a group part unless they share prefix tokens,
+    """groups (id, key, grp), those of more than WIDE_GROUP split by the orders that are left: members of a group part unless they share prefix tokens,
     directly or through others, under each of them too. A group that stays whole may be one of copies, or chained by chance."""
     for order in ORDERS[2:]:
-        large = groups.groupBy("grp").count().where(F.col("count") > BLOCK).select("grp")
+        large = groups.groupBy("grp").count().where(F.col("count") > WIDE_GROUP).select("grp")
         wide = cut(groups.join(large, "grp", "left_semi"), f"order{order}-wide")
         if not wide.limit(1).count():
             break
