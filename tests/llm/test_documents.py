@@ -529,6 +529,7 @@ def test_jaccard_large_group_of_chains(spark, hubs, monkeypatch):
     """One candidate group of many: a text drifts word by word, so that hubs join neighbours only, and some members link with nothing."""
     monkeypatch.setattr(jaccard, "BLOCK", 6)
     monkeypatch.setattr(jaccard, "HUBS", hubs)
+    monkeypatch.setattr(jaccard, "WIDE_GROUP", 6 if hubs == 8 else 4096)
     words, rows = [f"w{j}" for j in range(90)], []
     for i in range(70):
         words = [*words]
