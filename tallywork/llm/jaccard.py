@@ -24,7 +24,7 @@ BLOCK = 256
 OFTEN, SAMPLE = 16, 64
 #: Sets of a group of more than BLOCK to which all others are compared first, and the size from which the further orders split a group before that:
 #: splitting ships whole sets once more for each order, which smaller groups don't repay.
-HUBS, WIDE_GROUP = 8, 4096
+HUBS, WIDE_GROUP = 8, 65_536
 #: Tokens by which two blocks are multiplied at a time.
 WIDE = 4096
 
@@ -209,16 +209,32 @@ def refine(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return groups
 
 
-def compare_blocks(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def to_hubs(links: list[tuple[int, int]], hubs: set[int]) -> list[tuple[int, int]]:
+    """Links that join the same ids as these, each to the least hub that it reaches; every link has a hub on one side."""
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        top[max(a, b, key=lambda x: (x not in hubs, x))] = min(a, b, key=lambda x: (x not in hubs, x))
+    return [(x, root(x)) for x in list(top) if root(x) != x]
+
+
+def compare_blocks(met: DataFrame, sets: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
     """(src, dst): spanning links within each (grp, lo, hi) of met (id, key, grp, own, lo, hi, task): between rows with own lo and own hi, or
-    among all if lo and hi are equal."""
+    among all if lo and hi are equal. hubs: rows with own lo are hubs, and dst is the least hub that src reaches."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, lo, hi), g in pdf.groupby(["grp", "lo", "hi"], sort=False):
             if len(g) > 1:
                 side = np.full(len(g), 2) if lo == hi else (g["own"].to_numpy() == hi).astype(int)
-                out += spanning_links(g["id"].to_numpy(), side, [np.asarray(x) for x in g["set"]], percent)
+                links = spanning_links(g["id"].to_numpy(), side, [np.asarray(x) for x in g["set"]], percent)
+                out += to_hubs(links, set(g["id"][g["own"] == lo].tolist())) if hubs else links
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     rows = met.join(sets, ["id", "key"]).select("grp", "own", "lo", "hi", "task", "id", "set")
@@ -229,7 +245,8 @@ def verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(src, dst): links that join, directly or through others, all linked members of each group of groups (id, key, grp).
 
     A group of up to BLOCK is compared whole. In a larger one all are compared to HUBS members first. What these join needs no further
-    comparison among itself; the members outside the largest part are compared to all, block by block, each two blocks once.
+    comparison among itself: those that reach the same hub are a part. The members outside the largest part are compared to all, block by
+    block, each two blocks once.
     """
     sizes = cut(groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "shingle-sizes")
     total = sizes.where(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0
@@ -245,8 +262,8 @@ def verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = large.groupBy("grp", "n", F.pmod("key", F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "id")).alias("hub"))
     hubs = hubs.select("hub.id", "hub.key", "grp", F.lit(0).alias("own"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)")).alias("chunk"))
     met = members.unionByName(hubs).select("id", "key", "grp", "own", zero.alias("lo"), F.lit(1).alias("hi"), F.xxhash64("grp", "chunk").alias("task"))
-    first = cut(compare_blocks(met, sets, percent), "shingle-hub-links")
-    parts = large.join(cut(components(first, "hub-components"), "hub-found"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    first = cut(compare_blocks(met, sets, percent, hubs=True), "shingle-hub-links")
+    parts = large.join(first.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("hub")), "id", "left").withColumn("part", F.coalesce("hub", "id"))
     parts = cut(parts.select("id", "key", "grp", "part"), "shingle-parts")
     top = parts.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
     placed = parts.join(top, "grp").withColumn("out", F.col("part") != F.col("top"))
