@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bestfit import pack_best_fit
 from .bpe import encode_documents
 from .embeddings import link_embeddings
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .linededup import dedup_lines
+from .merkle import prove
 from .packing import pack_documents
 from .quality import judge_documents
 from .sharding import shard_documents
@@ -81,6 +83,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return prove(table(spark, sf_dir, "documents"), tampered).drop("copied")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard, op11_best_fit, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
