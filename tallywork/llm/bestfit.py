@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -10,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,32 +25,112 @@ from .common import shared_dir
 EPOCH = 1 << 22
 #: A bin is given out when it lacks at most this share of its tokens; the pieces of others are packed again with what follows.
 SLACK = 1 / 256
-#: Texts encoded at once, and chunks remembered by a Python worker.
-BATCH, MEMO = 512, 600_000
+#: Texts encoded at once; chunks, and pieces, remembered by a Python worker.
+BATCH, MEMO, MEMO_WORDS = 512, 800_000, 400_000
 #: Sequence numbers of one task.
 PER_TASK = 1 << 40
+#: Above every rank.
+NONE = 1 << 40
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file whose tokens never hold white space on either side of a space, tab or line feed: chunks between those are
-    encoded apart, each new one by the tokenizers library, and remembered."""
+    """Ids of whole texts by a tokenizers file of lower-cased words with an end mark, as the tokenizers library gives them.
+
+    No token of such a file holds white space, so the chunks between spaces, tabs and line feeds are encoded apart, each new one once. Chunks of plain Latin
+    letters and marks, for which lower case is all that the file's normalizer does, are cut into the pieces of its pattern, and new pieces are merged
+    together, one merge in every piece at a time; other chunks, and those that may hold a special token, go through the library.
+    """
+
+    #: What the normalizer changes beyond case, or libraries split differently.
+    ODD = re.compile(r"[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\|").search
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        pattern = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.find = regex.compile(pattern).findall
+        vocab, end = told["model"]["vocab"], told["model"]["end_of_word_suffix"]
+        shown = [chr(x) for x in (*range(33, 127), *range(161, 173), *range(174, 256))]  # the byte-level alphabet: these bytes show themselves
+        rest = [x for x in range(256) if chr(x) not in shown]
+        letter = {x: chr(x) for x in range(256) if chr(x) in shown} | {x: chr(256 + n) for n, x in enumerate(rest)}
+        self.inner = np.array([vocab[letter[x]] for x in range(256)], np.int64)
+        self.last = np.array([vocab[letter[x] + end] for x in range(256)], np.int64)
+        pairs = {}
+        for rank, m in enumerate(told["model"]["merges"]):
+            x, y = m.split(" ") if isinstance(m, str) else m
+            pairs.setdefault(vocab[x] << 32 | vocab[y], (rank, vocab[x + y]))
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
+        self.made = np.zeros(len(told["model"]["merges"]) + 1, np.int64)
+        for rank, made in pairs.values():
+            self.made[rank] = made
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where(b < 0, -1, a << 32 | b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def merge_many(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids): the lowest rank first, leftmost of equal ones; pieces of like length together."""
+        raw = sorted((x.encode(), x) for x in pieces)
+        raw.sort(key=lambda x: len(x[0]))
+        low = 0
+        while low < len(raw):
+            part = raw[low : low + max(64, min(4096, (1 << 17) // max(len(raw[low][0]), 1)))]
+            low += len(part)
+            n, width = len(part), len(part[-1][0])
+            sizes = np.array([len(x) for x, _ in part])
+            text = np.frombuffer(b"".join(x.ljust(width, b"\0") for x, _ in part), np.uint8).reshape(n, width)
+            ids = np.where(np.arange(width) < sizes[:, None], self.inner[text], -1)
+            rows, cols = np.arange(n), np.arange(width)
+            ids[rows, sizes - 1] = self.last[text[rows, sizes - 1]]
+            ids = np.concatenate([ids, np.full((n, 2), -1)], axis=1)
+            ranks = self._rank(ids[:, :-1], ids[:, 1:])
+            out, left = np.full((n, width), -1, np.int64), sizes.copy()
+            while len(rows):
+                at = np.argmin(ranks, axis=1)
+                k = np.arange(len(rows))
+                best = ranks[k, at]
+                on = best < NONE
+                if not on.all():
+                    out[rows[~on]] = ids[~on, :width]
+                    rows, ids, ranks, at, best = rows[on], ids[on], ranks[on], at[on], best[on]
+                    k = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                new = self.made[best]
+                ids[k, at] = new
+                ids[:, :width] = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
+                ranks[:, :width] = np.take_along_axis(ranks, cols + (cols >= at[:, None]), axis=1)
+                ranks[k, at] = self._rank(new, ids[k, at + 1])
+                before = at > 0
+                ranks[k[before], at[before] - 1] = self._rank(ids[k[before], at[before] - 1], new[before])
+                left[rows] -= 1
+            flat, ends = out[cols < left[:, None]].astype("<u4").tobytes(), np.cumsum(left) * 4
+            for (_, x), a, b in zip(part, (ends - 4 * left).tolist(), ends.tolist(), strict=True):
+                yield x, flat[a:b]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
-        memo = self.memo
+        memo, words = self.memo, self.words
         split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        new = list(set().union(*split).difference(memo))
-        memo.update((x, array("I", e.ids).tobytes()) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        new = set().union(*split).difference(memo)
+        odd = [x for x in new if self.ODD(x)]
+        memo.update((x, array("I", e.ids).tobytes()) for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
+        pieces = {x: self.find(x.lower()) for x in new.difference(odd)}
+        words.update(self.merge_many(list({p for ps in pieces.values() for p in ps}.difference(words))))
+        memo.update((x, b"".join([words[p] for p in ps])) for x, ps in pieces.items())
         out = [b"".join([memo[x] for x in chunks]) for chunks in split]
         if len(memo) > MEMO:
             memo.clear()
+        if len(words) > MEMO_WORDS:
+            words.clear()
         return out
 
 
