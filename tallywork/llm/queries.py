@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .bestfit import pack_best_fit
 from .bpe import encode_documents
+from .conversations import damage, repair_conversations
 from .embeddings import link_embeddings
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -88,6 +89,10 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(*damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return prove(table(spark, sf_dir, "documents"), tampered).drop("copied")
@@ -100,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard, op11_best_fit, op13_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_line_dedup, op4_quality_rules, op5_url_filters, op6_packing, op7_embedding_neardup, op8_token_counts, op9_license_scans, op10_ngram_jaccard, op11_best_fit, op12_conversation_repair, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
