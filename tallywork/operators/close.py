@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT, TOTAL, abn_valid, financial_year, fraction_units, listed, times
 from .checks import check_thresholds
+from .policies import covered
+
+ACCOUNT = ["tenant", "report_date", "account_id"]
 
 FIELDS = {
     "control": "string", "status": "string", "tenant": "string", "report_date": "date", "account_id": "string", "account_code": "string", "account_name": "string", "review_group": "string", "current_value": TOTAL,
@@ -87,21 +90,23 @@ def financial_year_reset(pairs: DataFrame) -> DataFrame:
 
 
 def mapping(tb: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Accounts without a review group. mapped: (account_id, review_group), a policy table."""
-    return exceptions(net(tb).join(mapped, "account_id", "left_anti"), "account_mapping", "account has no review group", "Map the account", current_value=F.col("ytd_net"))
+    """Accounts without a review group, in periods that have a mapping. mapped: (tenant, report_date, account_id, review_group), a policy by period."""
+    return exceptions(covered(net(tb), mapped).join(mapped, ACCOUNT, "left_anti"), "account_mapping", "account has no review group", "Map the account", current_value=F.col("ytd_net"))
 
 
 def mapping_compatibility(tb: DataFrame, mapped: DataFrame, policy: DataFrame) -> DataFrame:
-    """Mapped accounts whose section the policy (section, review_group) doesn't permit for the group; the reason lists what it permits."""
-    permitted = policy.groupBy("section").agg(F.array_join(F.sort_array(F.collect_set("review_group")), ", ").alias("permitted"))
-    bad = net(tb).join(mapped, "account_id").join(policy, ["section", "review_group"], "left_anti").join(permitted, "section", "left")
+    """Mapped accounts whose section the policy (tenant, report_date, section, review_group) doesn't permit for the group, in periods that have a policy; the
+    reason lists what it permits."""
+    period = ["tenant", "report_date"]
+    permitted = policy.groupBy(*period, "section").agg(F.array_join(F.sort_array(F.collect_set("review_group")), ", ").alias("permitted"))
+    bad = covered(net(tb).join(mapped, ACCOUNT), policy).join(policy, [*period, "section", "review_group"], "left_anti").join(permitted, [*period, "section"], "left")
     return exceptions(bad, "mapping_compatibility", F.concat(F.lit("section permits: "), F.coalesce("permitted", F.lit("nothing"))), "Correct the mapping", current_value=F.col("ytd_net"))
 
 
 def balance_policy(tb: DataFrame, policy: DataFrame) -> DataFrame:
-    """Accounts on the wrong side or without an expected movement; an absent account counts as nil. policy: (account_id, expected_balance, expect_movement)."""
-    periods = tb.select("tenant", "report_date").distinct()
-    full = periods.crossJoin(F.broadcast(policy)).join(net(tb), ["tenant", "report_date", "account_id"], "left")  # the policy is a declared, small table
+    """Accounts on the wrong side or without an expected movement; an absent account counts as nil. policy: (tenant, report_date, account_id, expected_balance,
+    expect_movement)."""
+    full = policy.join(net(tb), ACCOUNT, "left")
     n, m, e = F.coalesce("ytd_net", F.lit(0)), F.coalesce("current_net", F.lit(0)), F.col("expected_balance")
     wrong = F.when(((e == "debit") & (n < 0)) | ((e == "credit") & (n > 0)) | ((e == "nil") & (n != 0)), F.concat(F.lit("balance is not "), e))
     still = F.when(F.col("expect_movement") & (m == 0), F.lit("no movement where one is expected"))
@@ -125,8 +130,9 @@ def reconciliation_coverage(tb: DataFrame, balances: DataFrame, equity: DataFram
 
 
 def gst_sums(tb: DataFrame, classes: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Per tenant and period: movements by class (credit positive for sales and tax), settlements, and the difference times ten, for exactness."""
-    cls = net(tb).join(F.broadcast(classes), "account_id")  # a policy table
+    """Per tenant and period: movements by class (credit positive for sales and tax), settlements, and the difference times ten, for exactness. classes:
+    (tenant, report_date, account_id, gst_class)."""
+    cls = net(tb).join(classes, ACCOUNT)
     by = lambda *names: F.sum(F.when(F.col("gst_class").isin(*names), F.col("current_net")).otherwise(0))
     s = cls.groupBy("tenant", "report_date").agg((-by("taxable_sales")).alias("sales"), by("creditable_purchases").alias("purchases"), (-by("gst", "gst_collected", "gst_paid")).alias("recorded"), (-by("gst", "gst_collected")).alias("collected"), by("gst_paid").alias("paid"))
     paid = settlements.groupBy("tenant", "report_date").agg(F.sum("amount").alias("settled"))
@@ -154,7 +160,7 @@ def gst_sides(tb: DataFrame, classes: DataFrame, settlements: DataFrame) -> Data
 
 def gst_not_run(tb: DataFrame, classes: DataFrame) -> DataFrame:
     """Periods in which accounts without a tax class, or of class mixed, moved, with their names: the tax control says nothing there."""
-    moved = net(tb).where("current_net <> 0").join(F.broadcast(classes), "account_id", "left").where("gst_class is null or gst_class = 'mixed'")
+    moved = covered(net(tb).where("current_net <> 0"), classes).join(classes, ACCOUNT, "left").where("gst_class is null or gst_class = 'mixed'")
     names = moved.groupBy("tenant", "report_date").agg(F.array_join(F.sort_array(F.collect_set("account_name")), ", ").alias("names"))
     return exceptions(names, "gst_not_run", F.concat(F.lit("not classed: "), "names"), "Class the accounts")
 
@@ -214,8 +220,8 @@ def evidence_exceptions(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def enrich(found: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Exceptions with the review group of their account."""
-    return found.drop("review_group").join(mapped, "account_id", "left").select(*FIELDS)
+    """Exceptions with the review group that their account has in their period."""
+    return found.drop("review_group").join(mapped.select(*ACCOUNT, "review_group"), ACCOUNT, "left").select(*FIELDS)
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import abn_valid, acn_valid, medicare_valid, tfn_valid
+from .entity_map import entity_spans, fold_column
+from .numbers import cut_numbers, find_numbers
 
 #: kind -> (pattern, priority); Java, RE2 and Python read them alike.
 PATTERNS = {
@@ -41,12 +43,9 @@ SPANS = PATTERNS | {
 }
 #: What is left is a candidate if it looks like one of these.
 RESIDUAL = {
-    "LONG_NUMBER": r"\b\d(?:[ -]?\d){6,}\b",
-    "ACCOUNT_NUMBER": r"(?i)\baccount(?: number| no\.?)?:? \d{4,}",
     "DATE": r"\b\d{1,2}/\d{1,2}/\d{4}\b|\b(?:0?[1-9]|[12]\d|3[01])(?:\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+|-(?:0?[1-9]|1[0-2])-)(?:19|20)\d{2}\b",
     "ADDRESS": r"\b\d{1,4}[A-Za-z]?(?:\s+[A-ZÀ-ÖØ-Þ][-'’A-Za-zÀ-ÖØ-öø-ÿ]+){1,2}\s+(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Court|Ct|Place|Pl|Lane|Ln|Parade|Pde|Crescent|Cres|Highway|Hwy|Terrace|Tce|Close|Way|Circuit|Boulevard|Esplanade|Grove)\b",
     "PERSON": r"\b(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?\b",
-    "SPLIT_NUMBER": r"\b\d{2,4}(?:[*_ ]*\n[*_ ]*\d{2,4}){1,3}\b",
     "PLACEHOLDER": r"\b(?:CLIENT|EMAIL|ABN|ACN|TFN|MEDICARE|BSB|PHONE)_\d{2,}\b",
 }
 #: Two or three capitalised words, and one of them.
@@ -211,38 +210,23 @@ def replace_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def fold(value: Column) -> Column:
-    """A value without case, markup and repeated space."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(value, r"[*_`]", "")), r"\s+", " "))
+    """A value without case, composition, markup and repeated space, for which Spark has no function."""
+    return F.pandas_udf(fold_column, "string")(value)
 
 
 def entity_map_issues(entities: DataFrame) -> DataFrame:
     """(value, issue) of map rows (value, placeholder, kind): repeated folded values, placeholders of another shape than KIND_nn."""
-    e = entities.withColumn("n", F.count("*").over(Window.partitionBy(fold(F.col("value")))))
+    e = entities.withColumn("folded", fold(F.col("value"))).withColumn("n", F.count("*").over(Window.partitionBy("folded")))
     shape = F.col("placeholder").rlike(r"^[A-Z]+_\d{2,}$") & F.col("placeholder").startswith(F.concat("kind", F.lit("_")))
-    issues = [("REPEATED_VALUE", F.col("n") > 1), ("PLACEHOLDER_SHAPE", ~shape), ("EMPTY_VALUE", fold(F.col("value")) == "")]
+    issues = [("REPEATED_VALUE", F.col("n") > 1), ("PLACEHOLDER_SHAPE", ~shape), ("EMPTY_VALUE", F.col("folded") == "")]
     return e.select("value", F.explode(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in issues]), lambda x: x.isNotNull())).alias("issue"))
 
 
-def entity_spans(documents: DataFrame, entities: list[tuple[str, str, str]]) -> DataFrame:
-    """Spans of an entity map's values (value, placeholder, kind), longest first, whatever the case, markup or wrapping between words. The map is a declared table, compiled once per Python worker."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    by = sorted(entities, key=lambda e: (-len(e[0]), e[0]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap = r"(?:[*_`]|\s)+"
-        joined = "|".join(f"(?P<e{i}>(?<!\\w){gap.join(map(re.escape, v.split()))}(?!\\w))" for i, (v, _, _) in enumerate(by))
-        p = re.compile(joined or r"(?!)", re.IGNORECASE)
-        for b in batches:
-            rows = [(doc, by[int(m.lastgroup[1:])][2], m.start(), m.end(), m[0], line(m.start()), by[int(m.lastgroup[1:])][1]) for doc, text in zip(b["doc_id"], b["text"], strict=True) if text for line in [line_of(text)] for m in p.finditer(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line", "placeholder"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int, placeholder string")
-
-
 def residual(documents: DataFrame) -> DataFrame:
-    """Candidates that no rule replaced: long or split numbers, account numbers, dates, addresses, names; statutory terms are none. One per value and line."""
+    """Candidates that no rule replaced: long, split and account numbers, numbers with a list marker or into an address, dates, addresses, names; statutory
+    terms are none. One per value and line."""
     c = find_spans(documents, {k: p for k, p in RESIDUAL.items() if k not in ("PLACEHOLDER", "PERSON")})
-    return once_a_line(c.unionByName(find_names(documents)))
+    return once_a_line(c.unionByName(find_numbers(documents, RESIDUAL["ADDRESS"])).unionByName(find_names(documents)))
 
 
 def carried_placeholders(documents: DataFrame) -> DataFrame:
@@ -250,13 +234,14 @@ def carried_placeholders(documents: DataFrame) -> DataFrame:
     return once_a_line(find_spans(documents, {"PLACEHOLDER": RESIDUAL["PLACEHOLDER"]}))
 
 
-def redact(documents: DataFrame, entities: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean, candidates, counts): redacted texts of documents without a candidate, the candidates that halt the others, and replacements by document and kind."""
+def redact(documents: DataFrame, entities: DataFrame | list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, candidates, counts): redacted texts of documents without a candidate, the candidates that halt the others, and replacements by document and kind.
+    A number of which only a part was replaced halts, whatever the entity map takes of the rest."""
     own = placeholders(structured_spans(documents))
     once = replace_spans(documents.select("doc_id", "text"), own)
     named = entity_spans(once, entities)
     done = replace_spans(once, named)
-    found = residual(done).unionByName(carried_placeholders(documents))
+    found = residual(done).unionByName(carried_placeholders(documents)).unionByName(once_a_line(cut_numbers(documents, own)))
     clean = done.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     counts = own.select("doc_id", "kind").unionByName(named.select("doc_id", "kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
     return clean, found, counts

@@ -12,10 +12,10 @@ from .close import pair_periods
 def variance_findings(tb: DataFrame, policy: DataFrame) -> DataFrame:
     """(tenant, report_date, section, account_id, current, prior, delta): accounts of either period, absent counting as nil, at or over both of the section's thresholds.
 
-    policy: (section, minimum_absolute, minimum_percent), one row per reviewed section. A prior of nil passes the percentage.
+    policy: (tenant, report_date, section, minimum_absolute, minimum_percent), one row per reviewed section of a period. A prior of nil passes the percentage.
     """
     p = pair_periods(tb).withColumns({"section": F.coalesce("cur.section", "pri.section"), "current": F.coalesce("cur.ytd_net", F.lit(0)), "prior": F.coalesce("pri.ytd_net", F.lit(0))})
-    j = p.join(F.broadcast(policy), "section").withColumn("delta", F.col("current") - F.col("prior"))  # a row per section
+    j = p.join(policy, ["tenant", "report_date", "section"]).withColumn("delta", F.col("current") - F.col("prior"))
     millionths = (F.col("minimum_percent").cast("decimal(9,6)") * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(9,0)")  # a product in which nothing is rounded
     over = (F.abs("delta") >= F.col("minimum_absolute")) & ((F.col("prior") == 0) | (times(F.abs("delta"), 10**8) >= F.abs("prior").cast("decimal(27,10)") * millionths)) & (F.col("delta") != 0)
     return j.where(over).select("tenant", "report_date", "section", "account_id", "current", "prior", "delta")

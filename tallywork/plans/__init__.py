@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a dict Q of queries and a dict S of SQL.
-MODULES = ("close_queries", "transaction_queries", "gate_queries", "measure_queries", "text_queries", "check_queries", "file_queries", "pack_queries")
+MODULES = ("close_queries", "transaction_queries", "gate_queries", "measure_queries", "text_queries", "check_queries", "file_queries", "pack_queries", "policy_queries", "document_queries")
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT
 from ..operators import close, ledger
+from ..operators.policies import everywhere
 from ..sources.staging import staged
 from .derive import LEDGER_SQL, PAIRS_SQL, TB_SQL, _values, chart, in_cents, money, policy, table
 from .derive import ledger as ledger_lines
@@ -140,13 +141,15 @@ def financial_year_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, ytd AS current_value FROM tb WHERE account_id NOT IN ('110', '600-A', '600-N', '820')")
 def account_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J02."""
-    return close.mapping(trial_balance(spark, sf_dir), policy(spark, MAPPED, "account_id string, review_group string")).select("tenant", "report_date", "account_id", in_cents("current_value").alias("current_value"))
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    return close.mapping(t, everywhere(policy(spark, MAPPED, "account_id string, review_group string"), t)).select("tenant", "report_date", "account_id", in_cents("current_value").alias("current_value"))
 
 
 @query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, 'section permits: Payables' AS reason FROM tb WHERE account_id = '820'")
 def mapping_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J03."""
-    found = close.mapping_compatibility(trial_balance(spark, sf_dir), policy(spark, MAPPED, "account_id string, review_group string"), policy(spark, PERMITTED, "section string, review_group string"))
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    found = close.mapping_compatibility(t, everywhere(policy(spark, MAPPED, "account_id string, review_group string"), t), everywhere(policy(spark, PERMITTED, "section string, review_group string"), t))
     return found.select("tenant", "report_date", "account_id", "reason")
 
 
@@ -154,7 +157,8 @@ def mapping_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT tenant, report_date, account_id, 'balance is not ' || e AS reason FROM f WHERE e = 'debit' AND n < 0 OR e = 'credit' AND n > 0 OR e = 'nil' AND n <> 0 UNION ALL SELECT tenant, report_date, account_id, 'no movement where one is expected' FROM f WHERE m AND v = 0""")
 def balance_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two accounts of the policy are in no trial balance."""
-    return close.balance_policy(trial_balance(spark, sf_dir), policy(spark, EXPECTED, "account_id string, expected_balance string, expect_movement boolean")).select("tenant", "report_date", "account_id", "reason")
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    return close.balance_policy(t, everywhere(policy(spark, EXPECTED, "account_id string, expected_balance string, expect_movement boolean"), t)).select("tenant", "report_date", "account_id", "reason")
 
 
 def _subledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,22 +205,25 @@ def _settled_of(t: DataFrame) -> DataFrame:
 @query(f"WITH {GST_SQL} SELECT tenant, report_date, CAST(tax AS BIGINT) AS recorded, CAST(10 * (tax + settled) - sales AS BIGINT) AS tenfold FROM g WHERE abs(10 * (tax + settled) - sales) * 2 > 10 * (20000 + abs(tax))")
 def gst_reasonableness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A03, at 100.00 and 0.50."""
-    found = close.gst_reasonableness(trial_balance(spark, sf_dir), policy(spark, CLASSES, "account_id string, gst_class string"), _settled(spark, sf_dir), "100", "0.5")
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    found = close.gst_reasonableness(t, everywhere(policy(spark, CLASSES, "account_id string, gst_class string"), t), _settled_of(t), "100", "0.5")
     return found.select("tenant", "report_date", in_cents("current_value").alias("recorded"), F.round(F.col("difference") * 1000, 0).cast("long").alias("tenfold"))
 
 
 @query(f"WITH {GST_SQL} SELECT tenant, report_date, 'collected' AS side, CAST(10 * (tax + settled) - sales AS BIGINT) AS tenfold FROM g UNION ALL SELECT tenant, report_date, 'paid', 0 FROM g")
 def gst_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A04."""
-    s = close.gst_sides(trial_balance(spark, sf_dir), policy(spark, CLASSES, "account_id string, gst_class string"), _settled(spark, sf_dir))
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
+    s = close.gst_sides(t, everywhere(policy(spark, CLASSES, "account_id string, gst_class string"), t), _settled_of(t))
     return s.select("tenant", "report_date", "side", F.round(F.col("difference") * 1000, 0).cast("long").alias("tenfold"))
 
 
 @query(f"WITH {TB_SQL} SELECT tenant, report_date, 'not classed: ' || string_agg(account_name, ', ' ORDER BY account_name) AS reason FROM tb WHERE net <> 0 AND account_id IN ('110', '600-R') GROUP BY ALL")
 def gst_not_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One account has no class, one a mixed one."""
+    t = staged(trial_balance(spark, sf_dir), "trial-balances")
     classes = [(a, "mixed" if a == "600-R" else c) for a, c in CLASSES]
-    return close.gst_not_run(trial_balance(spark, sf_dir), policy(spark, classes, "account_id string, gst_class string")).select("tenant", "report_date", "reason")
+    return close.gst_not_run(t, everywhere(policy(spark, classes, "account_id string, gst_class string"), t)).select("tenant", "report_date", "reason")
 
 
 _ABN = " + ".join(f"(CAST(substr(a, {i + 1}, 1) AS INT) - {1 if i == 0 else 0}) * {w}" for i, w in enumerate((10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)))
@@ -264,7 +271,7 @@ def equity_result_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The controls over trial balances of two periods, enriched; the trial balances are written once and read by each."""
     t = staged(trial_balance(spark, sf_dir), "trial-balances")
-    pairs, mapped = close.pair_periods(t), policy(spark, MAPPED, "account_id string, review_group string")
+    pairs, mapped = close.pair_periods(t), everywhere(policy(spark, MAPPED, "account_id string, review_group string"), t)
     parts = [close.integrity(t), close.period_comparison(pairs), close.period_variance(pairs, "100000", "0.10"), close.account_metadata(pairs), close.financial_year_reset(pairs), close.mapping(t, mapped)]
     return close.enrich(close.union(parts), mapped)
 
@@ -294,16 +301,16 @@ def all_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the exceptions of every control, of all tenants and periods, enriched. The trial balances are written once and read by each."""
     t = staged(trial_balance(spark, sf_dir), "trial-balances")
     periods = t.select("tenant", "report_date").distinct()
-    pairs, mapped = close.pair_periods(t), policy(spark, MAPPED, "account_id string, review_group string")
-    classes = policy(spark, CLASSED, "account_id string, gst_class string")
+    pairs, mapped = close.pair_periods(t), everywhere(policy(spark, MAPPED, "account_id string, review_group string"), t)
+    classes = everywhere(policy(spark, CLASSED, "account_id string, gst_class string"), t)
     covered = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("tenant"), F.lit("820").alias("account_id"))
     tax = t.where("section = 'Liabilities'")
     movements = tax.where("month(report_date) <> 7").select("tenant", "report_date", "account_id", "debit", "credit")
     runs = _runs_of(periods).unionByName(periods.select("*", F.lit("gst").alias("control"), F.lit("RAN").alias("state")))
     parts = [
         close.integrity(t), close.period_comparison(pairs), close.period_variance(pairs, "100000", "0.10"), close.account_metadata(pairs), close.financial_year_reset(pairs), close.mapping(t, mapped),
-        close.mapping_compatibility(t, mapped, policy(spark, PERMITTED, "section string, review_group string")),
-        close.balance_policy(t, policy(spark, EXPECTED, "account_id string, expected_balance string, expect_movement boolean")),
+        close.mapping_compatibility(t, mapped, everywhere(policy(spark, PERMITTED, "section string, review_group string"), t)),
+        close.balance_policy(t, everywhere(policy(spark, EXPECTED, "account_id string, expected_balance string, expect_movement boolean"), t)),
         close.subledger(t, _subledger_of(spark, sf_dir, t)), close.reconciliation_coverage(t, _subledger_of(spark, sf_dir, t), covered),
         close.gst_reasonableness(t, classes, _settled_of(t), "100", "0.5"), close.gst_not_run(t, classes), close.contact_exceptions(contacts(spark, sf_dir), periods),
         close.equity_exceptions(close.equity_reconciliation(close.pair_periods(tax), movements)), close.evidence_exceptions(*_evidence(periods)),

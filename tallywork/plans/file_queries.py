@@ -1,7 +1,7 @@
 """Queries of the sources: files written from the driver's tables, with planted faults, and read again under their contracts.
 
 A nation's customers are the rows of one file of each kind. Some nations' files have a fault that must refuse them: an empty required cell, a
-repeated key, another heading, a surplus cell; documents lack a member, have one more, or aren't JSON. The raw text and the value that is
+repeated key, another heading, a surplus cell. The raw text and the value that is
 expected for it are expressions that Spark and DuckDB share.
 """
 
@@ -25,8 +25,6 @@ SOURCES = {
     "transactions": "S11, S12, V09, V17", "decisions": "S14", "open_items": "S20", "activity_statement": "S20", "gst_control_gl": "S20", "bank_rec": "S20", "tie_out_matrix": "S20", "fs_mapping": "S20", "prior_findings": "S20",
     "dim_account": "S30", "dim_entity": "S30", "dim_benchmark": "S30", "fact_gl": "S30", "fact_budget": "S30", "fact_payroll": "S30", "grant_ledger": "S31", "grant_allocations": "S31", "grant_receipts": "S31", "grant_contributions": "S31",
     "review_run": "S35", "review_exception": "S35", "review_evidence": "S35",
-    "equity_schedule": "S16", "opening_items": "S13", "expenses": "S15", "migration": "S15", "interentity": "S15", "calculation_evidence": "S17", "coding_assertions": "S18", "responses": "S19", "reviewer_note": "S10",
-    "self_review": "S21", "review_context": "S32", "review_policy": "S32", "review_request": "S32", "agreements": "S31", "entity_map": "S33",
 }
 
 #: n numbers a file's rows by customer, r from 1 within its file k of m rows.
@@ -41,6 +39,7 @@ def base(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 #: Columns whose value another one decides: (raw, canonical) by source and column.
 SPECIAL = {
+    ("gst_mapping", "gst_class"): ("CASE WHEN k % 12 >= 6 AND m > 1 THEN (CASE r % 2 WHEN 1 THEN 'gst_collected' ELSE 'gst_paid' END) WHEN r = 1 THEN 'gst' ELSE 'taxable_sales' END",) * 2,
     ("dim_account", "sub_class"): ("CASE {n} % 5 WHEN 0 THEN 'Current Assets' WHEN 1 THEN 'Current Liabilities' WHEN 2 THEN 'Equity' WHEN 3 THEN 'Operating Revenue' ELSE 'Cost of Sales' END",) * 2,
     ("dim_account", "report_section"): ("CASE WHEN {n} % 5 IN (3, 4) THEN 'Profit and Loss' ELSE 'Balance Sheet' END",) * 2,
     ("dim_entity", "abn"): ("'51 824 753 556'",) * 2,
@@ -156,99 +155,5 @@ def csv_query(name: str) -> None:
     S[load.__name__] = f"WITH {sql.replace('STRING', 'VARCHAR')} SELECT CAST(k AS INTEGER) AS file, concat_ws('|', {values}) AS line, NULL AS code, NULL AS field, CAST(1 AS BIGINT) AS n FROM base WHERE {passes} UNION ALL " + " UNION ALL ".join(refused)
 
 
-# -- JSON documents ----------------------------------------------------------------------------------------------------
-
-
-#: Text and truth (?) members of each kind's rows: of the elements of its first array of structures, or of the document.
-MEMBERS = {
-    "equity_schedule": "movement_id date account_id debit credit description evidence_reference",
-    "opening_items": "transaction_id date reference debit credit",
-    "expenses": "invoice_id supplier reference amount evidence",
-    "migration": "mapping_id source_account target_account weight",
-    "interentity": "row_id entity counterparty account reference date amount disputed? evidence",
-    "calculation_evidence": "schema calculation_sha256",
-    "coding_assertions": "original_account_id transaction_id current_account_id expected_account_id purpose evidence_reference",
-    "responses": "query_id response responder date",
-    "reviewer_note": "reviewer reviewed_on note",
-    "self_review": "preparer_initials prepared_on engagement_type period_start period_end",
-    "review_context": "entity_ref basis currency as_at csv_sha256 generated_at",
-    "review_policy": "policy_id minimum_absolute_delta minimum_percent_delta",
-    "review_request": "request_id section policy_id",
-    "agreements": "grant_id start end opening_cash opening_unspent_funding agreement_evidence",
-    "entity_map": "value placeholder kind added",
-}
-
-
-#: Kinds with such an array.
-ARRAYS = ("equity_schedule", "opening_items", "expenses", "migration", "interentity", "coding_assertions", "responses", "agreements", "entity_map")
-
-
-def json_of(kind: T.DataType, name: str, n: str) -> str:
-    """SQL for JSON text of a value; an array of structures is filled in by :items."""
-    if isinstance(kind, T.StructType):
-        return "concat('{', " + ", ',', ".join(f"'\"{f.name}\":', {json_of(f.dataType, f.name, n)}" for f in kind) + ", '}')"
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return "concat('[', :items, ']')"
-    if isinstance(kind, T.ArrayType):
-        return f"concat('[\"{name} ', CAST({n} AS STRING), '\"]')"
-    if isinstance(kind, T.MapType):
-        return f"concat('{{\"{name}\":', {json_of(kind.valueType, name, n)}, '}}')"
-    if isinstance(kind, T.BooleanType):
-        return f"CASE WHEN {n} % 2 = 0 THEN 'true' ELSE 'false' END"
-    if isinstance(kind, T.IntegerType):
-        return f"CAST({n} AS STRING)"
-    return f"concat('\"{name} ', CAST({n} AS STRING), '\"')"
-
-
-def leaf(member: str, n: str) -> str:
-    return f"CASE WHEN {n} % 2 = 0 THEN 'true' ELSE 'false' END" if member.endswith("?") else f"concat('{member} ', CAST({n} AS STRING))"
-
-
-def json_query(name: str) -> None:
-    """A document per nation, whose first array of structures has an element per customer; a document without one is a customer's."""
-    members = MEMBERS[name].split()
-
-    def load(spark: SparkSession, sf_dir: str) -> DataFrame:
-        kind = T._parse_datatype_string(readers.SCHEMAS[name])
-        array = next((f for f in kind if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)), None)
-        of = array.dataType.elementType if array else kind
-        rows = base(spark, sf_dir, BASE_SQL)
-
-        def text(members: T.StructType) -> str:
-            parts = []
-            for f in members:
-                found = json_of(f.dataType, f.name, "n")
-                parts.append(f"'\"{f.name}\":', {found.replace(':items', 'items' if array is not None and f.name == array.name else repr(''))}")
-            return f"concat('{{', {', '.join([*[x for p in parts for x in (p, repr(','))][:-1], ''])} '}}')"
-
-        if array:
-            each = rows.selectExpr("k", "n", f"{json_of(of, array.name, 'n')} AS item")
-            docs = each.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), ",").alias("items"), F.min("n").alias("n"))
-        else:
-            docs = rows.where("r = 1")
-        less, more = T.StructType(list(kind)[1:]), T.StructType([*kind, T.StructField("surplus", T.StringType())])
-        value = f"CASE k % 6 WHEN 1 THEN {text(less)} WHEN 2 THEN {text(more)} WHEN 3 THEN concat('x', {text(kind)}) ELSE {text(kind)} END"
-        path = new_path(spark, f"files-{name}")
-        write_files(docs.selectExpr("k AS file", "0 AS seq", f"{value} AS value"), path)
-        accepted, refusals = readers.read_json(spark, f"{path}/*/*.txt", name)
-        shape = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [m.rstrip("?") for m in members]]
-        rows = readers.items(accepted, array.name) if array else accepted.select("file", "doc.*")
-        ok = rows.select(file_no(F.col("file")).alias("file"), F.concat_ws("|", *shape).alias("line"), F.lit(None).cast("string").alias("code"))
-        return ok.unionByName(refusals.select(file_no(F.col("file")).alias("file"), F.lit(None).cast("string").alias("line"), "code"))
-
-    values = ", ".join(leaf(m, "n") for m in members)
-    rows = "" if name in ARRAYS else " AND r = 1"
-    load.__name__ = f"load_{name}"
-    load.__doc__ = f"{SOURCES[name]}: documents of all nations with exactly the kind's members, refused where a fault is planted."
-    Q[load.__name__] = load
-    S[load.__name__] = (
-        f"WITH {BASE_SQL} SELECT CAST(k AS INTEGER) AS file, concat_ws('|', {values}) AS line, NULL AS code FROM base WHERE k % 6 NOT IN (1, 2, 3){rows} "
-        "UNION ALL SELECT k, NULL, CASE k % 6 WHEN 3 THEN 'NOT_JSON' ELSE 'MEMBERS' END FROM base WHERE k % 6 IN (1, 2, 3) AND r = 1"
-    )
-
-
 for source in SOURCES:
-    if source in readers.CONTRACTS:
-        csv_query(source)
-    elif source in readers.SCHEMAS:
-        json_query(source)
+    csv_query(source)

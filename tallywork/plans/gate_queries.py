@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT
 from ..operators import close, diffs, gate, variance
+from ..operators.policies import everywhere
+from ..sources.staging import staged
 from .close_queries import FOUND_SQL, found
 from .derive import LEDGER_SQL, PAIRS_SQL, TB_SQL, _values, in_cents, ledger, policy, table, tb
 
@@ -229,8 +231,10 @@ def document_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLICY = [("Revenue", "1000", "15"), ("Assets", "50000", "20")]
 
 
-def _policy(spark: SparkSession) -> DataFrame:
-    return policy(spark, POLICY, "section string, a string, b string").select("section", F.col("a").cast(AMOUNT).alias("minimum_absolute"), F.col("b").cast("decimal(6,2)").alias("minimum_percent"))
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = staged(tb(spark, sf_dir), "trial-balances")
+    limits = policy(spark, POLICY, "section string, a string, b string").select("section", F.col("a").cast(AMOUNT).alias("minimum_absolute"), F.col("b").cast("decimal(6,2)").alias("minimum_percent"))
+    return variance.variance_findings(t, everywhere(limits, t))
 
 
 VF_SQL = f"{PAIRS_SQL}, vf AS (SELECT tenant, report_date, section, account_id, cur, pri, cur - pri AS delta FROM pairs JOIN (VALUES ('Revenue', 100000, 15), ('Assets', 5000000, 20)) p(section, a, b) USING (section) WHERE abs(cur - pri) >= a AND (pri = 0 OR 100 * abs(cur - pri) >= abs(pri) * b) AND cur <> pri)"
@@ -239,13 +243,13 @@ VF_SQL = f"{PAIRS_SQL}, vf AS (SELECT tenant, report_date, section, account_id,
 @query(f"WITH {VF_SQL} SELECT tenant, report_date, account_id, cur AS current, pri AS prior, delta FROM vf")
 def variance_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J20."""
-    return variance.variance_findings(tb(spark, sf_dir), _policy(spark)).select("tenant", "report_date", "account_id", *[in_cents(c).alias(c) for c in ("current", "prior", "delta")])
+    return _findings(spark, sf_dir).select("tenant", "report_date", "account_id", *[in_cents(c).alias(c) for c in ("current", "prior", "delta")])
 
 
 @query(f"WITH {VF_SQL} SELECT tenant, report_date, account_id, count(*) OVER (PARTITION BY tenant, report_date) AS total, count(*) OVER (PARTITION BY tenant, report_date) > 2 AS truncated FROM vf QUALIFY row_number() OVER (PARTITION BY tenant, report_date ORDER BY section, account_id) <= 2")
 def truncated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W02."""
-    return variance.truncate(variance.variance_findings(tb(spark, sf_dir), _policy(spark)), 2).select("tenant", "report_date", "account_id", "total", "truncated")
+    return variance.truncate(_findings(spark, sf_dir), 2).select("tenant", "report_date", "account_id", "total", "truncated")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT tenant, report_date, account_id, CASE WHEN month(report_date) = 3 THEN 'Liabilities' ELSE 'Equity' END AS was, CASE WHEN month(report_date) = 3 THEN 'Equity' ELSE 'Liabilities' END AS now FROM pairs WHERE account_id = '820' AND month(report_date) IN (3, 4)")
@@ -259,7 +263,7 @@ REF_SQL = f"{VF_SQL}, m AS (SELECT *, CASE WHEN cur < 0 THEN '-' ELSE '' END ||
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variance.references(variance.variance_findings(tb(spark, sf_dir), _policy(spark)))
+    return variance.references(_findings(spark, sf_dir))
 
 
 @query(f"WITH {REF_SQL} SELECT account_ref, finding_id, 'evidence:' || substr(sha256(finding_id || ':reviewer-evidence'), 1, 24) AS evidence_ref FROM r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ABN_WEIGHTS, ACN_WEIGHTS, MEDICARE_WEIGHTS, TFN_WEIGHTS
-from ..operators import redact
+from ..operators import numbers, redact
 from ..sources import readers, writers
 from ..sources.staging import new_path
 from .derive import TB_SQL, in_cents, table, tb
@@ -36,6 +36,17 @@ VALUES_SQL = "x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnes
 VALID_SQL = f"CASE kind WHEN 'ABN' THEN {_sum(ABN_WEIGHTS, 1)} % 89 = 0 WHEN 'TFN' THEN {_sum(TFN_WEIGHTS)} % 11 = 0 WHEN 'ACN' THEN (10 - {_sum(ACN_WEIGHTS)} % 10) % 10 = CAST(substr(d, 9, 1) AS INT) WHEN 'MEDICARE' THEN {_sum(MEDICARE_WEIGHTS)} % 10 = CAST(substr(d, 9, 1) AS INT) ELSE true END"
 
 
+#: A text and what is found in it: kind, value, line.
+SPLITS = [
+    ("123 / 456 / 782", ("SPLIT_NUMBER", "123 / 456 / 782", 1)), ("123,   456,   782", ("SPLIT_NUMBER", "123,   456,   782", 1)), ("123; 456; 782", ("SPLIT_NUMBER", "123; 456; 782", 1)), ("(123) (456) (782)", ("SPLIT_NUMBER", "123) (456) (782", 1)),
+    ("| 123 | 456 | 782 |", ("SPLIT_NUMBER", "123 | 456 | 782", 1)), ("123~~456~~782", ("SPLIT_NUMBER", "123~~456~~782", 1)), ("123&nbsp;456&nbsp;782", ("SPLIT_NUMBER", "123&nbsp;456&nbsp;782", 1)), ("123&#160;456&#160;782", ("SPLIT_NUMBER", "123&#160;456&#160;782", 1)), ("123&456&782;", ("SPLIT_NUMBER", "123&456&782", 1)),
+    ("<td>123</td><td>456</td><td>782</td>", ("SPLIT_NUMBER", "123</td><td>456</td><td>782", 1)), ("9123   456   782", ("SPLIT_NUMBER", "9123   456   782", 1)), ("951   824   753   556", ("SPLIT_NUMBER", "951   824   753   556", 1)), ("1. 63   095   645   545", ("SPLIT_NUMBER", "1. 63   095   645   545", 1)),
+    ("Notes\n123   456\n782", ("SPLIT_NUMBER", "123   456\n782", 2)), ("51 824\n753557. next", None), ("TFN: 1234.56   782", ("SPLIT_NUMBER", "1234.56   782", 1)), ("1234.56   782 (TFN)", ("SPLIT_NUMBER", "1234.56   782", 1)), ("T<span>F</span>N: 1234.56   782", ("SPLIT_NUMBER", "1234.56   782", 1)), ("tax<br>file number 1234.56   782", ("SPLIT_NUMBER", "1234.56   782", 1)),
+    ("$1234.56   $782.00", None), ("| 1234.56 | 782.00 |", None), ("1234.56\n782.00", None), ("1234 5678", ("LONG_NUMBER", "1234 5678", 1)), ("15/03/2024 12345678", ("LONG_NUMBER", "12345678", 1)), ("2024-03-15", None), ("$12,345,678.90", None),
+    ("Account number 123456", ("ACCOUNT_NUMBER", "123456", 1)), ("a\n\nAcct: 123 456", ("ACCOUNT_NUMBER", "123 456", 3)), ("A/C # 1234567", ("ACCOUNT_NUMBER", "1234567", 1)), ("ref 123456", None), ("TFN 123 456\n782. Next", ("LIST_MARKER", "123 456\n782", 1)), ("12345 678\nAa Ct", ("ADDRESS_NUMBER", "12345 678", 1)),
+]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -77,7 +88,23 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact(documents(spark, sf_dir), ENTITIES)[0].select("doc_id", "text")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MISSING' WHEN doc_id % 7 = 0 THEN 'CHANGED' ELSE 'SAME' END AS state FROM documents")
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("WITH c(i, kind, value, line) AS (VALUES " + ", ".join(f"({i}, '{x[0]}', {_sql_text(x[1])}, {x[2]})" for i, (_, x) in enumerate(SPLITS) if x) + f") SELECT doc_id, kind, value, line FROM documents JOIN c ON doc_id % {len(SPLITS)} = i")
+def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's letters behind a planted number, split, wrapped, marked up, beside money or a label, a list marker, before an address, or none."""
+    cases = spark.createDataFrame([(i, t, (x or ("", "", 0))[0]) for i, (t, x) in enumerate(SPLITS)], "i int, planted string, wanted string")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{N}#&<>]", "")  # nothing of its own is found, but for addresses
+    d = documents(spark, sf_dir).withColumn("i", (F.col("doc_id") % len(SPLITS)).cast("int")).join(F.broadcast(cases), "i")  # a declared list
+    planted = d.select("doc_id", F.concat("planted", F.lit("\n\n"), letters).alias("text"))
+    found = numbers.find_numbers(planted, redact.RESIDUAL["ADDRESS"])
+    address = F.when(F.col("kind") == "LONG_NUMBER", F.col("doc_id") % len(SPLITS) != len(SPLITS) - 1).otherwise(True)  # the last case is both
+    return found.where(address).select("doc_id", "kind", "value", "line")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MISSING WHEN doc_id % 7 = 0 THEN 'CHANGED' ELSE 'SAME' END AS state FROM documents")
 def disclosure_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records against texts of which some are gone or changed."""
     d = documents(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""CSV and JSON sources for many files at once: everything is read as text, guarded, and returned as (accepted, refusals).
+"""CSV sources and reports for many files at once: everything is read as text, guarded, and returned as (accepted, refusals).
 
 A file with any refusal is refused as a whole, as one bad row makes a whole export doubtful; other files go on.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import AMOUNT, MONEY, abn_valid, accounting_number, clean_text, exact_money, iso_date, turnover_bounds, yes_no
+from .documents import capture
 
 Guard = Callable[[Column], Column]
 
@@ -61,10 +62,21 @@ class Contract:
     single: tuple[str, ...] = ()
     ordered: bool = False
     also: tuple[tuple[str, Callable[[], Column]], ...] = field(default=())
+    #: Conditions over all rows of a file, false where it has none.
+    whole: tuple[tuple[str, Callable[[], Column]], ...] = field(default=())
 
 
 #: Classes of tax (fixed values).
 GST = ("taxable_sales", "creditable_purchases", "non_creditable", "gst_free", "input_taxed", "bas_excluded", "mixed", "gst", "gst_collected", "gst_paid")
+
+
+def one_way() -> Column:
+    """Every account of tax has the one class, or they are split by side and both sides have some."""
+    has = lambda c: F.bool_or(F.col("gst_class") == c)
+    sided = has("gst_collected") | has("gst_paid")
+    return F.when(has("gst"), ~sided).otherwise(has("gst_collected") & has("gst_paid"))
+
+
 TB = Contract(
     {"ReportDate": ("report_date", iso_date, False), "Tenant": ("tenant", text, False), "Section": ("section", text, False), "AccountID": ("account_id", text, False), "AccountName": ("account_name", text, False), "AccountCode": ("account_code", optional(text), True),
      "Debit": ("debit", amount, False), "Credit": ("credit", amount, False), "YTDDebit": ("ytd_debit", amount, False), "YTDCredit": ("ytd_credit", amount, False)},
@@ -120,8 +132,8 @@ CONTRACTS = {
     "trial_balance": TB,
     "account_mapping": Contract({"AccountID": ("account_id", text, False), "ReviewGroup": ("review_group", text, False)}, key=("account_id",)),
     "mapping_policy": Contract({"Section": ("section", text, False), "ReviewGroup": ("review_group", text, False)}, key=("section", "review_group")),
-    "balance_policy": Contract({"AccountID": ("account_id", text, False), "ExpectedBalance": ("expected_balance", one_of("debit", "credit", "nil", "any"), False), "ExpectMovement": ("expect_movement", yes_no, False)}, key=("account_id",)),
-    "gst_mapping": Contract({"AccountID": ("account_id", text, False), "GSTClass": ("gst_class", one_of(*GST), False)}, key=("account_id",)),
+    "balance_policy": Contract({"AccountID": ("account_id", text, False), "ExpectedBalance": ("expected_balance", one_of("debit", "credit", "nil", "any"), False), "ExpectMovement": ("expect_movement", yes_no, False)}, key=("account_id",), whole=(("NO_ROWS", lambda: F.count("*") > 0),)),
+    "gst_mapping": Contract({"AccountID": ("account_id", text, False), "GSTClass": ("gst_class", one_of(*GST), False)}, key=("account_id",), whole=(("SIDES", one_way),)),
     "gst_settlements": Contract({"Reference": ("reference", text, False), "Amount": ("amount", amount, False)}, key=("reference",)),
     "gst_settlements_by_side": Contract({"Reference": ("reference", text, False), "Amount": ("amount", amount, False), "Side": ("side", one_of("collected", "paid"), False)}, key=("reference",)),
     "subledger": Contract({"Tenant": ("tenant", text, False), "AccountID": ("account_id", text, False), "SubledgerBalance": ("subledger_balance", amount, False)}, key=("tenant", "account_id")),
@@ -153,32 +165,6 @@ CONTRACTS = {
     "grant_contributions": Contract({"contribution_id": ("contribution_id", text, False), "grant_id": ("grant_id", text, False), "date": ("date", iso_date, False), "kind": ("kind", one_of("interest", "cash_contribution", "in_kind"), False), "amount": ("amount", money, False), "evidence": ("evidence", optional(text), True)}, key=("contribution_id",), ordered=True),
 }
 
-#: JSON documents by source name.
-SCHEMAS = {
-    "equity_schedule": "tenant string, opening_date string, closing_date string, currency string, equity_account_ids array<string>, complete boolean, movements array<struct<movement_id:string,date:string,account_id:string,debit:string,credit:string,description:string,evidence_reference:string>>",
-    "opening_items": "tenant string, account_id string, currency string, period_end string, balance string, items array<struct<transaction_id:string,date:string,reference:string,debit:string,credit:string>>",
-    "expenses": "tenant string, cutoff string, ledger_balance string, invoices array<struct<invoice_id:string,supplier:string,reference:string,amount:string,evidence:string>>, claims array<struct<claim_id:string,invoice_id:string,employee:string,amount:string,approved:boolean>>, payments array<struct<payment_id:string,claim_id:string,amount:string,date:string,reference:string>>",
-    "migration": "tenant string, mapping array<struct<mapping_id:string,source_account:string,target_account:string,weight:string>>, before array<struct<row_id:string,item_id:string,account:string,amount:string>>, after array<struct<row_id:string,item_id:string,account:string,amount:string>>",
-    "interentity": "entities array<string>, records array<struct<row_id:string,entity:string,counterparty:string,account:string,reference:string,date:string,amount:string,disputed:boolean,evidence:string>>",
-    "calculation_evidence": "schema string, calculation_sha256 string, calculation struct<label:string,call:struct<calculator:string,period:string,status:string>,validation:struct<accepted:boolean,findings:array<string>>>",
-    "coding_assertions": "original_sha256 string, current_sha256 string, expectations array<struct<original_account_id:string,transaction_id:string,current_account_id:string,expected_account_id:string,purpose:string,evidence_reference:string>>",
-    "responses": "pack_sha256 string, responses array<struct<query_id:string,response:string,responder:string,date:string>>",
-    "reviewer_note": "reviewer string, reviewed_on string, note string",
-    "self_review": "preparer_initials string, prepared_on string, engagement_type string, period_start string, period_end string, assertions map<string,boolean>",
-    "review_context": "entity_ref string, basis string, currency string, as_at string, csv_sha256 string, generated_at string",
-    "review_policy": "policy_id string, allowed_sections array<string>, minimum_absolute_delta string, minimum_percent_delta string, max_results int",
-    "review_request": "request_id string, section string, policy_id string",
-    "agreements": "agreements array<struct<grant_id:string,start:string,end:string,opening_cash:string,opening_unspent_funding:string,budget:map<string,string>,agreement_evidence:string>>",
-    "entity_map": "entities array<struct<value:string,placeholder:string,kind:string,added:string>>",
-}
-
-
-def capture(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, text): each file once, its digest bound to the bytes that are parsed."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
-
-
 def records(spark: SparkSession, path: str, headings: list[str]) -> DataFrame:
     """(file, at, _c0…, wide): records of CSV files, all text; wide: the record has more or fewer fields than the headings.
 
@@ -227,25 +213,29 @@ def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool =
     for c in contract.single:
         several = rows.where("ok").groupBy("file").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b")
         refusals = refusals.unionByName(several.select("file", F.lit(None).cast("long").alias("row"), F.lit("SEVERAL_VALUES").alias("code"), F.lit(c).alias("column")))
+    for code, c in contract.whole:
+        fine = head.where("ok").select("file").join(rows.groupBy("file").agg(c().alias("fine")), "file", "left").where(~F.coalesce("fine", F.lit(False)))
+        refusals = refusals.unionByName(fine.select("file", F.lit(None).cast("long").alias("row"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("column")))
     bare = head.where("not ok").select("file", F.lit(0).cast("long").alias("row"), F.lit("HEADER").alias("code"), F.lit(None).cast("string").alias("column"))
     refusals = refusals.where("code <> 'HEADER'").unionByName(bare)
     accepted = rows.join(refusals.select("file").distinct(), "file", "left_anti").select("file", *[name for name, _, _ in contract.columns.values()])
     return accepted, refusals
 
 
-def read_json(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refusals) of JSON documents of one kind: (file, sha256, doc) where the text parses and has exactly the kind's members."""
-    kind = T._parse_datatype_string(SCHEMAS[name])
-    f = capture(spark, path).withColumn("keys", F.array_sort(F.json_object_keys("text"))).withColumn("doc", F.from_json("text", kind))
-    wanted = F.array(*[F.lit(x) for x in sorted(kind.fieldNames())])
-    code = F.when(F.col("keys").isNull(), "NOT_JSON").when(F.col("keys") != wanted, "MEMBERS").when(F.forall(F.array(*[F.col(f"doc.{x}").isNull() for x in kind.fieldNames()]), lambda x: x), "EMPTY")
-    f = f.withColumn("code", code)
-    return f.where("code is null").select("file", "sha256", "doc"), f.where("code is not null").select("file", F.lit(None).cast("long").alias("row"), "code", F.lit(None).cast("string").alias("column"))
+def of_folder(file: Column, name: str) -> Column:
+    """The value of a folder name=value of a path, as Spark names folders of partitions: a URI whose special characters were escaped before."""
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return plain(plain(F.regexp_extract(file, f"/{name}=([^/]*)/", 1)))
 
 
-def items(accepted: DataFrame, array: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of one array of accepted documents, with `file` and kept members."""
-    return accepted.select("file", *[F.col(f"doc.{c}").alias(c) for c in keep], F.inline(F.col(f"doc.{array}")))
+def read_sets(spark: SparkSession, path: str, contract: Contract) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refusals) of policy files in folders path/tenant=.../from=...: rows with tenant and effective_from, a date, in place of the file's name. A
+    file's refusal leaves the tenant with the set before it. Code FOLDER: the folders name no tenant, or no ISO date."""
+    rows, refusals = read_csv(spark, f"{path}/*/*", contract)
+    placed = rows.withColumns({"tenant": clean_text(of_folder(F.col("file"), "tenant")), "effective_from": iso_date(of_folder(F.col("file"), "from"))})
+    lost = F.col("tenant").isNull() | F.col("effective_from").isNull()
+    bad = placed.where(lost).select("file", F.lit(None).cast("long").alias("row"), F.lit("FOLDER").alias("code"), F.lit(None).cast("string").alias("column")).distinct()
+    return placed.where(~lost).drop("file"), refusals.unionByName(bad)
 
 
 CELLS = "array<struct<Value:string,Attributes:array<struct<Id:string,Value:string>>>>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions import columns as C
 from tallywork.operators import calendar, clearing, close, gate, grants, reports, schedules
+from tallywork.operators.policies import effective, everywhere, in_force, policy_runs
 
 TB = "report_date date, tenant string, section string, account_id string, account_name string, account_code string, debit string, credit string, ytd_debit string, ytd_credit string"
 GOLDEN = [("100", "Assets", "1000", 15000, 0, 120000, 0, 105000, 0), ("110", "Assets", "1100", 12000, 0, 85000, 0, 73000, 0), ("200", "Liabilities", "2000", 0, 9000, 0, 65000, 0, 56000), ("300", "Revenue", "4000", 0, 14000, 0, 130000, 0, 116000), ("400", "Expenses", "5000", 8000, 0, 80000, 0, 72000, 0), ("500", "Expenses", "6000", 12000, 0, 90000, 0, 78000, 0), ("900", "Equity", "3000", 0, 24000, 0, 180000, 0, 156000)]
@@ -23,7 +24,7 @@ def trial_balance(spark, tenant="T"):
 
 def review(tb, spark):
     pairs = close.pair_periods(tb)
-    mapped = spark.createDataFrame([(a, "G") for a, *_ in GOLDEN if a != "500"], "account_id string, review_group string")
+    mapped = everywhere(spark.createDataFrame([(a, "G") for a, *_ in GOLDEN if a != "500"], "account_id string, review_group string"), tb)
     sub = spark.createDataFrame([("T", date(2026, 7, 31), "110", "85000"), ("T", date(2026, 7, 31), "200", "-64750")], "tenant string, report_date date, account_id string, b string").select("tenant", "report_date", "account_id", F.col("b").cast(C.AMOUNT).alias("subledger_balance"))
     now = tb.where("report_date = '2026-07-31'")
     return close.enrich(close.union([close.integrity(now), close.period_comparison(pairs), close.period_variance(pairs, "10000", "0.10"), close.account_metadata(pairs), close.financial_year_reset(pairs), close.mapping(now, mapped), close.subledger(now, sub)]), mapped)
@@ -55,7 +56,7 @@ def test_absent_is_not_nil(spark):
     tb = trial_balance(spark).where("not (account_id = '400' and report_date = '2026-07-31')")
     assert [r["reason"] for r in close.period_comparison(close.pair_periods(tb)).collect()] == ["account is absent from the current period"]
     policy = spark.createDataFrame([("210", "nil", False), ("211", "any", True)], "account_id string, expected_balance string, expect_movement boolean")
-    assert {r["account_id"] for r in close.balance_policy(tb.where("report_date = '2026-07-31'"), policy).collect()} == {"211"}
+    assert {r["account_id"] for r in close.balance_policy(tb.where("report_date = '2026-07-31'"), everywhere(policy, tb.where("report_date = '2026-07-31'"))).collect()} == {"211"}
 
 
 @pytest.mark.parametrize(("text", "want"), [("1,234.50", "1234.5"), ("$-5", None), ("-$5", "-5"), ("1e3", None), ("12,34", None), ("+7", "7"), ("", None), (" 1", None), ("1.", None)])
@@ -125,3 +126,17 @@ def test_footer_is_not_a_contact_named_total(spark):
 def test_tenant_selection(spark):
     t = spark.createDataFrame([("a1", "Alpha One"), ("a2", "Alpha Two"), ("b", "Beta")], "id string, name string")
     assert [reports.tenant_selection(t, x).count() for x in ("A2", "beta", "alpha", "none")] == [1, 1, 0, 0]
+
+
+def test_policies_by_tenant(spark):
+    """One account id, two tenants: each by its own set, and by the set of the date."""
+    day = lambda x: date.fromisoformat(x)
+    tb = trial_balance(spark).unionByName(trial_balance(spark, "U"))
+    periods = tb.select("tenant", "report_date").distinct()
+    sets = [("T", day("2026-01-01"), "110", "A"), ("T", day("2026-07-01"), "110", "B"), ("T", day("2026-07-01"), "200", "B"), ("U", day("2026-07-31"), "110", "C"), ("V", day("2020-01-01"), "110", "D"), ("T", day("2027-01-01"), "110", "E")]
+    mapped = effective(spark.createDataFrame(sets, "tenant string, effective_from date, account_id string, review_group string"), periods)
+    assert {(r["tenant"], str(r["report_date"]), r["account_id"], r["review_group"]) for r in mapped.collect()} == {("T", "2026-06-30", "110", "A"), ("T", "2026-07-31", "110", "B"), ("T", "2026-07-31", "200", "B"), ("U", "2026-07-31", "110", "C")}
+    missing = {(r["tenant"], str(r["report_date"])) for r in close.mapping(tb, mapped).where("account_id = '200'").collect()}
+    assert missing == {("T", "2026-06-30"), ("U", "2026-07-31")}  # U has no set in June, so nothing is said of it
+    assert {(r["tenant"], str(r["report_date"]), r["state"]) for r in policy_runs(periods, {"account_mapping": mapped}).collect()} == {("T", "2026-06-30", "RAN"), ("T", "2026-07-31", "RAN"), ("U", "2026-06-30", "SKIPPED"), ("U", "2026-07-31", "RAN")}
+    assert in_force(periods.limit(0), mapped.withColumn("effective_from", F.col("report_date"))).collect() == []
