@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +24,27 @@ from .common import shared_dir
 EPOCH = 1 << 22
 #: A bin is given out when it lacks at most this share of its tokens; the pieces of others are packed again with what follows.
 SLACK = 1 / 256
-#: Texts encoded at once; chunks, and pieces, remembered by a Python worker.
-BATCH, MEMO, MEMO_WORDS = 512, 800_000, 400_000
+#: Texts encoded at once; pieces, and chunks of odd texts, remembered by a Python worker.
+BATCH, MEMO, MEMO_CHUNKS = 256, 800_000, 200_000
 #: Sequence numbers of one task.
 PER_TASK = 1 << 40
-#: Above every rank.
-NONE = 1 << 40
+#: Above every rank; ids that no vocabulary has, between two texts.
+NONE, APART = 1 << 40, b"\xff" * 4
 
 
 class Encoder:
     """Ids of whole texts by a tokenizers file of lower-cased words with an end mark, as the tokenizers library gives them.
 
-    No token of such a file holds white space, so the chunks between spaces, tabs and line feeds are encoded apart, each new one once. Chunks of plain Latin
-    letters and marks, for which lower case is all that the file's normalizer does, are cut into the pieces of its pattern, and new pieces are merged
-    together, one merge in every piece at a time; other chunks, and those that may hold a special token, go through the library.
+    Texts of plain Latin letters and marks, for which lower case is all that the file's normalizer does, are cut together into the pieces of its pattern;
+    new pieces are merged together, one merge in every piece at a time, and remembered. Other texts, and those that may hold a special token, go through
+    the library by the chunks between spaces, tabs and line feeds, which no token crosses; new ones once.
     """
 
-    #: What the normalizer changes beyond case, or libraries split differently.
-    ODD = re.compile(r"[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\|").search
+    #: What the normalizer changes beyond case, or libraries class or split differently.
+    odd = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\|").search
+    #: The pieces of plain texts, and what stands between two texts.
+    find = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]+|\x1c").findall
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
@@ -51,8 +53,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        pattern = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.find = regex.compile(pattern).findall
+        if self.pattern not in [x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]:
+            raise ValueError(f"{path} cuts words by another pattern")
         vocab, end = told["model"]["vocab"], told["model"]["end_of_word_suffix"]
         shown = [chr(x) for x in (*range(33, 127), *range(161, 173), *range(174, 256))]  # the byte-level alphabet: these bytes show themselves
         rest = [x for x in range(256) if chr(x) not in shown]
@@ -69,7 +71,7 @@ class Encoder:
         for rank, made in pairs.values():
             self.made[rank] = made
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\x1c": APART}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = np.where(b < 0, -1, a << 32 | b)
@@ -78,15 +80,15 @@ class Encoder:
 
     def merge_many(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(piece, ids): the lowest rank first, leftmost of equal ones; pieces of like length together."""
-        raw = sorted((x.encode(), x) for x in pieces)
-        raw.sort(key=lambda x: len(x[0]))
-        low = 0
+        raw = [x.encode() for x in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        order, low = np.argsort(lengths, kind="stable"), 0
         while low < len(raw):
-            part = raw[low : low + max(64, min(4096, (1 << 17) // max(len(raw[low][0]), 1)))]
+            part = order[low : low + max(64, min(8192, (1 << 17) // int(lengths[order[low]])))]
             low += len(part)
-            n, width = len(part), len(part[-1][0])
-            sizes = np.array([len(x) for x, _ in part])
-            text = np.frombuffer(b"".join(x.ljust(width, b"\0") for x, _ in part), np.uint8).reshape(n, width)
+            n, sizes, part = len(part), lengths[part], part.tolist()
+            width = int(sizes[-1])
+            text = np.frombuffer(b"".join([raw[k].ljust(width, b"\0") for k in part]), np.uint8).reshape(n, width)
             ids = np.where(np.arange(width) < sizes[:, None], self.inner[text], -1)
             rows, cols = np.arange(n), np.arange(width)
             ids[rows, sizes - 1] = self.last[text[rows, sizes - 1]]
@@ -113,26 +115,38 @@ class Encoder:
                 ranks[k[before], at[before] - 1] = self._rank(ids[k[before], at[before] - 1], new[before])
                 left[rows] -= 1
             flat, ends = out[cols < left[:, None]].astype("<u4").tobytes(), np.cumsum(left) * 4
-            for (_, x), a, b in zip(part, (ends - 4 * left).tolist(), ends.tolist(), strict=True):
-                yield x, flat[a:b]
+            yield from [(pieces[k], flat[a:b]) for k, a, b in zip(part, (ends - 4 * left).tolist(), ends.tolist(), strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        words, pieces = self.words, self.find("\x1c".join(texts).lower())
+        own = set(pieces)
+        words.update(self.merge_many(list(own.difference(words))))
+        near = {p: words[p] for p in own}  # those of the batch lie close together
+        out = b"".join(map(near.__getitem__, pieces)).split(APART)
+        if len(words) > MEMO:
+            words.clear()
+            words["\x1c"] = APART
+        return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids."""
-        memo, words = self.memo, self.words
-        split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        new = set().union(*split).difference(memo)
-        odd = [x for x in new if self.ODD(x)]
-        memo.update((x, array("I", e.ids).tobytes()) for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        pieces = {x: self.find(x.lower()) for x in new.difference(odd)}
-        words.update(self.merge_many(list({p for ps in pieces.values() for p in ps}.difference(words))))
-        memo.update((x, b"".join([words[p] for p in ps])) for x, ps in pieces.items())
+    def _other(self, texts: list[str]) -> list[bytes]:
+        memo, split = self.memo, [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
+        new = list(set().union(*split).difference(memo))
+        memo.update((x, array("I", e.ids).tobytes()) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
         out = [b"".join([memo[x] for x in chunks]) for chunks in split]
-        if len(memo) > MEMO:
+        if len(memo) > MEMO_CHUNKS:
             memo.clear()
-        if len(words) > MEMO_WORDS:
-            words.clear()
         return out
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids."""
+        odd = [n for n, x in enumerate(texts) if self.odd(x)]
+        if not odd:
+            return self._plain(texts) if texts else []
+        found = dict(zip(odd, self._other([texts[n] for n in odd]), strict=True))
+        if plain := [n for n in range(len(texts)) if n not in found]:
+            found.update(zip(plain, self._plain([texts[n] for n in plain]), strict=True))
+        return [found[n] for n in range(len(texts))]
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
