@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal, localcontext
+from calendar import isleap
+from datetime import date, timedelta
+from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,33 +39,54 @@ def add_business_days(rows: DataFrame, column: str, n: int, calendar: DataFrame,
     return rows.join(F.broadcast(start), column, "left").join(F.broadcast(end), "__to", "left").drop("__to")
 
 
+#: Digits of a limb, limbs behind the point of a growth factor.
+LIMB, PLACES = 9, 4
+
+
+def growth_table(spark: SparkSession, rates: dict[tuple[int, int], str]) -> DataFrame:
+    """(date, p0.., q0..): the growth of one unit from the first quarter's start through each day, and its inverse, as limbs of nine digits, the lowest first, with
+    36 places. rates: (year, quarter) -> yearly per cent of a day's quarter over the year's days; quarters must follow each other. A row per day: bounded."""
+    quarters = sorted(rates)
+    if any((y, q) != ((a, b + 1) if b < 4 else (a + 1, 1)) for (a, b), (y, q) in zip(quarters, quarters[1:], strict=False)):
+        raise ValueError("rates leave out a quarter")
+    (y, q), (z, r) = quarters[0], quarters[-1]
+    day, end, one = date(y, q * 3 - 2, 1), date(z + (r == 4), r * 3 % 12 + 1, 1), 10 ** (LIMB * PLACES)
+    limbs = lambda n: [n // 10 ** (LIMB * i) % 10**LIMB for i in range(PLACES + 1)]
+    grown, rows = one, [(day - timedelta(days=1), *limbs(one), *limbs(one))]
+    while day < end:
+        rate = Fraction(rates[(day.year, (day.month - 1) // 3 + 1)]) / 100 / (366 if isleap(day.year) else 365)
+        grown = round(grown * (1 + rate))
+        rows.append((day, *limbs(grown), *limbs(one * one // grown)))
+        day += timedelta(days=1)
+    names = [f"{k}{i} long" for k in "pq" for i in range(PLACES + 1)]
+    return spark.createDataFrame(rows, "date date, " + ", ".join(names))
+
+
 def notional_earnings(rows: DataFrame, rates: dict[tuple[int, int], str], base: str = "base", due: str = "due", received: str = "received") -> DataFrame:
     """rows with `earnings`: base compounds daily from the day after `due` through `received`, at the yearly per cent of each day's calendar quarter over the year's days, rounded half up to cents.
 
-    rates: (year, quarter) -> per cent. Products need 28 digits, which Spark's decimals don't keep, so an Arrow function computes with Python decimals, one quarter's power at a time. A missing rate raises.
+    A span's growth is the growth through its end times the inverse of that through its start: two rows of growth_table, joined by broadcast, multiplied
+    limb by limb in decimals, with 27 places kept. Amounts have at most 18 digits in cents. No span, no earnings; a day without a rate raises.
     """
-    from datetime import date, timedelta
-
-    def run(b: pd.Series, d: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        with localcontext() as ctx:
-            ctx.prec = 28
-            for amount, a, z in zip(b, d, r, strict=True):
-                if amount is None or pd.isna(a) or pd.isna(z) or z <= a:
-                    out.append(Decimal("0.00"))
-                    continue
-                value, day = Decimal(amount), a + timedelta(days=1)
-                while day <= z:
-                    q = (day.month - 1) // 3
-                    last = min(z, (date(day.year + (q == 3), (q * 3 + 3) % 12 + 1, 1)) - timedelta(days=1))
-                    year = 366 if day.year % 4 == 0 and (day.year % 100 or day.year % 400 == 0) else 365
-                    value *= (1 + Decimal(rates[(day.year, q + 1)]) / 100 / year) ** ((last - day).days + 1)
-                    day = last + timedelta(days=1)
-                out.append((value - Decimal(amount)).quantize(Decimal("0.01"), ROUND_HALF_UP))
-        return pd.Series(out)
-
-    earn = F.pandas_udf(run, "decimal(18,2)")
-    return rows.withColumn("earnings", earn(F.col(base).cast("decimal(18,2)"), due, received))
+    days, kept = growth_table(rows.sparkSession, rates), rows.columns
+    late = F.coalesce(F.col(received) > F.col(due), F.lit(False)) & F.col(base).isNotNull()
+    side = lambda k: F.broadcast(days.select(F.col("date").alias(f"__{k}"), *[F.col(f"{k}{i}").alias(f"__{k}{i}") for i in range(PLACES + 1)]))
+    j = rows.withColumns({"__p": F.when(late, F.col(received)), "__q": F.when(late, F.col(due))}).join(side("p"), "__p", "left").join(side("q"), "__q", "left")
+    limb, fit = F.lit(10**LIMB).cast("decimal(10,0)"), lambda c: c.cast("decimal(28,0)")
+    over = lambda c: F.floor(fit(c) / limb)  # noqa: E731  exact: a quotient has nine places at most
+    carry, total = F.lit(0), []
+    for k in range(2 * PLACES + 1):  # columns of the long multiplication, each with what the one before carries
+        pairs = [fit(F.col(f"__p{i}").cast("decimal(10,0)") * F.col(f"__q{k - i}").cast("decimal(10,0)")) for i in range(PLACES + 1) if 0 <= k - i <= PLACES]
+        total.append(fit(sum(pairs[1:], pairs[0]) + carry))
+        carry = over(total[-1])
+    cents = F.col(base).cast("decimal(18,2)").cast("decimal(20,2)") * 100
+    cents, up = cents.cast("decimal(18,0)"), F.lit(0)
+    for k in range(PLACES + 1, 2 * PLACES):  # the amount times the three limbs behind the point, and the carry; the last rounds
+        up = over(cents * (total[k] - over(total[k]) * limb).cast("decimal(10,0)") + up + (10**LIMB // 2 if k == 2 * PLACES - 1 else 0))
+    grown = cents * total[-1].cast("decimal(10,0)") + up
+    known = F.when(F.col("__p0").isNull() | F.col("__q0").isNull(), F.raise_error(F.lit("a day has no rate")).cast("decimal(28,0)")).otherwise(fit(grown - cents))
+    earned = F.when(late, known).otherwise(F.lit(0).cast("decimal(28,0)"))
+    return j.select(*kept, (earned * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)").alias("earnings"))
 
 
 def settle(events: DataFrame, calendar: DataFrame, rates: dict[tuple[int, int], str], days: int = 7) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import AMOUNT, account_parts, accounting_number
+
 
 def promote_header(records: DataFrame, first: str) -> DataFrame:
     """(file, pos, header, cells): records after the first whose first cell is `first`; files without one are left out. records: (file, pos, cells array<string>)."""
@@ -124,6 +126,42 @@ def aged_report(records: DataFrame, first: str = "Contact") -> tuple[DataFrame,
     return rows.drop("header").join(bad, "file", "left_anti"), bad
 
 
+#: Labels of a spreadsheet's export of separate columns, and the names that they stand for (fixed values).
+TB_LABELS = {"Account": "Account Name", "Debit - Year to date": "YTD Debit", "Credit - Year to date": "YTD Credit"}
+
+
+def trial_balance_report(records: DataFrame, ytd: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, refusals) of report-shaped trial balances: (file, pos, account_code, account_name, debit, credit), and (file, code).
+
+    The header is the first record whose first cell is `Account` (code and name in one cell) or `Account Code` (a cell each). ytd: take the year-to-date
+    pair, or the period's; None: year to date where a file has it. Blank records and those of `Total` go; an empty amount is nil. Codes: NO_HEADER, PAIR
+    (the file lacks the pair), WIDTH (a record of another width), AMOUNT. records: (file, pos, cells array<string>).
+    """
+    first = F.trim(F.get("cells", F.lit(0)))
+    head = records.where(first.isin("Account", "Account Code")).groupBy("file").agg(F.min_by("cells", "pos").alias("h"), F.min("pos").alias("at"))
+    head = head.withColumn("h", F.transform("h", F.trim)).withColumn("apart", F.get("h", F.lit(0)) == "Account Code")
+    named = F.create_map(*[F.lit(x) for kv in TB_LABELS.items() for x in kv])
+    head = head.withColumn("h", F.when(F.col("apart"), F.transform("h", lambda x: F.coalesce(named[x], x))).otherwise(F.col("h")))
+    has = lambda *names: F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(F.col("h"), n))
+    late, period = has("YTD Debit", "YTD Credit"), has("Debit", "Credit")
+    take = F.when(late, F.lit(True)).when(period, F.lit(False)) if ytd is None else F.when(late if ytd else period, F.lit(ytd))
+    head = head.withColumn("ytd", take)
+    body = records.join(head, "file").where((F.col("pos") > F.col("at")) & F.exists("cells", lambda c: F.trim(c) != ""))
+    cell = lambda name: F.trim(F.coalesce(F.get("cells", F.array_position("h", name).cast("int") - 1), F.lit("")))
+    whole, code = cell("Account"), cell("Account Code")
+    name = F.when(F.col("apart"), cell("Account Name")).otherwise(whole)
+    amount = lambda side: F.when(F.col("ytd"), cell(f"YTD {side}")).otherwise(cell(side))
+    number = lambda c: F.when(c == "", F.lit(0).cast(AMOUNT)).otherwise(accounting_number(c))
+    rows = body.select("file", "pos", "apart", "ytd", (F.size("cells") != F.size("h")).alias("odd"), F.when(F.col("apart"), code).alias("code"), name.alias("name"), amount("Debit").alias("d"), amount("Credit").alias("c"))
+    rows = rows.withColumns({"debit": number(F.col("d")), "credit": number(F.col("c")), "kept": (F.concat(F.coalesce("code", F.lit("")), "name") != "") & (F.col("name") != "Total") & (F.coalesce("code", F.lit("")) != "Total")})
+    wrong = F.when(F.col("ytd").isNull(), 2).when(F.col("odd"), 1).when(F.col("kept") & (F.col("debit").isNull() | F.col("credit").isNull()), 0)
+    bad = rows.groupBy("file").agg(F.max(wrong).alias("w")).where("w is not null").select("file", F.element_at(F.array(F.lit("AMOUNT"), F.lit("WIDTH"), F.lit("PAIR")), F.col("w") + 1).alias("code"))
+    bad = bad.unionByName(records.select("file").distinct().join(head, "file", "left_anti").select("file", F.lit("NO_HEADER").alias("code")))
+    own, tail = account_parts("name")
+    shown = rows.where("kept").join(bad, "file", "left_anti")
+    return shown.select("file", "pos", F.nullif(F.when(F.col("apart"), F.col("code")).otherwise(tail), F.lit("")).alias("account_code"), F.when(F.col("apart"), F.col("name")).otherwise(own).alias("account_name"), "debit", "credit"), bad
+
+
 def payday_report(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, refusals) of payday reports: (file, pos, row, note) with the provenance that the terminal NOTE record gives; (file, code) of files with other
     headings, a record of another width, or a NOTE record that is missing, empty, repeated or not the last."""

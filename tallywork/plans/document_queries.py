@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import documents
-from ..sources.staging import new_path
+from ..sources.staging import new_path, staged
 from .derive import table
 from .file_queries import file_no, write_files
 
@@ -187,3 +187,57 @@ def document_query(name: str) -> None:
 
 for source in SPECS:
     document_query(source)
+
+
+# -- accepted documents against other tables ---------------------------------------------------------------------------
+
+
+def query(sql: str):
+    def add(f):
+        Q[f.__name__] = f
+        S[f.__name__] = f"WITH {BASE_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS i FROM base) {sql}"
+        return f
+
+    return add
+
+
+def _accepted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return staged(documents.read_json(spark, f"{write_documents(spark, sf_dir, name)}/*/*.txt", name)[0], f"accepted-{name}")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS n", "CAST(floor(c_custkey / 8) AS INTEGER) AS k")
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select(file_no(F.col("file")).alias("file"), "path", "code")
+
+
+@query("SELECT k AS file, '$.period_end' AS path, CASE WHEN k % 3 = 1 THEN 'UNKNOWN_IDENTITY' ELSE 'NOT_PRECEDING' END AS code FROM files WHERE k % 8 = 0 AND k % 3 <> 0")
+def opening_period_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening items whose period isn't the one before that which they open, or which open none."""
+    periods = _numbers(spark, sf_dir).select("k").distinct().where("k % 3 <> 1").selectExpr("concat('T', k) AS tenant", "'880' AS account_id", "'AUD' AS currency", "CASE WHEN k % 3 = 2 THEN DATE'2024-07-01' ELSE DATE'2024-06-01' END AS period_start")
+    return _told(documents.opening_period_issues(_accepted(spark, sf_dir, "opening_items"), periods))
+
+
+@query("SELECT k AS file, '$.responses[' || i || CASE WHEN n % 5 = 0 THEN '].query_id' ELSE '].reviewed_on' END AS path, CASE WHEN n % 5 = 0 THEN 'UNKNOWN_QUERY' ELSE 'BEFORE_CLOSE' END AS code FROM numbered WHERE k % 6 = 0 AND (n % 5 = 0 OR n % 7 = 0)")
+def response_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to queries that the pack doesn't hold, or given before the close."""
+    packs = _numbers(spark, sf_dir).where("n % 5 <> 0").selectExpr(f"'{HEX}' AS pack_sha256", "concat('Q-', n) AS query_id", "CASE WHEN n % 7 = 0 THEN DATE'2024-07-06' ELSE DATE'2024-06-30' END AS report_date")
+    return _told(documents.response_issues(_accepted(spark, sf_dir, "responses"), packs))
+
+
+@query("SELECT k AS file, '$.policy_id' AS path, 'UNKNOWN_POLICY' AS code FROM files WHERE k % 4 = 0 AND k % 7 <> 0")
+def request_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review requests under policies that weren't accepted."""
+    return _told(documents.request_issues(_accepted(spark, sf_dir, "review_request"), _accepted(spark, sf_dir, "review_policy")))
+
+
+@query("""SELECT k AS file, '$.' || s || '_manifest' AS path, CASE WHEN k % 7 <> 0 THEN 'UNKNOWN_MANIFEST' ELSE 'DIGEST' END AS code FROM files, (VALUES ('current'), ('prior')) x(s) WHERE k % 5 = 0 AND (k % 7 <> 0 OR k % 2 = 1)
+  UNION ALL SELECT k, '$.report.as_at', 'ORDER' FROM files WHERE k % 5 = 0 AND k % 7 = 0""")
+def context_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review contexts whose manifests weren't accepted, whose exports have other bytes than declared, or whose two dates are the same."""
+    made = _accepted(spark, sf_dir, "source_manifest")
+    named = [made.withColumn("file", F.concat(F.lit(f"m/{x}"), file_no(F.col("file")), F.lit(".json"))) for x in "cp"]
+    exports = _numbers(spark, sf_dir).select("k").distinct().selectExpr("concat('tb', k, '.csv') AS name", f"CASE WHEN k % 2 = 1 THEN repeat('0', 64) ELSE '{HEX}' END AS sha256", "DATE'2024-06-30' AS report_date")
+    return _told(documents.context_issues(_accepted(spark, sf_dir, "review_context"), named[0].unionByName(named[1]), exports))

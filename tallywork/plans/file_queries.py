@@ -157,3 +157,27 @@ def csv_query(name: str) -> None:
 
 for source in SOURCES:
     csv_query(source)
+
+
+def digest_query() -> None:
+    contract = readers.CONTRACTS["prior_findings"]
+    heads = ",".join(contract.columns)
+    line = "concat('F', CAST(n AS STRING), ',slot ', CAST(n AS STRING), ',', CASE WHEN k % 3 = 0 AND r = 1 THEN 'LOST' ELSE 'OPEN' END)"
+
+    def captured_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The digest of each file's bytes stands beside what was read from them, in accepted rows and in refusals."""
+        rows = base(spark, sf_dir, BASE_SQL)
+        head = rows.where("r = 1").select(F.col("k").alias("file"), F.lit(0).cast("long").alias("seq"), F.lit(heads).alias("value"))
+        path = new_path(spark, "files-digests")
+        write_files(head.unionByName(rows.selectExpr("k AS file", "CAST(r AS BIGINT) AS seq", f"{line} AS value")), path)
+        accepted, refusals = readers.read_csv(spark, f"{path}/*", contract)
+        ok = accepted.groupBy("file", "sha256").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("code"))
+        bad = refusals.groupBy("file", "sha256", "code").agg(F.count("*").alias("n"))
+        return ok.unionByName(bad).select(file_no(F.col("file")).alias("file"), "sha256", "n", "code")
+
+    Q[captured_digests.__name__] = captured_digests
+    S[captured_digests.__name__] = f"""WITH {BASE_SQL}, f AS (SELECT k, count(*) AS n, sha256('{heads}' || chr(10) || string_agg({line} || chr(10), '' ORDER BY r)) AS d FROM base GROUP BY k)
+      SELECT CAST(k AS INTEGER) AS file, d AS sha256, CASE WHEN k % 3 = 0 THEN 1 ELSE n END AS n, CASE WHEN k % 3 = 0 THEN 'VALUE' END AS code FROM f""".replace("AS STRING", "AS VARCHAR")
+
+
+digest_query()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import AMOUNT
+from ..functions.columns import AMOUNT, money_text
 from ..operators import close, diffs, gate, variance
 from ..operators.policies import everywhere
 from ..sources.staging import staged
 from .close_queries import FOUND_SQL, found
-from .derive import LEDGER_SQL, PAIRS_SQL, TB_SQL, _values, in_cents, ledger, policy, table, tb
+from .derive import LEDGER_SQL, PAIRS_SQL, TB_SQL, _values, chart, in_cents, ledger, policy, table, tb
 
 Q, S = {}, {}
 
@@ -295,14 +295,24 @@ def decision_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variance.decision_issues(r, r.unionByName(r.where("finding_id < 'finding:2'")).unionByName(r.where("finding_id > 'finding:e'").select(F.concat(F.lit("x"), "finding_id").alias("finding_id"))))
 
 
-@query(f"WITH {REF_SQL} SELECT DISTINCT 'label' AS column, account_id AS value FROM r WHERE account_id = '110'")
+@query(f"""WITH {REF_SQL} SELECT DISTINCT 'label' AS column, CASE account_id WHEN '110' THEN account_id WHEN '600-A' THEN account_name WHEN '600-N' THEN account_code ELSE tenant END AS value FROM r JOIN chart USING (account_id)""")
 def redaction_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outgoing rows in which one account's id is left in a text column."""
-    r = _refs(spark, sf_dir).withColumn("label", F.when(F.col("account_id") == "110", F.col("account_id")).otherwise("seen"))
-    bad = r.select(F.explode(F.array("tenant", "account_id")).alias("value"))
+    """Outgoing rows with an identity left in a text column: an account's id, name or code, or the tenant."""
+    r = _refs(spark, sf_dir).join(F.broadcast(chart(spark).select("account_id", "account_name", "account_code")), "account_id")  # a declared list
+    a = F.col("account_id")
+    r = r.withColumn("label", F.when(a == "110", a).when(a == "600-A", F.col("account_name")).when(a == "600-N", F.col("account_code")).otherwise(F.col("tenant")))
+    bad = r.select(F.explode(F.array("tenant", "account_id", "account_name", "account_code")).alias("value"))
     return variance.redaction_leaks(r, bad, ["account_ref", "finding_id", "label"])
 
 
+@query(f"WITH {REF_SQL} SELECT tenant, report_date, account_id FROM r WHERE account_id IN ('110', '600-A') OR account_id = '600-N' AND month(report_date) = 3")
+def numeric_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outgoing numbers that aren't plain decimal text: with a comma, an exponent or a sign of dollars."""
+    a, text = F.col("account_id"), money_text("delta")
+    odd = F.when(a == "110", F.concat(text, F.lit(",5"))).when(a == "600-A", F.concat(text, F.lit("E2"))).when((a == "600-N") & (F.month("report_date") == 3), F.concat(F.lit("$"), text)).otherwise(text)
+    return variance.numeric_shape(_refs(spark, sf_dir).withColumn("shown", odd), "shown").select("tenant", "report_date", "account_id")
+
+
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The exceptions of each period against those of the tenant's next period, as two runs."""
     f = found(spark, sf_dir).where("account_id is not null").select("control", "tenant", "account_id", "reason", F.date_format("report_date", "yyyy-MM").alias("run"), "report_date")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ABN_WEIGHTS, ACN_WEIGHTS, MEDICARE_WEIGHTS, TFN_WEIGHTS
 from ..operators import numbers, redact
 from ..sources import readers, writers
-from ..sources.staging import new_path
+from ..sources.staging import new_path, staged
 from .derive import TB_SQL, in_cents, table, tb
 
 Q, S = {}, {}
@@ -63,13 +63,6 @@ def identifier_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.placeholders(redact.structured_spans(documents(spark, sf_dir))).select("doc_id", "kind", "start", "end", "placeholder")
 
 
-@query("WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS value FROM documents) SELECT doc_id, 'EMAIL' AS kind, count(*) AS n FROM x GROUP BY doc_id")
-def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A45, for mail addresses."""
-    spans = redact.structured_spans(documents(spark, sf_dir)).where("kind = 'EMAIL'")
-    return spans.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
-
-
 @query()
 def replacement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements of all kinds, those of the entity map too."""
@@ -139,13 +132,99 @@ def _round_trip(spark: SparkSession, balances: DataFrame) -> DataFrame:
     return accepted.select("tenant", "report_date", "account_id", in_cents("ytd_debit").alias("ytd_debit"), in_cents("ytd_credit").alias("ytd_credit"))
 
 
-@query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, greatest(ytd, 0) AS ytd_debit, greatest(-ytd, 0) AS ytd_credit FROM tb WHERE month(month) = 6")
-def trial_balance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """June's trial balances written as canonical CSV, a folder each, and read again under guards."""
-    return _round_trip(spark, tb(spark, sf_dir).where("month(report_date) = 6"))
-
-
 @query(f"WITH {TB_SQL} SELECT tenant, report_date, account_id, greatest(ytd, 0) AS ytd_debit, greatest(-ytd, 0) AS ytd_credit FROM tb")
 def all_trial_balance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every tenant and date."""
+    """The trial balances of every tenant and date written as canonical CSV, a folder each, and read again under guards."""
     return _round_trip(spark, tb(spark, sf_dir))
+
+
+# -- pseudonymisation from end to end ----------------------------------------------------------------------------------
+
+#: A planted text, what goes out for it (None: it halts), and what comes back.
+PLANTED = [
+    ("Pay 51 824 753 556 and 51824753556 now", "Pay ABN_01 and ABN_01 now", "Pay 51 824 753 556 and 51 824 753 556 now"), ("mail a.b@c.example.com, x@y.example.org, a.b@c.example.com", "mail EMAIL_01, EMAIL_02, EMAIL_01", "mail a.b@c.example.com, x@y.example.org, a.b@c.example.com"),
+    ("TFN 123 456 782, ABN 51 824 753 556", "TFN TFN_01, ABN ABN_01", "TFN 123 456 782, ABN 51 824 753 556"), ("for acme *PTY*\nltd and acme", "for CLIENT_01 and CLIENT_02", "for acme *PTY*\nltd and acme"), ("call (02) 1234 5678 or 063-000", "call PHONE_01 or BSB_01", "call (02) 1234 5678 or 063-000"),
+    ("ABN: 51 824 753 557", "ABN: ABN_01", "ABN: 51 824 753 557"), ("plain words", "plain words", "plain words"), ("<td>123</td><td>456</td><td>782</td>", None, None), ("met Jane Citizen", None, None), ("carried ABN_01", None, None), ("born 3 June 1980", None, None), ("at 12 Smith Court", None, None),
+    ("Straße AG paid", "CLIENT_03 paid", "Straße AG paid"), ("STRASSE ag paid", "CLIENT_03 paid", "STRASSE ag paid"),
+]
+MAP = [("Acme Pty Ltd", "CLIENT_01", "CLIENT"), ("Acme", "CLIENT_02", "CLIENT"), ("Straße AG", "CLIENT_03", "CLIENT")]
+#: Letters of a document in which nothing is found, and the same as SQL.
+LETTERS = r"[^a-zéèêçñäöüßáíóúà ]"
+LETTERS_SQL = f"regexp_replace(lower(coalesce(text, '')), '{LETTERS}', '', 'g')"
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PLANTED)], "i int, planted string")
+    d = documents(spark, sf_dir).withColumn("i", (F.col("doc_id") % len(PLANTED)).cast("int")).join(F.broadcast(cases), "i")  # a declared list
+    return d.select("doc_id", F.concat("planted", F.lit("\n\n"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), LETTERS, "")).alias("text"))
+
+
+def _cases(which: int) -> str:
+    return "c(i, t) AS (VALUES " + ", ".join(f"({i}, {_sql_text(x[which])})" for i, x in enumerate(PLANTED) if x[which]) + ")"
+
+
+@query(f"WITH {_cases(1)} SELECT doc_id, t || chr(10) || chr(10) || {LETTERS_SQL} AS text FROM documents JOIN c ON doc_id % {len(PLANTED)} = i")
+def planted_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's letters behind a planted text; what goes out, with placeholders in order and halted documents left out."""
+    return redact.redact(_planted(spark, sf_dir), MAP)[0].select("doc_id", "text")
+
+
+@query(f"WITH c(i, kind, value, line) AS (VALUES (7, 'SPLIT_NUMBER', '123</td><td>456</td><td>782', 1), (8, 'PERSON', 'Jane Citizen', 1), (9, 'PLACEHOLDER', 'ABN_01', 1), (10, 'DATE', '3 June 1980', 1), (11, 'ADDRESS', '12 Smith Court', 1), (11, 'PERSON', 'Smith Court', 1)) SELECT doc_id, kind, value, line, CAST(1 AS BIGINT) AS n FROM documents JOIN c ON doc_id % {len(PLANTED)} = i WHERE value <> 'Smith Court'")
+def planted_halts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What halts the planted documents, once a value and line."""
+    return redact.redact(_planted(spark, sf_dir), MAP)[1].select("doc_id", "kind", "value", "line", "n")
+
+
+#: Replacements of a planted text by kind.
+COUNTED = [(0, "ABN", 2), (1, "EMAIL", 3), (2, "TFN", 1), (2, "ABN", 1), (3, "CLIENT", 2), (4, "PHONE", 1), (4, "BSB", 1), (5, "ABN", 1), (12, "CLIENT", 1), (13, "CLIENT", 1)]
+
+
+@query("WITH c(i, kind, n) AS (VALUES " + ", ".join(f"({i}, '{k}', {n})" for i, k, n in COUNTED) + f") SELECT doc_id, kind, CAST(n AS BIGINT) AS n FROM documents JOIN c ON doc_id % {len(PLANTED)} = i")
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements by document and kind, identifiers of every kind and the entity map's."""
+    return redact.redact(_planted(spark, sf_dir), MAP)[2].select("doc_id", "kind", "n")
+
+
+@query(f"WITH {_cases(2)} SELECT doc_id, t || chr(10) || chr(10) || {LETTERS_SQL} AS text FROM documents JOIN c ON doc_id % {len(PLANTED)} = i")
+def planted_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of what went out are replaced by their first values again, those of identifiers and of the map."""
+    d = staged(_planted(spark, sf_dir), "planted")
+    own = redact.placeholders(redact.structured_spans(d))
+    first = lambda spans: spans.groupBy("doc_id", "placeholder").agg(F.min_by("value", "start").alias("value"))
+    named = redact.entity_spans(redact.replace_spans(d, own), MAP)
+    return redact.restore(redact.redact(d, MAP)[0], first(own).unionByName(first(named))).select("doc_id", "text")
+
+
+@query(f"WITH {_cases(1)}, k AS (SELECT doc_id FROM documents JOIN c ON doc_id % {len(PLANTED)} = i) SELECT doc_id, 'IDENTIFIER_LEFT' AS issue, '51 824 753 556' AS value FROM k WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'UNKNOWN_PLACEHOLDER', 'CLIENT_77' FROM k WHERE doc_id % 5 = 0")
+def planted_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and unknown placeholders that were put into redacted texts are all found, and nothing else."""
+    d = staged(_planted(spark, sf_dir), "planted")
+    own = redact.placeholders(redact.structured_spans(d))
+    named = redact.entity_spans(redact.replace_spans(d, own), MAP)
+    leak = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\nsee 51 824 753 556").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "\nof CLIENT_77").otherwise(""))
+    known = own.select("doc_id", "placeholder").unionByName(named.select("doc_id", "placeholder")).distinct()
+    return redact.verify(redact.redact(d, MAP)[0].withColumn("text", leak), known).select("doc_id", "issue", "value")
+
+
+INTERVALS_SQL = "s AS (SELECT user_id AS doc_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) // 600 AS a, CAST(floor(epoch(ts)) AS BIGINT) // 600 + 1 + event_id % 9 AS b, event_id % 3 AS priority FROM events)"
+
+
+@query(f"""WITH RECURSIVE {INTERVALS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b DESC, priority, event_id) AS n FROM s),
+  kept(doc_id, n, a, b, event_id, taken, upto) AS (SELECT doc_id, n, a, b, event_id, true, b FROM o WHERE n = 1 UNION ALL
+    SELECT o.doc_id, o.n, o.a, o.b, o.event_id, o.a >= k.upto, CASE WHEN o.a >= k.upto THEN o.b ELSE k.upto END FROM kept k JOIN o ON o.doc_id = k.doc_id AND o.n = k.n + 1)
+  SELECT doc_id, a AS "start", b AS "end" FROM kept WHERE taken""")
+def arbitrated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans of ten minutes and more of their user; of those that overlap the earliest, then the longest, stays."""
+    e = table(spark, sf_dir, "events").withColumn("slot", F.expr("unix_timestamp(ts) div 600"))
+    spans = e.select(F.col("user_id").alias("doc_id"), F.col("slot").alias("start"), (F.col("slot") + 1 + F.col("event_id") % 9).alias("end"), (F.col("event_id") % 3).alias("priority"), F.lit("EVENT").alias("kind"), F.col("event_id").cast("string").alias("value"), F.lit(1).alias("line"))
+    return redact.arbitrate(spans).select("doc_id", "start", "end")
+
+
+@query(f"""WITH {INTERVALS_SQL.replace("event_id,", "event_id, event_type,", 1)}, f AS (SELECT *, min(a) OVER (PARTITION BY doc_id, event_type) AS first FROM s), v AS (SELECT doc_id, event_type, min(first) AS first FROM f GROUP BY ALL),
+  k AS (SELECT doc_id, event_type, row_number() OVER (PARTITION BY doc_id ORDER BY first, event_type) AS n, count(*) OVER (PARTITION BY doc_id, first) AS same FROM v)
+  SELECT doc_id, a AS "start", dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS n FROM f""")
+def placeholder_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value's number is that of its first appearance among its document's values."""
+    e = table(spark, sf_dir, "events")
+    spans = e.select(F.col("user_id").alias("doc_id"), F.expr("unix_timestamp(ts) div 600").alias("start"), F.lit("EVENT").alias("kind"), F.col("event_type").alias("value"))
+    return redact.placeholders(spans).select("doc_id", "start", F.regexp_extract("placeholder", r"\d+$", 0).cast("long").alias("n"))

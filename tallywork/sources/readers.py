@@ -5,12 +5,17 @@ A file with any refusal is refused as a whole, as one bad row makes a whole expo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import AMOUNT, MONEY, abn_valid, accounting_number, clean_text, exact_money, iso_date, turnover_bounds, yes_no
 from .documents import capture
@@ -177,21 +182,50 @@ def records(spark: SparkSession, path: str, headings: list[str]) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.regexp_replace("_c0", "^\\x{FEFF}", "").alias("_c0"), *names[1:], F.col("corrupt").isNotNull().alias("wide"))
 
 
-def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refusals) of all files of a path: typed rows with `file`; (file, row, code, column).
+def captured_records(spark: SparkSession, path: str, headings: list[str]) -> DataFrame:
+    """records(), and sha256, the digest of the bytes that these records were parsed from: a file's bytes are read once, hashed and parsed by one task, which
+    holds them. at numbers a file's records from 0; blank lines are none. Bytes that aren't UTF-8 stand as U+FFFD."""
+    names = [f"_c{i}" for i in range(len(headings))]
+    kind = T._parse_datatype_string("file string, sha256 string, at struct<block:long,n:long>, " + ", ".join(f"{n} string" for n in names) + ", wide boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, wanted = to_arrow_schema(kind), len(names)
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                digest, text = sha256(data).hexdigest(), data.decode("utf-8", "replace").removeprefix("\ufeff")
+                out: list[dict] = []
+                for n, cells in enumerate(r for r in csv.reader(io.StringIO(text, newline="")) if r):
+                    row = {"file": file, "sha256": digest, "at": {"block": 0, "n": n}, "wide": len(cells) != wanted}
+                    out.append(row | dict(zip(names, cells, strict=False)))
+                    if len(out) == 4096:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").mapInArrow(run, kind)
+
+
+def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool = True, captured: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refusals) of all files of a path: typed rows with `file` and `sha256`; (file, sha256, row, code, column).
+
+    captured: the digest is that of the very bytes that were parsed, and a file is held by one task; without it files of any size are scanned in parts, and
+    sha256 is null.
 
     Codes: HEADER, WIDTH, VALUE, REPEATED_KEY, SEVERAL_VALUES and the contract's own. Headings may stand in any order unless the contract
     declares it; surplus, missing or repeated headings refuse the file. Only the header records and refused files' names are grouped.
     """
     heads = list(contract.columns)
-    raw = records(spark, path, heads)
+    raw = captured_records(spark, path, heads) if captured else records(spark, path, heads).withColumn("sha256", F.lit(None).cast("string"))
     cells = [f"_c{i}" for i in range(len(heads))]
-    first = raw.groupBy("file").agg(F.min_by(F.struct(*cells, "wide"), "at").alias("h"), F.min("at").alias("first"))
-    head = first.select("file", "first", F.array(*[F.col(f"h.{c}") for c in cells]).alias("names"), F.col("h.wide").alias("over"))
+    first = raw.groupBy("file").agg(F.min_by(F.struct(*cells, "wide"), "at").alias("h"), F.min("at").alias("first"), F.min("sha256").alias("sha256"))
+    head = first.select("file", "sha256", "first", F.array(*[F.col(f"h.{c}") for c in cells]).alias("names"), F.col("h.wide").alias("over"))
     names, wanted = (F.col("names"), heads) if contract.ordered else (F.array_sort("names"), sorted(heads))
     ok = F.coalesce(~F.col("over") & (names == F.array(*[F.lit(h) for h in wanted])), F.lit(False))
     head = head.withColumn("ok", ok)
-    data = raw.join(head, "file").where(F.col("at") != F.col("first")).withColumn("row", F.col("at.n"))
+    data = raw.drop("sha256").join(head, "file").where(F.col("at") != F.col("first")).withColumn("row", F.col("at.n"))
     value = lambda h: F.get(F.array(*cells), F.array_position("names", h).cast("int") - 1)
     typed, issues = [], [F.when(~F.col("ok"), F.struct(F.lit("HEADER").alias("code"), F.lit(None).cast("string").alias("column")))]
     if widths:
@@ -201,7 +235,7 @@ def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool =
         typed.append(got.alias(name))
         bad = F.coalesce(raw_cell, F.lit("")) != "" if empty else F.lit(True)
         issues.append(F.when(F.col("ok") & bad & got.isNull(), F.struct(F.lit("VALUE").alias("code"), F.lit(name).alias("column"))))
-    rows = data.select("file", "row", "ok", *typed, F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"))
+    rows = data.select("file", "sha256", "row", "ok", *typed, F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"))
     more = [F.when(F.col("ok") & ~F.coalesce(c(), F.lit(True)), F.struct(F.lit(code).alias("code"), F.lit(None).cast("string").alias("column"))) for code, c in contract.also]
     if contract.key:
         many = F.count("*").over(Window.partitionBy("file", *contract.key)) > 1
@@ -218,8 +252,8 @@ def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool =
         refusals = refusals.unionByName(fine.select("file", F.lit(None).cast("long").alias("row"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("column")))
     bare = head.where("not ok").select("file", F.lit(0).cast("long").alias("row"), F.lit("HEADER").alias("code"), F.lit(None).cast("string").alias("column"))
     refusals = refusals.where("code <> 'HEADER'").unionByName(bare)
-    accepted = rows.join(refusals.select("file").distinct(), "file", "left_anti").select("file", *[name for name, _, _ in contract.columns.values()])
-    return accepted, refusals
+    accepted = rows.join(refusals.select("file").distinct(), "file", "left_anti").select("file", "sha256", *[name for name, _, _ in contract.columns.values()])
+    return accepted, refusals.join(head.select("file", "sha256"), "file").select("file", "sha256", "row", "code", "column")
 
 
 def of_folder(file: Column, name: str) -> Column:
@@ -234,8 +268,8 @@ def read_sets(spark: SparkSession, path: str, contract: Contract) -> tuple[DataF
     rows, refusals = read_csv(spark, f"{path}/*/*", contract)
     placed = rows.withColumns({"tenant": clean_text(of_folder(F.col("file"), "tenant")), "effective_from": iso_date(of_folder(F.col("file"), "from"))})
     lost = F.col("tenant").isNull() | F.col("effective_from").isNull()
-    bad = placed.where(lost).select("file", F.lit(None).cast("long").alias("row"), F.lit("FOLDER").alias("code"), F.lit(None).cast("string").alias("column")).distinct()
-    return placed.where(~lost).drop("file"), refusals.unionByName(bad)
+    bad = placed.where(lost).select("file", "sha256", F.lit(None).cast("long").alias("row"), F.lit("FOLDER").alias("code"), F.lit(None).cast("string").alias("column")).distinct()
+    return placed.where(~lost).drop("file", "sha256"), refusals.unionByName(bad)
 
 
 CELLS = "array<struct<Value:string,Attributes:array<struct<Id:string,Value:string>>>>"

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import formula_safe, money_text
 from ..operators.close import integrity
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("report_date",)) -> None:
-    """A Parquet table partitioned by its period; rows of a period are brought together first, so a period has few files, split if large."""
+    """A whole Parquet table, in place of what was there, partitioned by its period (publish_table adds periods); rows of a period are brought together first, so a period has few files, split if large."""
     keys = [c for c in by if c in df.columns]
     (df.hint("rebalance", *keys).write.partitionBy(*keys) if keys else df.write).mode("overwrite").parquet(path)
 
@@ -21,6 +22,34 @@ def write_pack(tables: dict[str, DataFrame], path: str, by: tuple[str, ...] = ("
         write_table(df, f"{path}/{name}", by)
 
 
+def publish_table(df: DataFrame, path: str, run: str, order: int, periods: DataFrame, by: tuple[str, ...] = ("report_date",)) -> None:
+    """Rows of one run for its periods (the columns `by`): they stand beside those of other periods and runs, and read_published() gives the run of the highest
+    order for each period. Other periods are left as they are; a period of the run without rows has none from then on.
+
+    A run's folders are replaced as a whole (dynamic partition overwrite), so a repeated attempt leaves no double rows; what an attempt wrote counts only once
+    the run's periods are recorded, last.
+    """
+    one = df.withColumn("run", F.lit(run))
+    one.hint("rebalance", *by, "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "run").parquet(path)
+    told = periods.select(*by).distinct().select(*by, F.lit(order).cast("long").alias("order"), F.lit(run).alias("run"))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}.runs")
+
+
+def read_published(spark: SparkSession, path: str, schema: T.StructType, by: tuple[str, ...] = ("report_date",)) -> DataFrame:
+    """The rows of the last run of each period. schema: of the published rows; with it a path to which only empty runs were published is read too."""
+    kinds = [f"`{c}` {schema[c].dataType.simpleString()}" for c in by]
+    runs = spark.read.schema(", ".join([*kinds, "`order` long", "run string"])).parquet(f"{path}.runs")
+    last = runs.groupBy(*by).agg(F.max_by("run", F.struct("order", "run")).alias("run"))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(path)
+    return rows.join(last, [*by, "run"], "left_semi").select(*schema.names)
+
+
+def publish_pack(tables: dict[str, DataFrame], path: str, run: str, order: int, periods: DataFrame, by: tuple[str, ...] = ("report_date",)) -> None:
+    """A pack's tables of one run, each in a folder of its name."""
+    for name, df in tables.items():
+        publish_table(df, f"{path}/{name}", run, order, periods, by)
+
+
 def export_csv(df: DataFrame, path: str, line: str = "\n") -> None:
     """CSV with a header: text that a spreadsheet might run is quoted by an apostrophe, decimals are canonical."""
     out = [(money_text(c) if t.startswith("decimal") else formula_safe(c) if t == "string" else F.col(c).cast("string")).alias(c) for c, t in df.dtypes]

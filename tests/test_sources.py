@@ -44,7 +44,7 @@ def test_trial_balance(spark, tmp_path):
 def test_every_contract_refuses_another_header(spark, tmp_path, name):
     path = files(tmp_path, bad="a,b\n1,2\n", empty=",".join(readers.CONTRACTS[name].columns) + "\n")
     accepted, refusals = readers.read_csv(spark, path, readers.CONTRACTS[name])
-    assert accepted.count() == 0 and codes(refusals) == {("bad", "HEADER", None)}
+    assert accepted.count() == 0 and codes(refusals) == {("bad", "HEADER", None)} | {("empty", code, None) for code, _ in readers.CONTRACTS[name].whole}
 
 
 def test_transactions_have_one_side(spark, tmp_path):
@@ -61,23 +61,60 @@ def test_ordered_headings(spark, tmp_path):
     assert accepted.count() == 1 and codes(refusals) == {("bad", "HEADER", None)}
 
 
-def test_json(spark, tmp_path):
-    doc = {"entities": ["A", "B"], "records": [{"row_id": "1", "entity": "A", "counterparty": "B", "account": "1", "reference": "L", "date": "2026-01-01", "amount": "3.00", "disputed": False, "evidence": "x"}]}
-    (tmp_path / "good.json").write_text(json.dumps(doc))
-    (tmp_path / "more.json").write_text(json.dumps(doc | {"x": 1}))
-    (tmp_path / "bad.json").write_text("{")
-    accepted, refusals = readers.read_json(spark, str(tmp_path), "interentity")
-    rows = readers.items(accepted, "records", ("entities",)).collect()
-    assert [(r["entity"], r["amount"], r["entities"]) for r in rows] == [("A", "3.00", ["A", "B"])]
-    assert {(r["file"].rsplit("/", 1)[-1], r["code"]) for r in refusals.collect()} == {("more.json", "MEMBERS"), ("bad.json", "NOT_JSON")}
-
-
-def test_capture_binds_the_digest(spark, tmp_path):
+def test_captured_digests(spark, tmp_path):
+    """A file's digest stands with its rows and its refusals; quoted line breaks, a byte order mark and blank lines are read."""
     import hashlib
 
-    (tmp_path / "a.txt").write_bytes(b"abc\xc3\xa9")
-    row = readers.capture(spark, str(tmp_path)).first()
-    assert row["sha256"] == hashlib.sha256(b"abc\xc3\xa9").hexdigest() and row["text"] == "abcé"
+    texts = {"good": '\ufeffFindingCode,Slot,Status\r\n"a ""b""","x y",OPEN\r\n\r\nc,d,CLOSED', "bad": "FindingCode,Slot,Status\na,b,LOST\nc,d\n", "bare": "Slot,Status\n", "empty": ""}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(text, encoding="utf-8", newline="")
+    digest = {name: hashlib.sha256(text.encode()).hexdigest() for name, text in texts.items()}
+    accepted, refusals = readers.read_csv(spark, f"{tmp_path}/*", readers.CONTRACTS["prior_findings"])
+    assert {(r["sha256"], r["finding_code"], r["slot"], r["status"]) for r in accepted.collect()} == {(digest["good"], 'a "b"', "x y", "OPEN"), (digest["good"], "c", "d", "CLOSED")}
+    assert {(r["sha256"], r["row"], r["code"], r["column"]) for r in refusals.collect()} == {(digest["bad"], 1, "VALUE", "status"), (digest["bad"], 2, "WIDTH", None), (digest["bad"], 2, "VALUE", "status"), (digest["bare"], 0, "HEADER", None)}
+    same, other = readers.read_csv(spark, f"{tmp_path}/*", readers.CONTRACTS["prior_findings"], captured=False)
+    assert same.drop("sha256", "file").collect() == accepted.drop("sha256", "file").collect() and {r["code"] for r in other.collect()} == {"VALUE", "WIDTH", "HEADER"}
+
+
+def test_gst_files(spark, tmp_path):
+    """One class for all, or both sides."""
+    for name, classes in {"one": ["gst", "gst_free"], "both": ["gst_collected", "gst_paid"], "mixed": ["gst", "gst_paid"], "half": ["gst_paid"], "none": ["mixed"], "bare": []}.items():
+        (tmp_path / f"tenant={name} Pty, Ltd" / "from=2024-07-01").mkdir(parents=True)
+        (tmp_path / f"tenant={name} Pty, Ltd" / "from=2024-07-01" / "f.csv").write_text("AccountID,GSTClass\n" + "".join(f"{i},{c}\n" for i, c in enumerate(classes)))
+    (tmp_path / "tenant=x" / "from=July").mkdir(parents=True)
+    (tmp_path / "tenant=x" / "from=July" / "f.csv").write_text("AccountID,GSTClass\n1,gst\n")
+    accepted, refusals = readers.read_sets(spark, str(tmp_path), readers.CONTRACTS["gst_mapping"])
+    assert {(r["tenant"], str(r["effective_from"]), r["gst_class"]) for r in accepted.collect()} == {("one Pty, Ltd", "2024-07-01", c) for c in ("gst", "gst_free")} | {("both Pty, Ltd", "2024-07-01", c) for c in ("gst_collected", "gst_paid")}
+    assert sorted(r["code"] for r in refusals.collect()) == ["FOLDER", "SIDES", "SIDES", "SIDES", "SIDES"]
+
+
+def test_published_runs(spark, tmp_path):
+    """June, then July; then June again with less, and a month whose rows are gone."""
+    rows = lambda *x: spark.createDataFrame(x, "report_date string, n int")
+    path, schema = str(tmp_path / "t"), rows(("", 0)).schema
+    read = lambda: sorted(tuple(r) for r in writers.read_published(spark, path, schema).collect())
+    june, july = rows(("2024-06-30", 1), ("2024-06-30", 2)), rows(("2024-07-31", 3))
+    writers.publish_table(june, path, "a", 1, june)
+    writers.publish_table(july, path, "b", 2, july)
+    assert read() == [("2024-06-30", 1), ("2024-06-30", 2), ("2024-07-31", 3)]
+    writers.publish_table(july, path, "b", 2, july)  # repeated
+    writers.publish_table(rows(("2024-06-30", 9)), path, "c", 3, rows(("2024-06-30", 0), ("2024-07-31", 0)))
+    assert read() == [("2024-06-30", 9)]
+
+
+def test_trial_balance_reports(spark):
+    def read(lines, ytd=None):
+        records = spark.createDataFrame([("f", n, line.split(",")) for n, line in enumerate(lines)], "file string, pos int, cells array<string>")
+        good, bad = reports.trial_balance_report(records, ytd)
+        return [(r["account_code"], r["account_name"], str(r["debit"].normalize()), str(r["credit"].normalize())) for r in good.orderBy("pos").collect()], [r["code"] for r in bad.collect()]
+
+    both = ["Trial Balance", "Accountable Plumbing", "Account,Debit,Credit,YTD Debit,YTD Credit", "Bank (090),1,,5.50,", ",,,,", "Total Tools,,2,,3", "Rent (Sydney),1,1,1,1", "GST1 - GST,0,1,0,4", "Total,2,2,9,9"]
+    assert read(both) == ([("090", "Bank", "5.5", "0"), (None, "Total Tools", "0", "3"), (None, "Rent (Sydney)", "1", "1"), ("GST1", "GST", "0", "4")], [])
+    assert read(both, False)[0][0] == ("090", "Bank", "1", "0")
+    assert read(["Account Code,Account,Debit - Year to date,Credit - Year to date", "090,Bank,1,", ",Card,,1", "Total,,1,1"]) == ([("090", "Bank", "1", "0"), (None, "Card", "0", "1")], [])
+    assert read(["Account Code,Account Name,Debit,Credit", "1,A,1,"], True) == ([], ["PAIR"])
+    assert read(["Account,Debit,Credit", "A,1"])[1] == ["WIDTH"] and read(["Account,Debit,Credit", "A,TBC,1"])[1] == ["AMOUNT"] and read(["Accounts,Debit"])[1] == ["NO_HEADER"]
 
 
 def test_nested_report(spark, tmp_path):
