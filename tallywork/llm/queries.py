@@ -110,4 +110,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
-    return {"op4_quality_rules": sql.QUALITY, "op5_url_filters": sql.URLS.replace("{rules}", rules), "op7_embedding_neardup": sql.EMBEDDINGS, "op10_ngram_jaccard": sql.JACCARD}
+    return {"op4_quality_rules": sql.QUALITY, "op5_url_filters": sql.URLS.replace("{rules}", rules), "op7_embedding_neardup": sql.EMBEDDINGS, "op10_ngram_jaccard": sql.JACCARD, "op12_conversation_repair": sql.REPAIR, "op13_merkle_manifest": sql.MERKLE}
