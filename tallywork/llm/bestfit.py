@@ -25,7 +25,7 @@ EPOCH = 1 << 22
 #: A bin is given out when it lacks at most this share of its tokens; the pieces of others are packed again with what follows.
 SLACK = 1 / 256
 #: Texts encoded at once; pieces, and chunks of odd texts, remembered by a Python worker.
-BATCH, MEMO, MEMO_CHUNKS = 256, 800_000, 200_000
+BATCH, MEMO, MEMO_CHUNKS = 256, 1_000_000, 100_000
 #: Sequence numbers of one task.
 PER_TASK = 1 << 40
 #: Above every rank; ids that no vocabulary has, between two texts.
@@ -119,10 +119,12 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         words, pieces = self.words, self.find("\x1c".join(texts).lower())
-        own = set(pieces)
-        words.update(self.merge_many(list(own.difference(words))))
-        near = {p: words[p] for p in own}  # those of the batch lie close together
-        out = b"".join(map(near.__getitem__, pieces)).split(APART)
+        ids = list(map(words.get, pieces))
+        new = [k for k, x in enumerate(ids) if x is None]
+        words.update(self.merge_many(list({pieces[k] for k in new})))
+        for k in new:
+            ids[k] = words[pieces[k]]
+        out = b"".join(ids).split(APART)
         if len(words) > MEMO:
             words.clear()
             words["\x1c"] = APART
