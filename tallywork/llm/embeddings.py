@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from .common import components, cut
 
-#: Vectors that k-means is fitted on, about, vectors of that sample for each cell at least, and vectors of a label aimed at in a cell.
-SAMPLE, PER_CELL, AIM = 8192, 8, 8192
+#: Vectors that k-means is fitted on, about, vectors of that sample for each cell at least, vectors of a label aimed at in a cell, and cells at least.
+SAMPLE, PER_CELL, AIM, CELLS = 8192, 8, 256, 4
 ROUNDS = 8
 #: Vectors of one block; two blocks of a cell meet in one task, ROWS rows of their product at a time.
 BLOCK, ROWS = 4096, 256
@@ -101,8 +101,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     counts = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
     dims = [r[0] for r in counts.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(1).select("dim").collect()]
-    k, centres = min(SAMPLE // PER_CELL, -(-(top["n"] or 0) // AIM)), None
-    if k > 1:
+    k, centres = min(SAMPLE // PER_CELL, max(CELLS, -(-(top["n"] or 0) // AIM))), None
+    if dims:
         share = max(1, (top["all"] or 0) // SAMPLE)
         sample = classes.where((F.size("v") == dims[0]) & (F.pmod(F.xxhash64("digest"), F.lit(share)) == 0)).select("digest", "v").orderBy("digest").limit(2 * SAMPLE).collect()
         centres = fit_cells(np.array([r["v"] for r in sample]), k) if len(sample) > k else None
@@ -136,7 +136,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
             # a pair is met where both are at home, or where one is and the other visits from a later cell
             near &= home[at][:, None] | home[at][None, :]
             near &= (own[at][:, None] != own[at][None, :]) if lo != hi else ~np.eye(len(at), dtype=bool)
-            linked[at] += near @ copies[at]
+            for row in range(0, len(at), ROWS):  # a product of whole numbers turns its rows into such
+                linked[at[row : row + ROWS]] += near[row : row + ROWS] @ copies[at]
             edges += spanning(near, ids[at])
         out = pd.DataFrame({"label": pdf["label"], "digest": pdf["digest"], "n": linked, "src": -1, "dst": -1})[linked > 0]
         return pd.concat([out, pd.DataFrame([(None, None, 0, a, b) for a, b in edges], columns=list(out.columns))]) if edges else out
