@@ -175,10 +175,19 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     out = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in out.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted(map(tuple, out.fetchall()), key=str)
+
+
+def test_cells_are_fitted_on_the_given_table(spark, monkeypatch):
+    """k-means runs whatever a label's size, and vectors visit several cells."""
+    made = []
+    monkeypatch.setattr(embeddings, "fit_cells", lambda sample, k, fit=embeddings.fit_cells: made.append(k) or fit(sample, k))
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert embeddings.link_embeddings(df).count() == df.count()
+    assert made and made[0] >= embeddings.CELLS
