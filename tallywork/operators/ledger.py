@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT, financial_year
+from ..sources.staging import staged
 
 
 def journal_issues(lines: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def trial_balances(lines: DataFrame, chart: DataFrame) -> DataFrame:
     credit are the month's movement, ytd_* run from the financial year's start; each net amount stands on its side.
     """
     month = F.trunc("posting_date", "month")
-    sums = lines.groupBy("tenant", "account_id", month.alias("month")).agg((F.sum("debit") - F.sum("credit")).cast(AMOUNT).alias("net"))
+    sums = staged(lines.groupBy("tenant", "account_id", month.alias("month")).agg((F.sum("debit") - F.sum("credit")).cast(AMOUNT).alias("net")), "ledger-sums")  # read twice, so the lines are once
     spans = sums.groupBy("tenant").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     grid = spans.select("tenant", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month")).crossJoin(F.broadcast(chart))  # the chart is a declared, small table
     full = grid.join(sums, ["tenant", "account_id", "month"], "left").withColumn("net", F.coalesce("net", F.lit(0).cast(AMOUNT)))
