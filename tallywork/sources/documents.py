@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import MONEY, exact_money, iso_date
+from .staging import staged
 
 Guard = Callable[[Column], Column]
 FAULT = "array<struct<path:string,code:string>>"
@@ -32,6 +33,11 @@ def kind_of(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value evaluated once however often `of` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 class Node:
     """A guard of one value. faults(v, path): what is wrong in a VARIANT; schema(): the type of what passes."""
 
@@ -102,17 +108,19 @@ class Struct(Node):
     open: bool = False
 
     def faults(self, v, path):
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
         at = lambda k: F.concat(path, F.lit("."), k)
-        lost = F.array_except(F.array(*[F.lit(k) for k in self.members if k not in self.maybe]), keys)
-        more = F.array().cast("array<string>") if self.open else F.array_except(keys, F.array(*[F.lit(k) for k in self.members]))
-        shape = F.transform(F.concat(lost, more), lambda k: F.struct(at(k).alias("path"), F.lit("MEMBER").alias("code")))
-        inner = []
-        for k, node in self.members.items():
-            value = F.try_variant_get(v, f"$.{k}", "variant")
-            found = node.faults(value, at(F.lit(k)))
-            inner.append(F.when(F.array_contains(keys, k), found).otherwise(F.array().cast(FAULT)))
-        return F.when(keys.isNull() | (F.coalesce(kind_of(v), F.lit("VOID")) != "OBJECT"), some(fault(path, "TYPE"))).otherwise(F.concat(shape, *inner))
+
+        def of(keys: Column) -> Column:
+            lost = F.array_except(F.array(*[F.lit(k) for k in self.members if k not in self.maybe]), keys)
+            more = F.array().cast("array<string>") if self.open else F.array_except(keys, F.array(*[F.lit(k) for k in self.members]))
+            shape = F.transform(F.concat(lost, more), lambda k: F.struct(at(k).alias("path"), F.lit("MEMBER").alias("code")))
+            inner = []
+            for k, node in self.members.items():
+                found = let(F.try_variant_get(v, f"$.{k}", "variant"), lambda value: node.faults(value, at(F.lit(k))))  # noqa: B023
+                inner.append(F.when(F.array_contains(keys, k), found).otherwise(F.array().cast(FAULT)))
+            return F.when(keys.isNull() | (F.coalesce(kind_of(v), F.lit("VOID")) != "OBJECT"), some(fault(path, "TYPE"))).otherwise(F.concat(shape, *inner))
+
+        return let(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), of)
 
     def schema(self):
         return T.StructType([T.StructField(k, n.schema()) for k, n in self.members.items()])
@@ -340,12 +348,30 @@ def judged(files: DataFrame, kind: Document) -> DataFrame:
 def capture(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256, text): each file once, its digest bound to the bytes that are parsed. A document is one row, so a file is held whole by its task."""
     f = spark.read.format("binaryFile").load(path)
-    return f.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    return _captured(f.select(F.col("path").alias("file"), "content"))
+
+
+def _captured(f: DataFrame) -> DataFrame:
+    return f.select("file", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+
+
+def store(files: DataFrame, path: str) -> None:
+    """files (file, content) as a store: a Parquet table of names and bytes, many documents to a file. A folder of small files costs its listing a call for each.
+
+    Guards cost more than bytes, so every core has a part of the store, however small it is.
+    """
+    files.select("file", "content").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file").write.parquet(path)
+
+
+def capture_stored(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sha256, text) of a store, as capture() gives them of files."""
+    return _captured(spark.read.schema("file string, content binary").parquet(path))
 
 
-def read_json(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refusals) of the documents of one kind: (file, sha256, doc), and (file, sha256, path, code) for every fault of those refused."""
-    f = judged(capture(spark, path), DOCUMENTS[name])
+def read_json(spark: SparkSession, path: str, name: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refusals) of the documents of one kind: (file, sha256, doc), and (file, sha256, path, code) for every fault of those refused. stored: path
+    is a store, else files. What was judged is written once: a filter over it would be moved below the parse, which would then run for every guard."""
+    f = staged(judged((capture_stored if stored else capture)(spark, path), DOCUMENTS[name]).drop("text"), f"judged-{name}")
     good = F.size("faults") == 0
     return f.where(good).select("file", "sha256", "doc"), f.where(~good).select("file", "sha256", F.explode("faults").alias("x")).select("file", "sha256", "x.path", "x.code")
 
