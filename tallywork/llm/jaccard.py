@@ -81,9 +81,10 @@ def order_groups(pools: DataFrame, order: int, name: str) -> DataFrame:
     often = pools.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count()
     often = bounded(cut(often.where(F.col("count") >= OFTEN).select("token"), f"{name}-often"))
     rows = pools.select("key", F.explode("tokens").alias("token"))
-    w = Window.partitionBy("token")
-    rare = rows.join(often, "token", "left_anti").select("key", "token", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
-    shared = rare.where("shared").drop("shared").unionByName(rows.join(often, "token", "left_semi").withColumn("df", F.lit(1 << 40)))
+    marked = rows.join(often.withColumn("many", F.lit(True)), "token", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    w = Window.partitionBy("many", "part")  # rows of a frequent token are spread by their sets
+    told = marked.withColumn("part", F.when(F.col("many"), F.xxhash64("key")).otherwise(F.col("token"))).select("key", "token", "many", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
+    shared = told.where("many or shared").select("key", "token", F.when(F.col("many"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df"))
     own = F.when(F.col("token").bitwiseAND(3) == order, F.struct(F.lit(0).alias("tail"), "df", "token")).otherwise(F.struct(F.lit(1).alias("tail"), F.lit(0).cast("long").alias("df"), "token"))
     lists = shared.groupBy("key").agg(F.sort_array(F.collect_set(own)).alias("seen")).join(pools.select("key", "short").distinct(), "key")
     take = F.col("short") + F.size("seen")

@@ -17,7 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Ids after which the windows that are open exchange pieces, as they do at a partition's end: a law of the method, the same at every size,
 #: which bounds what a task holds to so many ids and one document.
-EPOCH = 1 << 22
+EPOCH = 1 << 20
+#: Pieces of one batch given out.
+GIVEN = 512
 #: Strings of byte_bpe_50k.json that are tokens of their own, with their ids.
 SPECIAL = {"<|endoftext|>": 50256}
 #: Sequence numbers of one partition.
@@ -112,6 +114,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, encode, packer, end = to_arrow_schema(kind), encoder(path, pattern, tuple(special.items())), Packer(size), np.array([end_id], "<u4").tobytes()
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) * PER_PARTITION
+        pa.default_memory_pool().release_unused()  # a reused worker keeps what earlier stages' batches took
         held: dict[int, list] = {}  # row -> id, ids in all, ids not yet given out
         row, placed, out = 0, 0, []
 
@@ -142,7 +145,7 @@ def pack_documents(
                 if placed >= EPOCH:
                     give(packer.pour(keep=True))
                     placed = 0
-                if len(out) >= 4096:
+                if len(out) >= GIVEN:
                     yield full()
         give(packer.pour())
         if out:

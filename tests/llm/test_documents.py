@@ -572,3 +572,19 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_frequent_tokens_are_marked_by_one_join(spark, monkeypatch):
+    """op10: tokens of a large group of near copies aren't joined out of the others; each row of a token is marked once, and groups are as before."""
+    plans, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), cut(df, name))[1])
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    pools = spark.createDataFrame([(k, 3, [4, 8, 100 + 4 * k]) for k in range(40)] + [(90, 3, [12]), (91, 3, [12]), (92, 3, [16])], "key long, short int, tokens array<long>")
+    groups = {r["key"]: r["grp"] for r in jaccard.order_groups(pools, 0, "marked").collect()}
+    assert len({groups[k] for k in range(40)}) == 1 and groups[90] == groups[91] != groups[0] and 92 not in groups
+    plan = dict(plans)["marked-prefixes"]
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+
+
+def test_packing_gives_small_batches():
+    assert packing.GIVEN * 4 * 1024 <= 1 << 21 and packing.EPOCH * 4 <= 1 << 22  # bytes of ids that a task gives at once, and holds
