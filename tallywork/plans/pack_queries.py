@@ -72,7 +72,7 @@ def transaction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "transactions")
     shape = close_queries.ledger.clearing_shape(close_queries.ledger_lines(spark, sf_dir), "AUD")
     heads = {c: h for h, (c, _, _) in readers.CONTRACTS["transactions"].columns.items()}
-    writers.export_csv(shape.select(*[F.col(c).alias(heads[c]) for c in shape.columns]), path)
+    writers.export_csv(shape.select(*[F.col(c).alias(heads[c]) for c in shape.columns]), path, compression="gzip")
     accepted, _ = readers.read_csv(spark, path, readers.CONTRACTS["transactions"], captured=False)  # exports of any size
     return accepted.select("tenant", "account_id", "transaction_id", "date", in_cents("debit").alias("debit"), in_cents("credit").alias("credit"))
 

@@ -194,9 +194,9 @@ def captured_records(spark: SparkSession, path: str, headings: list[str]) -> Dat
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py()
-                digest, text = sha256(data).hexdigest(), data.decode("utf-8", "replace").removeprefix("\ufeff")
+                digest, text = sha256(data).hexdigest(), io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline="")
                 out: list[dict] = []
-                for n, cells in enumerate(r for r in csv.reader(io.StringIO(text, newline="")) if r):
+                for n, cells in enumerate(r for r in csv.reader(text) if r):
                     row = {"file": file, "sha256": digest, "at": {"block": 0, "n": n}, "wide": len(cells) != wanted}
                     out.append(row | dict(zip(names, cells, strict=False)))
                     if len(out) == 4096:

@@ -50,10 +50,10 @@ def publish_pack(tables: dict[str, DataFrame], path: str, run: str, order: int,
         publish_table(df, f"{path}/{name}", run, order, periods, by)
 
 
-def export_csv(df: DataFrame, path: str, line: str = "\n") -> None:
+def export_csv(df: DataFrame, path: str, line: str = "\n", compression: str = "none") -> None:
     """CSV with a header: text that a spreadsheet might run is quoted by an apostrophe, decimals are canonical."""
     out = [(money_text(c) if t.startswith("decimal") else formula_safe(c) if t == "string" else F.col(c).cast("string")).alias(c) for c, t in df.dtypes]
-    df.select(*out).write.mode("overwrite").option("header", True).option("lineSep", line).option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
+    df.select(*out).write.mode("overwrite").option("header", True).option("lineSep", line).option("compression", compression).option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
 
 
 #: Headings of a canonical trial balance by column.
