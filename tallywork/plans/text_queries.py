@@ -91,7 +91,8 @@ def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame([(i, t, (x or ("", "", 0))[0]) for i, (t, x) in enumerate(SPLITS)], "i int, planted string, wanted string")
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{N}#&<>]", "")  # nothing of its own is found, but for addresses
     d = documents(spark, sf_dir).withColumn("i", (F.col("doc_id") % len(SPLITS)).cast("int")).join(F.broadcast(cases), "i")  # a declared list
-    planted = d.select("doc_id", F.concat("planted", F.lit("\n\n"), letters).alias("text"))
+    # a full stop ends the planted number: else letters such as "St St" would make it a house number
+    planted = d.select("doc_id", F.concat("planted", F.lit("\n\n.\n"), letters).alias("text"))
     found = numbers.find_numbers(planted, redact.RESIDUAL["ADDRESS"])
     address = F.when(F.col("kind") == "LONG_NUMBER", F.col("doc_id") % len(SPLITS) != len(SPLITS) - 1).otherwise(True)  # the last case is both
     return found.where(address).select("doc_id", "kind", "value", "line")
