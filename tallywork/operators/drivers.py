@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import few, staged
+
 
 def window_transactions(variances: DataFrame, transactions: DataFrame) -> DataFrame:
     """Transactions of each variance's account after its prior date up to its own. The date range is a condition on the equi join by account and by year, so a hot account is spread over its years.
+    Variances are written and counted: few of them are broadcast, and the transactions stay where they are.
 
     variances: (tenant, account_id, report_date, prior_date, difference); transactions: (tenant, account_id, transaction_id, date, amount).
     """
-    v = variances.withColumn("y", F.explode(F.sequence(F.year("prior_date"), F.year("report_date"))))
+    v = few(staged(variances.withColumn("y", F.explode(F.sequence(F.year("prior_date"), F.year("report_date")))), "variances"))
     t = transactions.withColumn("y", F.year("date"))
     return v.join(t, ["tenant", "account_id", "y"]).where((F.col("date") > F.col("prior_date")) & (F.col("date") <= F.col("report_date"))).drop("y")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import financial_year
+from ..sources.staging import few
 
 #: Accounts of the source's chart that measures name (fixed values): depreciation and finance interest, which EBITDA adds back, and those of ratios.
 ADD_BACK = ("890", "895")
@@ -13,8 +14,9 @@ RATIOS = {"rent": ("820",), "motor_vehicle": ("810",), "labour": ("800", "805")}
 
 
 def star(facts: DataFrame, accounts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Ledger facts (entity_id, account_code, posting_date, debit, credit, amount) with the dimensions' columns; unmatched facts drop, as with an inner relationship. AQE broadcasts the dimensions if they are small."""
-    return facts.join(accounts, "account_code").join(entities, "entity_id")
+    """Ledger facts (entity_id, account_code, posting_date, debit, credit, amount) with the dimensions' columns; unmatched facts drop, as with an inner relationship. The dimensions are counted,
+    and few rows are broadcast: a shuffle by account would bring a third of the facts to one task."""
+    return facts.join(few(accounts), "account_code").join(few(entities), "entity_id")
 
 
 def _sum(column: str, *values: str, sign: int = 1) -> Column:

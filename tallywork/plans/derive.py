@@ -6,11 +6,16 @@ rounded to cents before they become decimals, so both engines agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AMOUNT
 from ..operators.ledger import trial_balances
+from ..sources.staging import staged
 
 #: account_id, account_name, account_code, section
 CHART = [("110", "Receivables", "1100", "Assets"), ("600-A", "Sales A", "4001", "Revenue"), ("600-N", "Sales N", "4002", "Revenue"), ("600-R", "Sales R", "4003", "Revenue"), ("820", "GST", "8200", "Liabilities")]
@@ -39,13 +44,15 @@ def chart(spark: SparkSession) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their tenant, in cents."""
+    """Line items with their tenant, in cents. Orders find their tenant first, so that line items are shuffled once however large the customers are."""
     l, o, c, n = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
     gross = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    joined = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.select(
-        F.col("n_name").alias("tenant"), "n_nationkey", "l_suppkey", "l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("journal_id"),
-        F.to_date("l_shipdate").alias("posting_date"), "l_returnflag", cents(gross).alias("net"), cents(gross * F.col("l_tax")).alias("tax"),
+    lines = l.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("posting_date"), "l_returnflag", cents(gross).alias("net"), cents(gross * F.col("l_tax")).alias("tax"))
+    sold = c.select("c_custkey", "c_nationkey").join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sold = o.select("o_orderkey", "o_custkey").join(sold, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_nationkey", "n_name")
+    return lines.join(sold, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("n_name").alias("tenant"), "n_nationkey", "l_suppkey", "l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("posting_date", "yyyyMMdd")).alias("journal_id"),
+        "posting_date", "l_returnflag", "net", "tax",
     )
 
 
@@ -59,8 +66,33 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tenant", "n_nationkey", "journal_id", "posting_date", "l_suppkey", "x.line_number", "x.account_id", debit.alias("debit"), credit.alias("credit"), (debit - credit).cast(AMOUNT).alias("amount"))
 
 
+#: The trial balances of the query that is being built, by folder.
+_BUILT: ContextVar[dict[str, DataFrame] | None] = ContextVar("built", default=None)
+
+
+def one_ledger(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query with the trial balances that it and those it calls ask for made once, and written; another call of it makes them anew."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _BUILT.get() is not None:
+            return query(spark, sf_dir)
+        token = _BUILT.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _BUILT.reset(token)
+
+    return run
+
+
 def tb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trial_balances(ledger(spark, sf_dir), chart(spark))
+    built = _BUILT.get()
+    if built is None:
+        return trial_balances(ledger(spark, sf_dir), chart(spark))
+    if sf_dir not in built:
+        built[sf_dir] = staged(trial_balances(ledger(spark, sf_dir), chart(spark)), "trial-balances")
+    return built[sf_dir]
 
 
 def policy(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import account_parts, accounting_number, financial_year, formula_safe, iso_date, money_display, money_text, turnover_bounds
 from ..operators import calendar, grants, measures, reports
+from ..sources.staging import few
 from .derive import ITEMS_SQL, LEDGER_SQL, _values, in_cents, items, ledger, money, policy, table
 
 Q, S = {}, {}
@@ -136,7 +137,7 @@ def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     members = n.select(F.col("r_name").alias("group_id"), F.col("n_name").alias("entity_id"))
     last = members.where("group_id < 'B'").groupBy("group_id").agg(F.max("entity_id").alias("entity_id")).select("entity_id", F.lit("210").alias("account_code"))
-    rows = star(spark, sf_dir).join(last, ["entity_id", "account_code"], "left_anti")
+    rows = star(spark, sf_dir).join(few(last), ["entity_id", "account_code"], "left_anti")
     c = measures.consolidation(rows.withColumn("year", F.year("posting_date")), ["account_code", "year"], members)
     return c.select("group_id", "account_code", "year", *[in_cents(x).alias(x) for x in ("gross", "eliminations", "net")])
 

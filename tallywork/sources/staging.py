@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder of a local application without a checkpoint folder.
 _LOCAL: dict[str, str] = {}
+#: Rows of a table that may be broadcast, about 100 bytes each.
+FEW = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +37,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df (written, or declared) with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
