@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbers import marker_places, merged, number_places
+from .numbers import marker_places, merged, number_places, scan
 
 #: Values of a map that every worker holds (about 100 bytes each).
 MOST = 250_000
@@ -96,9 +96,6 @@ class Protected:
         return False
 
 
-SPAN = "kind string, start int, end int, value string, line int, placeholder string"
-
-
 def entity_spans(documents: DataFrame, entities: DataFrame | list[tuple[str, str, str]], most: int = MOST) -> DataFrame:
     """(doc_id, kind, start, end, value, line, placeholder) of a map's values (value, placeholder, kind) in documents; lines count from 1.
 
@@ -110,19 +107,14 @@ def entity_spans(documents: DataFrame, entities: DataFrame | list[tuple[str, str
     few = table.limit(most + 1).collect() if not isinstance(entities, list) else entities
     if len(few) > most:
         return joined_spans(documents, table)
-    held = spark.sparkContext.broadcast([tuple(r) for r in few])
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    held, made = spark.sparkContext.broadcast([tuple(r) for r in few]), []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = None
-        for b in batches:
-            lexicon, rows = lexicon or Lexicon(held.value), []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                breaks = [m.start() for m in re.finditer("\n", text or "")]
-                rows += [(doc, k, a, e, text[a:e], bisect_left(breaks, a) + 1, p) for a, e, p, k in lexicon.find(text or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line", "placeholder"])
+    def find(text: str) -> Iterator[tuple[str, int, int, str]]:
+        if not made:
+            made.append(Lexicon(held.value))  # once a worker
+        return ((k, a, e, p) for a, e, p, k in made[0].find(text))
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {SPAN}")
+    return scan(documents, find, "placeholder string")
 
 
 def _key(names: list[str]) -> bytes:

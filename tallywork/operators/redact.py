@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import abn_valid, acn_valid, medicare_valid, tfn_valid
+from ..sources.staging import staged
 from .entity_map import entity_spans, fold_column
-from .numbers import cut_numbers, find_numbers
+from .numbers import cut_numbers, numbers_in, scan
 
 #: kind -> (pattern, priority); Java, RE2 and Python read them alike.
 PATTERNS = {
@@ -101,56 +102,44 @@ def person_names(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def line_of(text: str) -> Callable[[int], int]:
-    """The line, from 1, on which a character of text stands; line breaks are looked up once."""
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    return lambda at: bisect_left(breaks, at) + 1
+def names_in(text: str) -> Iterator[tuple[str, int, int]]:
+    """(PERSON, start, end): names, and titles with one word that no name holds."""
+    names = person_names(text)
+    inside = {i for a, e in names for i in range(a, e)}
+    more = [m.span() for m in re.finditer(RESIDUAL["PERSON"], text) if not inside & set(range(*m.span())) and not statutory(m[0])]
+    return (("PERSON", a, e) for a, e in names + more)
 
 
 def find_names(documents: DataFrame) -> DataFrame:
-    """Spans as of find_spans, of kind PERSON: names, and titles with one word that no name holds."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    """Spans as of find_spans, of kind PERSON."""
+    return scan(documents, names_in)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        titled = re.compile(RESIDUAL["PERSON"])
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                names = person_names(text) if text else []
-                inside = {i for a, e in names for i in range(a, e)}
-                more = [m.span() for m in titled.finditer(text or "") if not inside & set(range(*m.span())) and not statutory(m[0])]
-                line = line_of(text or "")
-                rows += [(doc, "PERSON", a, e, text[a:e], line(a)) for a, e in names + more]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int")
+def patterns_in(patterns: dict[str, str]) -> Callable[[str], Iterator[tuple[str, int, int]]]:
+    """A search of a text for (kind, start, end) of all matches, or of their first groups if a pattern has one."""
+
+    def find(text: str) -> Iterator[tuple[str, int, int]]:
+        for k, p in patterns.items():
+            for m in re.finditer(p, text):
+                yield k, *m.span(min(m.re.groups, 1))
+
+    return find
 
 
 def find_spans(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(doc_id, kind, start, end, value, line): all matches, in characters, or their first groups if a pattern has one; lines count from 1. Null texts
     give none."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(k, re.compile(p)) for k, p in patterns.items()]
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                line = line_of(text or "")
-                for k, p in compiled:
-                    g = min(p.groups, 1)
-                    rows += [(doc, k, m.start(g), m.end(g), m[g], line(m.start(g))) for m in p.finditer(text or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "value", "line"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, end int, value string, line int")
+    return scan(documents, patterns_in(patterns))
 
 
 def structured_spans(documents: DataFrame) -> DataFrame:
-    """Spans of identifiers whose checks hold and of numbers behind their names, which come first, after arbitration."""
-    spans = find_spans(documents, {k: p for k, (p, _) in SPANS.items()}).where(valid(F.col("kind"), F.col("value")))
+    """Spans of identifiers whose checks hold and of numbers behind their names, which come first, after arbitration. One pass finds both."""
+    behind = "behind:"
+    spans = find_spans(documents, {k: p for k, (p, _) in SPANS.items()} | {behind + k: p for k, p in LABELLED.items()})
+    named = F.col("kind").startswith(behind)
     rank = F.create_map(*[F.lit(x) for k, (_, n) in SPANS.items() for x in (k, n)])
-    named = find_spans(documents, LABELLED).withColumn("priority", F.lit(0))
-    return arbitrate(spans.withColumn("priority", rank[F.col("kind")]).unionByName(named))
+    spans = spans.where(named | valid(F.col("kind"), F.col("value"))).withColumn("priority", F.when(named, 0).otherwise(rank[F.col("kind")]))
+    return arbitrate(spans.withColumn("kind", F.regexp_replace("kind", f"^{behind}", "")))
 
 
 def arbitrate(spans: DataFrame) -> DataFrame:
@@ -225,8 +214,8 @@ def entity_map_issues(entities: DataFrame) -> DataFrame:
 def residual(documents: DataFrame) -> DataFrame:
     """Candidates that no rule replaced: long, split and account numbers, numbers with a list marker or into an address, dates, addresses, names; statutory
     terms are none. One per value and line."""
-    c = find_spans(documents, {k: p for k, p in RESIDUAL.items() if k not in ("PLACEHOLDER", "PERSON")})
-    return once_a_line(c.unionByName(find_numbers(documents, RESIDUAL["ADDRESS"])).unionByName(find_names(documents)))
+    searches = patterns_in({k: p for k, p in RESIDUAL.items() if k not in ("PLACEHOLDER", "PERSON")}), numbers_in(RESIDUAL["ADDRESS"]), names_in
+    return once_a_line(scan(documents, lambda text: chain.from_iterable(f(text) for f in searches)))
 
 
 def carried_placeholders(documents: DataFrame) -> DataFrame:
@@ -237,9 +226,9 @@ def carried_placeholders(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, entities: DataFrame | list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clean, candidates, counts): redacted texts of documents without a candidate, the candidates that halt the others, and replacements by document and kind.
     A number of which only a part was replaced halts, whatever the entity map takes of the rest."""
-    own = placeholders(structured_spans(documents))
-    once = replace_spans(documents.select("doc_id", "text"), own)
-    named = entity_spans(once, entities)
+    own = staged(placeholders(structured_spans(documents)), "own-spans")  # what several results read is written, else each would search the texts again
+    once = staged(replace_spans(documents.select("doc_id", "text"), own), "replaced")
+    named = staged(entity_spans(once, entities), "named-spans")
     done = replace_spans(once, named)
     found = residual(done).unionByName(carried_placeholders(documents)).unionByName(once_a_line(cut_numbers(documents, own)))
     clean = done.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
