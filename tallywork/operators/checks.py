@@ -123,6 +123,10 @@ def finding_evidence(found: DataFrame, queries: DataFrame, totals: DataFrame) ->
 
 
 def evidence_population(evidence: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, issue): evidence rows that the source lacks, source rows that the evidence lacks; both directions by anti joins on all columns."""
-    more = evidence.join(source, columns, "left_anti").select(*columns, F.lit("NOT_IN_SOURCE").alias("issue"))
-    return more.unionByName(source.join(evidence, columns, "left_anti").select(*columns, F.lit("NOT_IN_EVIDENCE").alias("issue")))
+    """(columns, issue): evidence rows that the source lacks, source rows that the evidence lacks, as often as they stand there. Both sides meet once, by all
+    columns; a row with a null is lacked, as it equals none."""
+    both = evidence.select(*columns, F.lit(1).alias("e"), F.lit(0).alias("s")).unionByName(source.select(*columns, F.lit(0).alias("e"), F.lit(1).alias("s")))
+    n = both.groupBy(*columns).agg(F.sum("e").cast("int").alias("e"), F.sum("s").cast("int").alias("s"))
+    bare = F.greatest(F.lit(False), *[F.col(c).isNull() for c in columns])
+    issues = F.concat(F.when(bare | (F.col("s") == 0), F.array_repeat(F.lit("NOT_IN_SOURCE"), F.col("e"))).otherwise(F.array()), F.when(bare | (F.col("e") == 0), F.array_repeat(F.lit("NOT_IN_EVIDENCE"), F.col("s"))).otherwise(F.array()))
+    return n.select(*columns, F.explode(issues).alias("issue"))
