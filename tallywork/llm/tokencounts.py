@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import codec
@@ -11,20 +12,24 @@ from .common import map_rows
 RULES = ("first", "last", "most")
 
 
-def token_spans(path: str, pattern: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) in characters of a text's tokens; a token of a part of a character's bytes spans that character."""
+def token_spans(path: str, pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, counts): places in characters of the joined texts of each text's tokens, and the tokens of each text; a token of a part of a
+    character's bytes spans that character. The texts are encoded each by itself, in one call."""
     bpe = codec(path, pattern)
-    raw = np.frombuffer(text.encode(), np.uint8)
-    sizes = np.array([len(bpe.tokens[x]) for x in bpe.encode(text).tolist()], np.int64)
+    ids = bpe.encode_many(texts)
+    counts = np.array([len(x) for x in ids], np.int64)
+    sizes = bpe.lengths[np.concatenate([np.zeros(0, np.int32), *ids])]
     ends = np.cumsum(sizes)
-    if not len(ends):
-        return ends, ends
-    char = np.cumsum((raw & 0xC0) != 0x80) - 1
-    return char[ends - sizes], char[ends - 1] + 1
+    starts, whole = ends - sizes, "".join(texts)
+    if whole.isascii():
+        return starts, ends, counts
+    char = np.cumsum((np.frombuffer(whole.encode(), np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1
+    return char[starts], char[ends - 1] + 1, counts
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
-    """Tokens of each section; bounds: the sections' first characters and, last, the text's length (sections tile the text).
+    """Tokens of each section; bounds: the sections' first characters and, last, the text's length (sections tile the text, or texts one behind another, of
+    which each may end in an empty section).
 
     A token that crosses a boundary counts once: for the section of its first character (`first`), of its last one (`last`), or for the
     one with most of its characters, the earlier of equals (`most`).
@@ -46,27 +51,34 @@ def count_section_tokens(docs: DataFrame, path: str, pattern: str, fields: tuple
     so n_tokens adds up to doc_tokens. section counts a field's lines from 0; char_start and char_end are places in the document. A null
     field counts as empty and has one empty section; empty sections have no tokens. Repeated rows are each counted; an empty table gives no
     rows; other columns are ignored, whatever their names. Special tokens' strings are ordinary text here: spans are those of what the
-    document says. A very long document is encoded whole by one task. A map without a shuffle.
+    document says. A very long document is encoded whole by one task, others a slice of documents at a time. A map without a shuffle.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(keys, *columns):
-        out = [[] for _ in range(7)]
-        for key, *values in zip(keys, *columns, strict=True):
+        texts, name, section, sizes, lines = [], [], [], [], []
+        for values in zip(*columns, strict=True):
             values = [x or "" for x in values]
-            lines = [(f, s, x) for f, v in zip(fields, values, strict=True) for s, x in enumerate(v.split("\n"))]
-            bounds = np.zeros(len(lines) + 1, np.int64)
-            np.cumsum([len(x) + 1 for _, _, x in lines], out=bounds[1:])
-            bounds[-1] -= 1  # no newline after the last line
-            starts, ends = token_spans(path, pattern, "\n".join(values))
-            counts = attribute(starts, ends, bounds, rule)
-            for col, got in zip(out, ([key] * len(lines), [x[0] for x in lines], [x[1] for x in lines], bounds[:-1].tolist(), bounds[1:].tolist(), counts.tolist(), [len(starts)] * len(lines)), strict=True):
-                col.extend(got)
-        return out
-
-    return map_rows(docs.select(id_col, *fields), f"doc_id {kind}, field string, section long, char_start long, char_end long, n_tokens long, doc_tokens long", run)
+            before = len(sizes)
+            for f, v in zip(fields, values, strict=True):
+                found = v.split("\n")
+                name += [f] * len(found)
+                section += range(len(found))
+                sizes += [len(x) + 1 for x in found]
+            sizes[-1] -= 1  # no newline after the last line
+            lines.append(len(sizes) - before)
+            texts.append("\n".join(values))
+        bounds = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=bounds[1:])
+        starts, ends, counts = token_spans(path, pattern, texts)
+        own = attribute(starts, ends, bounds, rule)  # no token crosses from a text to the next
+        at = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], lines)
+        key = [k for k, n in zip(keys, lines, strict=True) for _ in range(n)]
+        return [key, name, section, *[pa.array(x.astype(np.int64)) for x in (bounds[:-1] - at, bounds[1:] - at, own, np.repeat(counts, lines))]]
+
+    return map_rows(docs.select(id_col, *fields), f"doc_id {kind}, field string, section long, char_start long, char_end long, n_tokens long, doc_tokens long", run, texts=4 << 20)
 
 
 __all__ = ["attribute", "count_section_tokens", "token_spans"]

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -374,6 +375,19 @@ def test_token_counts_of_fields(spark):
     assert tokencounts.count_section_tokens(empty(spark), PLAIN, P.PATTERN).count() == 0
 
 
+def test_token_counts_encode_a_slice_at_once(monkeypatch):
+    """op8: texts are encoded in one call, with the spans that each has by itself, empty texts and cut characters among them."""
+    calls, encode = [], bpe.ByteBPE.encode_many
+    monkeypatch.setattr(bpe.ByteBPE, "encode_many", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    texts = ["", "plain words\n", "", "日本 🙂é\n\nx", "a  b\n", ""]
+    starts, ends, counts = tokencounts.token_spans(PLAIN, P.PATTERN, texts)
+    assert calls == [len(texts)]
+    at, low = np.cumsum([0, *map(len, texts)]), np.cumsum([0, *counts])
+    for n, text in enumerate(texts):
+        a, b, _ = tokencounts.token_spans(PLAIN, P.PATTERN, [text])
+        assert (starts[low[n] : low[n + 1]] - at[n]).tolist() == a.tolist() and (ends[low[n] : low[n + 1]] - at[n]).tolist() == b.tolist()
+
+
 # -- 9: licenses -------------------------------------------------------------------------------------------------------
 
 
