@@ -35,8 +35,10 @@ def fold_column(values: pd.Series) -> pd.Series:
 
 
 def atoms(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    found = [(unicodedata.normalize("NFC", m[0]).casefold(), m.span()) for m in _ATOM.finditer(text)]
-    return [a for a, _ in found], [s for _, s in found]
+    found = list(_ATOM.finditer(text))
+    if unicodedata.is_normalized("NFC", text):  # then each part of it is
+        return [m[0].casefold() for m in found], [m.span() for m in found]
+    return [unicodedata.normalize("NFC", m[0]).casefold() for m in found], [m.span() for m in found]
 
 
 class Lexicon:

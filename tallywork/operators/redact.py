@@ -7,17 +7,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import abn_valid, acn_valid, medicare_valid, tfn_valid
 from ..sources.staging import staged
 from .entity_map import entity_spans, fold_column
-from .numbers import cut_numbers, numbers_in, scan
+from .numbers import SLICE, cut_numbers, numbers_in, scan, zones
 
 #: kind -> (pattern, priority); Java, RE2 and Python read them alike.
 PATTERNS = {
@@ -115,27 +116,31 @@ def find_names(documents: DataFrame) -> DataFrame:
     return scan(documents, names_in)
 
 
-def patterns_in(patterns: dict[str, str]) -> Callable[[str], Iterator[tuple[str, int, int]]]:
-    """A search of a text for (kind, start, end) of all matches, or of their first groups if a pattern has one."""
+def patterns_in(patterns: dict[str, str], numeric: Collection[str] = ()) -> Callable[[str], Iterator[tuple[str, int, int]]]:
+    """A search of a text for (kind, start, end) of all matches, or of their first groups if a pattern has one. numeric: kinds of which a match is a number
+    behind its name, so that they are searched around digits only (numbers.zones)."""
 
     def find(text: str) -> Iterator[tuple[str, int, int]]:
+        near, whole = zones(text) if numeric else [], [(0, len(text))]
         for k, p in patterns.items():
-            for m in re.finditer(p, text):
-                yield k, *m.span(min(m.re.groups, 1))
+            for a, e in near if k in numeric else whole:
+                for m in re.compile(p).finditer(text, a, e):
+                    yield k, *m.span(min(m.re.groups, 1))
 
     return find
 
 
-def find_spans(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def find_spans(documents: DataFrame, patterns: dict[str, str], numeric: Collection[str] = ()) -> DataFrame:
     """(doc_id, kind, start, end, value, line): all matches, in characters, or their first groups if a pattern has one; lines count from 1. Null texts
     give none."""
-    return scan(documents, patterns_in(patterns))
+    return scan(documents, patterns_in(patterns, numeric))
 
 
 def structured_spans(documents: DataFrame) -> DataFrame:
     """Spans of identifiers whose checks hold and of numbers behind their names, which come first, after arbitration. One pass finds both."""
     behind = "behind:"
-    spans = find_spans(documents, {k: p for k, (p, _) in SPANS.items()} | {behind + k: p for k, p in LABELLED.items()})
+    patterns = {k: p for k, (p, _) in SPANS.items()} | {behind + k: p for k, p in LABELLED.items()}
+    spans = find_spans(documents, patterns, patterns.keys() - {"EMAIL"})
     named = F.col("kind").startswith(behind)
     rank = F.create_map(*[F.lit(x) for k, (_, n) in SPANS.items() for x in (k, n)])
     spans = spans.where(named | valid(F.col("kind"), F.col("value"))).withColumn("priority", F.when(named, 0).otherwise(rank[F.col("kind")]))
@@ -180,22 +185,27 @@ def replace_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("s"))
     per = per.select("doc_id", *[F.col(f"s.{c}").alias(f"__{c}") for c in ("start", "end", "placeholder")])
 
-    def rebuild(texts: pd.Series, starts: pd.Series, ends: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for text, a, e, n in zip(texts, starts, ends, names, strict=True):
-            if text is None or a is None:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for start, end, name in zip(a, e, n, strict=True):
-                parts += [text[at:start], name]
-                at = end
-            out.append("".join([*parts, text[at:]]))
-        return pd.Series(out, dtype=object)
+    names = documents.columns
+    at_text = names.index("text")
 
-    built = F.pandas_udf(rebuild, "string")("text", "__start", "__end", "__placeholder")
-    j = documents.join(per, "doc_id", "left")
-    return j.withColumn("text", F.when(F.col("__start").isNull(), F.col("text")).otherwise(built)).drop("__start", "__end", "__placeholder")
+    def rebuilt(text: str | None, starts: list[int] | None, ends: list[int], marks: list[str]) -> str | None:
+        if text is None or starts is None:
+            return text
+        parts, at = [], 0
+        for start, end, mark in zip(starts, ends, marks, strict=True):
+            parts += [text[at:start], mark]
+            at = end
+        return "".join([*parts, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                columns = b.slice(at, SLICE).columns
+                texts = [rebuilt(*row) for row in zip(columns[at_text].to_pylist(), *[c.to_pylist() for c in columns[len(names) :]], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == at_text else c for n, c in enumerate(columns[: len(names)])], names=names)
+
+    j = documents.join(per, "doc_id", "left").select(*names, "__start", "__end", "__placeholder")
+    return j.mapInArrow(run, documents.schema)
 
 
 def fold(value: Column) -> Column:
@@ -220,16 +230,27 @@ def residual(documents: DataFrame) -> DataFrame:
 
 def carried_placeholders(documents: DataFrame) -> DataFrame:
     """Placeholders that the input holds already: they are candidates too."""
-    return once_a_line(find_spans(documents, {"PLACEHOLDER": RESIDUAL["PLACEHOLDER"]}))
+    return once_a_line(find_spans(documents.where(F.col("text").contains("_")), {"PLACEHOLDER": RESIDUAL["PLACEHOLDER"]}))
 
 
 def redact(documents: DataFrame, entities: DataFrame | list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clean, candidates, counts): redacted texts of documents without a candidate, the candidates that halt the others, and replacements by document and kind.
     A number of which only a part was replaced halts, whatever the entity map takes of the rest."""
-    own = staged(placeholders(structured_spans(documents)), "own-spans")  # what several results read is written, else each would search the texts again
+    own, once, named = replacements(documents, entities)
+    return redacted(documents, own, once, named)
+
+
+def replacements(documents: DataFrame, entities: DataFrame | list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, once, named): identifiers' spans, texts without them, and the map's spans in those. Each is written, as several results read it: else each would
+    search the texts again."""
+    own = staged(placeholders(structured_spans(documents)), "own-spans")
     once = staged(replace_spans(documents.select("doc_id", "text"), own), "replaced")
-    named = staged(entity_spans(once, entities), "named-spans")
-    done = replace_spans(once, named)
+    return own, once, staged(entity_spans(once, entities), "named-spans")
+
+
+def redacted(documents: DataFrame, own: DataFrame, once: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, candidates, counts), as of redact, of what replacements() gave."""
+    done = staged(replace_spans(once, named), "done")
     found = residual(done).unionByName(carried_placeholders(documents)).unionByName(once_a_line(cut_numbers(documents, own)))
     clean = done.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     counts = own.select("doc_id", "kind").unionByName(named.select("doc_id", "kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))

@@ -157,7 +157,8 @@ LETTERS_SQL = f"regexp_replace(lower(coalesce(text, '')), '{LETTERS}', '', 'g')"
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PLANTED)], "i int, planted string")
     d = documents(spark, sf_dir).withColumn("i", (F.col("doc_id") % len(PLANTED)).cast("int")).join(F.broadcast(cases), "i")  # a declared list
-    return d.select("doc_id", F.concat("planted", F.lit("\n\n"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), LETTERS, "")).alias("text"))
+    made = d.select("doc_id", F.concat("planted", F.lit("\n\n"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), LETTERS, "")).alias("text"))
+    return staged(made, "planted")  # a redaction reads it four times
 
 
 def _cases(which: int) -> str:
@@ -189,22 +190,20 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_cases(2)} SELECT doc_id, t || chr(10) || chr(10) || {LETTERS_SQL} AS text FROM documents JOIN c ON doc_id % {len(PLANTED)} = i")
 def planted_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders of what went out are replaced by their first values again, those of identifiers and of the map."""
-    d = staged(_planted(spark, sf_dir), "planted")
-    own = redact.placeholders(redact.structured_spans(d))
+    d = _planted(spark, sf_dir)
+    own, once, named = redact.replacements(d, MAP)
     first = lambda spans: spans.groupBy("doc_id", "placeholder").agg(F.min_by("value", "start").alias("value"))
-    named = redact.entity_spans(redact.replace_spans(d, own), MAP)
-    return redact.restore(redact.redact(d, MAP)[0], first(own).unionByName(first(named))).select("doc_id", "text")
+    return redact.restore(redact.redacted(d, own, once, named)[0], first(own).unionByName(first(named))).select("doc_id", "text")
 
 
 @query(f"WITH {_cases(1)}, k AS (SELECT doc_id FROM documents JOIN c ON doc_id % {len(PLANTED)} = i) SELECT doc_id, 'IDENTIFIER_LEFT' AS issue, '51 824 753 556' AS value FROM k WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'UNKNOWN_PLACEHOLDER', 'CLIENT_77' FROM k WHERE doc_id % 5 = 0")
 def planted_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers and unknown placeholders that were put into redacted texts are all found, and nothing else."""
-    d = staged(_planted(spark, sf_dir), "planted")
-    own = redact.placeholders(redact.structured_spans(d))
-    named = redact.entity_spans(redact.replace_spans(d, own), MAP)
+    d = _planted(spark, sf_dir)
+    own, once, named = redact.replacements(d, MAP)
     leak = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\nsee 51 824 753 556").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "\nof CLIENT_77").otherwise(""))
     known = own.select("doc_id", "placeholder").unionByName(named.select("doc_id", "placeholder")).distinct()
-    return redact.verify(redact.redact(d, MAP)[0].withColumn("text", leak), known).select("doc_id", "issue", "value")
+    return redact.verify(redact.redacted(d, own, once, named)[0].withColumn("text", leak), known).select("doc_id", "issue", "value")
 
 
 INTERVALS_SQL = "s AS (SELECT user_id AS doc_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) // 600 AS a, CAST(floor(epoch(ts)) AS BIGINT) // 600 + 1 + event_id % 9 AS b, event_id % 3 AS priority FROM events)"
