@@ -28,9 +28,9 @@ def some(*faults: Column) -> Column:
     return F.filter(F.array(*faults), lambda x: x.isNotNull())
 
 
-def kind_of(v: Column) -> Column:
-    """STRING, BIGINT, BOOLEAN, VOID ..., null for a member that isn't there."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def is_kind(v: Column, kind: str) -> Column:
+    """Whether v is a STRING, BIGINT or BOOLEAN as it stands; false for a member that isn't there."""
+    return F.schema_of_variant(v).eqNullSafe(kind)
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -48,41 +48,47 @@ class Node:
         raise NotImplementedError
 
 
+class Leaf(Node):
+    """A guard that finds one fault at most: wrong(v, path), null if there is none. An object gathers its leaves' faults at once."""
+
+    def wrong(self, v: Column, path: Column) -> Column:
+        raise NotImplementedError
+
+    def faults(self, v, path):
+        return some(self.wrong(v, path))
+
+
 @dataclass(frozen=True)
-class Text(Node):
+class Text(Leaf):
     """A text for which the guard gives a value."""
 
     guard: Guard
 
-    def faults(self, v, path):
-        value = F.try_variant_get(v, "$", "string")
-        wrong = F.coalesce(kind_of(v), F.lit("VOID")) != "STRING"
-        return some(F.when(wrong, fault(path, "TYPE")).when(self.guard(value).isNull(), fault(path, "VALUE")))
+    def wrong(self, v, path):
+        return F.when(~is_kind(v, "STRING"), fault(path, "TYPE")).when(let(F.try_variant_get(v, "$", "string"), lambda c: self.guard(c)).isNull(), fault(path, "VALUE"))
 
     def schema(self):
         return T.StringType()
 
 
 @dataclass(frozen=True)
-class Number(Node):
+class Number(Leaf):
     """A whole number from low to high."""
 
     low: int
     high: int
 
-    def faults(self, v, path):
-        value = F.try_variant_get(v, "$", "long")
-        wrong = F.coalesce(kind_of(v), F.lit("VOID")) != "BIGINT"
-        return some(F.when(wrong, fault(path, "TYPE")).when(~value.between(self.low, self.high), fault(path, "VALUE")))
+    def wrong(self, v, path):
+        return F.when(~is_kind(v, "BIGINT"), fault(path, "TYPE")).when(~F.try_variant_get(v, "$", "long").between(self.low, self.high), fault(path, "VALUE"))
 
     def schema(self):
         return T.LongType()
 
 
 @dataclass(frozen=True)
-class Flag(Node):
-    def faults(self, v, path):
-        return some(F.when(F.coalesce(kind_of(v), F.lit("VOID")) != "BOOLEAN", fault(path, "TYPE")))
+class Flag(Leaf):
+    def wrong(self, v, path):
+        return F.when(~is_kind(v, "BOOLEAN"), fault(path, "TYPE"))
 
     def schema(self):
         return T.BooleanType()
@@ -101,7 +107,10 @@ class Any(Node):
 
 @dataclass(frozen=True)
 class Struct(Node):
-    """An object with exactly these members; maybe: members that may be absent; open: others may stand beside them."""
+    """An object with exactly these members; maybe: members that may be absent; open: others may stand beside them.
+
+    Its members are taken apart once: a VARIANT that is taken from another is built anew, with all that lies in it.
+    """
 
     members: dict[str, Node]
     maybe: frozenset[str] = frozenset()
@@ -110,17 +119,22 @@ class Struct(Node):
     def faults(self, v, path):
         at = lambda k: F.concat(path, F.lit("."), k)
 
-        def of(keys: Column) -> Column:
-            lost = F.array_except(F.array(*[F.lit(k) for k in self.members if k not in self.maybe]), keys)
-            more = F.array().cast("array<string>") if self.open else F.array_except(keys, F.array(*[F.lit(k) for k in self.members]))
-            shape = F.transform(F.concat(lost, more), lambda k: F.struct(at(k).alias("path"), F.lit("MEMBER").alias("code")))
-            inner = []
-            for k, node in self.members.items():
-                found = let(F.try_variant_get(v, f"$.{k}", "variant"), lambda value: node.faults(value, at(F.lit(k))))  # noqa: B023
-                inner.append(F.when(F.array_contains(keys, k), found).otherwise(F.array().cast(FAULT)))
-            return F.when(keys.isNull() | (F.coalesce(kind_of(v), F.lit("VOID")) != "OBJECT"), some(fault(path, "TYPE"))).otherwise(F.concat(shape, *inner))
+        def member(value: Column, k: str, node: Node) -> Column:
+            found, lost = (node.wrong, lambda x: x) if isinstance(node, Leaf) else (node.faults, some)
+            absent = lost(F.when(F.lit(k not in self.maybe), fault(at(F.lit(k)), "MEMBER")))
+            return F.when(value.isNull(), absent).otherwise(found(value, at(F.lit(k))))
+
+        def of(held: Column) -> Column:
+            known, found = F.array(*[F.lit(k) for k in self.members]), []
+            if not self.open:
+                found.append(F.transform(F.array_except(F.map_keys(held), known), lambda k: F.struct(at(k).alias("path"), F.lit("MEMBER").alias("code"))))
+            each = {k: let(held[k], lambda value: member(value, k, node)) for k, node in self.members.items()}  # noqa: B023
+            leaves = [c for k, c in each.items() if isinstance(self.members[k], Leaf)]
+            found += [some(*leaves)] if leaves else []
+            found += [c for k, c in each.items() if not isinstance(self.members[k], Leaf)]
+            return F.when(held.isNull(), some(fault(path, "TYPE"))).otherwise(F.concat(*found))
 
-        return let(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), of)
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), of)
 
     def schema(self):
         return T.StructType([T.StructField(k, n.schema()) for k, n in self.members.items()])
@@ -136,14 +150,19 @@ class Rows(Node):
     distinct: bool = False
 
     def faults(self, v, path):
-        rows = F.try_variant_get(v, "$", "array<variant>")
-        each = F.flatten(F.transform(rows, lambda x, i: self.of.faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        more = [F.when(F.size(rows) < self.least, fault(path, "TOO_FEW"))]
-        if self.key or self.distinct:
-            name = lambda x: F.to_json(F.array(*[F.try_variant_get(x, f"$.{k}", "string") for k in self.key])) if self.key else F.try_variant_get(x, "$", "string")
-            names = F.transform(rows, name)
-            more.append(F.when(F.size(F.array_distinct(names)) < F.size(names), fault(path, "REPEATED_KEY")))
-        return F.when(rows.isNull(), some(fault(path, "TYPE"))).otherwise(F.concat(some(*more), each))
+        def name(x: Column) -> Column:
+            parts = [F.try_variant_get(x, f"$.{k}" if k else "$", "string") for k in self.key or ("",)]
+            return parts[0] if len(parts) == 1 else F.to_json(F.array(*parts))
+
+        def of(rows: Column) -> Column:
+            found = [F.flatten(F.transform(rows, lambda x, i: self.of.faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))]
+            if self.least:
+                found.append(some(F.when(F.size(rows) < self.least, fault(path, "TOO_FEW"))))
+            if self.key or self.distinct:
+                found.append(let(F.transform(rows, name), lambda names: some(F.when(F.size(F.array_distinct(names)) < F.size(names), fault(path, "REPEATED_KEY")))))
+            return F.when(rows.isNull(), some(fault(path, "TYPE"))).otherwise(F.concat(*found))
+
+        return let(F.try_variant_get(v, "$", "array<variant>"), of)
 
     def schema(self):
         return T.ArrayType(self.of.schema())
@@ -157,10 +176,11 @@ class Named(Node):
     least: int = 0
 
     def faults(self, v, path):
-        held = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        each = F.flatten(F.transform(held, lambda e: self.of.faults(e["value"], F.concat(path, F.lit("."), e["key"]))))
-        wrong = held.isNull() | (F.coalesce(kind_of(v), F.lit("VOID")) != "OBJECT")
-        return F.when(wrong, some(fault(path, "TYPE"))).otherwise(F.concat(some(F.when(F.size(held) < self.least, fault(path, "TOO_FEW"))), each))
+        def of(held: Column) -> Column:
+            each = F.flatten(F.transform(F.map_entries(held), lambda e: self.of.faults(e["value"], F.concat(path, F.lit("."), e["key"]))))
+            return F.when(held.isNull(), some(fault(path, "TYPE"))).otherwise(F.concat(some(F.when(F.size(held) < self.least, fault(path, "TOO_FEW"))), each))
+
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), of)
 
     def schema(self):
         return T.MapType(T.StringType(), self.of.schema())
