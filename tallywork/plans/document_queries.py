@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import documents
-from ..sources.staging import new_path, staged
+from ..sources.staging import new_path
 from .derive import table
 from .file_queries import file_no
 
@@ -147,17 +147,21 @@ def _text(column: str) -> str:
     return f"CAST({column} AS STRING)"
 
 
-def write_documents(spark: SparkSession, sf_dir: str, name: str) -> str:
+def _documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(file, content) of a kind: one shuffle by document, its rows with it."""
     spec, own = SPECS[name], {c: _text(c) for c in "kam"}
-    base = table(spark, sf_dir, "customer").selectExpr("c_custkey AS n", "CAST(floor(c_custkey / 8) AS INTEGER) AS k")
-    docs = base.groupBy("k").agg(F.min("n").alias("a"), F.count("*").alias("m"))
+    held = [F.min("n").alias("a"), F.count("*").alias("m")]
     if spec.item:  # eight at most in a list
-        rows = base.selectExpr("k", "n", f"{filled(spec.item, n=_text('n'), k=_text('k'))} AS item")
-        docs = docs.join(rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), ",").alias("items")), "k")
-    docs = docs.selectExpr("*", f"{filled(spec.root, **own, items='items')} AS doc")
+        item = F.expr(filled(spec.item, n=_text("n"), k=_text("k"))).alias("item")
+        held.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item))), lambda x: x["item"]), ",").alias("items"))
+    docs = _numbers(spark, sf_dir).groupBy("k").agg(*held).selectExpr("*", f"{filled(spec.root, **own, items='items')} AS doc")
     cases = " ".join(f"WHEN {i} THEN replace(doc, {filled(x, **own)}, {filled(y, **own)})" for i, (x, y, _, _) in enumerate(spec.faults, 1))
+    return docs.selectExpr("concat('/file=', k, '/document.json') AS file", f"encode(CASE k % {len(spec.faults) + 1} {cases} ELSE doc END, 'UTF-8') AS content")
+
+
+def write_documents(spark: SparkSession, sf_dir: str, name: str) -> str:
     path = new_path(spark, f"documents-{name}")
-    documents.store(docs.selectExpr("concat('/file=', k, '/document.json') AS file", f"encode(CASE k % {len(spec.faults) + 1} {cases} ELSE doc END, 'UTF-8') AS content"), path)
+    documents.store(_documents(spark, sf_dir, name), path)
     return path
 
 
@@ -202,7 +206,7 @@ def query(sql: str):
 
 
 def _accepted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return staged(documents.read_json(spark, write_documents(spark, sf_dir, name), name, stored=True)[0], f"accepted-{name}")
+    return documents.read_json(spark, write_documents(spark, sf_dir, name), name, stored=True)[0]
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
