@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 100_000
 #: Bits of a bitmap of ids at most (64 MB).
 MOST_BITS = 1 << 29
+#: Edges that one task joins at a time.
+CHUNK = 1 << 18
 #: Folder of a local application without a checkpoint folder.
 _LOCAL: dict[str, str] = {}
 
@@ -42,8 +45,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df (a written table) has at most `rows` rows; else df, for a shuffled join that AQE may split."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df (a written table) with a broadcast hint if it has at most `rows` rows; else with one for a shuffled join, which AQE may split. Left to itself Spark
+    goes by the bytes of compressed files, and the driver builds tables of millions of rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
@@ -65,9 +69,10 @@ def matching(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id")
     """rows that have (how: left_semi) or lack (left_anti) their id in ids, a written table with a column doc_id. Rows that a bitmap of ids
     tells apart aren't shuffled."""
     told, names = among(rows, ids, id_col), rows.columns
+    found = bounded(ids.select(F.col("doc_id").alias("__id")))
 
     def joined(part: DataFrame) -> DataFrame:
-        return part.alias("r").join(ids.select(F.col("doc_id").alias("__id")), F.col(f"r.{id_col}") == F.col("__id"), how).select(*[F.col(f"r.{c}") for c in names])
+        return part.alias("r").join(found, F.col(f"r.{id_col}") == F.col("__id"), how).select(*[F.col(f"r.{c}") for c in names])
 
     if told is None:
         return joined(rows)
@@ -96,29 +101,66 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[..., list], rows: int = 10
     return df.mapInArrow(run, kind)
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, roots): the ends of the edges a-b that aren't the smallest of their component, and that smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, top = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(a):
+        np.minimum.at(top, np.maximum(top[a], top[b]), np.minimum(top[a], top[b]))  # ids are sorted, so the smaller place is the smaller id
+        while not np.array_equal(up := top[top], top):
+            top = up
+        apart = top[a] != top[b]
+        a, b = a[apart], b[apart]
+    lower = top < np.arange(len(ids))
+    return ids[lower], ids[top[lower]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that join the same ids as those of edges: of each partition, CHUNK at a time, one for every id to the smallest that it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            got = roots(*[np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield solved(held)
+                held = []
+        if held:
+            yield solved(held)
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (src long, dst long): one row (id, component) per id that has an edge to another, component the smallest id reachable.
 
-    Alternating small-star and large-star steps on edges child -> parent (child > parent). Each step is a grouped minimum and a join of
-    written tables; only parents that have parents themselves take part in the second join, so the rows of a large star meet no match and
-    AQE may split them. Stops when every child has one parent and no parent has a parent, which the steps reach in a logarithmic number of
-    rounds. Loops and repeated edges are ignored.
+    Edges child -> parent (child > parent) are contracted, about CHUNK in a task: what few tasks see needs few rounds, and fewer than CHUNK edges none.
+    Otherwise small-star and large-star steps alternate with it. Each step is a grouped minimum and a shuffled join of written tables, so AQE may split a
+    large star. Stops when every child has one parent and no parent has a parent, which the steps reach in a logarithmic number of rounds. Loops and
+    repeated edges are ignored.
     """
     a, b = F.col("src").cast("long"), F.col("dst").cast("long")
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), name)
+    e = cut(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")), name)
     while True:
-        low = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), name)
-        many = low.where("k > 1").select("u", "m")
-        if many.limit(1).count():
-            wide = e.join(many, "u", "left_semi").join(many, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-            small = cut(low.where("k = 1").select("u", F.col("m").alias("v")).unionByName(wide).distinct(), name)
+        tasks = -(-e.count() // CHUNK)
+        e = cut(contracted(e.coalesce(max(1, tasks))), name)
+        if tasks <= 1:
+            break
+        low = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")), name)
+        if low.where("x > m").limit(1).count():
+            wide = e.join(low.where("x > m").select("u", "m").hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            small, done = cut(low.where("x = m").select("u", F.col("m").alias("v")).unionByName(wide).distinct(), name), False
+        else:
+            small, done = low.select("u", F.col("m").alias("v")), True
+        up = cut(small.groupBy("u").agg(F.min("v").alias("m")).join(small.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").withColumnRenamed("u", "v"), name)
+        if up.limit(1).count():
+            e = cut(small.join(up.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).where("u > v").distinct(), name)
         else:
-            small = e
-        up = cut(small.groupBy("u").agg(F.min("v").alias("m")).join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").withColumnRenamed("u", "v"), name)
-        if not up.limit(1).count():
-            if small is e:
-                break
             e = small
-            continue
-        e = cut(small.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).where("u > v").distinct(), name)
+            if done:
+                break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

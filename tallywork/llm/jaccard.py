@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, map_rows, matching, slices
+from .common import among, bounded, components, cut, map_rows, matching, slices
 
 #: Words hashed once and remembered by a Python worker; a full memory is emptied.
 MEMO = 500_000
@@ -25,6 +25,8 @@ OFTEN, SAMPLE = 16, 64
 #: Sets of a group of more than BLOCK to which all others are compared first, and the size from which the further orders split a group before that:
 #: splitting ships whole sets once more for each order, which smaller groups don't repay.
 HUBS, WIDE_GROUP = 8, 65_536
+#: Rows of a table that is broadcast: some such tables stay in the driver at once, at any size of the documents.
+FEW = 20_000
 #: Tokens by which two blocks are multiplied at a time.
 WIDE = 4096
 
@@ -86,11 +88,11 @@ def order_groups(pools: DataFrame, order: int, name: str) -> DataFrame:
     told = marked.withColumn("part", F.when(F.col("many"), F.xxhash64("key")).otherwise(F.col("token"))).select("key", "token", "many", F.count("*").over(w).alias("df"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared"))
     shared = told.where("many or shared").select("key", "token", F.when(F.col("many"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df"))
     own = F.when(F.col("token").bitwiseAND(3) == order, F.struct(F.lit(0).alias("tail"), "df", "token")).otherwise(F.struct(F.lit(1).alias("tail"), F.lit(0).cast("long").alias("df"), "token"))
-    lists = shared.groupBy("key").agg(F.sort_array(F.collect_set(own)).alias("seen")).join(pools.select("key", "short").distinct(), "key")
+    lists = shared.groupBy("key").agg(F.sort_array(F.collect_set(own)).alias("seen")).join(pools.groupBy("key").agg(F.min("short").alias("short")).hint("merge"), "key")
     take = F.col("short") + F.size("seen")
     prefix = cut(lists.where(take > 0).select("key", F.explode(F.slice("seen", F.lit(1), take)).alias("t")).select("key", F.col("t.token").alias("token")), f"{name}-prefixes")
     hubs = cut(prefix.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub != other").select("token", "hub"), f"{name}-hubs")
-    edges = prefix.join(hubs, "token").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
+    edges = prefix.join(bounded(hubs, FEW), "token").select(F.col("key").alias("src"), F.col("hub").alias("dst")).distinct()
     return cut(components(edges, f"{name}-components").select(F.col("id").alias("key"), F.col("component").alias("grp")), f"{name}-groups")
 
 
@@ -168,7 +170,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     classes = cut(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "shingle-classes")
     key = F.xxhash64("digest").alias("key")
     groups = order_groups(sets.where("tokens is not null").select(key, "short", "tokens"), ORDERS[0], "order0")
-    left = cut(groups.join(classes.select("id", "digest", key), "key").select("id", "digest", "key", "grp"), "shingle-candidates")
+    left = cut(classes.select("id", "digest", key).join(bounded(groups, FEW), "key").select("id", "digest", "key", "grp"), "shingle-candidates")
 
     def whole(ids, texts):
         got = [shingles(x, size) for x in texts]
@@ -177,16 +179,16 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
 
     texts = matching(rows, cut(left.select(F.col("id").alias("doc_id")).distinct(), "shingle-ids"), "left_semi")
     full = map_rows(texts, "id long, digest binary, set array<long>, short int, tokens array<long>", whole)
-    full = cut(full.join(bounded(left), ["id", "digest"]).dropDuplicates(["id", "digest"]), "shingle-sets")
+    full = cut(full.join(bounded(left, FEW), ["id", "digest"]).dropDuplicates(["id", "digest"]), "shingle-sets")
     second = order_groups(full.select("key", "short", "tokens"), ORDERS[1], "order1")
-    both = second.select("key", F.col("grp").alias("grp1")).join(full.select("id", "key", F.col("grp").alias("grp0")), "key")
+    both = full.select("id", "key", F.col("grp").alias("grp0")).join(bounded(second.select("key", F.col("grp").alias("grp1")), FEW), "key")
     groups = cut(both.select("id", "key", F.xxhash64("grp0", "grp1").alias("grp")), "shingle-groups")
     sets_of = full.select("id", "key", "set")
     edges = cut(verify(refine(groups, sets_of, percent), sets_of, percent), "shingle-links")
     found = cut(components(edges, "shingle-components"), "shingle-found").select("id", "component")
-    named = classes.join(found, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
+    named = classes.join(bounded(found, FEW), "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
     named = cut(named, "shingle-named")
-    out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = sets.select("doc_id", "n", "digest").join(bounded(named, FEW), "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
 
 
@@ -203,9 +205,9 @@ def refine(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             got = [prefix_pool(np.asarray(x, np.int64), order, percent) for x in found]
             return [keys, [x[1] for x in got], [x[0].tolist() for x in got]]
 
-        pools = cut(map_rows(wide.join(sets, ["id", "key"]).select("key", "set"), "key long, short int, tokens array<long>", pool), f"order{order}-pools")
+        pools = cut(map_rows(sets.join(bounded(wide.select("id", "key"), FEW), ["id", "key"]).select("key", "set"), "key long, short int, tokens array<long>", pool), f"order{order}-pools")
         part = order_groups(pools, order, f"order{order}").withColumnRenamed("grp", "part")
-        split = wide.join(part, "key").select("id", "key", F.xxhash64("grp", "part").alias("grp"))
+        split = wide.join(bounded(part, FEW), "key").select("id", "key", F.xxhash64("grp", "part").alias("grp"))
         groups = cut(groups.join(large, "grp", "left_anti").select("id", "key", "grp").unionByName(split), f"order{order}-split")
     return groups
 
@@ -238,7 +240,7 @@ def compare_blocks(met: DataFrame, sets: DataFrame, percent: int, hubs: bool = F
                 out += to_hubs(links, set(g["id"][g["own"] == lo].tolist())) if hubs else links
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
-    rows = met.join(sets, ["id", "key"]).select("grp", "own", "lo", "hi", "task", "id", "set")
+    rows = met.hint("merge").join(sets, ["id", "key"]).select("grp", "own", "lo", "hi", "task", "id", "set")
     return rows.groupBy("task").applyInPandas(compare, "src long, dst long")
 
 
@@ -251,26 +253,28 @@ def verify(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sizes = cut(groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "shingle-sizes")
     total = sizes.where(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0
-    small = groups.join(sizes.where(f"n <= {BLOCK}").select("grp"), "grp", "left_semi")
+    small = groups.join(bounded(sizes.where(f"n <= {BLOCK}").select("grp"), FEW), "grp", "left_semi")
     task = F.pmod(F.xxhash64("grp"), F.lit(max(1, total // (2 * BLOCK))))  # small groups share a task
     zero = F.lit(0)
     edges = compare_blocks(small.select("id", "key", "grp", zero.alias("own"), zero.alias("lo"), zero.alias("hi"), task.alias("task")), sets, percent)
-    large = cut(groups.join(sizes.where(f"n > {BLOCK}"), "grp"), "shingle-large")
+    large = cut(groups.join(bounded(sizes.where(f"n > {BLOCK}"), FEW), "grp"), "shingle-large")
     if not large.limit(1).count():
         return edges
+    told = among(sets, large.select(F.col("id").alias("doc_id")), "id")
+    sets = sets if told is None else told.where("__in").drop("__in")  # the others aren't shuffled again
     chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("n") / BLOCK)).cast("int")
     members = large.select("id", "key", "grp", F.lit(1).alias("own"), chunk.alias("chunk"))
     hubs = large.groupBy("grp", "n", F.pmod("key", F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "id")).alias("hub"))
     hubs = hubs.select("hub.id", "hub.key", "grp", F.lit(0).alias("own"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)")).alias("chunk"))
     met = members.unionByName(hubs).select("id", "key", "grp", "own", zero.alias("lo"), F.lit(1).alias("hi"), F.xxhash64("grp", "chunk").alias("task"))
     first = cut(compare_blocks(met, sets, percent, hubs=True), "shingle-hub-links")
-    parts = large.join(first.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("hub")), "id", "left").withColumn("part", F.coalesce("hub", "id"))
+    parts = large.join(first.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("hub")).hint("merge"), "id", "left").withColumn("part", F.coalesce("hub", "id"))
     parts = cut(parts.select("id", "key", "grp", "part"), "shingle-parts")
-    top = parts.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
-    placed = parts.join(top, "grp").withColumn("out", F.col("part") != F.col("top"))
-    counts = placed.groupBy("grp").agg(F.count_if("out").alias("u"), F.count_if(~F.col("out")).alias("j")).where("u > 0")
+    top = cut(parts.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("top")), "shingle-tops")
+    placed = parts.join(bounded(top, FEW), "grp").withColumn("out", F.col("part") != F.col("top"))
+    counts = cut(placed.groupBy("grp").agg(F.count_if("out").alias("u"), F.count_if(~F.col("out")).alias("j")).where("u > 0"), "shingle-counts")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    member = placed.join(counts, "grp").withColumns({"ub": blocks("u"), "jb": blocks("j")})
+    member = placed.join(bounded(counts, FEW), "grp").withColumns({"ub": blocks("u"), "jb": blocks("j")})
     member = member.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("key"), F.col("ub"))).otherwise(F.col("ub") + F.pmod(F.xxhash64("key"), F.col("jb"))).cast("int"))
     member = member.withColumn("other", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("ub") + F.col("jb") - 1)).otherwise(F.sequence(F.lit(0), F.col("ub") - 1))))
     rest = member.select("id", "key", "grp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
