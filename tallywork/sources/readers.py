@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import AMOUNT, MONEY, abn_valid, accounting_number, clean_text, exact_money, iso_date, turnover_bounds, yes_no
 from .documents import capture
+from .staging import few, staged
 
 Guard = Callable[[Column], Column]
 
@@ -211,48 +212,61 @@ def captured_records(spark: SparkSession, path: str, headings: list[str]) -> Dat
 def read_csv(spark: SparkSession, path: str, contract: Contract, widths: bool = True, captured: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accepted, refusals) of all files of a path: typed rows with `file` and `sha256`; (file, sha256, row, code, column).
 
-    captured: the digest is that of the very bytes that were parsed, and a file is held by one task; without it files of any size are scanned in parts, and
-    sha256 is null.
+    captured: the digest is that of the very bytes that were parsed, and a file is held by one task; without it files of any size are scanned in parts, once:
+    their records are written, and so is what was judged of them; sha256 is null.
 
     Codes: HEADER, WIDTH, VALUE, REPEATED_KEY, SEVERAL_VALUES and the contract's own. Headings may stand in any order unless the contract
     declares it; surplus, missing or repeated headings refuse the file. Only the header records and refused files' names are grouped.
     """
     heads = list(contract.columns)
-    raw = captured_records(spark, path, heads) if captured else records(spark, path, heads).withColumn("sha256", F.lit(None).cast("string"))
     cells = [f"_c{i}" for i in range(len(heads))]
-    first = raw.groupBy("file").agg(F.min_by(F.struct(*cells, "wide"), "at").alias("h"), F.min("at").alias("first"), F.min("sha256").alias("sha256"))
+    if captured:
+        raw = captured_records(spark, path, heads)
+        first = raw.groupBy("file").agg(F.min_by(F.struct(*cells, "wide"), "at").alias("h"), F.min("at").alias("first"), F.min("sha256").alias("sha256"))
+    else:
+        raw = staged(records(spark, path, heads), "csv-records").withColumn("sha256", F.lit(None).cast("string"))
+        # numbers are grouped by hash, text would be sorted: a minimum of each block, then of each file
+        least = raw.groupBy("file", F.col("at.block").alias("block")).agg(F.min("at.n").alias("n")).groupBy("file").agg(F.min(F.struct("block", "n")).alias("at"))
+        first = raw.join(few(staged(least, "csv-first")), ["file", "at"]).select("file", F.struct(*cells, "wide").alias("h"), F.col("at").alias("first"), "sha256")
     head = first.select("file", "sha256", "first", F.array(*[F.col(f"h.{c}") for c in cells]).alias("names"), F.col("h.wide").alias("over"))
     names, wanted = (F.col("names"), heads) if contract.ordered else (F.array_sort("names"), sorted(heads))
     ok = F.coalesce(~F.col("over") & (names == F.array(*[F.lit(h) for h in wanted])), F.lit(False))
-    head = head.withColumn("ok", ok)
-    data = raw.drop("sha256").join(head, "file").where(F.col("at") != F.col("first")).withColumn("row", F.col("at.n"))
-    value = lambda h: F.get(F.array(*cells), F.array_position("names", h).cast("int") - 1)
-    typed, issues = [], [F.when(~F.col("ok"), F.struct(F.lit("HEADER").alias("code"), F.lit(None).cast("string").alias("column")))]
+    head = head.withColumns({"ok": ok, "places": F.array(*[F.array_position("names", h).cast("int") - 1 for h in heads])})
+    if not captured:
+        head = staged(head, "csv-heads")
+    data = raw.drop("sha256").join(head.hint("shuffle_hash") if captured else few(head), "file").where(F.col("at") != F.col("first"))
+    data = data.select("file", "sha256", F.col("at.n").alias("row"), "ok", "wide", "places", F.array(*cells).alias("cells"))
+    data = data.select("file", "sha256", "row", "ok", "wide", *[F.get("cells", F.get("places", F.lit(i))).alias(c) for i, c in enumerate(cells)])
+    # a step for each: Spark computes what is used several times once only if it stands in a step of its own
+    data = data.select("*", *[guard(F.col(c)).alias(name) for c, (name, guard, _) in zip(cells, contract.columns.values(), strict=True)])
+    issues = []
     if widths:
         issues.append(F.when(F.col("ok") & F.col("wide"), F.struct(F.lit("WIDTH").alias("code"), F.lit(None).cast("string").alias("column"))))
-    for h, (name, guard, empty) in contract.columns.items():
-        raw_cell, got = value(h), guard(value(h))
-        typed.append(got.alias(name))
-        bad = F.coalesce(raw_cell, F.lit("")) != "" if empty else F.lit(True)
-        issues.append(F.when(F.col("ok") & bad & got.isNull(), F.struct(F.lit("VALUE").alias("code"), F.lit(name).alias("column"))))
-    rows = data.select("file", "sha256", "row", "ok", *typed, F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"))
-    more = [F.when(F.col("ok") & ~F.coalesce(c(), F.lit(True)), F.struct(F.lit(code).alias("code"), F.lit(None).cast("string").alias("column"))) for code, c in contract.also]
-    if contract.key:
-        many = F.count("*").over(Window.partitionBy("file", *contract.key)) > 1
-        rows = rows.withColumn("many", many)
-        more.append(F.when(F.col("ok") & F.col("many"), F.struct(F.lit("REPEATED_KEY").alias("code"), F.lit(contract.key[-1]).alias("column"))))
-    if more:
-        rows = rows.withColumn("issues", F.concat("issues", F.filter(F.array(*more), lambda x: x.isNotNull())))
+    for c, (name, _, empty) in zip(cells, contract.columns.values(), strict=True):
+        bad = F.coalesce(c, F.lit("")) != "" if empty else F.lit(True)
+        issues.append(F.when(F.col("ok") & bad & F.col(name).isNull(), F.struct(F.lit("VALUE").alias("code"), F.lit(name).alias("column"))))
+    issues += [F.when(F.col("ok") & ~F.coalesce(c(), F.lit(True)), F.struct(F.lit(code).alias("code"), F.lit(None).cast("string").alias("column"))) for code, c in contract.also]
+    rows = data.select("file", "sha256", "row", "ok", *[name for name, _, _ in contract.columns.values()], F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"))
+    if not captured:
+        rows = staged(rows, "csv-judged")
     refusals = rows.select("file", "row", F.explode("issues").alias("x")).select("file", "row", "x.code", "x.column")
+    if contract.key:
+        known = rows.where("ok").select("file", "row", *contract.key)
+        if not captured:  # rows whose key stands once are told by a hash, so that few are brought together
+            known = known.withColumn("hash", F.xxhash64("file", *contract.key))
+            known = known.join(few(staged(known.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "csv-repeated")), "hash", "left_semi")
+        many = known.withColumn("many", F.count("*").over(Window.partitionBy("file", *contract.key))).where("many > 1")
+        refusals = refusals.unionByName(many.select("file", "row", F.lit("REPEATED_KEY").alias("code"), F.lit(contract.key[-1]).alias("column")))
     for c in contract.single:
-        several = rows.where("ok").groupBy("file").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b")
+        several = rows.where("ok").select("file", c).distinct().groupBy("file").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b")
         refusals = refusals.unionByName(several.select("file", F.lit(None).cast("long").alias("row"), F.lit("SEVERAL_VALUES").alias("code"), F.lit(c).alias("column")))
     for code, c in contract.whole:
         fine = head.where("ok").select("file").join(rows.groupBy("file").agg(c().alias("fine")), "file", "left").where(~F.coalesce("fine", F.lit(False)))
         refusals = refusals.unionByName(fine.select("file", F.lit(None).cast("long").alias("row"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("column")))
     bare = head.where("not ok").select("file", F.lit(0).cast("long").alias("row"), F.lit("HEADER").alias("code"), F.lit(None).cast("string").alias("column"))
-    refusals = refusals.where("code <> 'HEADER'").unionByName(bare)
-    accepted = rows.join(refusals.select("file").distinct(), "file", "left_anti").select("file", "sha256", *[name for name, _, _ in contract.columns.values()])
+    refusals = refusals.unionByName(bare)
+    refused = refusals.select("file").distinct()
+    accepted = rows.join(refused if captured else few(staged(refused, "csv-refused")), "file", "left_anti").select("file", "sha256", *[name for name, _, _ in contract.columns.values()])
     return accepted, refusals.join(head.select("file", "sha256"), "file").select("file", "sha256", "row", "code", "column")
 
 
